@@ -102,8 +102,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     yield batch.slice(at)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of other bytes than ASCII white space, and how many words stand before each text."""
+def words(data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of other bytes than ASCII white space, and how many words stand before each text; words end at ``cuts`` too."""
     full = ~_SPACE[data]
     n = len(full)
     begin, end = full.copy(), full.copy()
@@ -111,6 +111,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         begin[1:] &= ~full[:-1]
         end[:-1] &= ~full[1:]
         edges = offsets[(offsets > 0) & (offsets < n)]
+        if cuts is not None:
+            edges = np.concatenate([edges, cuts])
         begin[edges] = full[edges]
         end[edges - 1] = full[edges - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
