@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch. Long texts make large batches, so the count is small.
 BATCH_ROWS = 500
-#: Input bytes that one hash bucket of an exchange should stand for.
-BUCKET_BYTES = 8 << 20
+#: Bytes of one Arrow batch, as far as more than one row is concerned.
+BATCH_BYTES = 8 << 20
+#: Compressed bytes of the table that one hash bucket of an exchange should stand for.
+BUCKET_BYTES = 4 << 20
 
 
 def read_once(path: str) -> bytes:
@@ -20,6 +22,7 @@ def read_once(path: str) -> bytes:
 def prepare(spark: SparkSession) -> SparkSession:
     """Sets the Arrow batch size, and a checkpoint folder only where none is configured."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
@@ -30,15 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the table's size; for files, their bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
-def buckets(df: DataFrame, per_bucket: int = BUCKET_BYTES, least: int = 64) -> int:
-    """A power of two that grows with the input, so that a bucket's share stays the same."""
-    want = max(least, min(1 << 24, input_bytes(df) // per_bucket))
-    return 1 << (want - 1).bit_length()
+def buckets(total: int, per_bucket: int = BUCKET_BYTES, least: int = 64) -> int:
+    """A power of two that grows with the bytes, so that a bucket's share stays the same."""
+    return 1 << (max(least, min(1 << 24, total // per_bucket)) - 1).bit_length()
 
 
 def settle(df: DataFrame) -> DataFrame:
