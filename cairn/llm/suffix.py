@@ -70,7 +70,7 @@ class _View:
         least = _least((grams & high) | np.arange(len(grams), dtype=np.uint64), WINDOW - GRAM + 1)
         ok = V.within(chunk.offsets, WINDOW, n)
         change = np.ones(len(ok) + 1, bool)
-        change[1:-1] = (least[1:] != least[:-1]) | ~ok[:-1]
+        change[1:-1] = (least[1:] != least[:-1]) | (ok[1:] != ok[:-1])
         edges = np.flatnonzero(change)
         a, b = edges[:-1], edges[1:]
         doc = np.searchsorted(chunk.offsets, a, "right") - 1
