@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, packing, quality, substring, suffix, topk
+from cairn.llm import bpe, packing, quality, secrets, substring, suffix, topk
 from cairn.llm._spark import table
 
 
@@ -27,6 +27,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring": op2_substring,
     "op3_packing": op3_packing,
     "op4_topk": op4_topk,
+    "op5_secrets": op5_secrets,
     "op8_suffix": op8_suffix,
     "op10_quality": op10_quality,
 }
