@@ -20,7 +20,7 @@ read as far as it goes; an empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-import html
+import html as markup
 import re
 from collections.abc import Iterator
 
@@ -89,7 +89,7 @@ def blocks(page: str) -> tuple[list[Block], dict[str, int]]:
     pieces: list[str] = []
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(pieces)).split())
+        text = " ".join(markup.unescape("".join(pieces)).split())
         pieces.clear()
         if text:
             found.append(Block(stack[-1][1], stack[-1][3], text))

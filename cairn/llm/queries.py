@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, html, packing, quality, secrets, substring, suffix, topk
+from cairn.llm import bpe, html, neardup, packing, quality, secrets, substring, suffix, topk
 from cairn.llm._spark import table
 
 
@@ -31,6 +31,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_topk": op4_topk,
     "op5_secrets": op5_secrets,
+    "op6_neardup": op6_neardup,
     "op7_html": op7_html,
     "op8_suffix": op8_suffix,
     "op10_quality": op10_quality,
