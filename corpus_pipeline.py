@@ -1,11 +1,73 @@
-"""The corpus pipeline; its stages are added as their operators are done."""
+"""The corpus pipeline: each stage takes documents and returns what it keeps of them.
 
-STAGES = []
+All stages but the last return the columns of documents; ``n_chars`` follows the
+text. Documents are lost only to the quality rules and to near-duplicate
+classes, of which the least id stays. Texts lose lines that fail the quality
+rules, passages of 50 words that a smaller document has, and secrets.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.llm import neardup, packing, quality, secrets, substring
+from cairn.llm._spark import prepare, shared_folder
+
+#: Subword merges and hashes of whole texts are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def _measured(docs: DataFrame) -> DataFrame:
+    """The documents with ``n_chars``, if there, counted anew."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return _measured(quality.apply(docs, clean=True).filter("kept").select(*docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return neardup.apply(docs).select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return _measured(substring.apply(docs).select(*docs.columns))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return _measured(secrets.redact(docs).select(*docs.columns))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places."""
+    prepare(spark)
+    return packing.apply(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("secret_scan", secret_scan),
+    ("pack_sequences", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each returns is written to the shared folder and read again."""
+    folder = f"{shared_folder(prepare(spark))}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs
