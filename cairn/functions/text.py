@@ -141,8 +141,7 @@ def entities(text: Column | str) -> Column:
 
 def tags(text: Column | str) -> Column:
     """Technology terms among the tokens, in the order of the list."""
-    found = tokens(text)
-    return F.slice(F.array_compact(F.array(*(F.when(F.array_contains(found, t), F.lit(t)) for t in C.TECH_TERMS))), 1, C.MAX_TAGS)
+    return F.slice(F.array_intersect(F.array(*map(F.lit, C.TECH_TERMS)), tokens(text)), 1, C.MAX_TAGS)
 
 
 def merge_tags(given: Column | str, found: Column | str) -> Column:
@@ -176,7 +175,7 @@ def compress(text: Column | str, intensity: str = "full") -> Column:
 
     kept = F.transform(F.filter(words(masked), lambda w: ~key(w).isin(*dropped)), shorten)
     pieces = F.split(F.array_join(kept, " "), mark, -1)
-    return F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(literals, i), F.lit("")))), "")
+    return F.array_join(F.zip_with(pieces, literals, lambda p, x: F.concat(F.coalesce(p, F.lit("")), F.coalesce(x, F.lit("")))), "")
 
 
 def summary(compressed: Column | str) -> Column:

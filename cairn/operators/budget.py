@@ -92,8 +92,8 @@ def allocate_dynamic(ranked: DataFrame, queries: DataFrame, budget: int, query_i
     Shares depend on what was taken before, so the fold runs for each query over its
     few ranked memories; what it needs of each sentence is computed beforehand.
     """
-    rows = ranked.join(queries.select(query_id, F.col("query").alias("_query")), query_id)
-    q = X.terms("_query")
+    rows = ranked.join(queries.select(query_id, X.terms("query").alias("_q")), query_id)
+    q = F.col("_q")
 
     def scored(s: Column, i: Column) -> Column:
         t = X.terms(s)
