@@ -65,9 +65,12 @@ def _fold_table() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+_FOLD = _fold_table()
+
+
 def fts_tokens(text: Column | str) -> Column:
     """Lower-case tokens without diacritics."""
-    return F.transform(X.tokens(text), lambda t: F.translate(t, *_fold_table()))
+    return X.tokens(F.translate(X.col(text), *_FOLD))
 
 
 def escape_query(text: Column | str) -> Column:
@@ -88,18 +91,20 @@ def keyword(queries: DataFrame, memories: DataFrame, k: int, query_id: str = "qu
     A word of several tokens is a phrase. Each word of the query counts, repeated ones too.
     """
     docs = searchable(memories)
-    asked = queries.select(F.col(query_id).alias("q"), F.posexplode(X.words(query)).alias("term", "word"))
-    asked = asked.select("q", "term", fts_tokens("word").alias("parts")).filter(F.size("parts") > 0)
-    parts = asked.select("q", "term", F.size("parts").alias("m"), F.posexplode("parts").alias("j", "token"))
-    places = docs.select("id", F.posexplode("tokens").alias("place", "token"))
-    starts = places.join(parts, "token").groupBy("q", "term", "id", (F.col("place") - F.col("j")).alias("start")).agg(F.count("*").alias("n"), F.first("m").alias("m"))
-    tf = starts.filter("n = m").groupBy("q", "term", "id").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("q", "term").agg(F.count("*").alias("df"))
+    asked = queries.select(F.col(query_id).alias("q"), F.explode(X.words(query)).alias("word"))
+    asked = asked.select("q", fts_tokens("word").alias("parts")).filter(F.size("parts") > 0)
+    asked = asked.groupBy("q", F.array_join("parts", " ").alias("phrase")).agg(F.count("*").alias("times"))
+    phrases = asked.select("phrase").distinct().withColumn("parts", F.split("phrase", " "))
+    parts = phrases.select("phrase", F.size("parts").alias("m"), F.posexplode("parts").alias("j", "token"))
+    places = docs.select("id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("place", "token")).join(parts, "token")
+    starts = places.filter("m > 1").groupBy("phrase", "id", "dl", "m", (F.col("place") - F.col("j")).alias("start")).agg(F.count("*").alias("n")).filter("n = m")
+    words = places.filter("m = 1").select("phrase", "id", "dl")
+    tf = words.union(starts.select("phrase", "id", "dl")).groupBy("phrase", "id", "dl").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
     whole = docs.agg(F.count("*").alias("N"), F.avg(F.size("tokens")).alias("avgdl"))
-    lengths = docs.select("id", F.size("tokens").alias("dl"))
     idf = F.greatest(F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weight = idf * F.col("tf") * (C.K1 + 1) / (F.col("tf") + C.K1 * (1 - C.B + C.B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(df, ["q", "term"]).join(lengths, "id").join(F.broadcast(whole))  # one row
+    weight = F.col("times") * idf * F.col("tf") * (C.K1 + 1) / (F.col("tf") + C.K1 * (1 - C.B + C.B * F.col("dl") / F.col("avgdl")))
+    scored = tf.join(df, "phrase").join(F.broadcast(whole)).join(asked, "phrase")  # whole is one row
     scored = scored.groupBy(F.col("q").alias(query_id), "id").agg(F.sum(weight).alias("score"))
     order = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -35,7 +35,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return files.read_table(spark, d, name)
 
 
 def _sql(text: str) -> str:

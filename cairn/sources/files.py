@@ -119,9 +119,16 @@ def as_memories(rows: DataFrame, intensity: str = "full", with_embedding: bool =
     return out.withColumn("embedding", embed("content")).withColumn("in_index", F.lit(True)) if with_embedding else out
 
 
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A Parquet table, dealt out evenly if its files give fewer tasks than there are cores."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def document_memories(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     """documents as memories: the source writes, the language is the room, one an hour from 2024 on."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), F.col("source").alias("author"), F.col("lang").alias("room"), F.timestamp_seconds(F.unix_timestamp(start) + F.col("doc_id") * 3600).alias("created_at"))
     return as_memories(rows, **options)
