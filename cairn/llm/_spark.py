@@ -6,6 +6,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.sources.files import read_table
+
 #: Rows of one Arrow batch. Long texts make large batches, so the count is small.
 BATCH_ROWS = 500
 #: Bytes of one Arrow batch, as far as more than one row is concerned.
@@ -34,7 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(prepare(spark), sf_dir, name)
 
 
 def buckets(total: int, per_bucket: int = BUCKET_BYTES, least: int = 64) -> int:

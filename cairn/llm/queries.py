@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, html, neardup, packing, quality, secrets, substring, suffix, topk
+from cairn.llm import bpe, html, neardup, packing, quality, secrets, substring, suffix, topk, toxicity
 from cairn.llm._spark import table
 
 
@@ -43,6 +43,10 @@ def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.apply(docs).drop("text", "n_lost_words")
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_neardup": op6_neardup,
     "op7_html": op7_html,
     "op8_suffix": op8_suffix,
+    "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {
