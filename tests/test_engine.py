@@ -158,8 +158,8 @@ def test_capture_is_idempotent(spark, tmp_path):
 
 
 def test_vector_files(spark, tmp_path):
-    (tmp_path / "v.ybv").write_bytes(files.pack_vectors([("a", [1.0, 2.0]), ("é", [0.5, 0.25])], 2))
-    assert {r["id"]: list(r["embedding"]) for r in files.read_vectors(spark, f"file://{tmp_path}/v.ybv").collect()} == {"a": [1.0, 2.0], "é": [0.5, 0.25]}
+    (tmp_path / "v.bin").write_bytes(files.pack_vectors([("a", [1.0, 2.0]), ("é", [0.5, 0.25])], 2))
+    assert {r["id"]: list(r["embedding"]) for r in files.read_vectors(spark, f"file://{tmp_path}/v.bin").collect()} == {"a": [1.0, 2.0], "é": [0.5, 0.25]}
 
 
 def test_settings():
