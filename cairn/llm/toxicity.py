@@ -111,38 +111,79 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, steps: i
 
 
 def fit(rows: list[tuple[str | None, int]]) -> Model:
-    """From labelled texts: the words that mark toxic ones, grades, and the regression."""
+    """From labelled texts in memory: what ``train`` does for tables."""
     toxic = np.array([t for _, t in rows], np.int64)
-    none = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-    if not len(toxic) or toxic.min() == toxic.max():
-        return none
+    if not len(toxic):
+        return _regress([], np.zeros(0, np.int64), np.zeros(0, np.uint64))
     hashes, counts, before = word_counts(pa.array([t for t, _ in rows], pa.string()))
     doc = np.repeat(np.arange(len(rows)), np.diff(before))
     words, index = np.unique(hashes, return_inverse=True)
-    held = np.bincount(index)
-    marked = np.bincount(index, weights=toxic[doc])
+    held, marked = np.bincount(index), np.bincount(index, weights=toxic[doc])
     rate = toxic.mean()
-    deviation = (marked - held * rate) / np.sqrt(held * rate * (1 - rate))
+    deviation = (marked - held * rate) / max(1e-9, (rate * (1 - rate)) ** 0.5) / np.sqrt(held)
     good = np.flatnonzero((held >= MIN_ROWS) & (deviation >= MIN_DEVIATIONS))
-    good = np.sort(good[np.argsort(-deviation[good], kind="stable")][:VOCABULARY])
-    if not len(good):
-        return none
-    place = np.full(len(words), -1)
-    place[good] = np.arange(len(good))
-    use = place[index] >= 0
-    x = np.zeros((len(rows), len(good)))
-    x[doc[use], place[index[use]]] = np.log1p(counts[use])
-    hits = np.bincount(doc[use], weights=counts[use], minlength=len(rows))
+    chosen = np.sort(words[good[np.argsort(-deviation[good], kind="stable")][:VOCABULARY]])
+    return _regress([_places(hashes[i:j], counts[i:j], chosen) for i, j in zip(before[:-1], before[1:], strict=True)], toxic, chosen)
+
+
+def _places(hashes: np.ndarray, counts: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one text's words those that were chosen: their places in the vocabulary and counts."""
+    if not len(chosen):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(chosen, hashes), len(chosen) - 1)
+    hit = chosen[at] == hashes
+    return at[hit], counts[hit]
+
+
+def _regress(features: list[tuple], toxic: np.ndarray, chosen: np.ndarray) -> Model:
+    if not len(chosen) or not len(toxic) or toxic.min() == toxic.max():
+        return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+    x, hits = np.zeros((len(features), len(chosen))), np.zeros(len(features), np.int64)
+    for i, (at, counts) in enumerate(features):
+        x[i, at] = np.log1p(counts)
+        hits[i] = np.sum(counts)
     grade = np.where(toxic > 0, 1 + sum((hits >= k).astype(np.int64) for k in GRADE_AT), 0)
     weights, thresholds = fit_ordinal(x, grade)
-    return Model(words[good], weights, thresholds)
+    return Model(chosen, weights, thresholds)
+
+
+def _sampled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each slice of sampled rows its words, in how many rows they are and in how many toxic ones."""
+    for batch in batches:
+        for part in V.slices(batch, "text"):
+            hashes, _, before = word_counts(part.column(0))
+            label = np.repeat(np.asarray(part.column(1)).astype(np.int64), np.diff(before))
+            words, index = np.unique(hashes, return_inverse=True)
+            sums = np.bincount(index, weights=label, minlength=len(words)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.bincount(index, minlength=len(words))), pa.array(sums)], ["word", "held", "marked"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # so many small rows are broadcast at most
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    return fit([(r["_text"], r["_label"]) for r in rows.select("_text", "_label").collect()])
+    """Words are counted and rows turned into features on the executors; the driver gets VOCABULARY words and ``sample`` small rows."""
+    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    sampled = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # so many small rows are broadcast at most
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sampled), "id")
+    n, marked = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).head()
+    if not 0 < marked < n:
+        return _regress([], np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    rate = marked / n
+    words = rows.select("text", "label").mapInArrow(_sampled_words, "word long, held long, marked long").groupBy("word").agg(F.sum("held").alias("held"), F.sum("marked").alias("marked"))
+    deviation = (F.col("marked") - F.col("held") * rate) / F.sqrt(F.col("held") * rate * (1 - rate))
+    words = words.withColumn("deviation", deviation).filter((F.col("held") >= MIN_ROWS) & (F.col("deviation") >= MIN_DEVIATIONS))
+    top = words.orderBy(F.desc("deviation"), "word").limit(VOCABULARY).select("word").collect()
+    chosen = np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in V.slices(batch, "text"):
+                hashes, counts, before = word_counts(part.column(1))
+                found = [_places(hashes[i:j], counts[i:j], chosen) for i, j in zip(before[:-1], before[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in (0, 1))], ["id", "label", "places", "counts"])
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    small = rows.select("id", "text", "label").mapInArrow(features, f"id {id_type}, label int, places array<long>, counts array<long>")
+    got = small.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    return _regress([(np.array(r["places"], np.int64), np.array(r["counts"], np.int64)) for r in got], np.array([r["label"] for r in got], np.int64), chosen)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
