@@ -6,6 +6,11 @@ pick the same. Windows in a row with one pick make a segment of at most
 segments are settled at once by their least document, and one copy of each
 distinct segment that shares its pick with another goes to that pick's bucket.
 
+A pick that more than HOT distinct segments share (it stands at the edge of a
+passage that very many documents have) is split: every window of its segments is
+dealt out by its own hash, one copy of each distinct window of a chunk, so what
+one key gathers is counted in chunks.
+
 There, the segments of a bucket form one text, and from its Burrows-Wheeler
 transform the intervals of all strings are expanded breadth first: an interval
 of a string of length l, extended backward by each of its symbols, closes a
@@ -24,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +47,8 @@ WINDOW, GRAM = 50, 25
 DEPTH = 56
 #: Bytes of one transform, unless the segments of a single pick are more.
 TEXT_BYTES = 1 << 20
+#: Distinct segments of one pick from which its windows are dealt out one by one.
+HOT = 1 << 13
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -60,11 +68,11 @@ class _View:
         self.chunk = chunk
         data, n = chunk.data, len(chunk.data)
         self.begin = self.end = self.row = np.zeros(0, np.int64)
-        self.pick = self.hash = np.zeros(0, np.uint64)
+        self.pick = self.hash = self.sums = np.zeros(0, np.uint64)
         self.ids = np.zeros(0, np.int64)
         if n < WINDOW:
             return
-        sums = V.prefix(V._BYTE[V._P1][data], V._P1)
+        self.sums = sums = V.prefix(V._BYTE[V._P1][data], V._P1)
         grams = V.rolling(sums, GRAM, V._P1)
         high = np.uint64(0xFFFFFFFF00000000)
         least = _least((grams & high) | np.arange(len(grams), dtype=np.uint64), WINDOW - GRAM + 1)
@@ -104,8 +112,8 @@ def _segments(bits: int):
     return features
 
 
-def _share(bodies: list[bytes]) -> list[bytes | None]:
-    """For each segment: does a smaller document have it; must its bytes be compared with others of its pick."""
+def _share(bodies: list[bytes], hot: int = HOT) -> list[bytes | None]:
+    """For each segment: does a smaller document have it; must its bytes be compared with others of its pick; is that pick hot."""
     keys, whole, ids = [], [], []
     for body in bodies:
         k, w, i, names = C.unpack(body)
@@ -124,43 +132,80 @@ def _share(bodies: list[bytes]) -> list[bytes | None]:
     group = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))  # one pick
     length = np.diff(np.append(group, len(key)))
     mixed = (np.minimum.reduceat(key, group) != np.maximum.reduceat(key, group)) & (np.minimum.reduceat(doc, group) != np.maximum.reduceat(doc, group))
+    distinct = np.add.reduceat(np.concatenate([[True], key[1:] != key[:-1]]).astype(np.int64), group)
     ask = np.repeat(mixed, length) & ~later
-    found = np.zeros((2, len(key)), bool)
-    found[0, order], found[1, order] = later, ask
+    found = np.zeros((3, len(key)), bool)
+    found[0, order], found[1, order], found[2, order] = later, ask, np.repeat(distinct > hot, length) & ask
     out, at = [], 0
     for n in sizes:
         own = found[:, at : at + n]
         at += n
-        out.append(C.pack(np.packbits(own[0]), np.packbits(own[1])) if own.any() else None)
+        out.append(C.pack(*(np.packbits(x) for x in own)) if own.any() else None)
     return out
 
 
-def _verdicts(v: _View, bits: int, answers: list) -> tuple[np.ndarray, np.ndarray]:
-    """Of the merged segments: which a smaller document has, which are compared."""
-    later, ask = np.zeros(len(v.pick), bool), np.zeros(len(v.pick), bool)
+def _verdicts(v: _View, bits: int, answers: list) -> np.ndarray:
+    """Of the merged segments: which a smaller document has, which are compared, which of these have a hot pick."""
+    found = np.zeros((3, len(v.pick)), bool)
     lo, hi = C.by_bucket(v.pick, bits)
     for a in answers:
         if a["phase"] == 1:
             b = a["bucket"]
-            one, two = C.unpack(a["body"])
-            later[lo[b] : hi[b]] = np.unpackbits(one, count=hi[b] - lo[b])
-            ask[lo[b] : hi[b]] = np.unpackbits(two, count=hi[b] - lo[b])
-    return later, ask
+            for to, part in zip(found, C.unpack(a["body"]), strict=True):
+                to[lo[b] : hi[b]] = np.unpackbits(part, count=hi[b] - lo[b])
+    return found
+
+
+class _Asked:
+    """What a chunk has compared, sorted by key: its segments of other picks, and the distinct windows of those of hot picks."""
+
+    def __init__(self, v: _View, ask: np.ndarray, hot: np.ndarray):
+        begin, end = v.begin[v.first], v.end[v.first]
+        self.rows = np.flatnonzero(ask & ~hot)
+        wide = np.flatnonzero(hot)
+        count = end[wide] - begin[wide] - WINDOW + 1
+        self.of, self.place = np.repeat(wide, count), gather(np.zeros(len(wide), np.int64), count)
+        at = begin[self.of] + self.place
+        windows = V.spans_hash(v.sums, at, at + WINDOW, V._P1) if len(at) else np.zeros(0, np.uint64)
+        order = np.lexsort((v.ids[self.of], windows))
+        new = np.ones(len(order), bool)
+        new[1:] = windows[order][1:] != windows[order][:-1]
+        one = order[new]
+        self.window = np.zeros(len(order), np.int64)
+        self.window[order] = np.cumsum(new) - 1
+        self.later = v.ids[self.of] > v.ids[self.of[one]][self.window]
+        pick = np.concatenate([v.pick[self.rows], windows[one]])
+        self.order = np.argsort(pick, kind="stable")
+        self.pick = pick[self.order]
+        self.ids = np.concatenate([v.ids[self.rows], v.ids[self.of[one]]])[self.order]
+        self.begin = np.concatenate([begin[self.rows], at[one]])[self.order]
+        self.end = np.concatenate([end[self.rows], at[one] + WINDOW])[self.order]
+
+    def masks(self, found: np.ndarray, segments: int) -> np.ndarray:
+        """From the bits found for what was compared, those of all the chunk's merged segments."""
+        own = np.zeros(len(found), np.uint32)
+        own[self.order] = found
+        out = np.zeros(segments, np.uint32)
+        out[self.rows] = own[: len(self.rows)]
+        hit = self.later | (own[len(self.rows) :][self.window] > 0)
+        np.bitwise_or.at(out, self.of[hit], np.uint32(1) << self.place[hit].astype(np.uint32))
+        return out
 
 
 def _contents(bits: int):
-    """To the bucket of each pick: the bytes of segments that must be compared."""
+    """To the bucket of each key: the bytes of segments and windows that must be compared."""
 
     def features(chunk: C.Chunk, answers: list) -> Iterator[tuple[int, bytes]]:
         if not answers:
             return
         v = _View(chunk)
-        rows = np.flatnonzero(_verdicts(v, bits, answers)[1])
-        begin, end = v.begin[v.first[rows]], v.end[v.first[rows]]
-        for b, (lo, hi) in enumerate(zip(*C.by_bucket(v.pick[rows], bits), strict=True)):
+        if not len(v.pick):
+            return
+        asked = _Asked(v, *_verdicts(v, bits, answers)[1:])
+        for b, (lo, hi) in enumerate(zip(*C.by_bucket(asked.pick, bits), strict=True)):
             if hi > lo:
-                size = end[lo:hi] - begin[lo:hi]
-                yield b, C.pack(v.pick[rows[lo:hi]], v.ids[rows[lo:hi]], size.astype(np.uint8)[:, None], chunk.data[gather(begin[lo:hi], size)])
+                size = asked.end[lo:hi] - asked.begin[lo:hi]
+                yield b, C.pack(asked.pick[lo:hi], asked.ids[lo:hi], size.astype(np.uint8)[:, None], chunk.data[gather(asked.begin[lo:hi], size)])
 
     return features
 
@@ -272,19 +317,17 @@ def _removed(chunk: C.Chunk, bits: int, answers: list) -> np.ndarray:
     v, n = _View(chunk), len(chunk.data)
     step = np.zeros(n + 1, np.int32)
     if len(v.pick):
-        later, ask = _verdicts(v, bits, answers)
+        later, ask, hot = _verdicts(v, bits, answers)
         whole = later[v.row] | (v.own > v.ids[v.row])
         np.add.at(step, v.begin[whole], 1)
         np.add.at(step, v.end[whole], -1)
-        rows = np.flatnonzero(ask)
-        mask = np.zeros(len(rows), np.uint32)
-        lo, hi = C.by_bucket(v.pick[rows], bits)
+        asked = _Asked(v, ask, hot)
+        mask = np.zeros(len(asked.pick), np.uint32)
+        lo, hi = C.by_bucket(asked.pick, bits)
         for a in answers:
             if a["phase"] == 2:
                 mask[lo[a["bucket"]] : hi[a["bucket"]]] = C.unpack(a["body"])[0]
-        of = np.full(len(v.pick), 0, np.uint32)
-        of[rows] = mask
-        own = of[v.row]
+        own = asked.masks(mask, len(v.pick))[v.row]
         own[whole] = 0
         for i in range(WINDOW - GRAM + 1):
             hit = v.begin[(own >> np.uint32(i)) & np.uint32(1) > 0] + i
@@ -293,17 +336,17 @@ def _removed(chunk: C.Chunk, bits: int, answers: list) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def _run(df: DataFrame, apply, schema: T.StructType, id_col: str, text_col: str) -> DataFrame:
+def _run(df: DataFrame, apply, schema: T.StructType, id_col: str, text_col: str, hot: int = HOT) -> DataFrame:
     chunks = C.make(df, text_col)
     count = C.buckets_for(chunks)
     bits = count.bit_length() - 1
-    first = settle(C.answer(C.send(chunks, _segments(bits), id_col, text_col), count, _share)).withColumn("phase", F.lit(1))
+    first = settle(C.answer(C.send(chunks, _segments(bits), id_col, text_col), count, partial(_share, hot=hot))).withColumn("phase", F.lit(1))
     second = C.answer(C.send(C.back(chunks, first), _contents(bits), id_col, text_col), count, _compare).withColumn("phase", F.lit(2))
     done = C.back(chunks, first.unionByName(second))
     return C.finish(done, lambda chunk, answers: apply(chunk, _removed(chunk, bits, answers)), schema, id_col, text_col)
 
 
-def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes)."""
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
 
@@ -320,7 +363,7 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         ids = chunk.batch.column(chunk.batch.schema.get_field_index(id_col))
         return pa.RecordBatch.from_arrays([ids, *(pa.array(x.astype(np.int64)) for x in (np.diff(chunk.offsets), per(gone), per(begins))), pa.array(shas)], schema.names)
 
-    return _run(df.select(id_col, text_col), rows, schema, id_col, text_col)
+    return _run(df.select(id_col, text_col), rows, schema, id_col, text_col, hot)
 
 
 def apply(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -98,6 +98,17 @@ def test_suffix(docs, copies, odd, none):
     assert suffix.apply(odd).count() == odd.count()
 
 
+def test_suffix_of_hot_picks(spark, docs):
+    """Many unlike documents share one passage; with a low limit its edges, and most other picks, are split."""
+    passage = "the passage that all of these documents share, word for word, and more of it"
+    rows = [(10**6 + i, f"{i * 7919 % 1000} {passage}{' tail' * (i % 3)} {i * 104729 % 997}") for i in range(600)]
+    hot = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    whole = hot.union(docs.select("doc_id", "text"))
+    want = brute.repeated_bytes(known(whole))
+    for limit in (0, 2, 50):
+        assert by_id(suffix.digest(whole, hot=limit)) == want
+
+
 def test_common_prefixes():
     text = np.frombuffer(b"mississippi$missouri$", np.uint8).astype(np.uint16)
     text = np.where(text == ord("$"), 0, text)
