@@ -84,7 +84,7 @@ class _View:
         doc = np.searchsorted(chunk.offsets, a, "right") - 1
         use = ok[a] & chunk.known[doc]
         a, b, doc = a[use], b[use], doc[use]
-        pick = grams[(least[a] & ~high).astype(np.int64)]
+        pick = V.mix(grams[(least[a] & ~high).astype(np.int64)])  # least hashes are small ones; mixed anew they fill all buckets alike
         whole = V.spans_hash(sums, a, b + WINDOW - 1, V._P1) ^ V.mix((b - a).astype(np.uint64))
         ids = chunk.ids[doc]
         order = np.lexsort((ids, whole, pick))
