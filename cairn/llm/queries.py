@@ -75,6 +75,22 @@ ORACLE: dict[str, str] = {
         t AS (SELECT d.doc_id, d.w, g.gone FROM d LEFT JOIN g ON d.doc_id = g.doc_id)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
                sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda v, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256 FROM t""",
+    "op8_suffix": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        o AS (SELECT doc_id, h, unnest(range(0, len(h) // 2, 1000)) AS o FROM d),
+        b AS (SELECT doc_id, o, substr(h, 2 * o + 1, 2098) AS p FROM o),
+        w AS (SELECT doc_id, o, p, unnest(range(0, len(p) // 2 - 49)) AS j FROM b),
+        s AS (SELECT doc_id, o + j AS i, md5(substr(p, 2 * j + 1, 100)) AS k FROM w),
+        f AS (SELECT k, min(doc_id) AS first FROM s GROUP BY k),
+        x AS (SELECT s.doc_id, s.i FROM s JOIN f ON s.k = f.k WHERE f.first < s.doc_id),
+        y AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS fresh FROM x),
+        z AS (SELECT doc_id, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM y),
+        r AS (SELECT doc_id, n, min(i) AS a, max(i) + 50 AS e FROM z GROUP BY doc_id, n),
+        g AS (SELECT doc_id, count(*) AS n_spans, sum(e - a) AS n_removed, list(a ORDER BY a) AS begins, list(e ORDER BY a) AS ends FROM r GROUP BY doc_id),
+        t AS (SELECT d.doc_id, d.h, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed,
+                     list_append(coalesce(begins, []), len(h) // 2) AS begins, list_prepend(0, coalesce(ends, [])) AS ends FROM d LEFT JOIN g ON d.doc_id = g.doc_id)
+        SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
+               sha256(unhex(array_to_string(list_transform(range(1, len(begins) + 1), lambda m: substr(h, 2 * ends[m] + 1, 2 * (begins[m] - ends[m]))), ''))) AS kept_sha256 FROM t""",
     "op4_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
