@@ -75,6 +75,29 @@ ORACLE: dict[str, str] = {
         t AS (SELECT d.doc_id, d.w, g.gone FROM d LEFT JOIN g ON d.doc_id = g.doc_id)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
                sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda v, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256 FROM t""",
+    "op10_quality": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS y FROM d),
+        v AS (SELECT doc_id, y, regexp_extract_all(y, '[^\x20\x09-\x0D]+') AS w FROM l),
+        m AS (
+            SELECT doc_id, y, len(w) AS n, len(list_distinct(w)) AS u, right(w[-1], 1) AS z, lower(y) AS low, length(regexp_replace(y, '[^#*$%&|<>]', '', 'g')) AS symbols,
+                   length(regexp_replace(y, '[^!]', '', 'g')) AS shouts, length(regexp_replace(y, '[^|]', '', 'g')) AS bars FROM v WHERE len(w) > 0
+        ), f AS (
+            SELECT doc_id, y, n, 2 * symbols > n OR 2 * shouts > n OR (bars >= 2 AND bars * 4 >= n) OR (n >= 10 AND 10 * u < 3 * n)
+                   OR (n < 4 AND NOT list_contains(['.', '!', '?', ':', ';', '"', chr(39), ')', ']', '…', '”', '’', '»', '。', '！', '？'], z))
+                   OR (n <= 25 AND len(list_filter(['all rights reserved', 'click here', 'cookie policy', 'enable javascript', 'lorem ipsum', 'privacy policy', 'sign up for our',
+                       'subscribe to our', 'terms of service', 'terms of use', 'use of cookies', 'use cookies'], lambda p: contains(low, p))) > 0) AS failed FROM m
+        ), g AS (SELECT doc_id, count(*) - count(DISTINCT y) AS dups, coalesce(sum(n) FILTER (failed), 0) AS lost FROM f GROUP BY doc_id),
+        i AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d),
+        t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM i),
+        r AS (SELECT doc_id, count(DISTINCT i + k.k) AS repeats FROM t, (SELECT unnest([0, 1, 2]) AS k) k WHERE c > 1 GROUP BY doc_id),
+        a AS (
+            SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda s: length(s))), 0) AS word_chars, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                   coalesce(dups, 0) AS n_dup_lines, coalesce(repeats, 0) AS n_repeat_words, coalesce(lost, 0) AS lost
+            FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN r ON d.doc_id = r.doc_id
+        ), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+               CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND 2 * lost <= n_words AS kept FROM b""",
     "op8_suffix": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
         o AS (SELECT doc_id, h, unnest(range(0, len(h) // 2, 1000)) AS o FROM d),
