@@ -1,17 +1,24 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Tokens of a page are its elements, told apart by their path of tags and classes.
-For each host, tokens that occur equally often on every page share their
-occurrence vector; vectors are compared by two sums of page hashes weighted by
-the counts, so they are added up map-side and never gathered. Classes that are
-on at least half of a host's pages make its template; they nest by their paths.
-Its slots whose text is the same wherever it occurs are template as well. What
-varies is data: the template names the path below which most of it stands.
-
-A page's main text is its article, or else its main element, its content
-element, the host's data path, or all of it; always without the elements that
-are menus, notices, adverts, forms, comments and the like by tag, role or class,
-and outside of an article also without the template's constant slots.
+Tokens of a page are its elements, told apart by their path of tags and classes
+and their place among like siblings (``slot``), and its texts, told apart by
+their words and the path below their parent's slot. For each host, tokens that
+occur equally often on every page share their occurrence vector; vectors are
+compared by two sums of page hashes weighted by the counts, so they are added up
+map-side and never gathered. Classes that are on at least half of a host's pages
+are read again: tokens that keep their rank within the class on every page stay,
+and of two classes whose tokens interleave on a page the rarer one goes. What
+stays nests and is the template. Slots whose text is the same wherever they
+occur, and texts that are on every page with their path, are template as well.
+What varies is data: the template names the path below which most of it stands.
+
+A page's main text is without the template's constant slots and texts, articles
+included. It is what stands in the article, or else the main element, the
+content element, unless the host's data path lies elsewhere; or else below the
+data path, or all of it. Which of the varying elements are menus, notices,
+adverts, forms, comments and the like the template cannot tell; these go by tag,
+role or class. An article with nothing but template (a host's copies of one
+page) is kept.
 
 Cases: null html is empty text; pages without url are one host; hosts with one
 page have no constant slots; repeated pages count again; broken or cut markup is
@@ -22,6 +29,7 @@ from __future__ import annotations
 
 import html as markup
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +46,8 @@ MIN_PAGES, SUPPORT = 3, 0.5
 MAIN_SHARE = 0.6
 #: Bytes of all templates up to which they are broadcast; beyond, pages are joined by host.
 BROADCAST_BYTES = 8 << 20
+#: What the tokens of the template begin with; paths without places have neither.
+SLOT, TEXT = "=", "~"
 #: Aggregated rows that a task holds before it passes them on.
 HELD_ROWS = 50_000
 
@@ -72,27 +82,34 @@ def _words(value: str) -> set[str]:
 
 
 class Block:
-    __slots__ = ("level", "path", "text")
+    __slots__ = ("level", "path", "slot", "text", "token")
 
-    def __init__(self, path: str, level: int, text: str):
-        self.path, self.level, self.text = path, level, text
+    def __init__(self, path: str, slot: str, like: str, level: int, text: str):
+        self.path, self.slot, self.level, self.text = path, slot, level, text
+        self.token = f"{like}\n{xxhash.xxh64_hexdigest(text)}"
 
 
-def blocks(page: str) -> tuple[list[Block], dict[str, int]]:
-    """The text blocks of a page outside of boilerplate, in order, and how often each path occurs.
+def blocks(page: str) -> tuple[list[Block], dict[str, int], list[str]]:
+    """The text blocks of a page outside of boilerplate, in order, how often each path occurs, and all slots and texts in order.
+
+    A slot is a path with the place of every element among siblings of its tag and classes, if not the first.
 
     level: 3 inside an article, 2 inside a main element, 1 inside a content element, 0 elsewhere.
     """
     found: list[Block] = []
     counts: dict[str, int] = {"": 1}
-    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # tag, path, boilerplate, level
+    seen: dict[str, int] = {}
+    order: list[str] = [SLOT]
+    stack: list[tuple[str, str, bool, int, str, str]] = [("", "", False, 0, "", "")]  # tag, path, boilerplate, level, slot, slot of the first like sibling
     pieces: list[str] = []
 
     def flush() -> None:
         text = " ".join(markup.unescape("".join(pieces)).split())
         pieces.clear()
         if text:
-            found.append(Block(stack[-1][1], stack[-1][3], text))
+            _, path, _, level, slot, like = stack[-1]
+            found.append(Block(path, slot, like, level, text))
+            order.append(TEXT + found[-1].token)
 
     def pop(to: int) -> None:
         if any(tag in BLOCK for tag, *_ in stack[to:]):
@@ -134,9 +151,13 @@ def blocks(page: str) -> tuple[list[Block], dict[str, int]]:
         attributes = _attributes(m[3])
         names = attributes.get("class", "") + " " + attributes.get("id", "")
         words = _words(names) if names != " " else set()
-        _, path, boiler, level = stack[-1]
-        path = f"{path}/{tag}" + (f".{'.'.join(sorted(words))}" if words else "")
+        _, path, boiler, level, slot, _ = stack[-1]
+        name = tag + (f".{'.'.join(sorted(words))}" if words else "")
+        path, like = f"{path}/{name}", f"{slot}/{name}"
         counts[path] = counts.get(path, 0) + 1
+        seen[like] = seen.get(like, 0) + 1
+        slot = like if seen[like] == 1 else f"{like}[{seen[like]}]"
+        order.append(SLOT + slot)
         role = attributes.get("role", "").lower()
         boiler = boiler or tag in BOILER_TAGS or tag in RAW or role in BOILER_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
         boiler = boiler or bool(words & BOILER_WORDS) and tag not in ("html", "body", "article", "main") or tag == "article" and bool(words & {"comment", "comments", "reply", "replies"})
@@ -153,11 +174,11 @@ def blocks(page: str) -> tuple[list[Block], dict[str, int]]:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        stack.append((tag, path, boiler, level))
+        stack.append((tag, path, boiler, level, slot, like))
     if at < size and not stack[-1][2]:
         pieces.append(page[at:])
     flush()
-    return found, counts
+    return found, counts, order
 
 
 def host(url: str = "url"):
@@ -168,7 +189,7 @@ _STATS = "host string, path string, pages long, total long, first_sum long, seco
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each host and path: pages, occurrences, the vector's two sums, characters, least and greatest hash of its texts."""
+    """For each host and path, slot or text: pages, occurrences, the vector's two sums, characters, least and greatest hash of its texts."""
     held: dict[tuple[str, str], list[int]] = {}
     names = [x.split()[0] for x in _STATS.split(", ")]
 
@@ -180,14 +201,16 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for where, page_id, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            parts, counts = blocks(page or "")
+            parts, counts, order = blocks(page or "")
+            counts |= Counter(order)
             seed = xxhash.xxh64_intdigest(str(page_id))
             texts: dict[str, list[int]] = {}
             for b in parts:
                 h = xxhash.xxh64_intdigest(b.text) >> 1
-                t = texts.setdefault(b.path, [0, h, h])
-                t[0] += len(b.text)
-                t[1], t[2] = min(t[1], h), max(t[2], h)
+                for key in (b.path, SLOT + b.slot):
+                    t = texts.setdefault(key, [0, h, h])
+                    t[0] += len(b.text)
+                    t[1], t[2] = min(t[1], h), max(t[2], h)
             for path, n in counts.items():
                 chars, low, high = texts.get(path, (0, (1 << 63) - 1, 0))
                 own = xxhash.xxh64_intdigest(n.to_bytes(8, "little"), seed=seed)
@@ -204,54 +227,117 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each host and token of its classes: the least and greatest rank within the class, and on how many pages the class interleaves with one on more pages."""
+    held: dict[tuple[str, str], list[int]] = {}
+
+    def out() -> pa.RecordBatch:
+        rows = [[*k, *v] for k, v in held.items()]
+        held.clear()
+        kinds = [pa.string(), pa.string(), *[pa.int64()] * 3]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["host", "path", "low", "high", "crossed"])
+
+    known: dict[str, tuple] = {}
+    for batch in batches:
+        for where, page, classes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if where not in known:
+                if len(known) > 256:
+                    known.clear()
+                known[where] = {t: i for i, c in enumerate(classes) for t in c["paths"]}, [c["pages"] for c in classes], [len(c["paths"]) for c in classes]
+            of, pages, sizes = known[where]
+            rank, stacks, on, crossed = [0] * len(pages), {SLOT: [], TEXT: []}, set(), set()  # slots and texts nest each among themselves
+            places: list[tuple[str, int, int]] = []
+            for token in dict.fromkeys(blocks(page or "")[2]):
+                i = of.get(token)
+                if i is None:
+                    continue
+                places.append((token, i, rank[i]))
+                rank[i] += 1
+                stack = stacks[token[0]]
+                if i in on:
+                    while stack[-1] != i:
+                        last = stack.pop()
+                        on.discard(last)
+                        if rank[last] < sizes[last]:
+                            crossed.add(min(i, last, key=lambda c: (pages[c], -c)))
+                else:
+                    stack.append(i)
+                    on.add(i)
+            for token, i, r in places:
+                v = held.setdefault((where, token), [r, r, 0])
+                v[0], v[1], v[2] = min(v[0], r), max(v[1], r), v[2] + (i in crossed)
+        if len(held) >= HELD_ROWS:
+            yield out()
+    if held:
+        yield out()
+
+
 def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, classes (array of (pages, total, paths): tokens with one occurrence vector), constant (paths whose text never varies), main (the data path)."""
+    """host, constant (slots whose text never varies), texts (texts that are wherever their path is), main (the data path)."""
     read = pages.select(host(url_col).alias("host"), F.col(id_col).cast("string"), html_col)
     sums = read.mapInArrow(_occurrences, _STATS).groupBy("host", "path")
     tokens = sums.agg(*(F.sum(c).alias(c) for c in ("pages", "total", "first_sum", "second_sum", "chars")), F.min("low").alias("low"), F.max("high").alias("high"))
     whole = F.max("pages").over(Window.partitionBy("host"))  # the empty path is on every page once
-    tokens = tokens.withColumn("host_pages", whole).filter(F.col("pages") >= SUPPORT * F.col("host_pages"))
+    tokens = tokens.withColumn("kind", F.when(F.startswith("path", F.lit(SLOT)), SLOT).when(F.startswith("path", F.lit(TEXT)), TEXT).otherwise(""))
+    tokens = tokens.withColumn("host_pages", whole).filter((F.col("pages") >= SUPPORT * F.col("host_pages")) & ((F.col("kind") == "") | (F.col("pages") >= MIN_PAGES)))
     fixed = (F.col("chars") > 0) & (F.col("low") == F.col("high")) & (F.col("pages") >= MIN_PAGES)
-    tokens = tokens.withColumn("fixed", fixed)
-    classes = tokens.groupBy("host", "host_pages", "first_sum", "second_sum").agg(
-        F.first("pages").alias("pages"), F.first("total").alias("total"), F.collect_list(F.struct("path", "fixed", "chars")).alias("tokens")
-    )
-    per_host = classes.groupBy("host").agg(F.collect_list(F.struct("pages", "total", "tokens")).alias("classes"))
-    every = F.flatten(F.transform("classes", lambda c: c["tokens"]))
+    tokens = settle(tokens.withColumn("fixed", fixed))
+
+    classes = tokens.filter("kind <> ''").groupBy("host", "kind", "pages", "total", "first_sum", "second_sum").agg(F.collect_list("path").alias("paths"))
+    per_host = settle(classes.groupBy("host").agg(F.collect_list(F.struct("pages", "paths")).alias("classes")))
+    ranks = _with(read.select("host", html_col), per_host, "inner").select("host", html_col, "classes").mapInArrow(_ranks, "host string, path string, low long, high long, crossed long")
+    valid = ranks.groupBy("host", "path").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.sum("crossed").alias("x")).filter("l = h and x = 0").select("host", "path")
+    held = tokens.join(valid, ["host", "path"], "left_semi")
+    slots = held.filter((F.col("kind") == SLOT) & F.col("fixed")).select("host", F.struct(F.lit(0).alias("k"), F.substring("path", 2, 1 << 30).alias("p")).alias("t"))
+    near = tokens.filter(F.col("kind") == SLOT).select("host", F.substring("path", 2, 1 << 30).alias("like"), F.col("pages").alias("like_pages"))
+    texts = held.filter(F.col("kind") == TEXT).withColumn("like", F.regexp_replace(F.substring("path", 2, 1 << 30), r"\n.*", "")).join(near, ["host", "like"])
+    texts = texts.filter("pages = like_pages").select("host", F.struct(F.lit(1).alias("k"), F.substring("path", 2, 1 << 30).alias("p")).alias("t"))
+    lists = slots.union(texts).groupBy("host").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    only = lambda k: F.transform(F.filter(F.coalesce("ts", F.array()), lambda t: t["k"] == k), lambda t: t["p"])
+
+    plain = tokens.filter("kind = ''").groupBy("host").agg(F.collect_list(F.struct("path", "fixed", "chars")).alias("every"))
+    every = F.col("every")
     varying = F.filter(every, lambda t: (t["chars"] > 0) & ~t["fixed"])
     volume = lambda ts: F.aggregate(ts, F.lit(0).cast("long"), lambda a, t: a + t["chars"])
     below = lambda p: F.filter(varying, lambda t: (t["path"] == p) | F.startswith(t["path"], F.concat(p, F.lit("/"))))
     large = F.filter(F.transform(every, lambda t: t["path"]), lambda p: volume(below(p)) > MAIN_SHARE * volume(varying))
     deepest = F.array_max(F.transform(large, lambda p: F.struct(F.char_length(p).alias("n"), p.alias("p"))))["p"]
-    return per_host.select("host", "classes", F.transform(F.filter(every, lambda t: t["fixed"]), lambda t: t["path"]).alias("constant"), deepest.alias("main"))
+    return plain.select("host", deepest.alias("main")).join(lists, "host", "left").select("host", only(0).alias("constant"), only(1).alias("texts"), "main")
+
+
+def _with(read: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    """Pages with what is known of their hosts."""
+    size = known.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).head()[0] or 0
+    return read.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", how)
 
 
-def main_text(page: str, constant: frozenset[str] | set[str] = frozenset(), main: str | None = None) -> str:
+def main_text(page: str, constant: frozenset[str] | set[str] = frozenset(), main: str | None = None, texts: frozenset[str] | set[str] = frozenset()) -> str:
     """The main text of one page, given its host's template."""
-    parts, _ = blocks(page)
-    top = max((b.level for b in parts), default=0)
+    every, _, _ = blocks(page)
+    parts = [b for b in every if b.slot not in constant and b.token not in texts]
+    inner = [b for b in parts if main and (b.path == main or b.path.startswith(main + "/"))]
+    top = max((b.level for b in every), default=0)
     if top == 0:
-        parts = [b for b in parts if b.path not in constant]
-        inner = [b for b in parts if main and (b.path == main or b.path.startswith(main + "/"))]
         parts = inner or parts
+    elif not inner or any(b.level == top for b in inner):
+        marked = [b for b in parts if b.level == top]
+        parts = marked if marked or top < 3 else [b for b in every if b.level == top]
     else:
-        parts = [b for b in parts if b.level == top and (top == 3 or b.path not in constant)]
+        parts = inner
     return "\n".join(b.text for b in parts)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text and n_chars of every page."""
     prepare(pages.sparkSession)
-    known = settle(templates(pages, id_col, url_col, html_col).select("host", "constant", "main"))
-    size = known.agg(F.sum(F.octet_length("host") + F.octet_length(F.to_json(F.struct("constant", "main"))))).head()[0] or 0
-    read = pages.select(id_col, url_col, html_col, host(url_col).alias("host"))
-    joined = read.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "host", "left")
+    known = settle(templates(pages, id_col, url_col, html_col))
+    joined = _with(pages.select(id_col, url_col, html_col, host(url_col).alias("host")), known, "left")
     schema = T.StructType([pages.schema[id_col], pages.schema[url_col], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, urls, pages_, constant, main = batch.columns
-            texts = [main_text(p or "", set(c or ()), m) for p, c, m in zip(pages_.to_pylist(), constant.to_pylist(), main.to_pylist(), strict=True)]
+            ids, urls, *given = batch.columns
+            texts = [main_text(p or "", set(c or ()), m, set(t or ())) for p, c, t, m in zip(*(g.to_pylist() for g in given), strict=True)]
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
-    return joined.select(id_col, url_col, html_col, "constant", "main").mapInArrow(run, schema)
+    return joined.select(id_col, url_col, html_col, "constant", "texts", "main").mapInArrow(run, schema)

@@ -249,6 +249,34 @@ def test_html(spark, sf):
     assert html.extract(spark.read.parquet(f"{sf}/pages.parquet")).filter("n_chars = 0").count() == 0
 
 
+def _extracted(spark, pages):
+    df = spark.createDataFrame([(i, f"http://s.org/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+
+
+def test_html_template_in_articles(spark):
+    article = "<body><article><h1>title {0}</h1><p>Read this site daily.</p><p>text {0}</p>{1}<p>Written at the desk.</p></article></body>"
+    got = _extracted(spark, [article.format(i, f"<p>more {i}</p>" * (i % 3)) for i in range(5)])
+    assert got == {i: "\n".join([f"title {i}", f"text {i}", *[f"more {i}"] * (i % 3)]) for i in range(5)}
+    assert set(_extracted(spark, ["<article><p>all the same</p></article>"] * 4).values()) == {"all the same"}
+
+
+def test_html_template_tells_siblings_apart(spark):
+    assert _extracted(spark, [f"<div><div>Welcome to S</div><div>text {i}</div></div>" for i in range(5)]) == {i: f"text {i}" for i in range(5)}
+
+
+def test_html_template_is_ordered(spark):
+    side = ["<div class=a>one</div>", "<div class=b>two</div>"]
+    pages = [f"<section><i>x</i>{''.join(side[:: -1 if i % 2 else 1])}<p>text {i}</p></section>" for i in range(4)]
+    df = spark.createDataFrame([(i, "http://s.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    assert not {"/section/div.a", "/section/div.b"} & set(html.templates(df).head()["constant"])
+
+
+def test_html_data_path_beside_an_article(spark):
+    page = "<body><article>teaser {0}</article><section><p>" + "long text {0} " * 20 + "</p></section></body>"
+    assert all(t.startswith("long text") for t in _extracted(spark, [page.format(i) for i in range(4)]).values())
+
+
 def test_quality(docs, odd, none):
     for df in (docs, odd):
         texts = dict(known(df))
