@@ -91,11 +91,14 @@ def expiry(created: Column | str, seconds: int = 300) -> Column:
     return X.col(created) + F.make_interval(secs=F.lit(float(seconds)))
 
 
-def candidates(new: DataFrame, existing: DataFrame, k: int = 5, least: float = 0.45) -> DataFrame:
-    """Pairs of each new memory with its nearest stored ones that are similar and live."""
+def candidates(new: DataFrame, existing: DataFrame, k: int = 5, least: float = 0.45, own: str | None = None) -> DataFrame:
+    """Pairs of each new memory with its nearest stored ones that are similar and live; not with the stored one whose id is in its column ``own``."""
     from cairn.operators.search import nearest
 
-    near = nearest(new.select(F.col("id").alias("query_id"), "embedding"), existing.filter("in_index").select("id", "embedding"), k)
+    near = nearest(new.select(F.col("id").alias("query_id"), "embedding"), existing.filter("in_index").select("id", "embedding"), k + (own is not None))
+    if own is not None:
+        others = near.join(new.select(F.col("id").alias("query_id"), F.col(own).alias("_own")), "query_id").filter(~F.col("id").eqNullSafe(F.col("_own"))).drop("_own")
+        near = others.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("rank") <= k)
     near = near.filter(F.col("sim") >= least)
     as_struct = lambda df, name: df.select(F.col("id").alias(f"{name}_key"), F.struct(*[c for c in df.columns if c != "embedding"]).alias(name))
     live = existing.filter(F.col("state").isin("active", "disputed"))
