@@ -231,6 +231,11 @@ def queries_of(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(X.words("text"), 1, 8), " ").alias("query"))
 
 
+def passages_of(spark, d) -> DataFrame:
+    """Each benchmark passage, whole, as a query."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
 @query(f"SELECT query_id, array_to_string(list_transform(list_filter(list_transform({_WORDS.format('query')}, lambda w: replace(w, '\"', '')), lambda w: w <> ''), lambda w: '\"' || w || '\"'), ' OR ') AS match FROM ({_QUERIES_SQL})")
 def fts_escape(spark, d):
     return queries_of(spark, d).select("query_id", S.escape_query("query").alias("match"))
@@ -307,12 +312,12 @@ def _memories(spark, d) -> DataFrame:
 
 @query()
 def recall_static(spark, d):
-    return R.recall(queries_of(spark, d), _memories(spark, d), AS_OF)
+    return R.recall(passages_of(spark, d), _memories(spark, d), AS_OF)
 
 
 @query()
 def recall_dynamic(spark, d):
-    return R.recall(queries_of(spark, d), _memories(spark, d), AS_OF, dynamic=True, max_tokens=300)
+    return R.recall(passages_of(spark, d), _memories(spark, d), AS_OF, dynamic=True, max_tokens=300)
 
 
 @query()
