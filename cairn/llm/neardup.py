@@ -1,18 +1,19 @@
-"""Near-duplicate classes by ProbMinHash over weighted word shingles.
+"""Near-duplicate classes by ProbMinHash over sets of word shingles.
 
-A document is its shingles of WORDS words, each with weight 1 + ln(count). Every
-shingle is a Poisson process of that rate, whose arrivals go to random ones of
-REGISTERS registers; a register keeps the earliest. A process ends once its next
-arrival is later than the latest register. Two documents agree in a register
-with their probability Jaccard similarity. Bands of ROWS registers give
-candidates; these are verified by the Jaccard similarity of the shingle sets.
+A document is the set of its shingles of WORDS words, all of one weight, as links
+are judged by the Jaccard similarity of these sets. Every shingle is a Poisson
+process, whose arrivals go to random ones of REGISTERS registers; a register
+keeps the earliest. A process ends once its next arrival is later than the
+latest register. So two documents agree in a register with their set Jaccard
+similarity. Bands of ROWS registers give candidates, which are verified.
 
-Documents with the same shingles are merged first. In each bucket every member
-is compared with one pivot; verified links give components. In buckets that still
+Documents with the same set are merged first. In each bucket every member is
+compared with one pivot; verified links give components. In buckets that still
 hold several components, each member outside the largest one is compared with
-all members of other components, in blocks of bounded size, the verified ones
-alone being emitted. So no link that shares a bucket is lost; at a similarity of
-0.8 two documents share none with a probability of (1 - 0.8^4)^32 = 5e-8.
+all members of other components, in blocks of bounded size, by the exact number
+of common shingles, the verified ones alone being emitted. So no link that shares
+a bucket is lost; at a similarity of 0.8 two documents share none with a
+probability of (1 - 0.8^4)^32 = 5e-8.
 
 Cases: a text of fewer than WORDS words is one shingle; a null or empty text is
 in a class by itself; so are documents with null id; rows that share an id are
@@ -40,8 +41,6 @@ REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 #: Members outside the largest component that one task compares with a bucket.
 BLOCK = 1024
-#: Pairs with fewer equal registers are not verified when a bucket is searched in full: 5 deviations below SIMILARITY.
-LEAST_EQUAL = int(REGISTERS * (SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5))
 _FINE = np.uint64((1 << 48) - 1)
 
 
@@ -67,7 +66,7 @@ def shingles(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, n
 
 
 def signatures(hashes: np.ndarray, counts: np.ndarray, before: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
-    """For each text the 32-bit names of the shingles that arrive first at its registers; 0 for texts without shingles."""
+    """For each text, with weights 1 + ln(count), the 32-bit names of the shingles that arrive first at its registers; 0 for texts without shingles."""
     n = len(before) - 1
     doc = np.repeat(np.arange(n), np.diff(before))
     rate = 1.0 + np.log(counts)
@@ -109,12 +108,12 @@ def band_keys(sigs: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, two fingerprints of the shingles and counts (null without words), and the band keys."""
+    """doc, two fingerprints of the shingle set (null without words), and the band keys."""
     for batch in batches:
         for part in V.slices(batch, "text"):
             hashes, counts, before = shingles(part.column(1))
-            keys = band_keys(signatures(hashes, counts, before))
-            both = V.mix(hashes * np.uint64(V._P1) + counts.astype(np.uint64))
+            keys = band_keys(signatures(hashes, np.ones_like(counts), before))
+            both = V.mix(hashes * np.uint64(V._P1))
             prints = [V.spans_hash(V.prefix(both, p), before[:-1], before[1:], p).view(np.int64) for p in (V._P1, V._P2)]
             empty = np.diff(before) == 0
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
@@ -122,13 +121,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, its packed shingle hashes, its signature."""
+    """doc, its packed shingle hashes."""
     for batch in batches:
         for part in V.slices(batch, "text"):
-            hashes, counts, before = shingles(part.column(1))
-            sigs = signatures(hashes, counts, before)
+            hashes, _, before = shingles(part.column(1))
             packed = [pack(hashes[a:b]) for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary()), pa.array([s.tobytes() for s in sigs], pa.binary())], ["doc", "shingles", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["doc", "shingles"])
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -149,31 +147,46 @@ def _verify(least: float):
     return run
 
 
+class _Index:
+    """The sets of one block, by shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        self.hashes, self.owner = every[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def jaccard(self, x: np.ndarray) -> np.ndarray:
+        """Of each set with a sorted array of distinct hashes."""
+        first = np.searchsorted(self.hashes, x, "left")
+        n = np.searchsorted(self.hashes, x, "right") - first
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        same = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return same / (self.sizes + len(x) - same)
+
+
 def _search(least: float):
     """Reads the rows of each (key, block): first the block's own documents, then the bucket's members one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own, matrix, linked = None, [], None, set()
+        at, own, index, linked = None, [], None, set()
         for batch in batches:
             found = []
-            for key, block, asks, doc, comp, packed, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, block, asks, doc, comp, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, block) != at:
-                    at, own, matrix, linked = (key, block), [], None, set()
-                row = (doc, comp, unpack(packed)[0], np.frombuffer(sig, np.uint32))
+                    at, own, index, linked = (key, block), [], None, set()
+                row = (doc, comp, unpack(packed)[0])
                 if asks == 0:
                     own.append(row)
                     continue
                 if not own:
                     continue
-                if matrix is None:
-                    matrix = np.stack([r[3] for r in own])
-                equal = matrix == row[3]
-                for i in np.flatnonzero(equal.sum(1) >= LEAST_EQUAL).tolist():
+                if index is None:
+                    index = _Index([r[2] for r in own])
+                for i in np.flatnonzero(index.jaccard(row[2]) >= least).tolist():
                     other = own[i]
                     pair = (min(comp, other[1]), max(comp, other[1]))
-                    if pair[0] == pair[1] or pair in linked:
-                        continue
-                    if jaccard(row[2], other[2]) >= least:
+                    if pair[0] != pair[1] and pair not in linked:
                         linked.add(pair)
                         found.append((min(doc, other[0]), max(doc, other[0])))
             if found:
@@ -188,7 +201,7 @@ def links(docs: DataFrame, reps: DataFrame, least: float = SIMILARITY) -> DataFr
     buckets = bands.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("pivot"), F.count("*").alias("n")).filter("n > 1")
     shared = settle(bands.join(buckets.drop("n"), "key"))
     needed = shared.select(F.col("rep").alias("doc")).distinct()
-    sets = settle(docs.join(needed.hint("shuffle_hash"), "doc", "left_semi").select("doc", "text").mapInArrow(_sets, "doc long, shingles binary, sig binary"))
+    sets = settle(docs.join(needed.hint("shuffle_hash"), "doc", "left_semi").select("doc", "text").mapInArrow(_sets, "doc long, shingles binary"))
     side = lambda name, to: sets.select(F.col("doc").alias(name), F.col("shingles").alias(to))
     pairs = shared.filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     tested = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
@@ -201,7 +214,7 @@ def links(docs: DataFrame, reps: DataFrame, least: float = SIMILARITY) -> DataFr
     rows = members.join(open_, "key").withColumn("blocks", F.ceil(F.col("outside") / BLOCK).cast("int"))
     own = rows.filter("comp <> main").select("key", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(0).alias("asks"), "rep", "comp")
     every = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "rep", "comp")
-    loaded = own.union(every).join(sets, F.col("rep") == F.col("doc")).select("key", "block", "asks", "rep", "comp", "shingles", "sig")
+    loaded = own.union(every).join(sets, F.col("rep") == F.col("doc")).select("key", "block", "asks", "rep", "comp", "shingles")
     dealt = loaded.repartition("key", "block").sortWithinPartitions("key", "block", "asks")
     return first.union(settle(dealt.mapInArrow(_search(least), "a long, b long")))
 

@@ -223,6 +223,31 @@ def test_signatures_estimate():
     assert not sigs[2].any()
 
 
+def test_neardup_ignores_counts(spark):
+    """Each pair has a set similarity over 0.8, and its probability similarity is far below."""
+    rows = []
+    for k in range(60):
+        words = [f"w{k}x{i}" for i in range(950)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:800] + words[:400] * 99))]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(120)}
+
+
+def test_neardup_full_search_is_exact():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(50)]
+    index = neardup._Index(sets)
+    assert all(index.jaccard(x).tolist() == [neardup.jaccard(x, y) for y in sets] for x in sets)
+
+
+def test_neardup_equal_sets_with_other_counts_are_merged():
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words * n) for n in (2, 41)]
+    sketch = neardup._sketch(iter([pa.RecordBatch.from_pydict({"doc": [2, 3], "text": texts})]))
+    (batch,) = list(sketch)
+    assert len(set(batch.column(1).to_pylist())) == 1
+
+
 def test_components(spark):
     prepare(spark)
     chain = [(i, i + 1) for i in range(20)] + [(100, 101), (102, 101), (7, 7)]
