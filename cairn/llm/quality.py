@@ -6,8 +6,8 @@ that, two base rules on whole documents reject short and repetitive texts.
 
 Cases: null text has no words, so it fails the base rules; so does an empty
 text. Very long texts are judged whole, one at a time. Repeated rows are judged
-alike. An empty table gives an empty table. Columns that the operator adds
-replace columns of the same name.
+alike. An empty table gives an empty table. Columns that ``apply`` adds replace
+columns of the same name; ``passed`` adds none.
 """
 
 from __future__ import annotations
@@ -105,8 +105,9 @@ def judge(texts: pa.Array) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.
     n_repeat = np.diff(covered[first])
 
     last = np.where(full, ends[np.maximum(w1, 1) - 1] if m else 0, 1) - 1
-    byte = data[last] if len(data) else np.zeros(len(last), np.uint8)
-    wide = (data[np.maximum(last - 2, 0)].astype(np.int64) << 16) + (data[np.maximum(last - 1, 0)].astype(np.int64) << 8) + byte if len(data) else byte
+    at = lambda back: data[np.maximum(last - back, 0)].astype(np.int64) if len(data) else np.zeros(len(last), np.int64)
+    byte = at(0)
+    wide = (at(2) << 16) + (at(1) << 8) + byte
     closed = (_CLOSE[byte] > 0) | np.isin(wide, _CLOSE_WIDE) | np.isin(wide & 0xFFFF, _CLOSE_WIDE)
     line_of_word = np.repeat(np.arange(len(count)), count)
     distinct = count - np.bincount(line_of_word[_repeated(words + V.mix(line_of_word.astype(np.uint64)))[1]], minlength=len(count)) if m else count
@@ -161,3 +162,18 @@ def apply(df: DataFrame, text_col: str = "text", clean: bool = False) -> DataFra
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(found[f.name]) for f in FIELDS)], [*part.schema.names, *(f.name for f in FIELDS)])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *FIELDS]))
+
+
+def passed(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows that are kept, all columns as they are, but for the text, which loses its failing lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for part in V.slices(batch, text_col):
+                found, lines = judge(part.column(at))
+                columns = list(part.columns)
+                columns[at] = pa.array(_cleaned(part.column(at), lines, found["n_lost_words"]), pa.string())
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names).filter(pa.array(found["kept"]))
+
+    return df.mapInArrow(run, df.schema)
