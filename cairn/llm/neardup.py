@@ -16,10 +16,11 @@ a bucket is lost; at a similarity of 0.8 two documents share none with a
 probability of (1 - 0.8^4)^32 = 5e-8.
 
 Cases: a text of fewer than WORDS words is one shingle; a null or empty text is
-in a class by itself; so are documents with null id; rows that share an id are
-one document each in the count of rows but share their class; repeated rows with
-different ids are one class; an empty table gives no rows. Other columns are
-ignored by ``classes`` and kept by ``apply``.
+in a class by itself; so are documents with null id; ids are whole numbers, others
+are an error; rows that share an id are judged each by its text, and class ids may
+then name several texts; repeated rows are one class, of which ``apply`` keeps one
+row; an empty table gives no rows. Other columns are ignored by ``classes`` and
+kept by ``apply``.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def band_keys(sigs: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, two fingerprints of the shingle set (null without words), and the band keys."""
+    """doc, hash of the text, two fingerprints of the shingle set (null without words), and the band keys."""
     for batch in batches:
         for part in V.slices(batch, "text"):
             hashes, counts, before = shingles(part.column(1))
@@ -117,7 +118,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prints = [V.spans_hash(V.prefix(both, p), before[:-1], before[1:], p).view(np.int64) for p in (V._P1, V._P2)]
             empty = np.diff(before) == 0
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(p, mask=empty) for p in prints), bands], ["doc", "f1", "f2", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(p, mask=empty) for p in prints), bands], ["doc", "h", "f1", "f2", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,21 +220,35 @@ def links(docs: DataFrame, reps: DataFrame, least: float = SIMILARITY) -> DataFr
     return first.union(settle(dealt.mapInArrow(_search(least), "a long, b long")))
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """id and class_id, the least id of the documents that are connected with it, for every row."""
+def _classified(df: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
+    """doc, h (hash of the text), f1 (null without words) and class_id of every row."""
     prepare(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    sketch = settle(docs.mapInArrow(_sketch, "doc long, f1 long, f2 long, bands array<long>"))
+    sketch = docs.select("doc", "text", F.xxhash64("text").alias("h")).mapInArrow(_sketch, "doc long, h long, f1 long, f2 long, bands array<long>")
+    sketch = settle(sketch)
     usable = sketch.filter("f1 is not null and doc is not null")
     reps = usable.groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands"))
     found = links(docs.filter("doc is not null"), reps, least)
     known = components(found)
     of = reps.select("f1", "f2", "rep").join(known, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("comp", "rep").alias("class_id"))
-    rows = sketch.select("doc", "f1", "f2").join(of, ["f1", "f2"], "left")
-    return rows.select(F.col("doc").alias(id_col), F.coalesce("class_id", "doc").alias("class_id"))
+    rows = sketch.select("doc", "h", "f1", "f2").join(of, ["f1", "f2"], "left")
+    return rows.select("doc", "h", "f1", F.coalesce("class_id", "doc").alias("class_id"))
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """id and class_id, the least id of the documents that are connected with it, for every row."""
+    return _classified(df, id_col, text_col, least).select(F.col("doc").alias(id_col), "class_id")
 
 
 def apply(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """The table with one document of each class, that of the least id."""
-    gone = classes(df, id_col, text_col, least).filter(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """The table with one row of each class, that of the least id, and of rows with that id that of the least hash of its text."""
+    found = _classified(df, id_col, text_col, least).filter("doc is not null and f1 is not null")
+    texts = settle(found.groupBy("class_id", "doc", "h").agg(F.count("*").alias("n")))
+    stays = texts.groupBy("class_id").agg(F.min(F.struct("doc", "h")).alias("stays"))
+    judged = texts.join(stays, "class_id").select("doc", "h", "n", (F.col("stays") == F.struct("doc", "h")).alias("stay"))
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("h"))
+    left = rows.join(judged.filter("not stay").select("doc", "h").hint("shuffle_hash"), ["doc", "h"], "left_anti")
+    again = judged.filter("stay and n > 1").select("doc", "h")
+    if not again.isEmpty():  # rows that agree in id and text
+        left = left.join(again, ["doc", "h"], "left_anti").union(left.join(again, ["doc", "h"], "left_semi").dropDuplicates(["doc", "h"]))
+    return left.select("row.*")
