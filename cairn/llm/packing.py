@@ -1,11 +1,13 @@
 """Best-fit packing of token sequences by fitted patterns.
 
 A pattern is a handful of lengths that fill one sequence. All patterns of at
-most ``DEPTH`` length classes are enumerated; non-negative least squares fits
-how often each is used to the histogram of lengths; the counts are rounded down
-and what is left is packed best-fit, longest first, also into the slack of the
-patterns. All of that works on the histogram, whose size is that of a sequence
-and not of the table. Documents then get their places by length and rank.
+most ``DEPTH`` length classes are enumerated, so each class is in very many of
+them; non-negative least squares fits how often each is used to the histogram of
+lengths; the counts are rounded down and each pattern's lengths are chosen to
+leave as little as can be. What is left over, and documents too short for a
+pattern, are packed best-fit, longest first, also into the slack of the patterns.
+All of that works on the histogram, whose size is that of a sequence and not of
+the table. Documents then get their places by length and rank.
 
 Cases: null and empty texts are one piece of the closing id alone; texts longer
 than a sequence are cut into full pieces and a rest; repeated rows are packed
@@ -31,9 +33,11 @@ from cairn.llm.bpe import gather
 
 LENGTH = 2048
 #: Width of the length classes of the fit, and documents of one pattern.
-WIDTH, DEPTH = 4, 2
-#: Parts of each length in which ranks are counted; LENGTH * PARTS rows at most are broadcast.
-PARTS = 128
+WIDTH, DEPTH = 16, 4
+#: Documents of at most this share of a sequence are no part of patterns but fill what these leave.
+SHORT = 1 / 8
+#: Tokens that a pattern may leave free; else its documents are packed one by one.
+SLACK = 16
 #: Words whose ids a worker remembers between slices.
 CACHE_WORDS = 1 << 20
 
@@ -165,56 +169,85 @@ def pieces(df: DataFrame, path: str, length: int = LENGTH, id_col: str = "doc_id
 
 
 def enumerate_patterns(classes: int, depth: int) -> np.ndarray:
-    """Counts of each class (1 to ``classes``) in every pattern of at most ``depth`` parts that add up to ``classes``."""
-    found: list[list[int]] = []
-
-    def grow(parts: list[int], rest: int, most: int) -> None:
-        if not rest:
-            found.append(parts)
-        elif len(parts) < depth:
-            for part in range(min(rest, most), 0, -1):
-                if part * (depth - len(parts)) < rest:
-                    break
-                grow([*parts, part], rest - part, part)
-
-    grow([], classes, classes)
-    out = np.zeros((classes, len(found)))
-    for i, parts in enumerate(found):
-        for part in parts:
-            out[part - 1, i] += 1
-    return out
-
-
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """x >= 0 that minimises |ax - b|: an active set grows by its steepest column and shrinks where x would turn negative."""
-    x = np.zeros(a.shape[1])
-    active = np.zeros(a.shape[1], bool)
-    limit = 1e-9 * max(1.0, float(np.abs(b).max(initial=0)))
-    gram, target = a.T @ a, a.T @ b
+    """Every way to add up to ``classes`` by at most ``depth`` classes: a row each, largest first, 0 for none."""
+    found = []
+    heads, rest, most = np.zeros((1, 0), np.int64), np.array([classes]), np.array([classes])
+    for k in range(depth):
+        high = np.minimum(rest, most)
+        count = np.maximum(high - -(-rest // (depth - k)) + 1, 0)
+        row = np.repeat(np.arange(len(rest)), count)
+        most = high[row] - gather(np.zeros(len(count), np.int64), count)
+        heads, rest = np.hstack([heads[row], most[:, None]]), rest[row] - most
+        full = rest == 0
+        found.append(np.pad(heads[full], ((0, 0), (0, depth - k - 1))))
+        heads, rest, most = heads[~full], rest[~full], most[~full]
+    return np.concatenate(found)
+
+
+def nnls(patterns: np.ndarray, target: np.ndarray, rounds: int = 2000) -> np.ndarray:
+    """How often each pattern is used, at least 0 times, so that the classes come as near to the target as can be.
+
+    An active set grows by the pattern whose classes lack most, and shrinks where a count would turn negative.
+    """
+    scale = max(1.0, float(target.max(initial=0)))
+    goal = target / scale
+    on: list[int] = []
+    columns, x = np.zeros((len(goal), 0)), np.zeros(0)
     for _ in range(rounds):
-        slope = target - gram @ x
-        slope[active] = -np.inf
+        slope = np.append(0.0, goal - columns @ x)[patterns].sum(1)
+        slope[on] = -np.inf
         j = int(np.argmax(slope))
-        if slope[j] <= limit:
+        if slope[j] <= 1e-7:
             break
-        active[j] = True
+        on.append(j)
+        columns, x = np.hstack([columns, np.bincount(patterns[j], minlength=len(goal) + 1)[1:, None]]), np.append(x, 0.0)
         while True:
-            on = np.flatnonzero(active)
-            z = np.linalg.lstsq(gram[np.ix_(on, on)], target[on], rcond=None)[0]
-            bad = z <= 1e-12
+            gram, wanted = columns.T @ columns, columns.T @ goal
+            try:
+                z = np.linalg.solve(gram, wanted)
+            except np.linalg.LinAlgError:
+                z = np.linalg.lstsq(columns, goal, rcond=None)[0]
+            bad = z <= 1e-9
             if not bad.any():
-                x[:] = 0
-                x[on] = z
+                x = z
                 break
-            old = x[on]
-            step = np.min(old[bad] / np.maximum(old[bad] - z[bad], 1e-300))
-            x[on] = old + step * (z - old)
-            active[on[(x[on] <= 1e-10) & bad]] = False
-            x[~active] = 0
-    return x
+            x = x + np.min(x[bad] / np.maximum(x[bad] - z[bad], 1e-300)) * (z - x)
+            keep = ~bad | (x > 1e-9)
+            if keep.all():
+                keep[np.argmin(np.where(bad, x, np.inf))] = False
+            on = [i for i, k in zip(on, keep.tolist(), strict=True) if k]
+            columns, x = columns[:, keep], np.maximum(x[keep], 0)
+    out = np.zeros(len(patterns))
+    out[on] = x * scale
+    return out
 
 
-def plan(histogram: dict[int, int], length: int = LENGTH, width: int = WIDTH, depth: int = DEPTH) -> list[tuple[tuple[int, ...], int]]:
+def _choose(parts: list[int], left: np.ndarray, width: int) -> tuple[int, ...]:
+    """Lengths that are left for the classes of a pattern, the last two so that they leave the least; empty if there are none that leave SLACK at most."""
+    taken: list[int] = []
+    space = len(left) - 1
+
+    def first(part: int, most: int, *more: int) -> int:
+        return next((n for n in range(min(most, space), (part - 1) * width, -1) if left[n] > taken.count(n) + more.count(n)), 0)
+
+    for part in parts[:-2]:
+        taken.append(first(part, part * width))
+        if not taken[-1]:
+            return ()
+        space -= taken[-1]
+    if len(parts) == 1:
+        n = first(parts[0], space)
+        return (n,) if n else ()
+    best: tuple[int, ...] = ()
+    for n in range(min(parts[-2] * width, space - 1), (parts[-2] - 1) * width, -1):
+        if left[n] > taken.count(n) and (last := first(parts[-1], space - n, n)) and n + last > sum(best):
+            best = (n, last)
+            if n + last == space:
+                break
+    return (*taken, *best) if best and space - sum(best) <= SLACK else ()
+
+
+def plan(histogram: dict[int, int], length: int = LENGTH, width: int = WIDTH, depth: int = DEPTH, fit=nnls) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths and how often each is used, covering the histogram exactly."""
     left = np.zeros(length + 1, np.int64)
     for n, count in histogram.items():
@@ -227,28 +260,23 @@ def plan(histogram: dict[int, int], length: int = LENGTH, width: int = WIDTH, de
         space = length - sum(pattern)
         (open_.setdefault(space, []) if space else done).append((pattern, count))
 
+    short = int(length * SHORT)
+    fillers = left[: short + 1].copy()
+    left[: short + 1] = 0
     classes = -(-length // width)
-    of = -(-np.arange(length + 1) // width)
-    target = np.bincount(of, weights=left, minlength=classes + 1)[1:]
-    matrix = enumerate_patterns(classes, depth)
-    for j, times in enumerate(np.floor(nnls(matrix, target) + 1e-6).astype(int).tolist() if target.any() else []):
-        parts = np.repeat(np.arange(1, classes + 1), matrix[:, j].astype(int))[::-1].tolist()
-        while times > 0:
-            pattern, room = [], left.copy()
-            for k, part in enumerate(parts):
-                low = (part - 1) * width + 1
-                some = np.flatnonzero(room[low : min(part * width, length) + 1])
-                if not len(some):
-                    break
-                pattern.append(low + int(some[-1] if k % 2 == 0 else some[0]))  # long with short: less variance of the sum
-                room[pattern[-1]] -= 1
-            if len(pattern) < len(parts):
-                break
-            need = np.bincount(pattern, minlength=length + 1)
-            used = min(times, int((left[pattern] // need[pattern]).min()))
-            left -= need * used
-            times -= used
-            keep(tuple(pattern), used)
+    target = np.bincount(-(-np.arange(length + 1) // width), weights=left, minlength=classes + 1)[1:]
+    patterns = enumerate_patterns(classes, depth)
+    times = np.floor(fit(patterns, target) + 1e-6).astype(np.int64) if target.any() else np.zeros(len(patterns), np.int64)
+    for j in np.flatnonzero(times).tolist():
+        parts, open_times = patterns[j][patterns[j] > 0].tolist(), int(times[j])
+        while open_times and (pattern := _choose(parts, left, width)):
+            need = {n: pattern.count(n) for n in pattern}
+            used = min(open_times, min(int(left[n]) // m for n, m in need.items()))
+            for n, m in need.items():
+                left[n] -= m * used
+            open_times -= used
+            keep(pattern, used)
+    left[: short + 1] += fillers
     for n in range(length - 1, 0, -1):
         while left[n]:
             space = min((s for s in open_ if s >= n), default=None)
@@ -287,14 +315,21 @@ def _places(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np
 
 
 def pack(parts: DataFrame, length: int = LENGTH, id_col: str = "doc_id") -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces that have a ``length``; the pieces are read twice, so settle them first."""
-    histogram = {int(r["length"]): int(r["count"]) for r in parts.groupBy("length").count().collect()}  # LENGTH rows at most
-    places = parts.sparkSession.sparkContext.broadcast(_places(plan(histogram, length)))
-    keyed = parts.withColumn("_part", F.pmod(F.xxhash64(id_col, "piece"), F.lit(PARTS)))
+    """Adds ``sequence_id`` and ``offset`` to pieces that have a ``length``; the pieces are read twice, so settle them first.
+
+    The ranks of a length are counted in as many parts as the root of its count, so a
+    length that most pieces have is dealt out too; parts and their sums meet by shuffle.
+    """
+    spark = parts.sparkSession
+    counted = settle(parts.groupBy("length").count())
+    histogram = {int(r["length"]): int(r["count"]) for r in counted.collect()}  # LENGTH rows at most
+    places = spark.sparkContext.broadcast(_places(plan(histogram, length)))  # some rows for each length and pattern
+    roots = counted.select("length", F.ceil(F.sqrt("count")).alias("_parts"))
+    keyed = parts.join(F.broadcast(roots), "length").withColumn("_part", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.col("_parts")))
     before = keyed.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     before = before.select("length", "_part", (F.sum("_n").over(Window.partitionBy("length").orderBy("_part")) - F.col("_n")).alias("_before"))
     own = Window.partitionBy("length", "_part").orderBy(id_col, "piece", "ids_crc32")
-    ranked = keyed.withColumn("_own", F.row_number().over(own) - 1).join(F.broadcast(before), ["length", "_part"])
+    ranked = keyed.withColumn("_own", F.row_number().over(own) - 1).join(before.hint("merge"), ["length", "_part"])
     schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = parts.columns
 

@@ -162,6 +162,41 @@ def test_plan_covers_the_histogram():
     assert bins <= 1.1 * sum(n * c for n, c in lengths.items()) / 2048 + 2
 
 
+def _bins(lengths, **options):
+    plan = packing.plan(lengths, **options)
+    assert all(sum(p) <= 2048 for p, _ in plan)
+    return sum(count for _, count in plan)
+
+
+def test_the_fit_decides():
+    """Best-fit alone wastes a fifth here; the patterns that fill sequences are found by the fit."""
+    none = lambda patterns, target: np.zeros(len(patterns))
+    lengths = {1040: 1200, 544: 1200, 528: 1200, 480: 2400}
+    assert _bins(lengths) == sum(n * c for n, c in lengths.items()) // 2048 == 1800
+    assert _bins(lengths, fit=none) == 2200
+    rng = random.Random(1)
+    spread = {}
+    for _ in range(20000):
+        n = rng.randrange(500, 1100)
+        spread[n] = spread.get(n, 0) + 1
+    assert _bins(spread) < 0.97 * _bins(spread, fit=none)
+
+
+def test_nnls_is_optimal():
+    """No pattern of the enumeration would come nearer: residuals do not ask for more of any, and not for less of one in use."""
+    patterns = packing.enumerate_patterns(24, 4)
+    assert len({tuple(p) for p in patterns.tolist()}) == len(patterns)
+    assert (patterns.sum(1) == 24).all()
+    target = np.random.default_rng(3).integers(0, 50, 24).astype(float)
+    x = packing.nnls(patterns, target)
+    assert (x >= 0).all()
+    used = np.zeros(25)
+    np.add.at(used, patterns.ravel(), np.repeat(x, 4))
+    slope = np.append(0.0, target - used[1:])[patterns].sum(1)
+    assert slope.max() < 1e-4
+    assert np.abs(slope[x > 0]).max() < 1e-4
+
+
 def test_topk(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 16)).astype(np.float32)
