@@ -3,9 +3,12 @@
 Vectors are cut into segments, 1, 4 and then 16 of them. From the mean and the
 deviation of each segment follows a lower bound on the distance of two vectors,
 d^2 >= sum m * ((mean_a - mean_b)^2 + (dev_a - dev_b)^2), and with
-2 * (a.b) = |a|^2 + |b|^2 - d^2 an upper bound on their product. A candidate
-whose bound at some resolution is below the query's k-th best score so far is
-out; the survivors of the finest one are scored exactly.
+2 * (a.b) = |a|^2 + |b|^2 - d^2 an upper bound on their product. A pair whose
+bound at some resolution is below the query's k-th best score so far is out.
+Of the pairs that survive the finest one each query's best bounds are scored
+first, which raises its k-th best score and drops more pairs; the rest of the
+survivors are then scored exactly. Vectors that lie evenly in all directions
+leave the bounds nothing to drop; then the scores are one matrix product.
 
 Queries go in blocks against groups of vectors. A task holds one block of
 queries and reads its vectors in chunks, so memory does not follow the table.
@@ -13,7 +16,7 @@ queries and reads its vectors in chunks, so memory does not follow the table.
 Cases: a vector that is null, empty or holds null or non-finite components, and
 a row without id, takes no part. Only vectors of one length are compared. Equal
 scores go to the smaller id. Rows that repeat an id count as one, with the best
-score, and never answer the query of the same id. Fewer than k candidates give
+score of their vectors, and never answer the query of the same id. Fewer than k candidates give
 fewer rows; an empty table gives none. Scaled components of 2^31 or more are an
 error, as scores might not fit. Other columns are ignored.
 """
@@ -32,6 +35,12 @@ from cairn.llm._spark import prepare
 RESOLUTIONS = (1, 4, 16)
 #: Vectors of one chunk, of one group and queries of one block.
 CHUNK, GROUP, BLOCK = 256, 1 << 14, 1 << 11
+#: Vectors that are bounded at once, so that the best bounds among many are scored first.
+TOGETHER = 1 << 12
+#: Share of pairs up to which they are scored one by one; beyond, their rows and columns are multiplied whole.
+SPARSE = 1 / 16
+#: Pairs that are scored one by one at a time.
+PAIRS = 1 << 16
 _PACKED = "dim int, grp int, block int, is_vector int, ids binary, data binary"
 _FOUND = "query_id long, vec_id long, score long"
 
@@ -59,35 +68,56 @@ class Best:
         self.norm = np.sqrt((self.x * self.x).sum(1))
         self.found = np.zeros((3, 0), np.int64)  # row of the query, score, id
         self.least = np.full(len(ids), -np.inf)
+        self.pairs = self.scored = 0  # how many pairs there were, and how many were scored
 
     def add(self, ids: np.ndarray, data: np.ndarray) -> None:
         y = data.astype(np.float64)
         top = float(self.norm.max(initial=0) * np.sqrt((y * y).sum(1).max(initial=0)))
+        if top >= 1 << 62:
+            raise OverflowError("scores do not fit 64 bits")
         slack = 1 + 1e-9 * top
-        columns = np.arange(len(ids))
-        alive = np.ones((len(self.ids), len(ids)), bool)
+        rows, columns = np.arange(len(self.ids)), np.arange(len(ids))
+        alive = self.ids[:, None] != ids
+        self.pairs += int(alive.sum())
+        bound = np.zeros(alive.shape)
         for resolution, mine in zip(RESOLUTIONS, self.stats, strict=True):
-            alive[:, columns] &= mine @ segments(y[columns], resolution).T >= self.least[:, None] - slack
-            columns = np.flatnonzero(alive.any(0))
-            if not len(columns):
+            rows, columns = rows[alive[np.ix_(rows, columns)].any(1)], columns[alive[np.ix_(rows, columns)].any(0)]
+            if not len(rows):
                 return
-        if top < 1 << 52:
-            score = (self.x @ y[columns].T).astype(np.int64)
-        elif top < 1 << 62:
-            score = self.exact.astype(np.int64) @ data[columns].astype(np.int64).T
+            block = np.ix_(rows, columns)
+            bound[block] = mine[rows] @ segments(y[columns], resolution).T + slack
+            alive[block] &= bound[block] >= self.least[rows, None]
+        bound[~alive] = -np.inf
+        best = np.argpartition(-bound, min(self.k, len(ids)) - 1, axis=1)[:, : self.k]
+        row, column = np.repeat(np.arange(len(self.ids)), best.shape[1]), best.ravel()
+        first = alive[row, column]
+        self._score(row[first], column[first], ids, data, y, top)
+        alive[row, column] = False
+        self._score(*np.nonzero(alive & (bound >= self.least[:, None])), ids, data, y, top)
+
+    def _score(self, row: np.ndarray, column: np.ndarray, ids: np.ndarray, data: np.ndarray, y: np.ndarray, top: float) -> None:
+        """Scores pairs exactly and keeps the best."""
+        self.scored += len(row)
+        exact = top < 1 << 52  # products and sums of doubles are whole numbers then
+        if len(row) > SPARSE * len(self.ids) * len(ids):
+            whole = (self.x @ y.T).astype(np.int64) if exact else self.exact.astype(np.int64) @ data.astype(np.int64).T
+            score = whole[row, column]
         else:
-            raise OverflowError("scores do not fit 64 bits")
-        keep = alive[:, columns] & (self.ids[:, None] != ids[columns]) & (score >= self.least[:, None])
-        row, column = np.nonzero(keep)
-        self._merge(np.stack([row, score[row, column], ids[columns][column]]))
+            parts = [slice(i, i + PAIRS) for i in range(0, len(row), PAIRS)]
+            one = lambda p: np.einsum("ij,ij->i", self.x[row[p]], y[column[p]]).astype(np.int64) if exact else (self.exact[row[p]].astype(np.int64) * data[column[p]]).sum(1)
+            score = np.concatenate([one(p) for p in parts]) if parts else np.zeros(0, np.int64)
+        keep = score >= self.least[row]
+        self._merge(np.stack([row[keep], score[keep], ids[column[keep]]]))
 
     def _merge(self, new: np.ndarray) -> None:
         row, score, ids = np.concatenate([self.found, new], axis=1)
-        order = np.lexsort((ids, -score, row))
+        order = np.lexsort((-score, ids, row))
         row, score, ids = row[order], score[order], ids[order]
-        fresh = np.ones(len(row), bool)
-        fresh[1:] = (row[1:] != row[:-1]) | (score[1:] != score[:-1]) | (ids[1:] != ids[:-1])
+        fresh = np.ones(len(row), bool)  # the best of the vectors of one id
+        fresh[1:] = (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])
         row, score, ids = row[fresh], score[fresh], ids[fresh]
+        order = np.lexsort((ids, -score, row))
+        row, score, ids = row[order], score[order], ids[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
         keep = place < self.k
         self.found = np.stack([row[keep], score[keep], ids[keep]])
@@ -140,11 +170,18 @@ def _score(k: int):
     """Reads the chunks of a key in order, queries first, and gives each query's best of the group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, asked, best = None, [], None
+        key, asked, held, best = None, [], [], None
+
+        def flush() -> None:
+            if held:
+                best.add(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held.clear()
+
         for batch in batches:
             for dim, grp, block, is_vector, ids, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (dim, grp, block) != key:
                     if best:
+                        flush()
                         yield best.rows()
                     key, asked, best = (dim, grp, block), [], None
                 part = np.frombuffer(ids, np.int64), np.frombuffer(data, np.int32).reshape(-1, dim)
@@ -152,8 +189,11 @@ def _score(k: int):
                     asked.append(part)
                 elif asked:
                     best = best or Best(*(np.concatenate(x) for x in zip(*asked, strict=True)), k)
-                    best.add(*part)
+                    held.append(part)
+                    if sum(len(x) for x, _ in held) >= TOGETHER:
+                        flush()
         if best:
+            flush()
             yield best.rows()
 
     return run
