@@ -2,16 +2,17 @@
 
 A window of WINDOW bytes picks the least hash among its k-grams; equal windows
 pick the same. Windows in a row with one pick make a segment of at most
-2 * WINDOW - GRAM bytes. Documents exchange (pick, segment) hashes; equal
-segments are settled at once by their least document, and one copy of each
-distinct segment that shares its pick with another goes to that pick's bucket.
+2 * WINDOW - GRAM bytes. Documents exchange (pick, segment) hashes, which only
+tell what must meet: the bytes of every segment whose pick two documents share go
+to that pick's bucket, one copy of each distinct segment of a chunk. Segments are
+called equal where their bytes are.
 
 A pick that more than HOT distinct segments share (it stands at the edge of a
 passage that very many documents have) is split: every window of its segments is
 dealt out by its own hash, one copy of each distinct window of a chunk, so what
 one key gathers is counted in chunks.
 
-There, the segments of a bucket form one text, and from its Burrows-Wheeler
+There, the distinct segments of a bucket form one text, and from its Burrows-Wheeler
 transform the intervals of all strings are expanded breadth first: an interval
 of a string of length l, extended backward by each of its symbols, closes a
 common prefix of exactly l where none is closed yet. Prefix lengths so come out
@@ -61,6 +62,22 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
+def _fresh(data: np.ndarray, begin: np.ndarray, size: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Of pieces of data sorted by keys: which have other bytes than the one before."""
+    new = np.ones(len(begin), bool)
+    if not len(begin):
+        return new
+    new[1:] = size[1:] != size[:-1]
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    alike = np.flatnonzero(~new)
+    n = size[alike]
+    differ = data[gather(begin[alike], n)] != data[gather(begin[alike - 1], n)]
+    if differ.any():
+        new[alike[np.add.reduceat(differ, np.cumsum(n) - n) > 0]] = True
+    return new
+
+
 class _View:
     """The segments of a chunk, merged where pick and bytes agree."""
 
@@ -89,8 +106,7 @@ class _View:
         ids = chunk.ids[doc]
         order = np.lexsort((ids, whole, pick))
         a, b, pick, whole, ids = a[order], b[order], pick[order], whole[order], ids[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (pick[1:] != pick[:-1]) | (whole[1:] != whole[:-1])
+        new = _fresh(data, a, b + WINDOW - 1 - a, pick, whole)
         self.begin, self.end, self.row, self.own = a, b + WINDOW - 1, np.cumsum(new) - 1, ids
         self.first = np.flatnonzero(new)
         self.pick, self.hash, self.ids = pick[new], whole[new], ids[new]
@@ -113,7 +129,7 @@ def _segments(bits: int):
 
 
 def _share(bodies: list[bytes], hot: int = HOT) -> list[bytes | None]:
-    """For each segment: does a smaller document have it; must its bytes be compared with others of its pick; is that pick hot."""
+    """For each segment: is its pick shared by two documents, so that bytes must be compared; is that pick hot."""
     keys, whole, ids = [], [], []
     for body in bodies:
         k, w, i, names = C.unpack(body)
@@ -123,19 +139,15 @@ def _share(bodies: list[bytes], hot: int = HOT) -> list[bytes | None]:
     sizes = [len(k) for k in keys]
     key = np.concatenate(keys).astype(np.uint64) << np.uint64(32) | np.concatenate(whole)
     doc = np.concatenate(ids)
-    order = np.lexsort((doc, key))
+    order = np.argsort(key, kind="stable")
     key, doc = key[order], doc[order]
-    part = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))  # one segment
-    size = np.diff(np.append(part, len(key)))
-    later = doc > np.repeat(doc[part], size)
     top = key >> np.uint64(32)
     group = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))  # one pick
     length = np.diff(np.append(group, len(key)))
-    mixed = (np.minimum.reduceat(key, group) != np.maximum.reduceat(key, group)) & (np.minimum.reduceat(doc, group) != np.maximum.reduceat(doc, group))
+    shared = np.minimum.reduceat(doc, group) != np.maximum.reduceat(doc, group)
     distinct = np.add.reduceat(np.concatenate([[True], key[1:] != key[:-1]]).astype(np.int64), group)
-    ask = np.repeat(mixed, length) & ~later
-    found = np.zeros((3, len(key)), bool)
-    found[0, order], found[1, order], found[2, order] = later, ask, np.repeat(distinct > hot, length) & ask
+    found = np.zeros((2, len(key)), bool)
+    found[0, order], found[1, order] = np.repeat(shared, length), np.repeat(shared & (distinct > hot), length)
     out, at = [], 0
     for n in sizes:
         own = found[:, at : at + n]
@@ -145,8 +157,8 @@ def _share(bodies: list[bytes], hot: int = HOT) -> list[bytes | None]:
 
 
 def _verdicts(v: _View, bits: int, answers: list) -> np.ndarray:
-    """Of the merged segments: which a smaller document has, which are compared, which of these have a hot pick."""
-    found = np.zeros((3, len(v.pick)), bool)
+    """Of the merged segments: which are compared, which of these have a hot pick."""
+    found = np.zeros((2, len(v.pick)), bool)
     lo, hi = C.by_bucket(v.pick, bits)
     for a in answers:
         if a["phase"] == 1:
@@ -168,8 +180,7 @@ class _Asked:
         at = begin[self.of] + self.place
         windows = V.spans_hash(v.sums, at, at + WINDOW, V._P1) if len(at) else np.zeros(0, np.uint64)
         order = np.lexsort((v.ids[self.of], windows))
-        new = np.ones(len(order), bool)
-        new[1:] = windows[order][1:] != windows[order][:-1]
+        new = _fresh(v.chunk.data, at[order], np.full(len(order), WINDOW), windows[order])
         one = order[new]
         self.window = np.zeros(len(order), np.int64)
         self.window[order] = np.cumsum(new) - 1
@@ -201,7 +212,7 @@ def _contents(bits: int):
         v = _View(chunk)
         if not len(v.pick):
             return
-        asked = _Asked(v, *_verdicts(v, bits, answers)[1:])
+        asked = _Asked(v, *_verdicts(v, bits, answers))
         for b, (lo, hi) in enumerate(zip(*C.by_bucket(asked.pick, bits), strict=True)):
             if hi > lo:
                 size = asked.end[lo:hi] - asked.begin[lo:hi]
@@ -287,23 +298,37 @@ def shared_windows(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, window:
 
 
 def _compare(bodies: list[bytes]) -> list[bytes | None]:
-    """Runs the transform over the segments of a bucket, cut where a new pick begins."""
+    """For each segment of a bucket a bit for every window that a smaller document has.
+
+    Equal segments are told by their bytes; the transform runs over the distinct ones
+    that share a pick with others, cut where a new pick begins.
+    """
     parts = [C.unpack(b) for b in bodies]
     pick, ids, size, data = (np.concatenate(x) for x in zip(*parts, strict=True))
     size = size.astype(np.int64)
     at = np.cumsum(size) - size
-    order = np.argsort(pick, kind="stable")
-    new = np.concatenate([[True], pick[order][1:] != pick[order][:-1]])
-    starts = np.flatnonzero(new)
-    total = np.concatenate([[0], np.cumsum(size[order])])
-    found = np.zeros(len(pick), np.uint32)
+    whole = V.spans_hash(V.prefix(V._BYTE[V._P1][data], V._P1), at, at + size, V._P1)
+    order = np.lexsort((ids, whole, size, pick))
+    new = _fresh(data, at[order], size[order], pick[order], whole[order])
+    one = order[new]  # the least document's copy of each distinct segment
+    of = np.zeros(len(pick), np.int64)
+    of[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(np.concatenate([[True], pick[one][1:] != pick[one][:-1]]))
+    many = np.repeat(np.diff(np.append(starts, len(one))) > 1, np.diff(np.append(starts, len(one))))
+    rows, masks = one[many], np.zeros(len(one), np.uint32)
+    edges = np.append(np.flatnonzero(np.concatenate([[True], pick[rows][1:] != pick[rows][:-1]])), len(rows)) if len(rows) else np.zeros(1, np.int64)
+    total = np.concatenate([[0], np.cumsum(size[rows])])
+    met = np.zeros(len(rows), np.uint32)
     i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(total[np.append(starts, len(pick))], total[starts[i]] + TEXT_BYTES, "right")) - 1)
-        rows = order[starts[i] : starts[j] if j < len(starts) else len(pick)]
+    while i < len(edges) - 1:
+        j = max(i + 1, int(np.searchsorted(total[edges], total[edges[i]] + TEXT_BYTES, "right")) - 1)
+        some = rows[edges[i] : edges[j]]
+        met[edges[i] : edges[j]] = shared_windows(data[gather(at[some], size[some])], size[some], ids[some])
         i = j
-        if len(rows) > 1:
-            found[rows] = shared_windows(data[gather(at[rows], size[rows])], size[rows], ids[rows])
+    masks[many] = met
+    found = masks[of]
+    later = ids > ids[one][of]
+    found[later] |= ((np.uint64(1) << (size[later] - WINDOW + 1).astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
     out, k = [], 0
     for part in parts:
         own = found[k : k + len(part[0])]
@@ -317,8 +342,8 @@ def _removed(chunk: C.Chunk, bits: int, answers: list) -> np.ndarray:
     v, n = _View(chunk), len(chunk.data)
     step = np.zeros(n + 1, np.int32)
     if len(v.pick):
-        later, ask, hot = _verdicts(v, bits, answers)
-        whole = later[v.row] | (v.own > v.ids[v.row])
+        ask, hot = _verdicts(v, bits, answers)
+        whole = v.own > v.ids[v.row]
         np.add.at(step, v.begin[whole], 1)
         np.add.at(step, v.end[whole], -1)
         asked = _Asked(v, ask, hot)
