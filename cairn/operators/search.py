@@ -11,17 +11,25 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as X
 from cairn.functions import values as C
+from cairn.sources.shared import settle
 
 #: Vectors of one group and queries of one block, which meet in one task.
 GROUP, BLOCK = 1 << 15, 1 << 11
+#: Queries that a task compares with its group at a time.
+ROWS = 256
+#: Phrases of the queries that are broadcast at most, of some 100 bytes each.
+BROADCAST_ROWS = 1 << 17
+#: Stands for the document itself among its tokens.
+_WHOLE = "\u0000"
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id", vector: str = "embedding") -> DataFrame:
     """query id, id, sim and rank of the k most similar vectors; ties go to the smaller id.
 
-    Queries and vectors are dealt to a grid of blocks and groups of bounded size,
-    so neither side is broadcast; a task scores a block against a group by one
-    matrix product and keeps k for each query.
+    Vectors of another width than the query's have similarity 0, as have those
+    without length. Queries and vectors are dealt to a grid of blocks and groups of
+    bounded size, so neither side is broadcast; a task scores a block against a
+    group by one matrix product for each width and gives k rows for each query.
     """
     groups = max(1, -(-vectors.count() // GROUP))
     blocks = max(1, -(-queries.count() // BLOCK))
@@ -30,34 +38,46 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "que
     right = vectors.select(F.pmod(F.xxhash64(id_col), F.lit(groups)).cast("int").alias("g"), spread(blocks).alias("b"), F.col(id_col).alias("v"), F.col(vector).alias("vv"))
     schema = f"{query_id} {queries.schema[query_id].dataType.simpleString()}, {id_col} {vectors.schema[id_col].dataType.simpleString()}, sim double"
 
-    def unit(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-        lists = column.combine_chunks()
-        sizes = np.asarray(lists.value_lengths().fill_null(0))
-        width = int(np.bincount(sizes).argmax()) if len(sizes) else 0
-        good = sizes == width
-        x = np.zeros((len(sizes), max(width, 1)))
-        if width:
-            x[good] = np.asarray(lists.filter(pa.array(good)).flatten().fill_null(0)).reshape(-1, width)
-        n = np.sqrt((x * x).sum(1, keepdims=True))
-        return x / np.where(n > 0, n, 1), sizes
-
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
-        names = [query_id, id_col]
-        if not a.num_rows or not b.num_rows:
-            return pa.table({query_id: a["q"].slice(0, 0), id_col: b["v"].slice(0, 0), "sim": pa.array([], pa.float64())})
-        (x, n), (y, m) = unit(a["qv"]), unit(b["vv"])
-        sim = x @ y.T if x.shape[1] == y.shape[1] else np.zeros((len(x), len(y)))
-        sim[n[:, None] != m[None, :]] = 0
-        take = min(k, sim.shape[1])
-        least = np.partition(sim, sim.shape[1] - take, axis=1)[:, sim.shape[1] - take]
-        row, column = np.nonzero(sim >= least[:, None] - 1e-12)
-        return pa.table([a["q"].take(pa.array(row)), b["v"].take(pa.array(column)), pa.array(sim[row, column])], names=[*names, "sim"])
+        b = b.sort_by("v")
+        found = [np.zeros((2, 0), np.int64)], [np.zeros(0)]
+        (n, x), (m, y) = _by_width(a["qv"]), _by_width(b["vv"])
+        for at in range(0, a.num_rows if b.num_rows else 0, ROWS):
+            sim = np.zeros((min(ROWS, a.num_rows - at), b.num_rows))
+            for width in np.unique(n[at : at + ROWS]).tolist():
+                rows, columns = np.flatnonzero(n[at : at + ROWS] == width), np.flatnonzero(m == width)
+                if width and len(columns):
+                    sim[np.ix_(rows, columns)] = np.round(x(at + rows, width) @ y(columns, width).T, 12)
+            take = min(k, sim.shape[1])
+            least = np.partition(sim, sim.shape[1] - take, axis=1)[:, sim.shape[1] - take, None]
+            level = sim == least
+            keep = (sim > least) | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= take - (sim > least).sum(1, keepdims=True)))
+            row, column = np.nonzero(keep)
+            found[0].append(np.stack([at + row, column]))
+            found[1].append(sim[row, column])
+        row, column = np.concatenate(found[0], axis=1)
+        return pa.table([a["q"].take(pa.array(row)), b["v"].take(pa.array(column)), pa.array(np.concatenate(found[1]))], names=[query_id, id_col, "sim"])
 
     found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(score, schema)
-    order = Window.partitionBy(query_id).orderBy(F.desc(F.round("sim", 12)), id_col)
+    order = Window.partitionBy(query_id).orderBy(F.desc("sim"), id_col)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _by_width(column: pa.ChunkedArray):
+    """The width of each vector, and a function that gives unit vectors of one width."""
+    lists = column.combine_chunks()
+    sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+    values = np.asarray(lists.flatten().fill_null(0)).astype(np.float64)
+    starts = np.cumsum(sizes) - sizes
+
+    def unit(rows: np.ndarray, width: int) -> np.ndarray:
+        x = values[starts[rows][:, None] + np.arange(width)]
+        length = np.sqrt((x * x).sum(1, keepdims=True))
+        return x / np.where(length > 0, length, 1)
+
+    return sizes, unit
+
+
 def _fold_table() -> tuple[str, str]:
     """Letters whose canonical decomposition is an ASCII letter and marks, and these letters."""
     pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
@@ -88,24 +108,30 @@ def searchable(memories: DataFrame) -> DataFrame:
 def keyword(queries: DataFrame, memories: DataFrame, k: int, query_id: str = "query_id", query: str = "query") -> DataFrame:
     """query id, id, score and rank by BM25 of an OR of the query's words.
 
-    A word of several tokens is a phrase. Each word of the query counts, repeated ones too.
+    A word of several tokens is a phrase. Each word of the query counts, repeated
+    ones too. Documents are tokenised once: their tokens meet the phrases of all
+    queries, and counts by phrase and document are settled before they are weighed.
     """
-    docs = searchable(memories)
     asked = queries.select(F.col(query_id).alias("q"), F.explode(X.words(query)).alias("word"))
     asked = asked.select("q", fts_tokens("word").alias("parts")).filter(F.size("parts") > 0)
-    asked = asked.groupBy("q", F.array_join("parts", " ").alias("phrase")).agg(F.count("*").alias("times"))
+    asked = settle(asked.groupBy("q", F.array_join("parts", " ").alias("phrase")).agg(F.count("*").alias("times")))
     phrases = asked.select("phrase").distinct().withColumn("parts", F.split("phrase", " "))
+    phrases = phrases.union(queries.sparkSession.range(1).select(F.lit(_WHOLE).alias("phrase"), F.array(F.lit(_WHOLE)).alias("parts")))
     parts = phrases.select("phrase", F.size("parts").alias("m"), F.posexplode("parts").alias("j", "token"))
-    places = docs.select("id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("place", "token")).join(parts, "token")
-    starts = places.filter("m > 1").groupBy("phrase", "id", "dl", "m", (F.col("place") - F.col("j")).alias("start")).agg(F.count("*").alias("n")).filter("n = m")
-    words = places.filter("m = 1").select("phrase", "id", "dl")
-    tf = words.union(starts.select("phrase", "id", "dl")).groupBy("phrase", "id", "dl").agg(F.count("*").alias("tf"))
+    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        parts = F.broadcast(parts)
+    tokens = searchable(memories).select("id", F.size("tokens").alias("dl"), F.posexplode(F.concat("tokens", F.array(F.lit(_WHOLE)))).alias("place", "token"))
+    start = F.when(F.col("m") == 1, 0).otherwise(F.col("place") - F.col("j"))
+    met = tokens.join(parts, "token").groupBy("phrase", "id", "dl", "m", start.alias("start")).agg(F.count("*").alias("n"))
+    tf = met.filter((F.col("m") == 1) | (F.col("n") == F.col("m"))).groupBy("phrase", "id", "dl").agg(F.sum(F.when(F.col("m") == 1, F.col("n")).otherwise(1)).alias("tf"))
+    tf = settle(tf)
+    whole = tf.filter(F.col("phrase") == _WHOLE).agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
+    tf = tf.filter(F.col("phrase") != _WHOLE)
     df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
-    whole = docs.agg(F.count("*").alias("N"), F.avg(F.size("tokens")).alias("avgdl"))
     idf = F.greatest(F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = F.col("times") * idf * F.col("tf") * (C.K1 + 1) / (F.col("tf") + C.K1 * (1 - C.B + C.B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(df, "phrase").join(F.broadcast(whole)).join(asked, "phrase")  # whole is one row
-    scored = scored.groupBy(F.col("q").alias(query_id), "id").agg(F.sum(weight).alias("score"))
+    weighed = asked.join(df, "phrase").join(F.broadcast(whole))  # whole is one row
+    scored = tf.join(weighed, "phrase").groupBy(F.col("q").alias(query_id), "id").agg(F.sum(weight).alias("score"))
     order = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), "id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
