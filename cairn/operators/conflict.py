@@ -30,34 +30,43 @@ def negation(new: Column | str, old: Column | str) -> Column:
 
 
 def claims(text: Column | str) -> Column:
-    """(subject, verb, object) around the first place of each alias of a verb."""
-    low = F.lower(X.col(text))
-    found = []
-    for verb, aliases in C.CLAIM_VERBS:
-        for alias in aliases:
-            at = F.locate(alias, low)
-            before = F.substring(low, F.lit(1), at - 1)
-            after = F.substring(low, at + len(alias), F.char_length(low))
-            subject = F.element_at(F.concat(F.array(F.lit("")), X.words(before)), -1)
-            object_ = X.bare(F.coalesce(F.get(F.filter(X.words(after), lambda w: F.octet_length(w) > 1), F.lit(0)), F.lit("")))
-            claim = F.struct(subject.alias("subject"), F.lit(verb).alias("verb"), object_.alias("object"))
-            found.append(F.when((at > 0) & (subject != "") & (object_ != ""), claim))
-    return F.array_compact(F.array(*found)).cast(_CLAIMS)
+    """(subject, verb, object) around the first place of each alias of a verb: the word before it, and the first of more than one byte after it."""
 
+    def claim(low: Column, at: Column, verb: str, alias: str) -> Column:
+        before = F.reverse(F.substring(low, F.lit(1), at - 1))
+        after = F.substring(low, at + len(alias), F.char_length(low))
+        subject = F.reverse(F.regexp_extract(before, r"(?U)^\s*(\S+)", 1))
+        word = F.regexp_extract(after, r"(?U)^\s*(?:[\x00-\x7F&&\S]\s+)*(\S+)", 1)
+        return F.struct(subject.alias("subject"), F.lit(verb).alias("verb"), X.bare(F.when(F.octet_length(word) > 1, word).otherwise("")).alias("object"))
 
-def competing(new: Column | str, old: Column | str) -> Column:
-    """How the first claims of one subject and verb differ, or null."""
-    mine, theirs = claims(new), claims(old)
+    def at_first(low: Column, verb: str, alias: str) -> Column:
+        return F.transform(F.array(F.locate(alias, low)), lambda at: F.when(at > 0, claim(low, at, verb, alias)))
+
+    def found(low: Column) -> Column:
+        every = F.concat(*(at_first(low, verb, alias) for verb, aliases in C.CLAIM_VERBS for alias in aliases))
+        return F.filter(every, lambda c: c.isNotNull() & (c["subject"] != "") & (c["object"] != ""))
+
+    return F.transform(F.array(F.lower(X.col(text))), found)[0].cast(_CLAIMS)
+
+
+def differing(mine: Column, theirs: Column) -> Column:
+    """How the first of two lists' claims of one subject and verb differ, or null."""
     pairs = F.flatten(F.transform(mine, lambda n: F.transform(theirs, lambda o: F.struct(n.alias("n"), o.alias("o")))))
     same = F.filter(pairs, lambda p: (p["n"]["subject"] == p["o"]["subject"]) & (p["n"]["verb"] == p["o"]["verb"]) & (p["n"]["object"] != p["o"]["object"]))
-    p = F.get(same, F.lit(0))
-    return F.when(F.size(same) > 0, F.concat(p["n"]["subject"], F.lit(" "), p["n"]["verb"], F.lit(" '"), p["o"]["object"], F.lit("' vs '"), p["n"]["object"], F.lit("'")))
+    told = lambda p: F.concat(p["n"]["subject"], F.lit(" "), p["n"]["verb"], F.lit(" '"), p["o"]["object"], F.lit("' vs '"), p["n"]["object"], F.lit("'"))
+    return F.get(F.transform(F.slice(same, 1, 1), told), F.lit(0))
+
+
+def competing(new: Column | str, old: Column | str) -> Column:
+    """How the first claims of one subject and verb in two texts differ, or null; each text's claims are found once."""
+    both = F.array(F.struct(claims(new).alias("n"), claims(old).alias("o")))
+    return F.transform(both, lambda x: differing(x["n"], x["o"]))[0]
 
 
-def rule(new: str = "new", old: str = "old") -> Column:
-    """The first rule that holds for two struct columns (compressed, content, author, created_at), or null."""
+def rule(new: str = "new", old: str = "old", difference: Column | None = None) -> Column:
+    """The first rule that holds for two struct columns (compressed, content, author, created_at), or null; ``difference`` of their claims if it is known."""
     n, o = F.col(new), F.col(old)
-    difference = competing(n["content"], o["content"])
+    difference = competing(n["content"], o["content"]) if difference is None else difference
 
     def verdict(number: int, relation: str, confidence: float, action: str, why: str, what: Column | None = None) -> Column:
         key = what if what is not None else F.lit(None).cast("string")
@@ -73,7 +82,8 @@ def rule(new: str = "new", old: str = "old") -> Column:
 
 def analyze(pairs: DataFrame) -> DataFrame:
     """Of pairs (new, old structs with id; rank of the candidate) the first candidate with a rule, for each new memory."""
-    judged = pairs.withColumn("verdict", rule()).filter("verdict is not null")
+    told = pairs.withColumn("_difference", competing("new.content", "old.content"))
+    judged = told.withColumn("verdict", rule(difference=F.col("_difference"))).filter("verdict is not null")
     first = judged.groupBy(F.col("new.id").alias("new_id")).agg(F.min_by(F.struct("new", "old", "verdict"), F.struct("rank", "old.id")).alias("x"))
     return first.select("new_id", F.col("x.old.id").alias("existing_id"), "x.verdict.*", F.col("x.new").alias("new"), F.col("x.old").alias("old"))
 

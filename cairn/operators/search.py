@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as X
 from cairn.functions import values as C
-from cairn.sources.shared import settle
+from cairn.sources.shared import settle, sound
 
 #: Vectors of one group and queries of one block, which meet in one task.
 GROUP, BLOCK = 1 << 15, 1 << 11
@@ -139,6 +139,7 @@ def keyword(queries: DataFrame, memories: DataFrame, k: int, query_id: str = "qu
 def fuse(lists: list[DataFrame], k: int = 60, query_id: str = "query_id") -> DataFrame:
     """query id, id, base: the sum of 1 / (k + rank) over lists with ranks from 1."""
     parts = [x.select(query_id, "id", (1.0 / (F.lit(float(k)) + F.col("rank"))).alias("part")) for x in lists]
+    sound(parts[0].sparkSession)
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)

@@ -1,17 +1,22 @@
 """Tables as append-only change logs in Parquet.
 
-Every change appends rows with a version and a deleted flag; the current table is
-the latest version of each key. Files are never overwritten while read; ``compact``
-writes the current rows to a new generation and then names it in a pointer log.
+Every change appends rows with a version, the writer's name and a deleted flag; the
+current table is the latest version of each key, of equal versions that of the
+greater name, so that two writers leave one outcome. Files are never overwritten
+while read; ``compact`` writes the current rows to a new generation and then names it
+in a pointer log.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import values as C
 from cairn.functions.schema import KEYS, TABLES
+from cairn.sources.shared import sound
 
 
 class ModelMismatch(ValueError):
@@ -30,8 +35,9 @@ class Store:
     """The tables below one folder, which may be on any file system of Spark's."""
 
     def __init__(self, spark: SparkSession, path: str, as_of: str = "1970-01-01 00:00:00"):
-        self.spark, self.path, self.as_of = spark, path.rstrip("/"), as_of
+        self.spark, self.path, self.as_of = sound(spark), path.rstrip("/"), as_of
         self._files = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jvm.java.net.URI(self.path), spark._jsc.hadoopConfiguration())
+        self._writer = uuid.uuid4().hex
         self._next = 1 + max((self._last(name) for name in TABLES), default=0)
 
     # log
@@ -46,7 +52,7 @@ class Store:
         return f"{self.path}/{name}/{self.spark.read.schema('n bigint').json(pointer).agg(F.max('n')).head()[0]}"
 
     def _log(self, name: str) -> DataFrame:
-        schema = f"{TABLES[name]}, _version bigint, _deleted boolean"
+        schema = f"{TABLES[name]}, _version bigint, _writer string, _deleted boolean"
         where = self._generation(name)
         return self.spark.read.schema(schema).parquet(where) if self._exists(where) else self.spark.createDataFrame([], schema)
 
@@ -54,16 +60,16 @@ class Store:
         return self._log(name).agg(F.coalesce(F.max("_version"), F.lit(0))).head()[0]
 
     def _write(self, name: str, rows: DataFrame, deleted: bool = False) -> None:
-        shaped = rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self._log(name).schema.fields[:-2]))
-        shaped.withColumn("_version", F.lit(self._next).cast("bigint")).withColumn("_deleted", F.lit(deleted)).write.mode("append").parquet(self._generation(name))
+        shaped = rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self._log(name).schema.fields[:-3]))
+        shaped.withColumns({"_version": F.lit(self._next).cast("bigint"), "_writer": F.lit(self._writer), "_deleted": F.lit(deleted)}).write.mode("append").parquet(self._generation(name))
         self._next += 1
 
     def table(self, name: str) -> DataFrame:
-        """The current rows."""
+        """The current rows; a condition on the key reaches the files."""
         log, key = self._log(name), KEYS[name]
-        columns = [c for c in log.columns if c not in ("_version", "_deleted")]
-        latest = log.groupBy(key).agg(F.max_by(F.struct(*log.columns), "_version").alias("r")).filter("not r._deleted")
-        return latest.select(*(F.col(f"r.{c}").alias(c) for c in columns))
+        columns = [c for c in log.columns if not c.startswith("_")]
+        latest = log.groupBy(key).agg(F.max_by(F.struct(*(c for c in [*columns, "_deleted"] if c != key)), F.struct("_version", "_writer")).alias("r")).filter("not r._deleted")
+        return latest.select(*(F.col(key) if c == key else F.col(f"r.{c}").alias(c) for c in columns))
 
     def append(self, name: str, rows: DataFrame) -> None:
         """New rows; one with a key that is there already is an error, as is a repeated key."""
@@ -76,6 +82,17 @@ class Store:
     def upsert(self, name: str, rows: DataFrame) -> None:
         self._write(name, rows)
 
+    def replace(self, name: str, rows: DataFrame) -> None:
+        """Whole new rows for keys that are there; one that is not is an error. ``created_at`` stays."""
+        key = KEYS[name]
+        known = self.table(name)
+        missing = rows.join(known, key, "left_anti").select(key).head()
+        if missing:
+            raise NotFound(missing[0])
+        if "created_at" in known.columns:
+            rows = rows.drop("created_at").join(known.select(key, "created_at"), key)
+        self._write(name, rows)
+
     def update(self, name: str, ids: list[str] | DataFrame, **changes: Column) -> None:
         """Sets columns of the rows with these keys; rows that are not there are passed over."""
         key = KEYS[name]
@@ -94,7 +111,7 @@ class Store:
     def compact(self, name: str) -> None:
         """Rewrites the current rows as a new generation."""
         generation = int(self._generation(name).rsplit("/", 1)[1]) + 1
-        self.table(name).withColumn("_version", F.lit(0).cast("bigint")).withColumn("_deleted", F.lit(False)).write.parquet(f"{self.path}/{name}/{generation}")
+        self.table(name).withColumns({"_version": F.lit(0).cast("bigint"), "_writer": F.lit(self._writer), "_deleted": F.lit(False)}).write.parquet(f"{self.path}/{name}/{generation}")
         self.spark.range(1).select(F.lit(generation).alias("n")).write.mode("append").json(f"{self.path}/{name}.generation")
 
     # meta
@@ -128,6 +145,33 @@ class Store:
             raise NotFound(id_)
         return row
 
+    def get_embedding(self, id_: str) -> list[float] | None:
+        row = self.table("memories").filter(F.col("id") == id_).select("embedding").head()
+        return row["embedding"] if row else None
+
+    def set_embedding(self, id_: str, embedding: Column | list[float]) -> None:
+        """Stores the vector and takes the memory into the index."""
+        vector = embedding if isinstance(embedding, Column) else F.array(*map(F.lit, embedding)).cast("array<float>")
+        self.update("memories", [id_], embedding=vector, in_index=F.lit(True), embedded_at=F.lit(self.as_of).cast("timestamp"))
+
+    def index(self) -> DataFrame:
+        """id and embedding of the memories in the vector index."""
+        return self.table("memories").filter("in_index").select("id", "embedding")
+
+    def rebuild_index(self, dim: int) -> int:
+        """If no memory is in the index, takes in those that have a vector of that width, whatever their state; returns how many."""
+        if not self.index().isEmpty():
+            return 0
+        fit = self.table("memories").filter(F.size("embedding") == dim)
+        n = fit.count()
+        if n:
+            self.update("memories", fit.select("id"), in_index=F.lit(True))
+        return n
+
+    def known_sessions(self, ids: DataFrame) -> DataFrame:
+        """Those of the ids that are sessions."""
+        return ids.join(self.table("sessions").select("id"), "id", "left_semi")
+
     def memories(self, room: str | None = None, state: str | None = None, limit: int | None = None) -> DataFrame:
         """Newest first."""
         rows = self.table("memories")
@@ -164,19 +208,36 @@ class Store:
     # queue
 
     def enqueue(self, target_type: str, target_id: str, content: str, priority: int) -> int:
-        new = 1 + (self.table("embed_queue").agg(F.max("id")).head()[0] or 0)
-        rows = self.spark.createDataFrame([(new, target_type, target_id, content, priority, "pending", None, None)], TABLES["embed_queue"])
-        self._write("embed_queue", rows.withColumn("created_at", F.lit(self.as_of).cast("timestamp")))
-        return new
+        rows = self.spark.createDataFrame([(target_type, target_id, content, priority, 0)], "target_type string, target_id string, content string, priority bigint, place bigint")
+        return self.enqueue_all(rows)
+
+    def enqueue_all(self, rows: DataFrame) -> int:
+        """Queues rows (target_type, target_id, content, priority, place); ids follow the call and then the place, and the first possible one is returned.
+
+        An id holds the version, 16 bits of the writer's name and the place, which is below 2^24.
+        """
+        first = self._next << 40 | int(self._writer[:4], 16) << 24
+        rows = rows.withColumns({"id": F.col("place") + first, "status": F.lit("pending"), "created_at": F.lit(self.as_of).cast("timestamp")})
+        self._write("embed_queue", rows)
+        return first
 
     def pending(self, n: int) -> DataFrame:
         return self.table("embed_queue").filter("status = 'pending'").orderBy(F.desc("priority"), "id").limit(n)
 
-    def mark_done(self, id_: int) -> None:
-        self.update("embed_queue", [id_], status=F.lit("done"), processed_at=F.lit(self.as_of).cast("timestamp"))
+    def mark_done(self, ids: int | DataFrame) -> None:
+        self.update("embed_queue", [ids] if isinstance(ids, int) else ids, status=F.lit("done"), processed_at=F.lit(self.as_of).cast("timestamp"))
 
     # cache
 
+    def cache_count(self) -> int:
+        return self.table("cache").count()
+
+    def cache_touch(self, ids: DataFrame) -> None:
+        """Counts a hit for each of the ids, repeated ones too."""
+        from cairn.operators.grounding import touched
+
+        self.upsert("cache", touched(self.table("cache").join(ids.select("id").distinct(), "id", "left_semi"), ids, "hits"))
+
     def cache_clear(self, room: str | None = None) -> int:
         rows = self.table("cache")
         return self.delete("cache", rows if room is None else rows.filter(F.col("room") == room))

@@ -217,7 +217,7 @@ class Engine:
 
     def commit_hits(self, looked_up: DataFrame) -> None:
         ids = looked_up.filter("tier = 'hit'").select(F.col("ids")[0].alias("id"))
-        self.store.upsert("cache", G.touched(self.store.table("cache").join(ids.distinct(), "id", "left_semi"), ids, "hits"))
+        self.store.cache_touch(ids)
 
     def cache_put(self, query: str, answer: str, source_ids: list[str] = (), room: str | None = None, ttl: int | None = None, as_of: str = R.AS_OF) -> str:
         """Keeps an answer, drops what has expired, and keeps the newest entries."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
@@ -15,6 +15,7 @@ from cairn.operators import budget as B
 from cairn.operators import conflict as K
 from cairn.operators import grounding as G
 from cairn.operators import search as S
+from cairn.operators.similar import similar_documents
 from cairn.plans import recall as R
 from cairn.sources import files
 from cairn.sources.shared import settle
@@ -385,28 +386,24 @@ def render_headline(spark, d):
 
 # Conflicts
 
-_PAIRS = [
-    ("ana", "Billing exports run nightly", "ana", "Billing exports run nightly"),
-    ("ana", "Search switched to OpenSearch", "ana", "Search runs through Solr"),
-    ("bo", "Search switched to OpenSearch", "ana", "Search runs through Solr"),
-    ("bo", "Retries disabled for webhooks", "ana", "Retries enabled for webhooks"),
-    ("bo", "ingest uses Pulsar", "ana", "ingest uses Kafka"),
-    ("bo", "portal hosted on Fly", "ana", "portal hosted on Heroku"),
-    ("ana", "We know the invoice format", "ana", "Invoice format has nine columns"),
-    ("bo", "Tea is served at four", "ana", "Lifts are inspected yearly"),
-]
-_PAIRS_SQL = "(VALUES " + ", ".join(f"({i}, {', '.join(map(_sql, p))})" for i, p in enumerate(_PAIRS)) + ") v(i, na, nt, oa, ot)"
+#: Every document with the one before it of its source: the text with a signal after it.
+_SIGNALS = ["", " now on plan b", " retries disabled", " portal hosted on fly", " retries enabled", " ingest uses kafka"]
+_PAIRS_SQL = f"""(SELECT * FROM (SELECT doc_id, lang AS na, t AS nt, lag(lang) OVER w AS oa, lag(t) OVER w AS ot, lag(doc_id) OVER w AS old_id FROM
+    (SELECT *, coalesce(text, '') || {_list(_SIGNALS)}[doc_id % {len(_SIGNALS)} + 1] AS t FROM documents) WINDOW w AS (PARTITION BY source ORDER BY doc_id)) WHERE old_id IS NOT NULL)"""
 
 
-def _pairs(spark) -> DataFrame:
-    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(_PAIRS)], "i int, na string, nt string, oa string, ot string")
-    side = lambda id_, author, text, at: F.struct(id_.alias("id"), F.col(author).alias("author"), F.col(text).alias("content"), F.col(text).alias("compressed"), F.lit(at).cast("timestamp").alias("created_at"))
-    return rows.select("i", "nt", "ot", side(F.concat(F.lit("n"), F.col("i")), "na", "nt", "2026-01-02").alias("new"), side(F.concat(F.lit("o"), F.col("i")), "oa", "ot", "2026-01-01").alias("old"), F.lit(1).alias("rank"))
+def _pairs(spark, d) -> DataFrame:
+    signal = F.get(F.array(*map(F.lit, _SIGNALS)), (F.col("doc_id") % len(_SIGNALS)).cast("int"))
+    rows = table(spark, d, "documents").select("doc_id", "source", F.col("lang").alias("na"), F.concat(F.coalesce("text", F.lit("")), signal).alias("nt"))
+    w = Window.partitionBy("source").orderBy("doc_id")
+    rows = rows.select("doc_id", "na", "nt", F.lag("na").over(w).alias("oa"), F.lag("nt").over(w).alias("ot"), F.lag("doc_id").over(w).alias("old_id")).filter("old_id is not null")
+    side = lambda id_, author, text: F.struct(F.col(id_).alias("id"), F.col(author).alias("author"), F.col(text).alias("content"), F.col(text).alias("compressed"), F.timestamp_seconds(id_).alias("created_at"))
+    return rows.select("doc_id", "nt", "ot", side("doc_id", "na", "nt").alias("new"), side("old_id", "oa", "ot").alias("old"), F.lit(1).alias("rank"))
 
 
-@query(f"SELECT i, {_any('lower(nt)', C.SUPERSEDE_SIGNALS)} AS hit FROM {_PAIRS_SQL}")
+@query(f"SELECT doc_id, {_any('lower(nt)', C.SUPERSEDE_SIGNALS)} AS hit FROM {_PAIRS_SQL}")
 def supersede(spark, d):
-    return _pairs(spark).select("i", K.supersede_signal("nt").alias("hit"))
+    return _pairs(spark, d).select("doc_id", K.supersede_signal("nt").alias("hit"))
 
 
 def _negation(a: str, b: str) -> str:
@@ -414,33 +411,58 @@ def _negation(a: str, b: str) -> str:
     return "(" + " OR ".join(one.format(x, y, _sql(p), _sql(n)) for p, n in C.NEGATION_PAIRS for x, y in ((a, b), (b, a))) + ")"
 
 
-@query(f"SELECT i, {_negation('lower(nt)', 'lower(ot)')} AS hit FROM {_PAIRS_SQL}")
+@query(f"SELECT doc_id, {_negation('lower(nt)', 'lower(ot)')} AS hit FROM {_PAIRS_SQL}")
 def negation(spark, d):
-    return _pairs(spark).select("i", K.negation("nt", "ot").alias("hit"))
+    return _pairs(spark, d).select("doc_id", K.negation("nt", "ot").alias("hit"))
 
 
-@query()
+_BARE = r"regexp_replace({0}, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')"
+
+
+def _claims_sql(text: str) -> str:
+    found = []
+    for verb, aliases in C.CLAIM_VERBS:
+        for a in aliases:
+            before = _WORDS.format(f"substr({text}, 1, strpos({text}, {_sql(a)}) - 1)")
+            after = _WORDS.format(f"substr({text}, strpos({text}, {_sql(a)}) + {len(a)})")
+            object_ = _BARE.format(f"coalesce(list_filter({after}, lambda w: octet_length(encode(w)) > 1)[1], '')")
+            found.append(f"{{'place': strpos({text}, {_sql(a)}), 's': coalesce({before}[-1], ''), 'v': {_sql(verb)}, 'o': {object_}}}")
+    return "list_filter([" + ", ".join(found) + "], lambda c: c.place > 0 AND c.s <> '' AND c.o <> '')"
+
+
+_COMPETING = f"""cl AS (SELECT *, lower(nt) AS nl, lower(ot) AS ol FROM {_PAIRS_SQL}), c AS (SELECT *, {_claims_sql('nl')} AS nc, {_claims_sql('ol')} AS oc FROM cl),
+    cp AS (SELECT *, list_filter(flatten(list_transform(nc, lambda n: list_transform(oc, lambda o: {{'n': n, 'o': o}}))), lambda p: p.n.s = p.o.s AND p.n.v = p.o.v AND p.n.o <> p.o.o)[1] AS p FROM c),
+    cd AS (SELECT doc_id, old_id, na, oa, nt, ot, CASE WHEN p IS NOT NULL THEN concat(p.n.s, ' ', p.n.v, ' ', chr(39), p.o.o, chr(39), ' vs ', chr(39), p.n.o, chr(39)) END AS difference FROM cp)"""
+
+
+@query(f"WITH {_COMPETING} SELECT doc_id, difference FROM cd")
 def competing_claim(spark, d):
-    return _pairs(spark).select("i", K.competing("nt", "ot").alias("difference"))
+    return _pairs(spark, d).select("doc_id", K.competing("nt", "ot").alias("difference"))
+
+
+_SET = "list_distinct(" + _WORDS + ")"
+_JACCARD = "(len(list_intersect({0}, {1})) / CAST(len({0}) + len({1}) - len(list_intersect({0}, {1})) AS DOUBLE))"
 
 
 @query(
-    """SELECT * FROM (VALUES ('n0', 'o0', 'duplicate', 0.95::DOUBLE, 'skip', 'discard_new'), ('n1', 'o1', 'supersede', 0.8::DOUBLE, 'replace', NULL), ('n3', 'o3', 'contradicts', 0.75::DOUBLE, 'ask_user', NULL),
-    ('n4', 'o4', 'supersede', 0.7::DOUBLE, 'ask_user', NULL), ('n5', 'o5', 'supersede', 0.7::DOUBLE, 'ask_user', NULL), ('n6', 'o6', 'supersede', 0.8::DOUBLE, 'replace', NULL)) v(new_id, existing_id, relation, confidence, suggested_action, resolution)"""
+    f"""WITH {_COMPETING}, r AS (SELECT *, CASE WHEN len({_SET.format('nt')}) + len({_SET.format('ot')}) = 0 OR {_JACCARD.format(_SET.format('nt'), _SET.format('ot'))} > {C.DUPLICATE_ABOVE} THEN 1
+        WHEN na = oa AND {_any('lower(nt)', C.SUPERSEDE_SIGNALS)} THEN 2 WHEN {_negation('lower(nt)', 'lower(ot)')} THEN 3 WHEN difference IS NOT NULL THEN 4 END AS rule FROM cd)
+    SELECT doc_id AS new_id, old_id AS existing_id, ['duplicate', 'supersede', 'contradicts', 'supersede'][rule] AS relation, [0.95, 0.8, 0.75, 0.7][rule]::DOUBLE AS confidence, ['skip', 'replace', 'ask_user', 'ask_user'][rule] AS suggested_action,
+           CASE WHEN rule = 4 THEN difference END AS key_difference, CASE WHEN rule = 1 THEN 'discard_new' END AS resolution FROM r WHERE rule IS NOT NULL"""
 )
 def conflict_route(spark, d):
-    found = K.analyze(_pairs(spark)).withColumn("resolution", K.auto_resolution())
-    return found.select("new_id", "existing_id", "relation", "confidence", "suggested_action", "resolution")
+    found = K.analyze(_pairs(spark, d)).withColumn("resolution", K.auto_resolution())
+    return found.select("new_id", "existing_id", "relation", "confidence", "suggested_action", "key_difference", "resolution")
 
 
-_SET = "list_distinct(" + _WORDS + ")"
-
-
-@query(f"WITH s AS (SELECT doc_id, {_SET.format('text')} AS w FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w)) / CAST(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS DOUBLE), 6) AS sim FROM s a JOIN s b ON a.doc_id + 1 = b.doc_id")
+@query(
+    f"""WITH s AS (SELECT doc_id, list_sort({_SET.format("coalesce(text, '')")}) AS w FROM documents), g AS (SELECT w, min(doc_id) AS class_id, count(*) AS n FROM s GROUP BY w),
+    i AS (SELECT a.class_id AS a, b.class_id AS b, a.n AS an, b.n AS bn, len(a.w) + len(b.w) AS total, len(list_intersect(a.w, b.w)) AS same FROM g a JOIN g b ON a.class_id < b.class_id AND least(len(a.w), len(b.w)) >= {C.DUPLICATE_ABOVE} * greatest(len(a.w), len(b.w))),
+    l AS (SELECT * FROM i WHERE same / CAST(total - same AS DOUBLE) > {C.DUPLICATE_ABOVE}), p AS (SELECT class_id, sum(n) AS more FROM (SELECT a AS class_id, bn AS n FROM l UNION ALL SELECT b, an FROM l) GROUP BY class_id)
+    SELECT s.doc_id, g.class_id, CAST(g.n - 1 + coalesce(p.more, 0) AS BIGINT) AS links FROM s JOIN g ON s.w = g.w LEFT JOIN p ON g.class_id = p.class_id"""
+)
 def near_dup_jaccard(spark, d):
-    docs = table(spark, d, "documents")
-    a, b = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), docs.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    return a.join(b, a["a"] + 1 == b["b"]).select("a", "b", F.round(X.similarity("x", "y"), 6).alias("sim"))
+    return similar_documents(table(spark, d, "documents"))
 
 
 _VOTES = "e AS (SELECT doc_id, count_if(quality = 1) AS e, count_if(toxic = 1) AS x FROM labels GROUP BY doc_id)"
@@ -474,31 +496,32 @@ _CONTENT = "list_distinct(list_filter(" + _TERMS + ", lambda t: NOT list_contain
 
 
 @query(
-    f"""WITH c0 AS (SELECT item_id AS answer_id, list_filter({_SENTENCES.format('text')}, lambda s: octet_length(encode(s)) > 1) AS cs FROM benchmark),
+    f"""WITH {_BM25}, c0 AS (SELECT item_id AS answer_id, list_filter({_SENTENCES.format('text')}, lambda s: octet_length(encode(s)) > 1) AS cs FROM benchmark),
     c1 AS (SELECT answer_id, CAST(generate_subscripts(cs, 1) - 1 AS INTEGER) AS claim_no, unnest(cs) AS claim FROM c0),
     c AS (SELECT *, {_CONTENT.format('claim')} AS t FROM c1),
-    ev AS (SELECT item_id AS answer_id, doc_id, {_CONTENT.format('d.text')} AS t FROM benchmark JOIN documents d ON doc_id % 40 = item_id % 40 AND doc_id < 400),
+    ev AS (SELECT query_id AS answer_id, {_CONTENT.format('d.text')} AS t FROM fts JOIN documents d ON CAST(doc_id AS VARCHAR) = id WHERE rank <= 5),
     s AS (SELECT c.answer_id, claim_no, len(c.t) AS m, coalesce(max(len(list_intersect(c.t, ev.t)) / CAST(len(c.t) AS DOUBLE)), 0) AS share FROM c LEFT JOIN ev ON c.answer_id = ev.answer_id GROUP BY c.answer_id, claim_no, m)
     SELECT answer_id, claim_no, round(CASE WHEN m = 0 THEN 1.0 ELSE share END, 6) AS score, (CASE WHEN m = 0 THEN 1.0 ELSE share END) >= 0.35 AS supported FROM s"""
 )
 def validate_claims(spark, d):
     answers = table(spark, d, "benchmark").select(F.col("item_id").alias("answer_id"), F.col("text").alias("answer"))
-    docs = table(spark, d, "documents").filter("doc_id < 400").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), (F.col("doc_id") % 40).alias("_k"))  # ten documents an answer are its evidence
-    evidence = answers.select("answer_id", (F.col("answer_id") % 40).alias("_k")).join(docs, "_k").withColumn("rank", F.col("id")).drop("_k")
+    docs = _plain_memories(spark, d)  # keyword search over all of them finds the evidence
+    found = S.keyword(passages_of(spark, d), docs, 5).select(F.col("query_id").alias("answer_id"), "rank", "id")
+    evidence = found.join(docs.select("id", "content"), "id")
     return G.check_claims(answers, evidence).select("answer_id", "claim_no", F.round("score", 6).alias("score"), "supported")
 
 
 def _cache(spark, d) -> DataFrame:
-    """Every fifth vector is a cached answer; every tenth of these is over."""
-    e = table(spark, d, "embeddings").filter("vec_id % 5 = 0")
+    """Every vector is a cached answer; every eighth of them is over."""
+    e = table(spark, d, "embeddings")
     at = F.lit("2025-12-31 00:00:00").cast("timestamp")
     return e.select(
         F.format_string("c%06d", "vec_id").alias("id"), F.col("embedding").alias("query_embedding"), F.concat(F.lit("answer "), F.col("vec_id")).alias("answer"), F.array(F.concat(F.lit("m"), F.col("vec_id") % 20)).alias("source_ids"), F.lit(None).cast("string").alias("room"),
-        F.timestamp_seconds(F.unix_timestamp(at) + F.col("vec_id") * 60).alias("created_at"), F.when(F.col("vec_id") % 50 == 0, at).alias("expires_at"), F.lit(0).cast("bigint").alias("hits"),
+        F.timestamp_seconds(F.unix_timestamp(at) + F.col("vec_id") * 60).alias("created_at"), F.when(F.col("vec_id") % 8 == 0, at).alias("expires_at"), F.lit(0).cast("bigint").alias("hits"),
     )
 
 
-_CACHE_SQL = "(SELECT vec_id, printf('c%06d', vec_id) AS id, embedding, CASE WHEN vec_id % 50 = 0 THEN TIMESTAMP '2025-12-31' END AS expires_at, 'm' || (vec_id % 20) AS source FROM embeddings WHERE vec_id % 5 = 0)"
+_CACHE_SQL = "(SELECT vec_id, printf('c%06d', vec_id) AS id, embedding, CASE WHEN vec_id % 8 = 0 THEN TIMESTAMP '2025-12-31' END AS expires_at, 'm' || (vec_id % 20) AS source FROM embeddings)"
 
 
 @query(f"SELECT id FROM {_CACHE_SQL} WHERE expires_at IS NULL OR expires_at > TIMESTAMP '{AS_OF}'")
@@ -518,57 +541,38 @@ def cache_invalidate(spark, d):
 
 @query(
     f"""WITH s AS (SELECT q.vec_id AS query_id, c.id AS cache_id, c.vec_id, {_COSINE.format('q.embedding', 'c.embedding')} AS sim FROM embeddings q, {_CACHE_SQL} c WHERE q.vec_id % 20 = 0 AND c.expires_at IS NULL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id DESC) AS n FROM s) SELECT query_id, cache_id, sim FROM r WHERE n = 1 AND sim >= 0.5"""
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id DESC) AS n FROM s) SELECT query_id, cache_id, sim FROM r WHERE n = 1 AND sim >= 0.3"""
 )
 def cache_tier1(spark, d):
     q = table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return G.cached(q, _cache(spark, d), AS_OF, threshold=0.5).select("query_id", "cache_id", F.round("sim", 6).alias("sim"))
+    return G.cached(q, _cache(spark, d), AS_OF, threshold=0.3).select("query_id", "cache_id", F.round("sim", 6).alias("sim"))
 
 
 @query(
-    f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, {_COSINE.format('q.embedding', 'v.embedding')} AS sim FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 1),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS n FROM s)
-    SELECT query_id, CASE WHEN count_if(n <= 5 AND label <> 0 AND sim >= 0.8) > 0 THEN 'answer' WHEN count_if(n <= 5 AND label <> 0 AND sim >= 0.5) > 0 THEN 'grounding' ELSE 'miss' END AS tier FROM r GROUP BY query_id"""
+    f"""WITH c AS (SELECT q.vec_id AS query_id, c.vec_id, {_COSINE.format('q.embedding', 'c.embedding')} AS sim FROM embeddings q, {_CACHE_SQL} c WHERE q.vec_id % 20 = 0 AND c.expires_at IS NULL),
+    h AS (SELECT query_id, vec_id AS hit FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id DESC) AS n FROM c) WHERE n = 1 AND sim >= 0.85),
+    s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, {_COSINE.format('q.embedding', 'v.embedding')} AS sim FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS n FROM s),
+    k AS (SELECT query_id, list(id ORDER BY n) FILTER (n <= 5 AND label <> 0 AND sim >= 0.4) AS strong, list(id ORDER BY n) FILTER (n <= 5 AND label <> 0 AND sim >= 0.33) AS weak FROM r GROUP BY query_id)
+    SELECT k.query_id, CASE WHEN hit IS NOT NULL THEN 'hit' WHEN len(strong) > 0 THEN 'answer' WHEN len(weak) > 0 THEN 'grounding' ELSE 'miss' END AS tier,
+           CASE WHEN hit IS NOT NULL THEN 'answer ' || hit WHEN len(strong) > 0 THEN array_to_string(list_transform(strong, lambda i: 'text ' || i), chr(10) || chr(10)) WHEN len(weak) > 0 THEN array_to_string(list_transform(weak, lambda i: 'text ' || i), chr(10) || chr(10)) END AS answer,
+           CASE WHEN hit IS NOT NULL THEN printf('c%06d', hit) WHEN len(strong) > 0 THEN array_to_string(list_transform(strong, lambda i: printf('%08d', i)), ',') WHEN len(weak) > 0 THEN array_to_string(list_transform(weak, lambda i: printf('%08d', i)), ',') END AS ids FROM k LEFT JOIN h ON k.query_id = h.query_id"""
 )
 def cache_tiers(spark, d):
     e = table(spark, d, "embeddings")
-    memories = e.select(F.col("vec_id").alias("id"), F.concat(F.lit("text "), F.col("vec_id")).alias("content"), "embedding", F.when(F.col("label") == 0, "archived").otherwise("active").alias("state"), F.lit(0.8).alias("confidence"), F.lit(None).cast("string").alias("room"), F.lit(True).alias("in_index"))
-    memories = memories.withColumn("id", F.format_string("%08d", "id"))
-    q = e.filter("vec_id % 20 = 1").select(F.col("vec_id").alias("query_id"), "embedding")
-    return G.lookup(q, _cache(spark, d).limit(0), memories, AS_OF).select("query_id", "tier")
+    memories = e.select(F.format_string("%08d", "vec_id").alias("id"), F.concat(F.lit("text "), F.col("vec_id")).alias("content"), "embedding", F.when(F.col("label") == 0, "archived").otherwise("active").alias("state"), F.lit(0.8).alias("confidence"), F.lit(None).cast("string").alias("room"), F.lit(True).alias("in_index"))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return G.lookup(q, _cache(spark, d), memories, AS_OF, answer=0.4, ground=0.33).select("query_id", "tier", "answer", F.when(F.size("ids") > 0, F.array_join("ids", ",")).alias("ids"))
 
 
 # Store
 
 
-@query("SELECT doc_id FROM documents WHERE lang = 'fr' ORDER BY doc_id DESC LIMIT 20")
-def list_filtered(spark, d):
-    return table(spark, d, "documents").filter("lang = 'fr'").orderBy(F.desc("doc_id")).limit(20).select("doc_id")
-
-
-@query("SELECT count(*) AS total, CAST(count_if(toxic = 1) AS BIGINT) AS disputed, CAST(count_if(toxic = 0) AS BIGINT) AS active FROM labels")
-def state_counts(spark, d):
-    return table(spark, d, "labels").agg(F.count("*").alias("total"), F.count_if(F.col("toxic") == 1).alias("disputed"), F.count_if(F.col("toxic") == 0).alias("active"))
-
-
 @query("SELECT user_id, event_id, n FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS n FROM events) WHERE n <= 10")
 def timeline_topn(spark, d):
     return K.newest_first(table(spark, d, "events"), "user_id", 10, "ts", "event_id").select("user_id", "event_id", "n")
 
 
-@query("SELECT DISTINCT n_nationkey AS id, n_regionkey AS target FROM nation WHERE n_nationkey IN (1, 2, 3) OR n_regionkey IN (1, 2, 3)")
-def edges_for(spark, d):
-    edges = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("source_id"), F.col("n_regionkey").alias("target_id"))
-    keys = spark.createDataFrame([(1,), (2,), (3,)], "_id int")
-    ends = [edges.join(keys, F.col(c) == F.col("_id"), "left_semi") for c in ("source_id", "target_id")]
-    return ends[0].union(ends[1]).dropDuplicates(["id"]).select("id", F.col("target_id").alias("target"))
-
-
-@query("SELECT event_id FROM events WHERE event_type <> 'view' ORDER BY value DESC, event_id LIMIT 25")
-def embed_queue_pop(spark, d):
-    return table(spark, d, "events").filter("event_type <> 'view'").orderBy(F.desc("value"), "event_id").limit(25).select("event_id")
-
-
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, count(*) - 1 AS access_count FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM labels) GROUP BY doc_id")
 def touch_access(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit(0).cast("bigint").alias("access_count"))
@@ -581,33 +585,32 @@ def import_dedup(spark, d):
     return files.new_only(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id")), stored)
 
 
-@query("SELECT doc_id, '{\"id\":' || doc_id || ',\"scope\":\"' || lang || '\"}' AS line FROM documents WHERE lang = 'en'")
-def export_scope(spark, d):
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("lang").alias("scope"))).alias("line"))
-
-
 # Capture
 
 
 def _events(spark, d) -> DataFrame:
     c = table(spark, d, "conversations")
-    event = F.when(F.col("turn") == 0, "session_start").when(F.col("role") == "user", "prompt_submit").otherwise("ai_response")
+    last = F.col("turn") == F.max("turn").over(Window.partitionBy("conv_id"))
+    event = F.when(F.col("turn") == 0, "session_start").when(last, "session_end").when(F.col("role") == "user", "prompt_submit").otherwise("ai_response")
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 3600 + F.col("turn"))
     none = F.lit(None).cast("string")
     return c.select(event.alias("event"), F.col("conv_id").cast("string").alias("session_id"), F.lit("ide").alias("ide"), none.alias("cwd"), F.lit("r").alias("room"), F.col("text").alias("content"), none.alias("prompt"), none.alias("tool"), none.alias("result"), at.alias("ts"))
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS id, 'ide' AS ide, min(1700000000 + conv_id * 3600 + turn) AS started FROM conversations GROUP BY conv_id")
+@query("SELECT CAST(conv_id AS VARCHAR) AS id, 'ide' AS ide, 'r' AS room, min(1700000000 + conv_id * 3600 + turn) AS started, CASE WHEN max(turn) > 0 THEN max(1700000000 + conv_id * 3600 + turn) END AS ended FROM conversations GROUP BY conv_id")
 def sessions_upsert(spark, d):
-    return H.sessions(_events(spark, d)).select("id", "ide", F.unix_timestamp("started_at").alias("started"))
+    return H.sessions(_events(spark, d)).select("id", "ide", "room", F.unix_timestamp("started_at").alias("started"), F.unix_timestamp("ended_at").alias("ended"))
 
 
-@query("SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session_id, CASE WHEN role = 'user' THEN 'prompt' ELSE 'response' END AS kind, text AS content FROM conversations WHERE turn > 0")
+@query(
+    f"""WITH t AS (SELECT row_number() OVER () AS id, CAST(conv_id AS VARCHAR) AS session_id, CASE WHEN role = 'user' THEN 'prompt' ELSE 'response' END AS kind, 1700000000 + conv_id * 3600 + turn AS at, coalesce(text, '') AS text, turn, max(turn) OVER (PARTITION BY conv_id) AS final FROM conversations),
+    k AS (SELECT * FROM t WHERE turn > 0 AND turn < final) SELECT session_id, kind, k.at, c.text AS content, compressed FROM {_compressed('(SELECT id, text FROM k)')} c JOIN k ON k.id = c.id"""
+)
 def observations(spark, d):
-    return H.observations(_events(spark, d)).select("session_id", "kind", "content").distinct()
+    return H.observations(_events(spark, d)).select("session_id", "kind", F.unix_timestamp("created_at").alias("at"), "content", "compressed")
 
 
-@query()
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS id, 256 AS dim, CASE WHEN len({_TOKENS.format('text')}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents")
 def reindex(spark, d):
     rows = files.document_memories(spark, d).withColumn("embedding", V.embed("content"))
     return rows.select("id", F.size("embedding").alias("dim"), F.round(V.norm("embedding"), 4).alias("norm"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import tomllib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from cairn.functions import text as X
 from cairn.functions import values as C
 from cairn.functions.schema import EXPORTED, MEMORY_FIELDS
 from cairn.functions.vectors import embed
+from cairn.sources.shared import settle, sound
 
 #: Settings and their defaults.
 DEFAULTS = {
@@ -77,8 +78,37 @@ def decode_vectors(column: Column | str) -> Column:
 
 def pack_vectors(rows: list[tuple[str, list[float]]], dim: int) -> bytes:
     """The packed form: magic, dim (u32), count (u64), and for each: length of id (u16), id, dim floats."""
-    body = b"".join(struct.pack("<H", len(k := i.encode())) + k + encode_vector(v) for i, v in rows)
-    return C.VECTOR_MAGIC + struct.pack("<IQ", dim, len(rows)) + body
+    return C.VECTOR_MAGIC + struct.pack("<IQ", dim, len(rows)) + _packed(rows)
+
+
+def _packed(rows: Iterable[tuple[str, list[float]]]) -> bytes:
+    return b"".join(struct.pack("<H", len(k := i.encode())) + k + encode_vector(v) for i, v in rows)
+
+
+def write_vectors(vectors: DataFrame, path: str, dim: int) -> int:
+    """One packed file of (id, embedding), which any file system of Spark's may hold; returns how many.
+
+    The form is one file with the count in front. Its parts are packed by the
+    executors and pass through the driver one partition at a time.
+    """
+    rows = vectors.filter(F.size("embedding") == dim).select("id", F.col("embedding").cast("array<float>").alias("embedding"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"body": [_packed(zip(frame["id"], frame["embedding"], strict=True))], "n": [len(frame)]})
+
+    parts = settle(rows.mapInPandas(run, "body binary, n bigint"))
+    count = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    spark = vectors.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(C.VECTOR_MAGIC + struct.pack("<IQ", dim, count)))
+        for row in parts.toLocalIterator():
+            out.write(row["body"])
+    finally:
+        out.close()
+    return count
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -121,7 +151,7 @@ def as_memories(rows: DataFrame, intensity: str = "full", with_embedding: bool =
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table, dealt out evenly if its files give fewer tasks than there are cores."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    df = sound(spark).read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 

@@ -1,6 +1,8 @@
 import json
+import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
@@ -8,6 +10,8 @@ from cairn.functions import vectors as V
 from cairn.operators import budget as B
 from cairn.operators import conflict as K
 from cairn.operators import grounding as G
+from cairn.operators import search as S
+from cairn.operators import similar
 from cairn.operators.store import DimensionMismatch, ModelMismatch, NotFound, Store
 from cairn.plans.engine import Engine, parse_action, parse_scope
 from cairn.sources import files
@@ -117,6 +121,79 @@ def test_store(spark, tmp_path):
     assert Store(spark, f"file://{tmp_path}/s").meta_get("embedding_dim") == "4"
 
 
+def test_store_rows(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", "2026-01-05 00:00:00")
+    rows = spark.createDataFrame([("a", "one", "2026-01-01", [1.0, 0.0]), ("b", "two", "2026-01-02", [0.0]), ("c", "three", "2026-01-03", None)], "id string, content string, created_at string, embedding array<float>")
+    store.append("memories", rows.withColumn("in_index", F.lit(False)))
+    with pytest.raises(ValueError):
+        store.append("memories", rows)
+    with pytest.raises(NotFound):
+        store.replace("memories", spark.createDataFrame([("a", "x"), ("zz", "y")], "id string, content string"))
+    store.replace("memories", spark.createDataFrame([("a", "new", "2030-01-01")], "id string, content string, created_at string").withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0))).withColumn("in_index", F.lit(False)))
+    row = store.get("memories", "a")
+    assert (row["content"], str(row["created_at"])) == ("new", "2026-01-01 00:00:00")
+    assert store.rebuild_index(2) == 1
+    assert store.rebuild_index(2) == 0
+    store.set_embedding("c", [0.5, 0.5])
+    assert store.get_embedding("c") == [0.5, 0.5]
+    assert store.get_embedding("zz") is None
+    assert {r["id"] for r in store.index().collect()} == {"a", "c"}
+    store.upsert("sessions", spark.createDataFrame([("s",)], "id string"))
+    assert [r["id"] for r in store.known_sessions(spark.createDataFrame([("s",), ("t",)], "id string")).collect()] == ["s"]
+    plan = store.table("memories").filter("id = 'a'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(id,a)" in plan
+
+
+def test_two_writers_leave_one_outcome(spark, tmp_path):
+    stores = [Store(spark, f"file://{tmp_path}/s") for _ in range(2)]
+    for name, store in zip("xy", stores, strict=True):
+        store.meta_set("k", name)
+    greater = max(zip(stores, "xy", strict=True), key=lambda p: p[0]._writer)[1]
+    assert {s.meta_get("k") for s in stores} == {greater}
+    ids = [s.enqueue("memory", name, "", 1) for name, s in zip("xy", stores, strict=True)]
+    assert len(set(ids)) == 2
+
+
+def test_neighbours_of_mixed_widths_and_ties(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 2.0]), (3, None), (4, [0.0, 0.0])], "query_id long, embedding array<float>")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, None), (5, []), *((i, [0.0, 3.0]) for i in range(20, 9, -1))], "id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in S.nearest(q, v, 3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["sim"]))
+    assert sorted(got[1]) == [(1, 3, 1.0), (2, 1, 0.0), (3, 2, 0.0)]
+    assert sorted(got[2]) == [(1, 2, 1.0), (2, 10, 1.0), (3, 11, 1.0)]
+    assert sorted(got[3]) == sorted(got[4]) == [(1, 1, 0.0), (2, 2, 0.0), (3, 3, 0.0)]
+    assert S.nearest(q, v.limit(0), 3).count() == 0
+
+
+def test_fused_ids_are_not_doubled(spark):
+    """The inputs of the union are read in unlike numbers of partitions; each id still comes once."""
+    rows = spark.createDataFrame([(q, f"d{i}", float(i)) for q in range(3) for i in range(9)], "query_id int, id string, x double")
+    ranks = [rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("x"), "id"))) for _ in range(2)]
+    few = spark.createDataFrame([(0, "d1", 1.0)], "query_id int, id string, x double").groupBy("query_id").agg(F.min("id").alias("id")).withColumn("rank", F.lit(1))
+    found = S.fuse([*ranks, few]).select("id")
+    again = found.groupBy("id").agg(F.count("*").alias("n")).join(found.distinct(), "id")
+    assert {r["n"] for r in again.collect()} == {3}
+
+
+def test_similar_documents(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 4)
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(4000)}" for _ in range(40)] for _ in range(4)]
+    texts = []
+    for _ in range(120):
+        words = list(rng.choice(base))
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(40)] = f"x{rng.randrange(30)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate([*texts, *texts[:10], "", None, "lone", texts[0].replace(" ", "  ")]))
+    sets = {i: frozenset((t or "").split()) for i, t in rows}
+    alike = lambda a, b: (not a and not b) or len(a & b) / len(a | b) > 0.9
+    want = {i: (min(j for j in sets if sets[j] == s), sum(alike(s, o) for j, o in sets.items() if j != i)) for i, s in sets.items()}
+    got = similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: (r["class_id"], r["links"]) for r in got} == want
+
+
 def test_engine(spark, tmp_path):
     root = f"file://{tmp_path}/e"
     e = Engine(spark, root)

@@ -1,6 +1,7 @@
 import pytest
 from compare import connect, rows
 
+import cairn.plans.store_queries  # noqa: F401
 from cairn.plans.queries import ORACLE, QUERIES
 
 
