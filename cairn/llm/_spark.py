@@ -7,6 +7,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.sources.files import read_table
+from cairn.sources.shared import settle as _settle
+from cairn.sources.shared import shared_folder, sound
 
 #: Rows of one Arrow batch. Long texts make large batches, so the count is small.
 BATCH_ROWS = 500
@@ -23,6 +25,7 @@ def read_once(path: str) -> bytes:
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Sets the Arrow batch size, and a checkpoint folder only where none is configured."""
+    sound(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if spark.sparkContext.getCheckpointDir() is None:
@@ -30,11 +33,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of this machine only where none is named, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(prepare(spark), sf_dir, name)
 
@@ -47,4 +45,4 @@ def buckets(total: int, per_bucket: int = BUCKET_BYTES, least: int = 64) -> int:
 def settle(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared checkpoint folder and cuts the lineage there."""
     prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _settle(df)
