@@ -244,8 +244,8 @@ def apply(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     """The table with one row of each class, that of the least id, and of rows with that id that of the least hash of its text."""
     found = _classified(df, id_col, text_col, least).filter("doc is not null and f1 is not null")
     texts = settle(found.groupBy("class_id", "doc", "h").agg(F.count("*").alias("n")))
-    stays = texts.groupBy("class_id").agg(F.min(F.struct("doc", "h")).alias("stays"))
-    judged = texts.join(stays, "class_id").select("doc", "h", "n", (F.col("stays") == F.struct("doc", "h")).alias("stay"))
+    stays = texts.groupBy("class_id").agg(F.min(F.struct("doc", "h")).alias("first")).select("first.doc", "first.h", F.lit(True).alias("stay"))
+    judged = texts.join(stays, ["doc", "h"], "left").select("doc", "h", "n", F.coalesce("stay", F.lit(False)).alias("stay"))  # met by row: a class may hold very many
     rows = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("h"))
     left = rows.join(judged.filter("not stay").select("doc", "h").hint("shuffle_hash"), ["doc", "h"], "left_anti")
     again = judged.filter("stay and n > 1").select("doc", "h")
