@@ -1,6 +1,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -64,11 +65,23 @@ def test_embedding(spark):
     assert abs(sum(x * x for x in rows[0]["e"]) - 1) < 1e-4
     assert not any(rows[2]["e"])
     assert not any(rows[3]["e"])
-    assert V.hashes([b"redis", "é".encode(), b""])[:2].tolist() == [11748835841157022580, 775207407765167617]
+    assert V.hashes(*V.strings(pa.array(["redis", "é", ""])))[:2].tolist() == [11748835841157022580, 775207407765167617]
     with pytest.raises(ValueError):
         V.embedder("elsewhere")
 
 
+def test_hashes_of_slices_and_long_strings():
+    def plain(word):
+        h = 14695981039346656037
+        for byte in word.encode():
+            h = (h ^ byte) * 1099511628211 % 2**64
+        return h
+
+    words = ["", "redis", "x" * 100_000, "é", "redis", "日本", "a"]
+    assert V.hashes(*V.strings(pa.array(words).slice(1, 5))).tolist() == [plain(w) for w in words[1:6]]
+    assert V.hashes(*V.strings(pa.array([], pa.string()))).tolist() == []
+
+
 def test_condense(spark):
     text = "Alpha is first. Beta has the answer here. Gamma closes."
     assert one(spark, B.condense(F.lit("beta answer"), F.lit(text), F.lit(8))) == "Beta has the answer here."
