@@ -10,8 +10,8 @@ smaller document has the same words: the union of the matching windows is the
 maximal repeat. Hits that agree in all places within a chunk are merged first,
 so a passage that many documents share is a few rows for each chunk.
 
-Words are runs of other bytes than ASCII white space. Windows are compared by
-64-bit hashes among hits of the same 64-bit block hash.
+Words are runs of other bytes than ASCII white space. Windows agree if both the
+64-bit hash of the block and that of the whole window do.
 
 Cases: null text has no words, and null stays null in ``apply``; texts of fewer
 words than a window keep all; documents of equal ids do not count against each
@@ -163,10 +163,9 @@ def _extend(bodies: list[bytes]) -> list[bytes | None]:
         r = rows[around[rows, o] != 0]
         if not len(r):
             continue
-        key = V.mix(anchor[r]) ^ around[r, o]
-        r = r[np.lexsort((ids[r], key))]
-        key = V.mix(anchor[r]) ^ around[r, o]
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        r = r[np.lexsort((ids[r], around[r, o], anchor[r]))]
+        block, window = anchor[r], around[r, o]
+        begin = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (window[1:] != window[:-1])]))
         least = np.repeat(ids[r][begin], np.diff(np.append(begin, len(r))))
         found[r[ids[r] > least]] |= np.uint32(1 << o)
     out, at = [], 0
