@@ -39,6 +39,8 @@ CHUNK, GROUP, BLOCK = 256, 1 << 14, 1 << 11
 TOGETHER = 1 << 12
 #: Share of pairs up to which they are scored one by one; beyond, their rows and columns are multiplied whole.
 SPARSE = 1 / 16
+#: Lengths' product below which products and sums of doubles are exact whole numbers.
+EXACT = 1 << 52
 #: Pairs that are scored one by one at a time.
 PAIRS = 1 << 16
 _PACKED = "dim int, grp int, block int, is_vector int, ids binary, data binary"
@@ -81,31 +83,42 @@ class Best:
         self.pairs += int(alive.sum())
         bound = np.zeros(alive.shape)
         for resolution, mine in zip(RESOLUTIONS, self.stats, strict=True):
-            rows, columns = rows[alive[np.ix_(rows, columns)].any(1)], columns[alive[np.ix_(rows, columns)].any(0)]
+            part = alive if alive.size == len(rows) * len(columns) else alive[np.ix_(rows, columns)]
+            rows, columns = rows[part.any(1)], columns[part.any(0)]
             if not len(rows):
                 return
-            block = np.ix_(rows, columns)
-            bound[block] = mine[rows] @ segments(y[columns], resolution).T + slack
-            alive[block] &= bound[block] >= self.least[rows, None]
+            theirs = segments(y[columns], resolution).T
+            if alive.size == len(rows) * len(columns):  # nothing to leave out, and so nothing to copy
+                np.matmul(mine, theirs, out=bound)
+                bound += slack
+                alive &= bound >= self.least[:, None]
+            else:
+                block = np.ix_(rows, columns)
+                bound[block] = mine[rows] @ theirs + slack
+                alive[block] &= bound[block] >= self.least[rows, None]
         bound[~alive] = -np.inf
-        best = np.argpartition(-bound, min(self.k, len(ids)) - 1, axis=1)[:, : self.k]
+        best = np.argpartition(bound, max(0, len(ids) - self.k), axis=1)[:, -self.k :]
         row, column = np.repeat(np.arange(len(self.ids)), best.shape[1]), best.ravel()
         first = alive[row, column]
-        self._score(row[first], column[first], ids, data, y, top)
+        self._pairs(row[first], column[first], ids, data, y, top)
         alive[row, column] = False
-        self._score(*np.nonzero(alive & (bound >= self.least[:, None])), ids, data, y, top)
-
-    def _score(self, row: np.ndarray, column: np.ndarray, ids: np.ndarray, data: np.ndarray, y: np.ndarray, top: float) -> None:
-        """Scores pairs exactly and keeps the best."""
+        alive &= bound >= self.least[:, None]
+        left = np.count_nonzero(alive)
+        if left <= SPARSE * alive.size:
+            self._pairs(*np.nonzero(alive), ids, data, y, top)
+            return
+        self.scored += left
+        whole = np.matmul(self.x, y.T, out=bound) if top < EXACT else self.exact.astype(np.int64) @ data.astype(np.int64).T
+        alive &= whole >= self.least[:, None]
+        row, column = np.nonzero(alive)
+        self._merge(np.stack([row, whole[row, column].astype(np.int64), ids[column]]))
+
+    def _pairs(self, row: np.ndarray, column: np.ndarray, ids: np.ndarray, data: np.ndarray, y: np.ndarray, top: float) -> None:
+        """Scores pairs one by one and keeps the best."""
         self.scored += len(row)
-        exact = top < 1 << 52  # products and sums of doubles are whole numbers then
-        if len(row) > SPARSE * len(self.ids) * len(ids):
-            whole = (self.x @ y.T).astype(np.int64) if exact else self.exact.astype(np.int64) @ data.astype(np.int64).T
-            score = whole[row, column]
-        else:
-            parts = [slice(i, i + PAIRS) for i in range(0, len(row), PAIRS)]
-            one = lambda p: np.einsum("ij,ij->i", self.x[row[p]], y[column[p]]).astype(np.int64) if exact else (self.exact[row[p]].astype(np.int64) * data[column[p]]).sum(1)
-            score = np.concatenate([one(p) for p in parts]) if parts else np.zeros(0, np.int64)
+        parts = [slice(i, i + PAIRS) for i in range(0, len(row), PAIRS)]
+        one = lambda p: np.einsum("ij,ij->i", self.x[row[p]], y[column[p]]).astype(np.int64) if top < EXACT else (self.exact[row[p]].astype(np.int64) * data[column[p]]).sum(1)
+        score = np.concatenate([one(p) for p in parts]) if parts else np.zeros(0, np.int64)
         keep = score >= self.least[row]
         self._merge(np.stack([row[keep], score[keep], ids[column[keep]]]))
 
