@@ -207,6 +207,25 @@ def test_similar_documents(spark, monkeypatch):
     assert {r["doc_id"]: (r["class_id"], r["links"]) for r in got} == want
 
 
+def test_similar_documents_moves_no_texts(spark):
+    rng = random.Random(5)
+    texts = [[f"word{rng.randrange(3000)}" for _ in range(600)] for _ in range(150)]
+    rows = list(enumerate(" ".join(t) for x in texts for t in (x, [*x[5:], "other", "words"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    written = lambda: sum(e.totalShuffleWrite() for e in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+    before = written()
+    assert {r["links"] for r in similar.similar_documents(df).collect()} == {1}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert written() - before < 5 * sum(len(t) for _, t in rows)
+
+
+def test_similar_documents_of_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long), (1, "quite another text"), (2, long + " more"), (None, long + " most"), (None, "lone")]
+    got = similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["links"]) for r in got) == [(0, 0), (0, 2), (1, 0), (1, 2), (2, 2)]
+
+
 def test_engine(spark, tmp_path):
     root = f"file://{tmp_path}/e"
     e = Engine(spark, root)
