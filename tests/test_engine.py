@@ -189,6 +189,46 @@ def test_fused_ids_are_not_doubled(spark):
     assert {r["n"] for r in again.collect()} == {3}
 
 
+def test_keyword_by_matrix_and_by_joins(spark, monkeypatch):
+    rng = random.Random(6)
+    some = lambda n: " ".join(rng.choice(["a", "bé", "c-d", "d", "e'f", "f", "x9", "Und so", "d-a"]) for _ in range(n))
+    empty = F.array().cast("array<string>").alias
+    docs = spark.createDataFrame([(f"m{i}", some(rng.randrange(12))) for i in range(90)], "id string, content string").select("id", "content", F.lit("").alias("summary"), empty("tags"), empty("entities"))
+    asked = spark.createDataFrame([*((i, some(6)) for i in range(7)), (8, ""), (9, "nowhere c-d-a"), (10, None)], "query_id long, query string")
+    monkeypatch.setattr(S, "ROWS", 4)
+    matrix = S.keyword(asked, docs, 5).collect()
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+    joined = S.keyword(asked, docs, 5).collect()
+    assert sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in matrix) == sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in joined)
+    assert len(matrix) >= 35
+
+
+def test_summary_and_entities_from_the_head(spark):
+    rng = random.Random(7)
+    words = ["in order to", "the", "Redis.", "well", "a.b/c.py", "`x. y`", "plain", "K8s", "due to the fact that", "application.", "\n", "Ünder", "v2.1", "\u0000", "now. "]
+    texts = ["", "one. two", *(" ".join(rng.choice(words[: rng.choice([5, 9, 15])]) for _ in range(rng.randrange(1, 90))) for _ in range(60))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.summary(X.compress("t")).alias("s"), X.entities("t").alias("e"))
+    want = [(r["s"], r["e"]) for r in df.collect()]
+    for head in (40, 120):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(X, "HEAD", head)
+            assert [(r["s"], r["e"]) for r in df.select(X.summary_of("t").alias("s"), X.entities("t").alias("e")).collect()] == want
+
+
+def test_levels_compress_once(spark):
+    plan = spark.range(1).select(F.lit("a b").alias("t")).select(X.levels("t").alias("l"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_embedding_is_that_of_the_features(spark):
+    rows = spark.createDataFrame([("redis cache redis cache layer",), ("é é",), ("a",)], "t string").select("t", V.embed("t", 16).alias("e"))
+    hashed = rows.select("t", "e", F.explode_outer(V.features("t")).alias("f")).withColumn("h", V.fnv1a("f")).select("t", "e", V.bucket("h", 16).alias("b"), V.sign("h").alias("s"))
+    for r in hashed.groupBy("t", "e").agg(F.collect_list(F.struct("b", "s")).alias("x")).collect():
+        sums = [sum(x["s"] for x in r["x"] if x["b"] == i and x["s"]) for i in range(16)]
+        length = sum(x * x for x in sums) ** 0.5 or 1
+        assert r["e"] == pytest.approx([x / length for x in sums], abs=1e-6)
+
+
 def test_similar_documents(spark, monkeypatch):
     monkeypatch.setattr(similar, "BLOCK", 4)
     rng = random.Random(4)
