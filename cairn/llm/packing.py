@@ -83,7 +83,8 @@ class Words:
         cuts = np.flatnonzero((letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])) + 1
         return V.words(data, offsets, cuts)
 
-    def _learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+    def _learn(self, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        """Adds words by their sorted hashes; returns how many now stand before each place of those known so far."""
         flat, counts = [], np.zeros(len(words), np.int64)
         texts = [w.decode() for w in words]
         plain = np.array(["\x01" not in t for t in texts], bool)
@@ -107,10 +108,11 @@ class Words:
         starts = np.zeros(len(words), np.int64)
         starts[order] = len(self.pool) + np.cumsum(counts[order]) - counts[order]
         self.pool = np.concatenate([self.pool, *flat])
-        self.hashes = np.concatenate([self.hashes, hashes])
-        self.spans = np.concatenate([self.spans, np.stack([starts, counts], 1)])
-        order = np.argsort(self.hashes)
-        self.hashes, self.spans = self.hashes[order], self.spans[order]
+        at = np.searchsorted(self.hashes, hashes)
+        moved = np.cumsum(np.bincount(at, minlength=len(self.hashes) + 1))
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.spans = np.insert(self.spans, at, np.stack([starts, counts], 1), axis=0)
+        return moved
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by 0, and how many each text has with it."""
@@ -124,8 +126,9 @@ class Words:
         if len(missing):
             new, at = np.unique(hashes[missing], return_index=True)
             raw = data.tobytes()
-            self._learn([raw[a:b] for a, b in zip(starts[missing[at]].tolist(), ends[missing[at]].tolist(), strict=True)], new)
-            known = np.searchsorted(self.hashes, hashes)
+            moved = self._learn([raw[a:b] for a, b in zip(starts[missing[at]].tolist(), ends[missing[at]].tolist(), strict=True)], new)
+            known += moved[known]
+            known[missing] = np.searchsorted(self.hashes, hashes[missing])
         spans = self.spans[known]
         ids = self.pool[gather(spans[:, 0], spans[:, 1])]
         counts = np.diff(np.concatenate([[0], np.cumsum(spans[:, 1])])[first])

@@ -420,3 +420,21 @@ def test_pipeline(spark, sf):
             assert not any(quality_base(before[d])["base_failed"] for d in texts)
         docs = spark.createDataFrame(rows, docs.schema)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
+
+
+def test_words_are_looked_up_once(monkeypatch):
+    """Words that are known are found by one search in all known words; the others move them."""
+    rng = np.random.default_rng(3)
+    with open(P.path("word_bpe_49k.json"), "rb") as f:
+        words = packing.Words(f.read())
+    searched, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *x, **y: (searched.append(np.size(v)), search(a, v, *x, **y))[1])
+    common = [f"w{i}" for i in range(3000)]
+    for k in range(4):
+        text = " ".join([*rng.permutation(common), f"only{k}", f"{k}é'{k}"])
+        ids, counts = words.encode(pa.array([text, None]))
+        assert ids.tolist() == [*words._ids(text), 0, 0]
+        assert counts.tolist() == [len(ids) - 1, 1]
+        if k:
+            assert sum(searched) < 1.5 * len(common)
+        searched.clear()
