@@ -64,7 +64,7 @@ class Words:
         self.forget()
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids  # without offsets
 
     def forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
