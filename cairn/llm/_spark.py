@@ -42,7 +42,7 @@ def buckets(total: int, per_bucket: int = BUCKET_BYTES, least: int = 64) -> int:
     return 1 << (max(least, min(1 << 24, total // per_bucket)) - 1).bit_length()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared checkpoint folder and cuts the lineage there."""
+def settle(df: DataFrame, free: bool = False) -> DataFrame:
+    """Writes the rows to the shared checkpoint folder and cuts the lineage there; with ``free`` also deletes what was shuffled for them."""
     prepare(df.sparkSession)
-    return _settle(df)
+    return _settle(df, free)

@@ -2,15 +2,15 @@
 
 A window of WINDOW bytes picks the least hash among its k-grams; equal windows
 pick the same. Windows in a row with one pick make a segment of at most
-2 * WINDOW - GRAM bytes. Documents exchange (pick, segment) hashes, which only
-tell what must meet: the bytes of every segment whose pick two documents share go
-to that pick's bucket, one copy of each distinct segment of a chunk. Segments are
-called equal where their bytes are.
+2 * WINDOW - GRAM bytes. Chunks exchange the hashes of their picks, which only
+tell what must meet: the bytes of every segment whose pick two chunks, or two
+documents of one, share go to that pick's bucket, one copy of each distinct
+segment of a chunk. Segments are called equal where their bytes are.
 
-A pick that more than HOT distinct segments share (it stands at the edge of a
-passage that very many documents have) is split: every window of its segments is
-dealt out by its own hash, one copy of each distinct window of a chunk, so what
-one key gathers is counted in chunks.
+A pick that more than about HOT distinct segments share (it stands at the edge of
+a passage that very many documents have; they are counted on one hash in SAMPLED)
+is split: every window of its segments is dealt out by its own hash, one copy of
+each distinct window of a chunk, so what one key gathers is counted in chunks.
 
 There, the distinct segments of a bucket form one text, and from its Burrows-Wheeler
 transform the intervals of all strings are expanded breadth first: an interval
@@ -44,12 +44,18 @@ from cairn.llm._spark import settle
 from cairn.llm.bpe import gather
 
 WINDOW, GRAM = 50, 25
-#: Symbols to which suffixes are sorted: 7 packed ones, doubled three times.
-DEPTH = 56
+#: Symbols to which suffixes are sorted: 7 packed ones, tripled twice.
+DEPTH = 63
 #: Bytes of one transform, unless the segments of a single pick are more.
 TEXT_BYTES = 1 << 20
+#: Bytes that are hashed or compared at a time.
+PART_BYTES = 1 << 18
 #: Distinct segments of one pick from which its windows are dealt out one by one.
 HOT = 1 << 13
+#: One segment hash in so many goes out with the picks, to count the distinct segments of each.
+SAMPLED = 16
+#: Top bits of a pick that are kept; segments are sorted by them and the other bits of their own hash in one number.
+_PICK = np.uint64(0xFFFFFFFFFFF00000)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -62,6 +68,26 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
+def _in_order(key: np.ndarray) -> np.ndarray:
+    """A stable argsort: the fast one's order of equal keys depends on the processor, so these are put in place again."""
+    order = np.argsort(key)
+    ranked = key[order]
+    same = ranked[1:] == ranked[:-1]
+    tied = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+    order[tied] = order[tied][np.lexsort((order[tied], ranked[tied]))]
+    return order
+
+
+def _parts(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where to cut pieces of these sizes into runs of at most PART_BYTES, or one piece, as arrays of numbers take many times their bytes."""
+    total = np.concatenate([[0], np.cumsum(size)])
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PART_BYTES, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
+
 def _fresh(data: np.ndarray, begin: np.ndarray, size: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     """Of pieces of data sorted by keys: which have other bytes than the one before."""
     new = np.ones(len(begin), bool)
@@ -71,10 +97,12 @@ def _fresh(data: np.ndarray, begin: np.ndarray, size: np.ndarray, *keys: np.ndar
     for key in keys:
         new[1:] |= key[1:] != key[:-1]
     alike = np.flatnonzero(~new)
-    n = size[alike]
-    differ = data[gather(begin[alike], n)] != data[gather(begin[alike - 1], n)]
-    if differ.any():
-        new[alike[np.add.reduceat(differ, np.cumsum(n) - n) > 0]] = True
+    for lo, hi in _parts(size[alike]):
+        some = alike[lo:hi]
+        n = size[some]
+        differ = data[gather(begin[some], n)] != data[gather(begin[some - 1], n)]
+        if differ.any():
+            new[some[np.add.reduceat(differ, np.cumsum(n) - n) > 0]] = True
     return new
 
 
@@ -85,8 +113,9 @@ class _View:
         self.chunk = chunk
         data, n = chunk.data, len(chunk.data)
         self.begin = self.end = self.row = np.zeros(0, np.int64)
-        self.pick = self.hash = self.sums = np.zeros(0, np.uint64)
-        self.ids = np.zeros(0, np.int64)
+        self.pick = self.picks = self.hash = self.sums = np.zeros(0, np.uint64)
+        self.ids = self.group = np.zeros(0, np.int64)
+        self.several = np.zeros(0, bool)
         if n < WINDOW:
             return
         self.sums = sums = V.prefix(V._BYTE[V._P1][data], V._P1)
@@ -104,48 +133,60 @@ class _View:
         pick = V.mix(grams[(least[a] & ~high).astype(np.int64)])  # least hashes are small ones; mixed anew they fill all buckets alike
         whole = V.spans_hash(sums, a, b + WINDOW - 1, V._P1) ^ V.mix((b - a).astype(np.uint64))
         ids = chunk.ids[doc]
-        order = np.lexsort((ids, whole, pick))
-        a, b, pick, whole, ids = a[order], b[order], pick[order], whole[order], ids[order]
-        new = _fresh(data, a, b + WINDOW - 1 - a, pick, whole)
+        key = pick & _PICK | whole >> np.uint64(44)
+        order = _in_order(key)
+        a, b, key, whole, ids = a[order], b[order], key[order], whole[order], ids[order]
+        new = _fresh(data, a, b + WINDOW - 1 - a, key)
         self.begin, self.end, self.row, self.own = a, b + WINDOW - 1, np.cumsum(new) - 1, ids
         self.first = np.flatnonzero(new)
-        self.pick, self.hash, self.ids = pick[new], whole[new], ids[new]
+        self.pick, self.hash = key[new] & _PICK, whole[new]
+        if not len(key):
+            return
+        self.ids = np.minimum.reduceat(ids, self.first)
+        other = np.concatenate([[True], self.pick[1:] != self.pick[:-1]])
+        at = np.flatnonzero(other)
+        self.picks, self.group = self.pick[at], np.cumsum(other) - 1
+        self.several = np.minimum.reduceat(self.ids, at) != np.maximum.reduceat(self.ids, at)
+
+
+def _short(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The 32 bits of sorted keys after those that name the bucket."""
+    return ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
 
 
 def _segments(bits: int):
-    """To each bucket: pick, segment hash and least document of the chunk's segments."""
+    """To each bucket: the chunk's picks, which of them two of its documents have, and the sampled segment hashes with their picks' places."""
 
     def features(chunk: C.Chunk, _) -> Iterator[tuple[int, bytes]]:
         v = _View(chunk)
-        keys = ((v.pick << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-        whole = (v.hash >> np.uint64(32)).astype(np.uint32)
-        names = np.unique(v.ids)
-        index = np.searchsorted(names, v.ids).astype(np.uint8 if len(names) <= 256 else np.uint32)
-        for b, (lo, hi) in enumerate(zip(*C.by_bucket(v.pick, bits), strict=True)):
+        keys = _short(v.picks, bits)
+        some = np.flatnonzero(v.hash % np.uint64(SAMPLED) == 0)
+        place, whole = v.group[some].astype(np.uint32), (v.hash[some] >> np.uint64(32)).astype(np.uint32)
+        for b, (lo, hi) in enumerate(zip(*C.by_bucket(v.picks, bits), strict=True)):
             if hi > lo:
-                yield b, C.pack(keys[lo:hi], whole[lo:hi], index[lo:hi][:, None], (names.astype(np.uint64) ^ np.uint64(1 << 63)))
+                i, j = np.searchsorted(place, (lo, hi))
+                yield b, C.pack(keys[lo:hi], np.packbits(v.several[lo:hi]), place[i:j] - np.uint32(lo), whole[i:j])
 
     return features
 
 
 def _share(bodies: list[bytes], hot: int = HOT) -> list[bytes | None]:
-    """For each segment: is its pick shared by two documents, so that bytes must be compared; is that pick hot."""
-    keys, whole, ids = [], [], []
+    """For each pick: is it shared by two documents, so that bytes must be compared; is it hot."""
+    keys, several, seen = [], [], []
     for body in bodies:
-        k, w, i, names = C.unpack(body)
+        k, two, place, whole = C.unpack(body)
         keys.append(k)
-        whole.append(w)
-        ids.append((names ^ np.uint64(1 << 63)).astype(np.int64)[i])
+        several.append(np.unpackbits(two, count=len(k)))
+        seen.append(k[place].astype(np.uint64) << np.uint64(32) | whole)
     sizes = [len(k) for k in keys]
-    key = np.concatenate(keys).astype(np.uint64) << np.uint64(32) | np.concatenate(whole)
-    doc = np.concatenate(ids)
+    key, two = np.concatenate(keys), np.concatenate(several)
     order = np.argsort(key, kind="stable")
-    key, doc = key[order], doc[order]
-    top = key >> np.uint64(32)
-    group = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))  # one pick
+    key = key[order]
+    group = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))  # one pick
     length = np.diff(np.append(group, len(key)))
-    shared = np.minimum.reduceat(doc, group) != np.maximum.reduceat(doc, group)
-    distinct = np.add.reduceat(np.concatenate([[True], key[1:] != key[:-1]]).astype(np.int64), group)
+    shared = (length > 1) | (np.maximum.reduceat(two[order], group) > 0)
+    counted = np.searchsorted(key[group], (np.unique(np.concatenate(seen)) >> np.uint64(32)).astype(np.uint32))
+    distinct = np.bincount(counted, minlength=len(group)) * SAMPLED
     found = np.zeros((2, len(key)), bool)
     found[0, order], found[1, order] = np.repeat(shared, length), np.repeat(shared & (distinct > hot), length)
     out, at = [], 0
@@ -158,14 +199,14 @@ def _share(bodies: list[bytes], hot: int = HOT) -> list[bytes | None]:
 
 def _verdicts(v: _View, bits: int, answers: list) -> np.ndarray:
     """Of the merged segments: which are compared, which of these have a hot pick."""
-    found = np.zeros((2, len(v.pick)), bool)
-    lo, hi = C.by_bucket(v.pick, bits)
+    found = np.zeros((2, len(v.picks)), bool)
+    lo, hi = C.by_bucket(v.picks, bits)
     for a in answers:
         if a["phase"] == 1:
             b = a["bucket"]
             for to, part in zip(found, C.unpack(a["body"]), strict=True):
                 to[lo[b] : hi[b]] = np.unpackbits(part, count=hi[b] - lo[b])
-    return found
+    return found[:, v.group]
 
 
 class _Asked:
@@ -213,10 +254,13 @@ def _contents(bits: int):
         if not len(v.pick):
             return
         asked = _Asked(v, *_verdicts(v, bits, answers))
+        keys = _short(asked.pick, bits)
         for b, (lo, hi) in enumerate(zip(*C.by_bucket(asked.pick, bits), strict=True)):
             if hi > lo:
                 size = asked.end[lo:hi] - asked.begin[lo:hi]
-                yield b, C.pack(asked.pick[lo:hi], asked.ids[lo:hi], size.astype(np.uint8)[:, None], chunk.data[gather(asked.begin[lo:hi], size)])
+                names, index = np.unique(asked.ids[lo:hi], return_inverse=True)
+                index = index.astype(np.uint8 if len(names) <= 256 else np.uint32)
+                yield b, C.pack(keys[lo:hi], index[:, None], names.astype(np.uint64) ^ np.uint64(1 << 63), size.astype(np.uint8)[:, None], chunk.data[gather(asked.begin[lo:hi], size)])
 
     return features
 
@@ -228,16 +272,18 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(7):
         key = key << np.uint64(9) | padded[i : i + n]
-    width = 7
+    width, parts = 7, 3 if n < (1 << 21) - 2 else 2  # so many ranks fit into one number
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         if width >= DEPTH:
             return order
         s = key[order]
-        rank = np.zeros(n + width, np.uint64)
-        rank[order] = 1 + np.cumsum(np.concatenate([[False], s[1:] != s[:-1]]))
-        key = rank[:n] * np.uint64(n + 2) + rank[width : width + n]
-        width *= 2
+        rank = np.zeros(n + width * (parts - 1), np.uint64)
+        rank[order] = np.cumsum(np.concatenate([[True], s[1:] != s[:-1]]))
+        key = rank[:n]
+        for i in range(1, parts):
+            key = key * np.uint64(n + 2) + rank[i * width : i * width + n]
+        width *= parts
 
 
 def common_prefixes(transform: np.ndarray, stop: int) -> np.ndarray:
@@ -304,15 +350,21 @@ def _compare(bodies: list[bytes]) -> list[bytes | None]:
     that share a pick with others, cut where a new pick begins.
     """
     parts = [C.unpack(b) for b in bodies]
-    pick, ids, size, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+    pick, size, data = (np.concatenate([p[i] for p in parts]) for i in (0, 3, 4))
+    ids = np.concatenate([(p[2] ^ np.uint64(1 << 63)).astype(np.int64)[p[1]] for p in parts])
     size = size.astype(np.int64)
     at = np.cumsum(size) - size
-    whole = V.spans_hash(V.prefix(V._BYTE[V._P1][data], V._P1), at, at + size, V._P1)
-    order = np.lexsort((ids, whole, size, pick))
-    new = _fresh(data, at[order], size[order], pick[order], whole[order])
-    one = order[new]  # the least document's copy of each distinct segment
+    whole = np.empty(len(at), np.uint64)
+    for lo, hi in _parts(size):
+        begin, end = at[lo:hi], at[lo:hi] + size[lo:hi]
+        whole[lo:hi] = V.spans_hash(V.prefix(V._BYTE[V._P1][data[begin[0] : end[-1]]], V._P1), begin - begin[0], end - begin[0], V._P1)
+    key = pick.astype(np.uint64) << np.uint64(32) | whole >> np.uint64(32)
+    order = np.argsort(key)
+    new = _fresh(data, at[order], size[order], key[order])
+    one = order[new]  # a copy of each distinct segment
     of = np.zeros(len(pick), np.int64)
     of[order] = np.cumsum(new) - 1
+    least = np.minimum.reduceat(ids[order], np.flatnonzero(new))
     starts = np.flatnonzero(np.concatenate([[True], pick[one][1:] != pick[one][:-1]]))
     many = np.repeat(np.diff(np.append(starts, len(one))) > 1, np.diff(np.append(starts, len(one))))
     rows, masks = one[many], np.zeros(len(one), np.uint32)
@@ -323,11 +375,11 @@ def _compare(bodies: list[bytes]) -> list[bytes | None]:
     while i < len(edges) - 1:
         j = max(i + 1, int(np.searchsorted(total[edges], total[edges[i]] + TEXT_BYTES, "right")) - 1)
         some = rows[edges[i] : edges[j]]
-        met[edges[i] : edges[j]] = shared_windows(data[gather(at[some], size[some])], size[some], ids[some])
+        met[edges[i] : edges[j]] = shared_windows(data[gather(at[some], size[some])], size[some], least[of[some]])
         i = j
     masks[many] = met
     found = masks[of]
-    later = ids > ids[one][of]
+    later = ids > least[of]
     found[later] |= ((np.uint64(1) << (size[later] - WINDOW + 1).astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
     out, k = [], 0
     for part in parts:
@@ -365,7 +417,7 @@ def _run(df: DataFrame, apply, schema: T.StructType, id_col: str, text_col: str,
     chunks = C.make(df, text_col)
     count = C.buckets_for(chunks)
     bits = count.bit_length() - 1
-    first = settle(C.answer(C.send(chunks, _segments(bits), id_col, text_col), count, partial(_share, hot=hot))).withColumn("phase", F.lit(1))
+    first = settle(C.answer(C.send(chunks, _segments(bits), id_col, text_col), count, partial(_share, hot=hot)), free=True).withColumn("phase", F.lit(1))
     second = C.answer(C.send(C.back(chunks, first), _contents(bits), id_col, text_col), count, _compare).withColumn("phase", F.lit(2))
     done = C.back(chunks, first.unionByName(second))
     return C.finish(done, lambda chunk, answers: apply(chunk, _removed(chunk, bits, answers)), schema, id_col, text_col)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL = "/tmp/checkpoints"
 #: Rows and bytes of one Arrow batch.
 ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+#: Spark's switch for deleting a plan's shuffle files when its action ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,9 +41,23 @@ def sound(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and cuts the lineage there; the folder is set only where none is."""
-    context = sound(df.sparkSession).sparkContext
+def settle(df: DataFrame, free: bool = False) -> DataFrame:
+    """Writes the rows to the shared folder and cuts the lineage there; the folder is set only where none is.
+
+    With ``free`` what was shuffled for it is deleted then. The plan that runs is one of its own, so nothing else reads that.
+    """
+    spark = sound(df.sparkSession)
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(shared_folder(spark))
+    if not free:
+        return df.checkpoint(eager=True)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan takes the setting when it is made
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)

@@ -1,11 +1,14 @@
 import base64
 import random
+import time
 import zlib
+from pathlib import Path
 
 import brute
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from brute_quality import base as quality_base
@@ -14,8 +17,9 @@ from brute_secrets import base as secret_base
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cairn.llm import bpe, components, html, neardup, packing, quality, secrets, substring, suffix, topk
+from cairn.llm import _chunks, bpe, components, html, neardup, packing, quality, secrets, substring, suffix, topk
 from cairn.llm._spark import prepare
+from cairn.sources import shared
 
 RANKS, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
 ODD = [None, "", " ", "a", "é\té  \n\nü", "x" * 3000, "日本語 テキスト。", "a\x00b\x01c", "don't!'s x'! é!» '' 5's", "line\n" * 40]
@@ -110,6 +114,36 @@ def test_suffix_of_hot_picks(spark, docs):
         assert by_id(suffix.digest(whole, hot=limit)) == want
 
 
+def test_suffix_messages_are_small(sf):
+    """Only picks go to all buckets: neither an id nor a whole hash for each segment."""
+    batch = pq.read_table(f"{sf}/documents.parquet").combine_chunks().to_batches()[0]
+    chunk = _chunks.Chunk(batch, "doc_id", "text")
+    for bits, share in ((6, 0.4), (13, 0.9)):
+        assert sum(len(body) for _, body in suffix._segments(bits)(chunk, None)) < share * len(chunk.data)
+
+
+def test_suffix_frees_its_first_exchange(spark, docs):
+    """What was shuffled for the picks is gone from the disk before bytes are shuffled."""
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {str(f): f.stat().st_size for d in folders for f in Path(d).rglob("shuffle_*.data") if f.exists()}
+    text = docs.agg(F.sum(F.octet_length("text"))).head()[0]
+    before = shuffled()
+    suffix.digest(docs)
+    for _ in range(40):
+        left = sum(n for f, n in shuffled().items() if f not in before)
+        if left < text / 50:
+            break
+        time.sleep(0.25)
+    assert left < text / 50
+    assert spark.conf.get(shared.CLEANUP) == "false"
+
+
+def test_order_of_equal_keys():
+    """All executors must see the same segments in the same places, whatever their processors sort with."""
+    keys = np.random.default_rng(0).integers(0, 2000, 5000).astype(np.uint64)
+    assert (suffix._in_order(keys) == np.argsort(keys, kind="stable")).all()
+
+
 def test_common_prefixes():
     text = np.frombuffer(b"mississippi$missouri$", np.uint8).astype(np.uint16)
     text = np.where(text == ord("$"), 0, text)
