@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import _vector as V
-from cairn.llm._spark import buckets, settle
+from cairn.llm._spark import BUCKET_BYTES, buckets, settle
 
 #: Rows and bytes of text of one chunk, unless one text alone is longer.
 CHUNK_ROWS, CHUNK_BYTES = 256, 1 << 20
@@ -67,26 +67,38 @@ class Chunk:
         self.ids = np.asarray(ids.cast(pa.int64()).fill_null(0)).astype(np.int64)
 
 
-def make(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """chunk long, body binary; settled."""
+def make(df: DataFrame, text_col: str = "text", join: int = 1) -> DataFrame:
+    """chunk long, body binary; settled. A chunk is up to ``join`` slices of CHUNK_ROWS and CHUNK_BYTES, at most join * CHUNK_BYTES if there are more than one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = TaskContext.get().partitionId() << 32  # type: ignore[union-attr]
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                for part in held:
+                    writer.write_batch(part)
+            return pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "body"])
+
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK_ROWS):
                 for part in V.slices(batch.slice(at, CHUNK_ROWS), text_col, CHUNK_BYTES):
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                        writer.write_batch(part)
-                    yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "body"])
-                    count += 1
+                    more = part.column(part.schema.get_field_index(text_col)).nbytes
+                    if held and (len(held) == join or size + more > join * CHUNK_BYTES):
+                        yield out()
+                        held, size, count = [], 0, count + 1
+                    held.append(part)
+                    size += more
+        if held:
+            yield out()
 
     return settle(df.mapInArrow(run, "chunk long, body binary"))
 
 
-def buckets_for(chunks: DataFrame) -> int:
+def buckets_for(chunks: DataFrame, per_bucket: int = BUCKET_BYTES) -> int:
     """As many buckets as the chunks' bytes ask for."""
-    return buckets(chunks.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).head()[0])
+    return buckets(chunks.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).head()[0], per_bucket)
 
 
 def _open(body: bytes, id_col: str, text_col: str) -> Chunk:

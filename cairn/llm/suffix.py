@@ -48,6 +48,10 @@ WINDOW, GRAM = 50, 25
 DEPTH = 63
 #: Bytes of one transform, unless the segments of a single pick are more.
 TEXT_BYTES = 1 << 20
+#: Compressed bytes of the table that one bucket stands for; more than elsewhere, as each message of a chunk to a bucket costs some 70 bytes of its own.
+BUCKET_BYTES = 16 << 20
+#: Slices of the table in one chunk, for the same reason.
+JOIN = 8
 #: Bytes that are hashed or compared at a time.
 PART_BYTES = 1 << 18
 #: Distinct segments of one pick from which its windows are dealt out one by one.
@@ -78,16 +82,26 @@ def _in_order(key: np.ndarray) -> np.ndarray:
     return order
 
 
-def _parts(size: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Where to cut pieces of these sizes into runs of at most PART_BYTES, or one piece, as arrays of numbers take many times their bytes."""
+def _parts(size: np.ndarray, limit: int = PART_BYTES) -> Iterator[tuple[int, int]]:
+    """Where to cut pieces of these sizes into runs of at most so many bytes, or one piece, as arrays of numbers take many times their bytes."""
     total = np.concatenate([[0], np.cumsum(size)])
     lo = 0
     while lo < len(size):
-        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PART_BYTES, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + limit, "right")) - 1)
         yield lo, hi
         lo = hi
 
 
+def _hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of pieces of data."""
+    out = np.empty(len(begin), np.uint64)
+    for lo, hi in _parts(size):
+        n = size[lo:hi]
+        at = np.cumsum(n) - n
+        out[lo:hi] = V.spans_hash(V.prefix(V._BYTE[V._P1][data[gather(begin[lo:hi], n)]], V._P1), at, at + n, V._P1)
+    return out
+
+
 def _fresh(data: np.ndarray, begin: np.ndarray, size: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     """Of pieces of data sorted by keys: which have other bytes than the one before."""
     new = np.ones(len(begin), bool)
@@ -113,26 +127,17 @@ class _View:
         self.chunk = chunk
         data, n = chunk.data, len(chunk.data)
         self.begin = self.end = self.row = np.zeros(0, np.int64)
-        self.pick = self.picks = self.hash = self.sums = np.zeros(0, np.uint64)
+        self.pick = self.picks = self.hash = np.zeros(0, np.uint64)
         self.ids = self.group = np.zeros(0, np.int64)
         self.several = np.zeros(0, bool)
         if n < WINDOW:
             return
-        self.sums = sums = V.prefix(V._BYTE[V._P1][data], V._P1)
-        grams = V.rolling(sums, GRAM, V._P1)
-        high = np.uint64(0xFFFFFFFF00000000)
-        least = _least((grams & high) | np.arange(len(grams), dtype=np.uint64), WINDOW - GRAM + 1)
-        ok = V.within(chunk.offsets, WINDOW, n)
-        change = np.ones(len(ok) + 1, bool)
-        change[1:-1] = (least[1:] != least[:-1]) | (ok[1:] != ok[:-1])
-        edges = np.flatnonzero(change)
-        a, b = edges[:-1], edges[1:]
-        doc = np.searchsorted(chunk.offsets, a, "right") - 1
-        use = ok[a] & chunk.known[doc]
-        a, b, doc = a[use], b[use], doc[use]
-        pick = V.mix(grams[(least[a] & ~high).astype(np.int64)])  # least hashes are small ones; mixed anew they fill all buckets alike
-        whole = V.spans_hash(sums, a, b + WINDOW - 1, V._P1) ^ V.mix((b - a).astype(np.uint64))
-        ids = chunk.ids[doc]
+        found = []
+        for lo, hi in _parts(np.diff(chunk.offsets), C.CHUNK_BYTES):
+            at = chunk.offsets[lo]
+            a, b, doc, pick, whole = self._slice(data[at : chunk.offsets[hi]], chunk.offsets[lo : hi + 1] - at, chunk.known[lo:hi])
+            found.append((a + at, b + at, chunk.ids[lo + doc], pick, whole))
+        a, b, ids, pick, whole = (np.concatenate(x) for x in zip(*found, strict=True))
         key = pick & _PICK | whole >> np.uint64(44)
         order = _in_order(key)
         a, b, key, whole, ids = a[order], b[order], key[order], whole[order], ids[order]
@@ -148,6 +153,28 @@ class _View:
         self.picks, self.group = self.pick[at], np.cumsum(other) - 1
         self.several = np.minimum.reduceat(self.ids, at) != np.maximum.reduceat(self.ids, at)
 
+    @staticmethod
+    def _slice(data: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of some documents of the chunk the first and the last window of every segment, its document, pick and hash."""
+        n = len(data)
+        if n < WINDOW:
+            return (*(np.zeros(0, np.int64) for _ in range(3)), *(np.zeros(0, np.uint64) for _ in range(2)))
+        sums = V.prefix(V._BYTE[V._P1][data], V._P1)
+        grams = V.rolling(sums, GRAM, V._P1)
+        high = np.uint64(0xFFFFFFFF00000000)
+        least = _least((grams & high) | np.arange(len(grams), dtype=np.uint64), WINDOW - GRAM + 1)
+        ok = V.within(offsets, WINDOW, n)
+        change = np.ones(len(ok) + 1, bool)
+        change[1:-1] = (least[1:] != least[:-1]) | (ok[1:] != ok[:-1])
+        edges = np.flatnonzero(change)
+        a, b = edges[:-1], edges[1:]
+        doc = np.searchsorted(offsets, a, "right") - 1
+        use = ok[a] & known[doc]
+        a, b, doc = a[use], b[use], doc[use]
+        pick = V.mix(grams[(least[a] & ~high).astype(np.int64)])  # least hashes are small ones; mixed anew they fill all buckets alike
+        whole = V.spans_hash(sums, a, b + WINDOW - 1, V._P1) ^ V.mix((b - a).astype(np.uint64))
+        return a, b, doc, pick, whole
+
 
 def _short(keys: np.ndarray, bits: int) -> np.ndarray:
     """The 32 bits of sorted keys after those that name the bucket."""
@@ -219,7 +246,7 @@ class _Asked:
         count = end[wide] - begin[wide] - WINDOW + 1
         self.of, self.place = np.repeat(wide, count), gather(np.zeros(len(wide), np.int64), count)
         at = begin[self.of] + self.place
-        windows = V.spans_hash(v.sums, at, at + WINDOW, V._P1) if len(at) else np.zeros(0, np.uint64)
+        windows = _hashes(v.chunk.data, at, np.full(len(at), WINDOW))
         order = np.lexsort((v.ids[self.of], windows))
         new = _fresh(v.chunk.data, at[order], np.full(len(order), WINDOW), windows[order])
         one = order[new]
@@ -352,12 +379,11 @@ def _compare(bodies: list[bytes]) -> list[bytes | None]:
     parts = [C.unpack(b) for b in bodies]
     pick, size, data = (np.concatenate([p[i] for p in parts]) for i in (0, 3, 4))
     ids = np.concatenate([(p[2] ^ np.uint64(1 << 63)).astype(np.int64)[p[1]] for p in parts])
+    counts = [len(p[0]) for p in parts]
+    del parts
     size = size.astype(np.int64)
     at = np.cumsum(size) - size
-    whole = np.empty(len(at), np.uint64)
-    for lo, hi in _parts(size):
-        begin, end = at[lo:hi], at[lo:hi] + size[lo:hi]
-        whole[lo:hi] = V.spans_hash(V.prefix(V._BYTE[V._P1][data[begin[0] : end[-1]]], V._P1), begin - begin[0], end - begin[0], V._P1)
+    whole = _hashes(data, at, size)
     key = pick.astype(np.uint64) << np.uint64(32) | whole >> np.uint64(32)
     order = np.argsort(key)
     new = _fresh(data, at[order], size[order], key[order])
@@ -382,9 +408,9 @@ def _compare(bodies: list[bytes]) -> list[bytes | None]:
     later = ids > least[of]
     found[later] |= ((np.uint64(1) << (size[later] - WINDOW + 1).astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
     out, k = [], 0
-    for part in parts:
-        own = found[k : k + len(part[0])]
-        k += len(part[0])
+    for n in counts:
+        own = found[k : k + n]
+        k += n
         out.append(C.pack(own[:, None]) if own.any() else None)
     return out
 
@@ -414,8 +440,8 @@ def _removed(chunk: C.Chunk, bits: int, answers: list) -> np.ndarray:
 
 
 def _run(df: DataFrame, apply, schema: T.StructType, id_col: str, text_col: str, hot: int = HOT) -> DataFrame:
-    chunks = C.make(df, text_col)
-    count = C.buckets_for(chunks)
+    chunks = C.make(df, text_col, JOIN)
+    count = C.buckets_for(chunks, BUCKET_BYTES)
     bits = count.bit_length() - 1
     first = settle(C.answer(C.send(chunks, _segments(bits), id_col, text_col), count, partial(_share, hot=hot)), free=True).withColumn("phase", F.lit(1))
     second = C.answer(C.send(C.back(chunks, first), _contents(bits), id_col, text_col), count, _compare).withColumn("phase", F.lit(2))

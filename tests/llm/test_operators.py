@@ -138,6 +138,17 @@ def test_suffix_frees_its_first_exchange(spark, docs):
     assert spark.conf.get(shared.CLEANUP) == "false"
 
 
+def test_joined_chunks(spark, docs):
+    """Slices share a chunk up to a number and to their bytes, and none is lost."""
+    texts = docs.select("doc_id", "text")
+    one, many = (_chunks.make(texts.union(texts).union(texts).coalesce(1), join=n).collect() for n in (1, 8))
+    opened = lambda rows: [_chunks._open(r["body"], "doc_id", "text") for r in rows]
+    assert 1 <= len(many) < len(one)
+    assert len({r["chunk"] for r in one}) == len(one)
+    assert b"".join(c.data.tobytes() for c in opened(many)) == b"".join(c.data.tobytes() for c in opened(one))
+    assert all(len(c.data) <= 8 * _chunks.CHUNK_BYTES or len(c.ids) == 1 for c in opened(many))
+
+
 def test_order_of_equal_keys():
     """All executors must see the same segments in the same places, whatever their processors sort with."""
     keys = np.random.default_rng(0).integers(0, 2000, 5000).astype(np.uint64)
