@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, html, neardup, packing, quality, secrets, substring, suffix, topk, toxicity
+from cairn.llm import bpe, html, merkle, neardup, packing, quality, secrets, substring, suffix, topk, toxicity
 from cairn.llm._spark import table
 
 
@@ -52,6 +52,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply(docs).drop("text", "n_lost_words")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_substring": op2_substring,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix": op8_suffix,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_merkle": op11_merkle,
 }
 ORACLE: dict[str, str] = {
     "op2_substring": r"""
@@ -125,4 +130,38 @@ ORACLE: dict[str, str] = {
         ), r AS (
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
         ) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_merkle": r"""
+        WITH RECURSIVE b AS (
+            SELECT list_transform(range(256), lambda n: list_reduce([CAST(n AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS bytes
+        ), c AS (
+            SELECT doc_id, coalesce('1' || source, '0') AS g,
+                   xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, x: xor(a >> 8, bytes[(xor(a, x) & 255) + 1]))) % 5 = 0 AS hit,
+                   coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+                   || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head, text FROM documents, b
+        ), l AS (
+            SELECT doc_id, g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   sha256(head || coalesce(strlen(text) || ':' || CASE WHEN coalesce(hit, false) THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS x FROM c
+        ), n AS (
+            SELECT *, row_number() OVER () AS row, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l
+        ), t AS (
+            SELECT g, 0 AS k, i, leaf AS h, n FROM n
+            UNION ALL SELECT g, k + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 15) // 16 FROM t WHERE n > 1 GROUP BY g, k, i // 16
+        ), s AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+        u AS (
+            SELECT 0 AS k, i, h, n FROM s
+            UNION ALL SELECT k + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 15) // 16 FROM u WHERE n > 1 GROUP BY k, i // 16
+        ), r AS (SELECT g, k, i // 16 AS p, list(h ORDER BY i) AS hs FROM t WHERE n > 1 GROUP BY g, k, i // 16),
+        v AS (SELECT k, i // 16 AS p, list(h ORDER BY i) AS hs FROM u WHERE n > 1 GROUP BY k, i // 16),
+        w AS (
+            SELECT row, g, 0 AS k, i, x, '' AS proof FROM n
+            UNION ALL SELECT row, w.g, w.k + 1, i // 16, sha256(array_to_string(hs[1:i % 16], '') || x || array_to_string(hs[i % 16 + 2:], '')),
+                             proof || array_to_string(hs[1:i % 16], '') || array_to_string(hs[i % 16 + 2:], '') FROM w JOIN r ON w.g = r.g AND w.k = r.k AND i // 16 = p
+        ), y AS (SELECT row, g, arg_max(x, k) AS x, arg_max(proof, k) AS proof FROM w GROUP BY row, g),
+        z AS (
+            SELECT row, 0 AS k, s.i, x, proof FROM y JOIN s ON y.g = s.g
+            UNION ALL SELECT row, z.k + 1, i // 16, sha256(array_to_string(hs[1:i % 16], '') || x || array_to_string(hs[i % 16 + 2:], '')),
+                             proof || array_to_string(hs[1:i % 16], '') || array_to_string(hs[i % 16 + 2:], '') FROM z JOIN v ON z.k = v.k AND i // 16 = p
+        ), e AS (SELECT row, arg_max(x, k) AS x, arg_max(proof, k) AS proof FROM z GROUP BY row)
+        SELECT doc_id, leaf, s.h AS subroot, o.h AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = o.h AS verified
+        FROM e JOIN (SELECT row, doc_id, leaf, g FROM n) n ON e.row = n.row JOIN s ON n.g = s.g, (SELECT h FROM u WHERE n = 1) o""",
 }
