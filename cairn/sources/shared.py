@@ -61,3 +61,14 @@ def settle(df: DataFrame, free: bool = False) -> DataFrame:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of what ``settle`` returned, once nothing is read from it any more."""
+    rows = df._jdf.queryExecution().analyzed()
+    if not hasattr(rows, "rdd"):
+        return
+    file = rows.rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
