@@ -123,6 +123,23 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: int =
     return spans_hash(prefix(_BYTE[p][data], p), starts, ends, p)
 
 
+def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every run."""
+    total = int(sizes.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    return np.arange(total) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def numbered_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The number of each span's bytes among the distinct ones, in the order they come, and these; told by their bytes."""
+    sizes = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    joined = np.ascontiguousarray(data[gather(starts, sizes)])
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
 def owners(counts: np.ndarray) -> np.ndarray:
     """For texts with so many items each, the index of the text of every item."""
     return np.repeat(np.arange(len(counts)), counts)

@@ -239,7 +239,7 @@ class Codec:
             lines.append(" ".join(map(self.lines.__getitem__, at[begin:end])))
             begin = end
         totals = np.concatenate([[0], np.cumsum(spans[:, 1])])[ends] if len(ends) else np.zeros(0, np.int64)
-        return lines, self.pool[gather(spans[:, 0], spans[:, 1])], np.diff(totals, prepend=0)
+        return lines, self.pool[V.gather(spans[:, 0], spans[:, 1])], np.diff(totals, prepend=0)
 
     def forget(self) -> None:
         self.cache: dict[str, int] = {}
@@ -250,15 +250,7 @@ class Codec:
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all ids one after another, and how many each has."""
         sizes = self.lengths[ids]
-        return self.flat[gather(self.starts[ids], sizes)], sizes
-
-
-def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places start, start + 1, ... of every run."""
-    total = int(sizes.sum())
-    if not total:
-        return np.zeros(0, np.int64)
-    return np.arange(total) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        return self.flat[V.gather(self.starts[ids], sizes)], sizes
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:

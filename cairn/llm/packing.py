@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from cairn.llm import _vector as V
 from cairn.llm._spark import prepare, read_once, settle
-from cairn.llm.bpe import gather
+from cairn.llm._vector import gather
 
 LENGTH = 2048
 #: Width of the length classes of the fit, and documents of one pattern.

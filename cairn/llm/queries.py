@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, html, merkle, neardup, packing, quality, secrets, substring, suffix, topk, toxicity
+from cairn.llm import bpe, codes, html, merkle, neardup, packing, pst, quality, secrets, substring, suffix, topk, toxicity
 from cairn.llm._spark import table
 
 
@@ -56,6 +56,35 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.apply(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(rounds: int) -> str:
+    """The codebooks' rounds, one after another."""
+    out = """
+        WITH k AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+        ), x AS MATERIALIZED (SELECT r, i - 1 AS place, (8 * i - 1) // len(e) AS part, e[i] AS v FROM (SELECT r, e, unnest(range(1, len(e) + 1)) AS i FROM k)),
+        b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, place, v AS c FROM x WHERE r <= 16)"""
+    near = "(SELECT r, part, min(d) AS d, arg_min(entry, 16 * d + entry) AS entry FROM (SELECT r, x.part, entry, CAST(sum((v - c) * (v - c)) AS BIGINT) AS d FROM x JOIN b{0} b ON x.part = b.part AND x.place = b.place GROUP BY r, x.part, entry) GROUP BY r, part)"
+    for i in range(rounds):
+        out += f""",
+        a{i} AS MATERIALIZED {near.format(i)},
+        s{i} AS (SELECT x.part, entry, place, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM a{i} a JOIN x ON a.r = x.r AND a.part = x.part GROUP BY x.part, entry, place),
+        b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.place, coalesce((s - ((s % n) + n) % n) // n, c) AS c FROM b{i} b LEFT JOIN s{i} s ON b.part = s.part AND b.entry = s.entry AND b.place = s.place)"""
+    return out + f""",
+        z AS MATERIALIZED {near.format(rounds)},
+        t AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM z GROUP BY r)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, place)) FROM b{rounds}) AS codebooks_sha256
+        FROM k JOIN t ON k.r = t.r"""
+
+
+def op13_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.apply(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_substring": op2_substring,
@@ -68,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
     "op11_merkle": op11_merkle,
+    "op12_codes": op12_codes,
+    "op13_lm": op13_lm,
 }
 ORACLE: dict[str, str] = {
     "op2_substring": r"""
@@ -164,4 +195,5 @@ ORACLE: dict[str, str] = {
         ), e AS (SELECT row, arg_max(x, k) AS x, arg_max(proof, k) AS proof FROM z GROUP BY row)
         SELECT doc_id, leaf, s.h AS subroot, o.h AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = o.h AS verified
         FROM e JOIN (SELECT row, doc_id, leaf, g FROM n) n ON e.row = n.row JOIN s ON n.g = s.g, (SELECT h FROM u WHERE n = 1) o""",
+    "op12_codes": _codes_sql(codes.ROUNDS),
 }

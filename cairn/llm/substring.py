@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from cairn.llm import _chunks as C
 from cairn.llm import _vector as V
 from cairn.llm._spark import settle
-from cairn.llm.bpe import gather
+from cairn.llm._vector import gather
 
 WINDOW, BLOCK = 50, 25
 
