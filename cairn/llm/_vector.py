@@ -1,11 +1,17 @@
 """Array kernels over batches of texts: bytes, words, rolling hashes.
 
+Words are told by their bytes inside a slice (``numbered_words``) and by a keyed digest of
+their bytes elsewhere (``word_hashes``); runs of words by hashes of hashes
+(``windows``). The polynomial hashes of bytes collide for texts that are made to
+(two letters in the order of Thue and Morse), so what they bring together must be compared.
+
 All functions work on one bounded slice of an Arrow batch (see ``slices``), so
 their memory follows ``SLICE_BYTES`` or the longest single text, never the table.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +23,8 @@ SLICE_BYTES = 2 << 20
 #: Odd multipliers of the polynomial hashes (fixed, so that any executor gets the same hash).
 _P1, _P2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _MASK = (1 << 64) - 1
+#: Key of the words' digests (fixed, as are the multipliers).
+_KEY = b"words"
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -119,8 +127,21 @@ def words(data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None)
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: int = _P1) -> np.ndarray:
-    return spans_hash(prefix(_BYTE[p][data], p), starts, ends, p)
+def windows(values: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of every run of ``width`` items, by hashing pairs of runs of half the width; no sum, so that no arrangement of items cancels out."""
+    n = len(values) - width + 1
+    if n <= 0 or not width:
+        return np.empty(0, np.uint64)
+    out, at, run, size = None, 0, values, 1
+    while True:
+        if width & size:
+            part = run[at : at + n]
+            out = part if out is None else mix(out * np.uint64(_P1) + part)
+            at += size
+        if 2 * size > width:
+            return out if out is not values else out.copy()
+        run = mix(run[:-size] * np.uint64(_P2) + run[size:])
+        size *= 2
 
 
 def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -140,6 +161,13 @@ def numbered_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A keyed digest of 64 bits of each span's bytes; each distinct one is digested once."""
+    number, words = numbered_words(data, starts, ends)
+    digests = b"".join(hashlib.blake2b(w, digest_size=8, key=_KEY).digest() for w in words.to_pylist())
+    return np.frombuffer(digests, np.uint64)[number]
+
+
 def owners(counts: np.ndarray) -> np.ndarray:
     """For texts with so many items each, the index of the text of every item."""
     return np.repeat(np.arange(len(counts)), counts)

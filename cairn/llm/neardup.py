@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,15 +50,16 @@ def shingles(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, n
     """Distinct 48-bit shingle hashes of all texts, sorted within each; their counts; how many stand before each text."""
     data, offsets = V.buffers(texts)
     starts, ends, first = V.words(data, offsets)
-    sums = V.prefix(V.word_hashes(data, starts, ends), V._P2)
-    m = len(sums) - 1
+    words = V.word_hashes(data, starts, ends)
+    m = len(words)
     at = np.flatnonzero(V.within(first, n, m))
     doc = np.searchsorted(first, at, "right") - 1
-    hashes = V.rolling(sums, n, V._P2)[at] if m >= n else np.zeros(0, np.uint64)
-    few = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < n))
-    if len(few):
-        hashes = np.concatenate([hashes, V.spans_hash(sums, first[few], first[few + 1], V._P2)])
-        doc = np.concatenate([doc, few])
+    hashes = V.windows(words, n)[at] if m >= n else np.zeros(0, np.uint64)
+    for k in range(1, n):
+        few = np.flatnonzero(np.diff(first) == k)
+        if len(few):
+            hashes = np.concatenate([hashes, V.windows(words, k)[first[few]]])
+            doc = np.concatenate([doc, few])
     order = np.lexsort((hashes & _FINE, doc))
     hashes, doc = hashes[order] & _FINE, doc[order]
     new = np.ones(len(doc), bool)
@@ -114,8 +116,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in V.slices(batch, "text"):
             hashes, counts, before = shingles(part.column(1))
             keys = band_keys(signatures(hashes, np.ones_like(counts), before))
-            both = V.mix(hashes * np.uint64(V._P1))
-            prints = [V.spans_hash(V.prefix(both, p), before[:-1], before[1:], p).view(np.int64) for p in (V._P1, V._P2)]
+            raw = memoryview(hashes).cast("B")
+            sets = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
+            prints = np.frombuffer(b"".join(sets), np.int64).reshape(-1, 2).T.copy()
             empty = np.diff(before) == 0
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(p, mask=empty) for p in prints), bands], ["doc", "h", "f1", "f2", "bands"])

@@ -9,6 +9,9 @@ pattern, are packed best-fit, longest first, also into the slack of the patterns
 All of that works on the histogram, whose size is that of a sequence and not of
 the table. Documents then get their places by length and rank.
 
+Words are encoded once a worker, told by their bytes; added tokens of the vocabulary that
+a text holds as they are written are words of their own.
+
 Cases: null and empty texts are one piece of the closing id alone; texts longer
 than a sequence are cut into full pieces and a rest; repeated rows are packed
 each; ties go by id and content; an empty table gives no rows. Other columns
@@ -23,13 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm import _vector as V
 from cairn.llm._spark import prepare, read_once, settle
-from cairn.llm._vector import gather
 
 LENGTH = 2048
 #: Width of the length classes of the fit, and documents of one pattern.
@@ -59,20 +62,27 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(data)
-        self.tokenizer.encode_special_tokens = True
         self.mark = self._ids("\x01")
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = regex.compile(b"|".join(regex.escape(t.encode()) for t in added)) if added else None
         self.forget()
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids  # without offsets
 
     def forget(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
+        self.known: dict[bytes, int] = {}
         self.spans = np.zeros((0, 2), np.int64)
         self.pool = np.zeros(0, np.int64)
 
-    @staticmethod
-    def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _specials(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Where tokens of the vocabulary stand that are taken as they are written, text by text."""
+        raw = data.tobytes()
+        if self.added is None or not self.added.search(raw):
+            return []
+        return [m.span() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for m in self.added.finditer(raw, a, b)]
+
+    def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the words, and how many stand before each text."""
         letter = _LETTER[data]
         wide = np.flatnonzero(data == 0xC3)  # the letters U+00C0 to U+00FF but for two signs
@@ -80,19 +90,23 @@ class Words:
         wide = wide[(data[wide + 1] != 0x97) & (data[wide + 1] != 0xB7)]
         letter[wide] = letter[wide + 1] = True
         sign = _SIGN[data]
-        cuts = np.flatnonzero((letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])) + 1
+        cut = np.zeros(len(data) + 1, bool)
+        if len(data):
+            cut[1:-1] = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
+        for a, b in self._specials(data, offsets):
+            cut[a : b + 1] = False
+            cut[[a, b]] = True
+        cut[[0, -1]] = False
+        cuts = np.flatnonzero(cut)
         return V.words(data, offsets, cuts)
 
-    def _learn(self, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
-        """Adds words by their sorted hashes; returns how many now stand before each place of those known so far."""
+    def _learn(self, words: list[bytes]) -> None:
+        """Adds new words."""
         flat, counts = [], np.zeros(len(words), np.int64)
         texts = [w.decode() for w in words]
-        plain = np.array(["\x01" not in t for t in texts], bool)
-        for i in np.flatnonzero(~plain).tolist():
-            flat.append(np.array(self._ids(texts[i]), np.int64))
-            counts[i] = len(flat[-1])
-        many = np.flatnonzero(plain)
-        order = np.flatnonzero(~plain).tolist() + many.tolist()
+        alone = np.flatnonzero(np.array(["\x01" in t for t in texts], bool)).tolist()
+        many = np.flatnonzero(~np.isin(np.arange(len(words)), alone))
+        order: list[int] = []
         for at in range(0, len(many), 2048):
             part = many[at : at + 2048]
             ids = np.array(self._ids(" \x01 ".join([texts[i] for i in part.tolist()])), np.int64)
@@ -102,35 +116,35 @@ class Words:
                 hit &= ids[j : j + len(hit)] == x
             ends = np.append(np.flatnonzero(hit), len(ids))
             begins = np.append(0, ends[:-1] + m)
-            assert len(ends) == len(part), "the tokenizer joined words"
+            if len(ends) != len(part):  # a vocabulary that joins words over the mark: one by one then
+                alone += part.tolist()
+                continue
             counts[part] = ends - begins
-            flat.append(ids[gather(begins, ends - begins)])
+            order += part.tolist()
+            flat.append(ids[V.gather(begins, ends - begins)])
+        for i in alone:
+            flat.append(np.array(self._ids(texts[i]), np.int64))
+            counts[i] = len(flat[-1])
+            order.append(i)
         starts = np.zeros(len(words), np.int64)
         starts[order] = len(self.pool) + np.cumsum(counts[order]) - counts[order]
         self.pool = np.concatenate([self.pool, *flat])
-        at = np.searchsorted(self.hashes, hashes)
-        moved = np.cumsum(np.bincount(at, minlength=len(self.hashes) + 1))
-        self.hashes = np.insert(self.hashes, at, hashes)
-        self.spans = np.insert(self.spans, at, np.stack([starts, counts], 1), axis=0)
-        return moved
+        self.known.update(zip(words, range(len(self.spans), len(self.spans) + len(words)), strict=True))
+        self.spans = np.concatenate([self.spans, np.stack([starts, counts], 1)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by 0, and how many each text has with it."""
-        if len(self.hashes) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS:
             self.forget()
         data, offsets = V.buffers(texts)
         starts, ends, first = self.cut(data, offsets)
-        hashes = V.word_hashes(data, starts, ends) ^ V.mix((ends - starts).astype(np.uint64))
-        known = np.searchsorted(self.hashes, hashes)
-        missing = np.flatnonzero(self.hashes[np.minimum(known, len(self.hashes) - 1)] != hashes) if len(self.hashes) else np.arange(len(hashes))
-        if len(missing):
-            new, at = np.unique(hashes[missing], return_index=True)
-            raw = data.tobytes()
-            moved = self._learn([raw[a:b] for a, b in zip(starts[missing[at]].tolist(), ends[missing[at]].tolist(), strict=True)], new)
-            known += moved[known]
-            known[missing] = np.searchsorted(self.hashes, hashes[missing])
-        spans = self.spans[known]
-        ids = self.pool[gather(spans[:, 0], spans[:, 1])]
+        number, distinct = V.numbered_words(data, starts, ends)
+        words = distinct.to_pylist()
+        new = [w for w in words if w not in self.known]
+        if new:
+            self._learn(new)
+        spans = self.spans[np.array([self.known[w] for w in words], np.int64)][number]
+        ids = self.pool[V.gather(spans[:, 0], spans[:, 1])]
         counts = np.diff(np.concatenate([[0], np.cumsum(spans[:, 1])])[first])
         out = np.zeros(len(ids) + len(counts), np.uint32)
         out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
@@ -179,7 +193,7 @@ def enumerate_patterns(classes: int, depth: int) -> np.ndarray:
         high = np.minimum(rest, most)
         count = np.maximum(high - -(-rest // (depth - k)) + 1, 0)
         row = np.repeat(np.arange(len(rest)), count)
-        most = high[row] - gather(np.zeros(len(count), np.int64), count)
+        most = high[row] - V.gather(np.zeros(len(count), np.int64), count)
         heads, rest = np.hstack([heads[row], most[:, None]]), rest[row] - most
         full = rest == 0
         found.append(np.pad(heads[full], ((0, 0), (0, depth - k - 1))))

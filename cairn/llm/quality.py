@@ -66,12 +66,19 @@ def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return any_, later
 
 
+def _joined(keys: np.ndarray, numbers: np.ndarray, most: int) -> np.ndarray:
+    """One whole number for each pair, exactly; keys that would not fit are numbered anew."""
+    if len(keys) and int(keys.max()) >= (1 << 62) // max(most, 1):
+        keys = np.unique(keys, return_inverse=True)[1]
+    return keys * most + numbers
+
+
 def judge(texts: pa.Array) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Columns of FIELDS for each text; its bytes, and of all lines: start, end, failed."""
     data, offsets = V.buffers(texts)
     n = len(offsets) - 1
     starts, ends, first = V.words(data, offsets)
-    words = V.word_hashes(data, starts, ends)
+    words, distinct_words = V.numbered_words(data, starts, ends)
     per_text = lambda at_bytes: np.diff(at_bytes[offsets])
     n_words = np.diff(first)
     symbols, shouts, bars = (_sums(lut[data]) for lut in (_SYMBOL, _SHOUT, _BAR))
@@ -87,17 +94,17 @@ def judge(texts: pa.Array) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.
     count = w1 - w0
     full = count > 0
 
-    tag = V.mix(owner.astype(np.uint64) + np.uint64(1))
-    hashes = V.spans_hash(V.prefix(V._BYTE[V._P1][data], V._P1), line_start, line_end, V._P1) + V.mix((line_end - line_start).astype(np.uint64)) + tag
-    n_dup = np.bincount(owner[full][_repeated(hashes[full])[1]], minlength=n)
+    lines = np.zeros(len(count), np.int64)
+    lines[full] = V.numbered_words(data, line_start[full], line_end[full])[0]
+    n_dup = np.bincount(owner[full][_repeated((owner * len(lines) + lines)[full])[1]], minlength=n)
 
     m = len(words)
     covered = np.zeros(m + 1, np.int64)
     if m >= 3:
         ok = np.flatnonzero(V.within(first, 3, m))
-        windows = V.rolling(V.prefix(words, V._P2), 3, V._P2)[ok]
         of = np.searchsorted(first, ok, "right") - 1
-        twice = ok[_repeated(windows + V.mix(of.astype(np.uint64) + np.uint64(1)))[0]]
+        three = _joined(_joined(_joined(of, words[ok], len(distinct_words)), words[ok + 1], len(distinct_words)), words[ok + 2], len(distinct_words))
+        twice = ok[_repeated(three)[0]]
         step = np.zeros(m + 1, np.int64)
         step[twice] += 1
         step[twice + 3] -= 1
@@ -110,7 +117,7 @@ def judge(texts: pa.Array) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.
     wide = (at(2) << 16) + (at(1) << 8) + byte
     closed = (_CLOSE[byte] > 0) | np.isin(wide, _CLOSE_WIDE) | np.isin(wide & 0xFFFF, _CLOSE_WIDE)
     line_of_word = np.repeat(np.arange(len(count)), count)
-    distinct = count - np.bincount(line_of_word[_repeated(words + V.mix(line_of_word.astype(np.uint64)))[1]], minlength=len(count)) if m else count
+    distinct = count - np.bincount(line_of_word[_repeated(line_of_word * len(distinct_words) + words)[1]], minlength=len(count)) if m else count
     span = lambda sums: sums[line_end] - sums[line_start]
     boiler = np.zeros(len(count), bool)
     low = data.tobytes().lower()

@@ -11,7 +11,9 @@ maximal repeat. Hits that agree in all places within a chunk are merged first,
 so a passage that many documents share is a few rows for each chunk.
 
 Words are runs of other bytes than ASCII white space. Windows agree if both the
-64-bit hash of the block and that of the whole window do.
+64-bit hash of the block and that of the whole window do; these are hashes of
+hashes of keyed digests of the words' bytes, so equal ones cannot be made by arranging
+words or letters, and are as rare as chance has it.
 
 Cases: null text has no words, and null stays null in ``apply``; texts of fewer
 words than a window keep all; documents of equal ids do not count against each
@@ -47,8 +49,7 @@ class _View:
         self.starts, self.ends, self.first = V.words(chunk.data, chunk.offsets)
         self.words = V.word_hashes(chunk.data, self.starts, self.ends)
         self.n = len(self.words)
-        self.sums = V.prefix(self.words, V._P2)
-        rolling = V.rolling(self.sums, BLOCK, V._P2)
+        rolling = V.windows(self.words, BLOCK)
         at = np.flatnonzero(V.within(self.first, BLOCK, self.n))
         self.doc = np.searchsorted(self.first, at, "right") - 1
         usable = chunk.known[self.doc]
@@ -118,8 +119,8 @@ def _hits(v: _View, bits: int, answers: list) -> tuple[np.ndarray, np.ndarray, n
     start = at[:, None] - np.arange(BLOCK)
     inside = (start >= v.first[doc][:, None]) & (start + WINDOW <= v.first[doc + 1][:, None])
     place = np.clip(start, 0, max(0, v.n - WINDOW))
-    power = V.powers(V._P2, v.n + 1)[1]
-    around = V.mix((v.sums[np.minimum(place + WINDOW, v.n)] - v.sums[place]) * power[place])
+    wide = V.windows(v.words, WINDOW)
+    around = wide[place] if len(wide) else np.zeros(place.shape, np.uint64)
     around[~inside] = 0
     anchor = v.hash[chosen]
     whole = V.mix(anchor)

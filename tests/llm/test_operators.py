@@ -170,8 +170,9 @@ def test_common_prefixes():
 
 def test_packing(docs, odd, none):
     own = Tokenizer.from_file(WORDS)
-    own.encode_special_tokens = True
-    for df, length in ((docs, 2048), (odd, 64)):
+    special = ["hello <|endoftext|> world", "<|endoftext|>", "a<|startoftext|>b<|endoftext|><|endoftext|>'s", "<|endof", "text|> x", "<|EndOfText|> it's<|endoftext|>", "é<|startoftext|>\u0301", None, ""]
+    named = odd.sparkSession.createDataFrame(list(enumerate(special)), "doc_id long, text string").coalesce(1)
+    for df, length in ((docs, 2048), (odd, 64), (named, 64)):
         texts = dict(known(df))
         rows = [r for r in packing.apply(df, WORDS, length).collect() if r["doc_id"] is not None]
         ids = {d: [*own.encode(t or "", add_special_tokens=False).ids, 0] for d, t in texts.items()}
@@ -467,19 +468,23 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
 
 
-def test_words_are_looked_up_once(monkeypatch):
-    """Words that are known are found by one search in all known words; the others move them."""
-    rng = np.random.default_rng(3)
+def test_words_are_learned_once(monkeypatch):
     with open(P.path("word_bpe_49k.json"), "rb") as f:
         words = packing.Words(f.read())
-    searched, search = [], np.searchsorted
-    monkeypatch.setattr(np, "searchsorted", lambda a, v, *x, **y: (searched.append(np.size(v)), search(a, v, *x, **y))[1])
+    learned, learn = [], packing.Words._learn
+    monkeypatch.setattr(packing.Words, "_learn", lambda self, new: (learned.extend(new), learn(self, new)))
     common = [f"w{i}" for i in range(3000)]
     for k in range(4):
-        text = " ".join([*rng.permutation(common), f"only{k}", f"{k}é'{k}"])
+        text = " ".join([*np.random.default_rng(k).permutation(common), f"only{k}", f"{k}é'{k}"])
         ids, counts = words.encode(pa.array([text, None]))
         assert ids.tolist() == [*words._ids(text), 0, 0]
         assert counts.tolist() == [len(ids) - 1, 1]
-        if k:
-            assert sum(searched) < 1.5 * len(common)
-        searched.clear()
+    assert len(learned) == len(set(learned)) < len(common) + 20
+
+
+def test_words_that_a_vocabulary_joins_are_encoded_alone(monkeypatch):
+    with open(P.path("word_bpe_49k.json"), "rb") as f:
+        words = packing.Words(f.read())
+    plain = words._ids
+    monkeypatch.setattr(words, "_ids", lambda text: [7] if " \x01 " in text else plain(text))
+    assert words.encode(pa.array(["two words", "two"]))[0].tolist() == [*plain("two words"), 0, *plain("two"), 0]
