@@ -17,7 +17,7 @@ TABLES = {
     "conflicts": f"id string, new_memory struct<{_MEMORY}>, existing_memory_ids array<string>, analysis struct<{_ANALYSIS}>, state string, resolution struct<action string, context string, merged_content string>, created_at timestamp, expires_at timestamp, resolved_at timestamp, resolved_by string",
     "timeline": "id string, memory_id string, event_type string, detail string, actor string, created_at timestamp",
     "cache": "id string, query string, query_embedding array<float>, answer string, source_ids array<string>, room string, created_at timestamp, expires_at timestamp, hits bigint",
-    "embed_queue": "id bigint, target_type string, target_id string, content string, priority bigint, status string, created_at timestamp, processed_at timestamp",
+    "embed_queue": "id bigint, target_type string, target_id string, content string, priority bigint, status string, created_at timestamp, processed_at timestamp, worker string, lease_until timestamp",
     "meta": "key string, value string",
 }
 KEYS = dict.fromkeys(TABLES, "id") | {"meta": "key"}

@@ -1,23 +1,40 @@
-"""Tables as append-only change logs in Parquet.
-
-Every change appends rows with a version, the writer's name and a deleted flag; the
-current table is the latest version of each key, of equal versions that of the
-greater name, so that two writers leave one outcome. Files are never overwritten
-while read; ``compact`` writes the current rows to a new generation and then names it
-in a pointer log.
+"""Tables as change logs in Parquet, whose changes are commits.
+
+A change is written aside, with all its rows, and counts once its commit has a number
+(``CommitLog``). The current table is, for each key, the row of the latest commit, so the
+later of two commits wins whichever store wrote it. A change that was made of what its
+store had read is made anew if a commit that came in between touched one of its keys
+(told by KEY_MARKS marks of their hashes), and so is one that depends on the whole table if
+any commit came. Files are never changed: ``compact`` writes the current rows of a
+version in buckets of keys, with Bloom filters, and commits that they stand for all up to it.
+
+A commit names the marks and the range of its keys. A lookup by key opens the commits
+that may have it, and one bucket of the compacted rows. Keys are distinct within one write.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import values as C
 from cairn.functions.schema import KEYS, TABLES
+from cairn.sources.commits import CommitLog, Files
 from cairn.sources.shared import sound
 
+#: Kinds of keys that a commit tells apart.
+KEY_MARKS = 256
+#: Rows of one bucket of compacted rows, and buckets at most.
+BUCKET_ROWS, BUCKETS = 1 << 18, 1 << 12
+#: Commits of a table after which it is compacted.
+COMPACT_AFTER = 128
+#: How often a change is made anew before it is given up.
+ATTEMPTS = 20
+
 
 class ModelMismatch(ValueError):
     """The store is locked to another embedding model."""
@@ -31,93 +48,204 @@ class NotFound(KeyError):
     """No row has that id."""
 
 
+class Contended(RuntimeError):
+    """Others kept changing the same rows."""
+
+
+def _fold(state: dict[str, Any], version: int, entry: dict[str, Any]) -> dict[str, Any]:
+    """The commits that make up each table: its compacted rows, if any, and those after it."""
+    name = entry["table"]
+    known = state.get(name, {"base": None, "adds": []})
+    if entry["op"] == "compact":
+        known = {"base": entry, "adds": [a for a in known["adds"] if a["version"] > entry["upto"]]}
+    else:
+        known = {"base": known["base"], "adds": [*known["adds"], {**entry, "version": version}]}
+    return {**state, name: known}
+
+
 class Store:
     """The tables below one folder, which may be on any file system of Spark's."""
 
     def __init__(self, spark: SparkSession, path: str, as_of: str = "1970-01-01 00:00:00"):
         self.spark, self.path, self.as_of = sound(spark), path.rstrip("/"), as_of
-        self._files = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jvm.java.net.URI(self.path), spark._jsc.hadoopConfiguration())
-        self._writer = uuid.uuid4().hex
-        self._next = 1 + max((self._last(name) for name in TABLES), default=0)
+        self.compact_after: int | None = COMPACT_AFTER
+        self._data = Files(spark, self.path)
+        self._commits = CommitLog(Files(spark, f"{self.path}/_commits"), _fold, {})
 
     # log
 
-    def _exists(self, path: str) -> bool:
-        return self._files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(path))
-
-    def _generation(self, name: str) -> str:
-        pointer = f"{self.path}/{name}.generation"
-        if not self._exists(pointer):
-            return f"{self.path}/{name}/0"
-        return f"{self.path}/{name}/{self.spark.read.schema('n bigint').json(pointer).agg(F.max('n')).head()[0]}"
-
-    def _log(self, name: str) -> DataFrame:
-        schema = f"{TABLES[name]}, _version bigint, _writer string, _deleted boolean"
-        where = self._generation(name)
-        return self.spark.read.schema(schema).parquet(where) if self._exists(where) else self.spark.createDataFrame([], schema)
-
-    def _last(self, name: str) -> int:
-        return self._log(name).agg(F.coalesce(F.max("_version"), F.lit(0))).head()[0]
-
-    def _write(self, name: str, rows: DataFrame, deleted: bool = False) -> None:
-        shaped = rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self._log(name).schema.fields[:-3]))
-        shaped.withColumns({"_version": F.lit(self._next).cast("bigint"), "_writer": F.lit(self._writer), "_deleted": F.lit(deleted)}).write.mode("append").parquet(self._generation(name))
-        self._next += 1
+    def version(self) -> int:
+        """The number of the last commit."""
+        self._commits.refresh()
+        return self._commits.version
+
+    def _parts(self, name: str) -> dict[str, Any]:
+        return self._commits.state.get(name, {"base": None, "adds": []})
+
+    @staticmethod
+    def _hash(key: str) -> Column:
+        return F.xxhash64(F.col(key))
+
+    def _log(self, name: str, id_: Any = None) -> DataFrame:
+        """All rows of all commits with their ``_version``; with an id, only commits and buckets that may have it."""
+        key, parts = KEYS[name], self._parts(name)
+        schema = f"{TABLES[name]}, _deleted boolean"
+        base, adds = parts["base"], parts["adds"]
+        mark = bucket = None
+        if id_ is not None:
+            hashed = F.xxhash64(F.lit(id_).cast(dict(self._types(name))[key]))
+            buckets = base["buckets"] if base else 1
+            mark, bucket = self.spark.range(1).select(F.pmod(hashed, F.lit(KEY_MARKS)), F.pmod(hashed, F.lit(buckets))).head()
+            adds = [a for a in adds if (a["marks"] is None or mark in a["marks"]) and a["low"] <= str(id_) <= a["high"]]
+        logs = []
+        if base:
+            rows = self.spark.read.schema(f"{schema}, kb int").parquet(f"{self.path}/{name}/{base['path']}")
+            logs.append((rows if bucket is None else rows.filter(F.col("kb") == bucket)).drop("kb").withColumn("_version", F.lit(base["upto"]).cast("bigint")))
+        if adds:
+            rows = self.spark.read.schema(f"{schema}, c string").option("basePath", f"{self.path}/{name}").parquet(*(f"{self.path}/{name}/{a['path']}" for a in adds))
+            if len(adds) == 1:
+                rows = rows.withColumn("_version", F.lit(adds[0]["version"]).cast("bigint"))
+            else:  # one small row for each commit since the last compaction
+                numbers = self.spark.createDataFrame([(a["path"].removeprefix("c="), a["version"]) for a in adds], "c string, _version bigint")
+                rows = rows.join(F.broadcast(numbers), "c")
+            logs.append(rows.drop("c"))
+        if not logs:
+            return self.spark.createDataFrame([], f"{schema}, _version bigint")
+        return logs[0] if len(logs) == 1 else logs[0].unionByName(logs[1])
+
+    def _types(self, name: str) -> list[tuple[str, str]]:
+        return self.spark.createDataFrame([], TABLES[name]).dtypes
+
+    def _current(self, name: str, id_: Any = None) -> DataFrame:
+        log, key, parts = self._log(name, id_), KEYS[name], self._parts(name)
+        columns = [c for c in log.columns if not c.startswith("_")]
+        if parts["base"] and not parts["adds"]:
+            return log.select(*columns)
+        latest = log.groupBy(key).agg(F.max_by(F.struct(*(c for c in [*columns, "_deleted"] if c != key)), "_version").alias("r")).filter("not r._deleted")
+        return latest.select(*(F.col(key) if c == key else F.col(f"r.{c}").alias(c) for c in columns))
 
     def table(self, name: str) -> DataFrame:
         """The current rows; a condition on the key reaches the files."""
-        log, key = self._log(name), KEYS[name]
-        columns = [c for c in log.columns if not c.startswith("_")]
-        latest = log.groupBy(key).agg(F.max_by(F.struct(*(c for c in [*columns, "_deleted"] if c != key)), F.struct("_version", "_writer")).alias("r")).filter("not r._deleted")
-        return latest.select(*(F.col(key) if c == key else F.col(f"r.{c}").alias(c) for c in columns))
+        self._commits.refresh()
+        return self._current(name)
+
+    def changes(self, name: str, since: int, upto: int) -> DataFrame | None:
+        """The rows of a table that commits after one version and up to another have left, with ``_deleted``; None if a compaction came between."""
+        self._commits.refresh()
+        parts = self._parts(name)
+        if parts["base"] and parts["base"]["upto"] > since:
+            return None
+        log = self._log(name).filter((F.col("_version") > since) & (F.col("_version") <= upto))
+        key = KEYS[name]
+        rest = [c for c in log.columns if c not in (key, "_version")]
+        latest = log.groupBy(key).agg(F.max_by(F.struct(*rest), "_version").alias("r"))
+        return latest.select(key, "r.*")
+
+    def _stage(self, name: str, rows: DataFrame, deleted: bool) -> dict[str, Any] | None:
+        """Writes rows aside; what a commit says of them, or None if there are none."""
+        path, key = f"c={uuid.uuid4().hex}", KEYS[name]
+        fields = self.spark.createDataFrame([], TABLES[name]).schema.fields
+        shaped = rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
+        shaped.withColumn("_deleted", F.lit(deleted)).write.parquet(f"{self.path}/{name}/{path}")
+        written = self.spark.read.schema(f"{TABLES[name]}").parquet(f"{self.path}/{name}/{path}")
+        text = F.col(key).cast("string")
+        n, low, high, marks = written.agg(F.count("*"), F.min(text), F.max(text), F.array_sort(F.collect_set(F.pmod(self._hash(key), F.lit(KEY_MARKS))))).head()
+        if not n:
+            self._data.delete(f"{name}/{path}")
+            return None
+        return {"table": name, "op": "add", "path": path, "rows": n, "low": low or "", "high": high or "", "marks": None if len(marks) == KEY_MARKS else list(marks)}
+
+    def commit(self, name: str, make: Callable[[], DataFrame], reads: str = "keys", deleted: bool = False) -> DataFrame | None:
+        """Commits the rows that ``make`` gives and returns them, None if there are none.
+
+        ``reads`` says what they were made of: ``nothing`` of the table, the rows with their own ``keys``, or the whole
+        ``table``. If others have changed that meanwhile they are made anew.
+        """
+        for _ in range(ATTEMPTS):
+            self._commits.refresh()
+            entry = self._stage(name, make(), deleted)
+            if entry is None:
+                return None
+            while not self._commits.put(entry):
+                marks = set(entry["marks"] or range(KEY_MARKS))
+                others = [e for e in self._commits.refresh() if e["table"] == name and e["op"] == "add"]
+                if reads != "nothing" and any(reads == "table" or not marks.isdisjoint(e["marks"] or range(KEY_MARKS)) for e in others):
+                    break
+            else:
+                rows = self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/{entry['path']}")
+                if self.compact_after and len(self._parts(name)["adds"]) > self.compact_after:
+                    self.compact(name)
+                return rows
+            self._data.delete(f"{name}/{entry['path']}")
+        raise Contended(f"{name}: gave up after {ATTEMPTS} attempts")
 
     def append(self, name: str, rows: DataFrame) -> None:
         """New rows; one with a key that is there already is an error, as is a repeated key."""
         key = KEYS[name]
-        twice = rows.groupBy(key).count().filter("count > 1").limit(1).count()
-        if twice or rows.join(self.table(name), key, "left_semi").limit(1).count():
+        if rows.groupBy(key).count().filter("count > 1").limit(1).count():
             raise ValueError(f"{name}: key exists")
-        self._write(name, rows)
+
+        def make() -> DataFrame:
+            if rows.join(self._current(name), key, "left_semi").limit(1).count():
+                raise ValueError(f"{name}: key exists")
+            return rows
+
+        self.commit(name, make)
 
     def upsert(self, name: str, rows: DataFrame) -> None:
-        self._write(name, rows)
+        """Whole rows that are not made of the table's; the later commit stands."""
+        self.commit(name, lambda: rows, reads="nothing")
+
+    def change(self, name: str, how: Callable[[DataFrame], DataFrame], reads: str = "keys") -> DataFrame | None:
+        """Commits ``how(table)``, made anew whenever the table has changed meanwhile; returns the rows, None if there are none."""
+        return self.commit(name, lambda: how(self._current(name)), reads)
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """Whole new rows for keys that are there; one that is not is an error. ``created_at`` stays."""
         key = KEYS[name]
-        known = self.table(name)
-        missing = rows.join(known, key, "left_anti").select(key).head()
-        if missing:
-            raise NotFound(missing[0])
-        if "created_at" in known.columns:
-            rows = rows.drop("created_at").join(known.select(key, "created_at"), key)
-        self._write(name, rows)
+
+        def made(known: DataFrame) -> DataFrame:
+            missing = rows.join(known, key, "left_anti").select(key).head()
+            if missing:
+                raise NotFound(missing[0])
+            return rows.drop("created_at").join(known.select(key, "created_at"), key) if "created_at" in known.columns else rows
+
+        self.change(name, made)
 
     def update(self, name: str, ids: list[str] | DataFrame, **changes: Column) -> None:
         """Sets columns of the rows with these keys; rows that are not there are passed over."""
         key = KEYS[name]
-        rows = self.table(name)
-        rows = rows.join(ids, key, "left_semi") if isinstance(ids, DataFrame) else rows.filter(F.col(key).isin(ids))
-        self._write(name, rows.withColumns(changes))
-
-    def delete(self, name: str, rows: DataFrame) -> int:
-        """Marks rows as deleted and returns how many."""
-        rows = rows.select(KEYS[name])
-        n = rows.count()
-        if n:
-            self._write(name, self.table(name).join(rows, KEYS[name], "left_semi"), deleted=True)
-        return n
+
+        def made(rows: DataFrame) -> DataFrame:
+            rows = rows.join(ids, key, "left_semi") if isinstance(ids, DataFrame) else rows.filter(F.col(key).isin(ids))
+            return rows.withColumns(changes)
+
+        self.change(name, made)
+
+    def delete(self, name: str, which: Callable[[DataFrame], DataFrame], reads: str = "keys") -> int:
+        """Marks the rows that ``which(table)`` gives as deleted and returns how many."""
+        gone = self.commit(name, lambda: which(self._current(name)), reads, deleted=True)
+        return 0 if gone is None else gone.count()
 
     def compact(self, name: str) -> None:
-        """Rewrites the current rows as a new generation."""
-        generation = int(self._generation(name).rsplit("/", 1)[1]) + 1
-        self.table(name).withColumns({"_version": F.lit(0).cast("bigint"), "_writer": F.lit(self._writer), "_deleted": F.lit(False)}).write.parquet(f"{self.path}/{name}/{generation}")
-        self.spark.range(1).select(F.lit(generation).alias("n")).write.mode("append").json(f"{self.path}/{name}.generation")
+        """Commits the current rows, by key in buckets, in place of all commits so far."""
+        self._commits.refresh()
+        upto, path, rows = self._commits.version, f"b={uuid.uuid4().hex}", self._current(name)
+        total = sum(a["rows"] for a in self._parts(name)["adds"]) + (self._parts(name)["base"] or {"rows": 0})["rows"]
+        buckets = min(BUCKETS, 1 << max(0, (total // BUCKET_ROWS).bit_length()))
+        key = KEYS[name]
+        placed = rows.withColumns({"_deleted": F.lit(False), "kb": F.pmod(self._hash(key), F.lit(buckets)).cast("int")}).repartition(buckets, "kb").sortWithinPartitions("kb", key)
+        placed.write.partitionBy("kb").option("parquet.bloom.filter.enabled#" + key, "true").parquet(f"{self.path}/{name}/{path}")
+        entry = {"table": name, "op": "compact", "path": path, "upto": upto, "buckets": buckets, "rows": total}
+        while not self._commits.put(entry):
+            if any(e["table"] == name and e["op"] == "compact" for e in self._commits.refresh()):
+                self._data.delete(f"{name}/{path}")  # somebody else has
+                return
 
     # meta
 
     def meta_get(self, key: str) -> str | None:
-        row = self.table("meta").filter(F.col("key") == key).head()
+        row = self.get("meta", key)
         return row["value"] if row else None
 
     def meta_set(self, key: str, value: str) -> None:
@@ -136,8 +264,13 @@ class Store:
 
     # lookups
 
+    def lookup(self, name: str, id_: str) -> DataFrame:
+        """The row with that key, from the files that may have it."""
+        self._commits.refresh()
+        return self._current(name, id_).filter(F.col(KEYS[name]) == id_)
+
     def get(self, name: str, id_: str):
-        return self.table(name).filter(F.col(KEYS[name]) == id_).head()
+        return self.lookup(name, id_).head()
 
     def require(self, name: str, id_: str):
         row = self.get(name, id_)
@@ -146,7 +279,7 @@ class Store:
         return row
 
     def get_embedding(self, id_: str) -> list[float] | None:
-        row = self.table("memories").filter(F.col("id") == id_).select("embedding").head()
+        row = self.lookup("memories", id_).select("embedding").head()
         return row["embedding"] if row else None
 
     def set_embedding(self, id_: str, embedding: Column | list[float]) -> None:
@@ -212,13 +345,18 @@ class Store:
         return self.enqueue_all(rows)
 
     def enqueue_all(self, rows: DataFrame) -> int:
-        """Queues rows (target_type, target_id, content, priority, place); ids follow the call and then the place, and the first possible one is returned.
+        """Queues rows (target_type, target_id, content, priority, place); ids follow the commit and then the place, and the first possible one is returned.
 
-        An id holds the version, 16 bits of the writer's name and the place, which is below 2^24.
+        An id holds the number of the commit and the place, which is below 2^24.
         """
-        first = self._next << 40 | int(self._writer[:4], 16) << 24
-        rows = rows.withColumns({"id": F.col("place") + first, "status": F.lit("pending"), "created_at": F.lit(self.as_of).cast("timestamp")})
-        self._write("embed_queue", rows)
+        first = 0
+
+        def made(_: DataFrame) -> DataFrame:
+            nonlocal first
+            first = (self._commits.version + 1) << 24
+            return rows.withColumns({"id": F.col("place") + first, "status": F.lit("pending"), "created_at": F.lit(self.as_of).cast("timestamp")})
+
+        self.change("embed_queue", made, reads="table")
         return first
 
     def pending(self, n: int) -> DataFrame:
@@ -227,6 +365,26 @@ class Store:
     def mark_done(self, ids: int | DataFrame) -> None:
         self.update("embed_queue", [ids] if isinstance(ids, int) else ids, status=F.lit("done"), processed_at=F.lit(self.as_of).cast("timestamp"))
 
+    def claim(self, worker: str, n: int, as_of: str, seconds: int = 600) -> DataFrame | None:
+        """Leases the first ``n`` entries by priority that are pending, or whose lease is over, to a worker; None if there are none.
+
+        Of workers that claim at once each entry goes to one: the later commits find the entries taken and choose anew.
+        """
+        now = F.lit(as_of).cast("timestamp")
+
+        def made(queue: DataFrame) -> DataFrame:
+            free = queue.filter((F.col("status") == "pending") | (F.col("status") == "leased") & (F.col("lease_until") <= now))
+            return free.orderBy(F.desc("priority"), "id").limit(n).withColumns({"status": F.lit("leased"), "worker": F.lit(worker), "lease_until": now + F.make_interval(secs=F.lit(float(seconds)))})
+
+        return self.change("embed_queue", made)
+
+    def finish(self, worker: str, ids: DataFrame, as_of: str) -> int:
+        """Marks entries as done that the worker still holds; returns how many."""
+        held = (F.col("status") == "leased") & (F.col("worker") == worker)
+        done = {"status": F.lit("done"), "processed_at": F.lit(as_of).cast("timestamp")}
+        rows = self.change("embed_queue", lambda q: q.filter(held).join(ids.select("id"), "id", "left_semi").withColumns(done))
+        return 0 if rows is None else rows.count()
+
     # cache
 
     def cache_count(self) -> int:
@@ -236,23 +394,21 @@ class Store:
         """Counts a hit for each of the ids, repeated ones too."""
         from cairn.operators.grounding import touched
 
-        self.upsert("cache", touched(self.table("cache").join(ids.select("id").distinct(), "id", "left_semi"), ids, "hits"))
+        self.change("cache", lambda t: touched(t.join(ids.select("id").distinct(), "id", "left_semi"), ids, "hits"))
 
     def cache_clear(self, room: str | None = None) -> int:
-        rows = self.table("cache")
-        return self.delete("cache", rows if room is None else rows.filter(F.col("room") == room))
+        return self.delete("cache", lambda t: t if room is None else t.filter(F.col("room") == room))
 
     def cache_purge(self, as_of: str) -> int:
-        return self.delete("cache", self.table("cache").filter(F.col("expires_at") <= F.lit(as_of).cast("timestamp")))
+        return self.delete("cache", lambda t: t.filter(F.col("expires_at") <= F.lit(as_of).cast("timestamp")))
 
     def cache_invalidate(self, memory_id: str) -> int:
-        return self.delete("cache", self.table("cache").filter(F.array_contains("source_ids", memory_id)))
+        return self.delete("cache", lambda t: t.filter(F.array_contains("source_ids", memory_id)))
 
     def cache_evict(self, most: int) -> int:
         from cairn.operators.grounding import evict
 
-        rows = self.table("cache")
-        return self.delete("cache", rows.join(evict(rows, most).select("id"), "id", "left_anti"))
+        return self.delete("cache", lambda t: t.join(evict(t, most).select("id"), "id", "left_anti"), reads="table")
 
     def stats(self) -> DataFrame:
         """One row: memories by state, pending conflicts, edges."""

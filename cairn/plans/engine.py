@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,10 @@ from cairn.plans import recall as R
 from cairn.sources import files
 
 
+#: Entries of the embedding queue that a worker takes at a time.
+CLAIM = 1 << 16
+
+
 def parse_scope(name: str | None) -> str:
     return name if name in C.SCOPES else "personal"
 
@@ -59,7 +64,7 @@ class Engine:
         return hashlib.sha256("\u0001".join(parts).encode()).hexdigest()[:26]
 
     def _log(self, memory_id: str, event: str, as_of: str, actor: str, detail: str | None = None) -> None:
-        key = self._id("timeline", memory_id, event, as_of, actor, detail or "", str(self.store._next))
+        key = self._id("timeline", memory_id, event, as_of, actor, detail or "", uuid.uuid4().hex)
         self.store.upsert("timeline", self._one("timeline", id=key, memory_id=memory_id, event_type=event, detail=detail, actor=actor, created_at=as_of))
 
     def _link(self, source: str, target: str, kind: str, as_of: str, by: str) -> None:
@@ -144,13 +149,16 @@ class Engine:
         conflict = self.store.require("conflicts", conflict_id)
         if conflict["state"] != "pending":
             raise ValueError(f"conflict is {conflict['state']}")
+        if action == "merge" and not merged:
+            raise ValueError("a merge needs its content")
+        resolution = F.struct(F.lit(action).alias("action"), F.lit(context).cast("string").alias("context"), F.lit(merged).cast("string").alias("merged_content"))
+        done = {"state": F.lit("resolved"), "resolution": resolution, "resolved_at": F.lit(as_of).cast("timestamp"), "resolved_by": F.lit(by)}
+        if self.store.change("conflicts", lambda c: c.filter((F.col("id") == conflict_id) & (F.col("state") == "pending")).withColumns(done)) is None:
+            raise ValueError("conflict was resolved meanwhile")  # one of several resolvers goes on
         row = {**conflict["new_memory"].asDict(), "in_index": True}
         new = self.spark.createDataFrame([row], f"{EXPORTED}, in_index boolean").withColumn("embedding", embed("content")).withColumn("embedded_at", F.lit(as_of).cast("timestamp"))
         new = self.spark.createDataFrame([new.select(*self.store.table("memories").columns).head()], TABLES["memories"])
-        id_ = self._apply(new, action, list(conflict["existing_memory_ids"]), merged, as_of, by)
-        resolution = F.struct(F.lit(action).alias("action"), F.lit(context).cast("string").alias("context"), F.lit(merged).cast("string").alias("merged_content"))
-        self.store.update("conflicts", [conflict_id], state=F.lit("resolved"), resolution=resolution, resolved_at=F.lit(as_of).cast("timestamp"), resolved_by=F.lit(by))
-        return id_
+        return self._apply(new, action, list(conflict["existing_memory_ids"]), merged, as_of, by)
 
     def forget(self, id_: str, actor: str | None = None, as_of: str = R.AS_OF) -> None:
         """Archives a memory; an unknown id is an error."""
@@ -163,8 +171,7 @@ class Engine:
         author = self._author(author)
         self.store.require("memories", id_)
         votes = self.spark.createDataFrame([(id_, author)], "id string, author string")
-        row = change(self.store.table("memories").filter(F.col("id") == id_), votes).head()
-        self.store.upsert("memories", self.spark.createDataFrame([row.asDict()], TABLES["memories"]))
+        row = self.store.change("memories", lambda m: change(m.filter(F.col("id") == id_), votes)).head()
         self._log(id_, event, as_of, author, detail)
         return row["confidence"]
 
@@ -184,8 +191,8 @@ class Engine:
     def commit_access(self, returned: DataFrame, as_of: str = R.AS_OF) -> None:
         """Counts the ids that a recall returned."""
         ids = returned.select("id")
-        rows = G.touched(self.store.table("memories").join(ids.distinct(), "id", "left_semi"), ids, "access_count")
-        self.store.upsert("memories", rows.withColumn("last_accessed", F.lit(as_of).cast("timestamp")))
+        touched = lambda m: G.touched(m.join(ids.distinct(), "id", "left_semi"), ids, "access_count")
+        self.store.change("memories", lambda m: touched(m).withColumn("last_accessed", F.lit(as_of).cast("timestamp")))
 
     def memories_by_id(self, ids: list[str]) -> DataFrame:
         """Seven fields of memories in the order asked for."""
@@ -224,9 +231,9 @@ class Engine:
         c = self.config["cache"]
         ttl = c["ttl_secs"] if ttl is None else ttl
         key = self._id("cache", query, room or "")
-        known = self.store.get("cache", key)
         expires = K.expiry(F.lit(as_of).cast("timestamp"), ttl) if ttl > 0 else None
-        self.store.upsert("cache", self._one("cache", id=key, query=query, query_embedding=embed(F.lit(query)), answer=answer, source_ids=F.array(*map(F.lit, source_ids)), room=room, created_at=as_of, expires_at=expires, hits=known["hits"] if known else 0))
+        row = self._one("cache", id=key, query=query, query_embedding=embed(F.lit(query)), answer=answer, source_ids=F.array(*map(F.lit, source_ids)), room=room, created_at=as_of, expires_at=expires).drop("hits")
+        self.store.change("cache", lambda t: row.join(t.filter(F.col("id") == key).select("id", "hits"), "id", "left").withColumn("hits", F.coalesce("hits", F.lit(0))))
         self.store.cache_purge(as_of)
         self.store.cache_evict(c["max_entries"])
         return key
@@ -251,14 +258,28 @@ class Engine:
 
     def reindex(self, as_of: str = R.AS_OF) -> int:
         """Embeds all memories anew, whatever their state, and clears the cache."""
-        rows = self.store.table("memories").withColumns({"embedding": embed("content"), "in_index": F.lit(True), "embedded_at": F.lit(as_of).cast("timestamp")})
-        self.store.upsert("memories", rows)
+        now = F.lit(as_of).cast("timestamp")
+        rows = self.store.change("memories", lambda m: m.withColumns({"embedding": embed("content"), "in_index": F.lit(True), "embedded_at": now}), reads="table")
         self.store.cache_clear()
         self.store.meta_set("embedding_model", C.EMBEDDER)
-        return rows.count()
+        return 0 if rows is None else rows.count()
+
+    def drain(self, worker: str, n: int = CLAIM, as_of: str = R.AS_OF, seconds: int = 600) -> int:
+        """Embeds up to ``n`` queued memories and returns how many the worker finished.
+
+        A worker that dies leaves its lease to run out; embedding a content again gives the same vector, so what it had written does no harm.
+        """
+        claimed = self.store.claim(worker, n, as_of, seconds)
+        if claimed is None:
+            return 0
+        last = claimed.groupBy(F.col("target_id").alias("id")).agg(F.max_by("content", "id").alias("_text"))
+        vectors = last.select("id", embed("_text").alias("_vector"))
+        now = F.lit(as_of).cast("timestamp")
+        self.store.change("memories", lambda m: m.join(vectors, "id").withColumns({"embedding": F.col("_vector"), "in_index": F.col("state").isin("active", "disputed"), "embedded_at": now}))
+        return self.store.finish(worker, claimed, as_of)
 
     def expire_conflicts(self, as_of: str) -> None:
-        self.store.upsert("conflicts", K.expire(self.store.table("conflicts").filter("state = 'pending'"), as_of))
+        self.store.change("conflicts", lambda c: K.expire(c.filter("state = 'pending'"), as_of))
 
     def stats(self) -> DataFrame:
         return self.store.stats()

@@ -66,7 +66,7 @@ def settle(df: DataFrame, free: bool = False) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Deletes the files of what ``settle`` returned, once nothing is read from it any more."""
     rows = df._jdf.queryExecution().analyzed()
-    if not hasattr(rows, "rdd"):
+    if rows.getClass().getSimpleName() != "LogicalRDD":
         return
     file = rows.rdd().getCheckpointFile()
     if file.isDefined():

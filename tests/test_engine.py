@@ -157,16 +157,6 @@ def test_store_rows(spark, tmp_path):
     assert "EqualTo(id,a)" in plan
 
 
-def test_two_writers_leave_one_outcome(spark, tmp_path):
-    stores = [Store(spark, f"file://{tmp_path}/s") for _ in range(2)]
-    for name, store in zip("xy", stores, strict=True):
-        store.meta_set("k", name)
-    greater = max(zip(stores, "xy", strict=True), key=lambda p: p[0]._writer)[1]
-    assert {s.meta_get("k") for s in stores} == {greater}
-    ids = [s.enqueue("memory", name, "", 1) for name, s in zip("xy", stores, strict=True)]
-    assert len(set(ids)) == 2
-
-
 def test_neighbours_of_mixed_widths_and_ties(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 2.0]), (3, None), (4, [0.0, 0.0])], "query_id long, embedding array<float>")
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, None), (5, []), *((i, [0.0, 3.0]) for i in range(20, 9, -1))], "id long, embedding array<float>").repartition(3)
