@@ -216,7 +216,7 @@ def fnv_hash(spark, d):
     return rows.select("word", "hash", V.bucket("hash").alias("bucket"))
 
 
-_EMBEDDED = f"""
+EMBEDDED = f"""
     et AS (SELECT doc_id, {_TOKENS.format('text')} AS k FROM documents),
     ef AS (SELECT doc_id, unnest(list_concat(k, list_transform(k[2:], lambda x, i: k[i] || '_' || x))) AS t FROM et),
     en AS (SELECT doc_id, t, count(*) AS n FROM ef GROUP BY ALL), eh AS (SELECT * FROM {_hashed('ef')}),
@@ -225,7 +225,7 @@ _EMBEDDED = f"""
     e AS (SELECT et.doc_id, list_transform(range(256), lambda b: CAST(CASE WHEN n > 0 THEN coalesce(ss[list_position(bs, b)], 0) / n ELSE 0 END AS FLOAT)) AS v FROM et LEFT JOIN el ON et.doc_id = el.doc_id)"""
 
 
-@query(f"WITH {_EMBEDDED} SELECT doc_id, array_to_string(list_transform(v, lambda x: CASE WHEN x > 0 THEN '+' WHEN x < 0 THEN '-' ELSE '0' END), '') AS signs, round(CAST(list_max(list_transform(v, lambda x: abs(x))) AS DOUBLE), 4) AS largest FROM e")
+@query(f"WITH {EMBEDDED} SELECT doc_id, array_to_string(list_transform(v, lambda x: CASE WHEN x > 0 THEN '+' WHEN x < 0 THEN '-' ELSE '0' END), '') AS signs, round(CAST(list_max(list_transform(v, lambda x: abs(x))) AS DOUBLE), 4) AS largest FROM e")
 def hash_embed(spark, d):
     rows = table(spark, d, "documents").select("doc_id", V.embed("text").alias("v"))
     signs = F.array_join(F.transform("v", lambda x: F.when(x > 0, "+").when(x < 0, "-").otherwise("0")), "")
@@ -253,10 +253,12 @@ def cosine_to_mean(spark, d):
     return e.join(means, "label").select("vec_id", F.round(V.cosine("embedding", "mean"), 6).alias("sim"))
 
 
-@query(
-    f"""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {_COSINE.format('q.embedding', 'v.embedding')} AS sim FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
+KNN = f"""
+    WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {_COSINE.format('q.embedding', 'v.embedding')} AS sim FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS INTEGER) AS rank FROM s) SELECT query_id, id, sim, rank FROM r WHERE rank <= 5"""
-)
+
+
+@query(KNN)
 def knn_topk(spark, d):
     e = table(spark, d, "embeddings")
     near = S.nearest(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("id"), "embedding"), 5)
@@ -283,7 +285,7 @@ def _plain_memories(spark, d) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), F.lit("").alias("summary"), F.array().cast("array<string>").alias("tags"), F.array().cast("array<string>").alias("entities"))
 
 
-_BM25 = f"""
+BM25 = f"""
     q AS ({_QUERIES_SQL}), docs AS (SELECT CAST(doc_id AS VARCHAR) AS id, list_transform({_TOKENS.format('text')}, lambda t: strip_accents(t)) AS toks FROM documents),
     terms AS (SELECT query_id, generate_subscripts(w, 1) AS term, unnest(w) AS word FROM (SELECT query_id, {_WORDS.format('query')} AS w FROM q)),
     parts AS (SELECT query_id, term, list_transform({_TOKENS.format('word')}, lambda t: strip_accents(t)) AS p FROM terms),
@@ -299,7 +301,7 @@ _BM25 = f"""
     fts AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank FROM bm) WHERE rank <= 20)"""
 
 
-@query(f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM fts")
+@query(f"WITH {BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM fts")
 def fts_bm25_topk(spark, d):
     return S.keyword(passages_of(spark, d), _plain_memories(spark, d), 20).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
@@ -326,7 +328,7 @@ def metadata_rerank(spark, d):
 
 
 @query(
-    f"""WITH {_BM25}, qt AS (SELECT query_id, {_TERMS.format('query')} AS q FROM q),
+    f"""WITH {BM25}, qt AS (SELECT query_id, {_TERMS.format('query')} AS q FROM q),
     pool AS (SELECT query_id, doc_id, text, 1.0 / (60 + rank) AS score FROM fts JOIN documents ON CAST(doc_id AS VARCHAR) = id),
     t AS (SELECT p.query_id, doc_id, score, {_TERMS.format('text')} AS t, q FROM pool p JOIN qt USING (query_id)),
     s AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, greatest(avg(len(t)) OVER (PARTITION BY query_id), 1) AS avg FROM t),
@@ -495,7 +497,7 @@ _CONTENT = "list_distinct(list_filter(" + _TERMS + ", lambda t: NOT list_contain
 
 
 @query(
-    f"""WITH {_BM25}, c0 AS (SELECT item_id AS answer_id, list_filter({_SENTENCES.format('text')}, lambda s: octet_length(encode(s)) > 1) AS cs FROM benchmark),
+    f"""WITH {BM25}, c0 AS (SELECT item_id AS answer_id, list_filter({_SENTENCES.format('text')}, lambda s: octet_length(encode(s)) > 1) AS cs FROM benchmark),
     c1 AS (SELECT answer_id, CAST(generate_subscripts(cs, 1) - 1 AS INTEGER) AS claim_no, unnest(cs) AS claim FROM c0),
     c AS (SELECT *, {_CONTENT.format('claim')} AS t FROM c1),
     ev AS (SELECT query_id AS answer_id, {_CONTENT.format('d.text')} AS t FROM fts JOIN documents d ON CAST(doc_id AS VARCHAR) = id WHERE rank <= 5),
@@ -607,9 +609,3 @@ def sessions_upsert(spark, d):
 )
 def observations(spark, d):
     return H.observations(_events(spark, d)).select("session_id", "kind", F.unix_timestamp("created_at").alias("at"), "content", "compressed")
-
-
-@query(f"SELECT CAST(doc_id AS VARCHAR) AS id, 256 AS dim, CASE WHEN len({_TOKENS.format('text')}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents")
-def reindex(spark, d):
-    rows = files.document_memories(spark, d).withColumn("embedding", V.embed("content"))
-    return rows.select("id", F.size("embedding").alias("dim"), F.round(V.norm("embedding"), 4).alias("norm"))

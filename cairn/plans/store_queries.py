@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.operators.keyword_index import KeywordIndex
 from cairn.operators.store import Store
-from cairn.plans.queries import AS_OF, query, table
+from cairn.operators.vector_index import VectorIndex
+from cairn.plans.engine import CLAIM, Engine
+from cairn.plans.queries import AS_OF, BM25, EMBEDDED, KNN, passages_of, query, table
 from cairn.sources import files
 from cairn.sources.shared import fresh_folder
 
@@ -75,21 +78,21 @@ def store_edges(spark, d) -> DataFrame:
     return store.edges_for(spark.createDataFrame([("1",), ("2",), ("3",)], "id string")).select("id", "target_id")
 
 
-@query("SELECT event_id, CAST(floor(value * 100) AS BIGINT) AS priority FROM events WHERE event_type <> 'view' AND event_id % 5 <> 0 ORDER BY priority DESC, event_id LIMIT 25")
+@query("SELECT event_id, CAST(floor(value * 100) AS BIGINT) AS priority FROM events WHERE event_id % 5 <> 0 ORDER BY priority DESC, event_id LIMIT 25")
 def store_queue(spark, d) -> DataFrame:
     store = _store(spark)
-    events = table(spark, d, "events").filter("event_type <> 'view'")
+    events = table(spark, d, "events")
     store.enqueue_all(events.select(F.lit("memory").alias("target_type"), F.col("event_id").cast("string").alias("target_id"), F.col("props").alias("content"), F.floor(F.col("value") * 100).cast("bigint").alias("priority"), F.col("event_id").alias("place")))
     store.mark_done(store.table("embed_queue").filter("cast(target_id AS bigint) % 5 = 0").select("id"))
     return store.pending(25).select(F.col("target_id").cast("bigint").alias("event_id"), "priority")
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS memory_id, CAST(event_id AS VARCHAR) AS id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) AS n FROM events WHERE user_id % 2 = 0) WHERE n <= 10")
+@query("SELECT CAST(user_id AS VARCHAR) AS memory_id, CAST(event_id AS VARCHAR) AS id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) AS n FROM events) WHERE n <= 10")
 def store_timeline(spark, d) -> DataFrame:
     store = _store(spark)
     events = table(spark, d, "events")
     store.append("timeline", events.select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("memory_id"), "event_type", F.col("ts").cast("timestamp").alias("created_at")))
-    return store.timeline_for(events.filter("user_id % 2 = 0").select(F.col("user_id").cast("string").alias("id")).distinct()).select("memory_id", "id")
+    return store.timeline_for(events.select(F.col("user_id").cast("string").alias("id")).distinct()).select("memory_id", "id")
 
 
 @query(
@@ -124,3 +127,74 @@ def vector_file(spark, d) -> DataFrame:
     files.write_vectors(table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding"), f"{folder}/all.bin", 64)
     rows = files.read_vectors(spark, folder).select("id", F.posexplode("embedding").alias("place", "x"))
     return rows.select("id", (F.col("place") + 1).cast("bigint").alias("place"), F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+@query(f"WITH {EMBEDDED} SELECT CAST(doc_id AS VARCHAR) AS id, array_to_string(list_transform(v, lambda x: CASE WHEN x > 0 THEN '+' WHEN x < 0 THEN '-' ELSE '0' END), '') AS signs, round(CAST(list_max(list_transform(v, lambda x: abs(x))) AS DOUBLE), 4) AS largest, 'done' AS status, 'second' AS worker FROM e JOIN documents USING (doc_id)")
+def reindex(spark, d) -> DataFrame:
+    """Every document is a queued memory, longer ones first; one worker dies with a lease, another embeds all, those in the end."""
+    engine = Engine(spark, fresh_folder(spark, "reindex"), as_of=AS_OF)
+    store = engine.store
+    docs = table(spark, d, "documents")
+    store.append("memories", docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), F.lit("active").alias("state"), F.lit(False).alias("in_index")))
+    store.enqueue_all(docs.select(F.lit("memory").alias("target_type"), F.col("doc_id").cast("string").alias("target_id"), F.col("text").alias("content"), F.col("n_chars").alias("priority"), F.col("doc_id").alias("place")))
+    store.claim("first", 100, AS_OF, seconds=600)
+    while engine.drain("second", CLAIM, AS_OF):
+        pass
+    while engine.drain("second", CLAIM, "2026-01-01 00:10:00"):
+        pass
+    signs = F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "+").when(x < 0, "-").otherwise("0")), "")
+    queue = store.table("embed_queue").select(F.col("target_id").alias("id"), "status", "worker")
+    return store.index().select("id", signs.alias("signs"), F.round(F.array_max(F.transform("embedding", F.abs)).cast("double"), 4).alias("largest")).join(queue, "id")
+
+
+@query(f"WITH {BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM fts")
+def fts_kept_index(spark, d) -> DataFrame:
+    """Keyword search over an index that was kept in step with a store: texts that were wrong at first, texts that came later, texts that were deleted, and a merge between."""
+    store = _store(spark)
+    index = KeywordIndex(spark, fresh_folder(spark, "keywords"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))
+    early = F.col("id").cast("bigint") % 3 == 0
+    store.upsert("memories", docs.filter(early).withColumn("content", F.concat(F.lit("draft "), F.reverse("content"))))
+    store.upsert("memories", docs.select(F.concat(F.lit("old"), "id").alias("id"), "content").filter("length(id) < 5"))
+    index.sync(store)
+    store.upsert("memories", docs)
+    store.delete("memories", lambda m: m.filter("id like 'old%'"))
+    index.sync(store)
+    index.merge()
+    return index.search(passages_of(spark, d), 20).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(KNN)
+def knn_kept_index(spark, d) -> DataFrame:
+    """Neighbours from an index that was built of two thirds of the vectors, then got the rest, wrong ones and deletions, as a store had them."""
+    store = _store(spark)
+    index = VectorIndex(spark, fresh_folder(spark, "neighbours"))
+    e = table(spark, d, "embeddings").select(F.format_string("%012d", "vec_id").alias("id"), "embedding", F.lit(True).alias("in_index"))
+    third = F.col("id").cast("bigint") % 3 == 0
+    store.upsert("memories", e.filter(~third).unionByName(e.filter(third).withColumns({"id": F.concat(F.lit("old"), "id"), "embedding": F.reverse("embedding")})))
+    index.sync(store, member="in_index")
+    store.upsert("memories", e.filter(third))
+    store.update("memories", store.table("memories").filter("id like 'old%'").select("id"), in_index=F.lit(False))
+    index.sync(store, member="in_index")
+    asked = e.filter("cast(id AS bigint) % 20 = 0").select(F.col("id").cast("bigint").alias("query_id"), "embedding")
+    return index.search(asked, 5).select("query_id", F.col("id").cast("bigint").alias("id"), F.round("sim", 6).alias("sim"), "rank")
+
+
+@query(
+    """WITH a AS (SELECT user_id, count(*) AS n, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS clicks, max(event_id) AS last FROM events GROUP BY user_id)
+    SELECT CAST(user_id AS VARCHAR) AS id, n AS hits, CASE WHEN clicks > 0 THEN 'second' ELSE 'first' END AS query, CAST(last AS VARCHAR) AS answer FROM a"""
+)
+def store_writers(spark, d) -> DataFrame:
+    """Two stores of one folder: the second writes over what the first has written since it was opened, both count hits, and one compacts between."""
+    first = _store(spark)
+    second = Store(spark, first.path, AS_OF)
+    events = table(spark, d, "events").select(F.col("user_id").cast("string").alias("id"), "event_type", "event_id")
+    each = events.groupBy("id").agg(F.max("event_id").cast("string").alias("answer"))
+    first.upsert("cache", each.select("id", F.lit("first").alias("query"), F.lit(0).alias("hits")))
+    first.upsert("cache", each.select("id", "answer", F.lit("first").alias("query"), F.lit(0).alias("hits")))
+    clicks = F.col("event_type") == "click"
+    second.upsert("cache", events.filter(clicks).select("id").distinct().join(each, "id").select("id", "answer", F.lit("second").alias("query"), F.lit(0).alias("hits")))
+    first.cache_touch(events.filter(~clicks))
+    first.compact("cache")
+    second.cache_touch(events.filter(clicks))
+    return first.table("cache").select("id", "hits", "query", "answer")
