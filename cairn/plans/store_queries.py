@@ -122,9 +122,9 @@ def store_export(spark, d) -> DataFrame:
 
 @query("SELECT CAST(vec_id AS VARCHAR) AS id, unnest(range(1, len(embedding) + 1)) AS place, round(CAST(unnest(embedding) AS DOUBLE), 6) AS x FROM embeddings")
 def vector_file(spark, d) -> DataFrame:
-    """All vectors through one packed file and back."""
+    """All vectors through packed files and back."""
     folder = fresh_folder(spark, "vectors")
-    files.write_vectors(table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding"), f"{folder}/all.bin", 64)
+    files.write_vectors(table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding"), folder, 64)
     rows = files.read_vectors(spark, folder).select("id", F.posexplode("embedding").alias("place", "x"))
     return rows.select("id", (F.col("place") + 1).cast("bigint").alias("place"), F.round(F.col("x").cast("double"), 6).alias("x"))
 

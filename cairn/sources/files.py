@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import tomllib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,8 @@ from cairn.functions import text as X
 from cairn.functions import values as C
 from cairn.functions.schema import EXPORTED, MEMORY_FIELDS
 from cairn.functions.vectors import embed
-from cairn.sources.shared import settle, sound
+from cairn.sources.packed import PackedVectors
+from cairn.sources.shared import sound
 
 #: Settings and their defaults.
 DEFAULTS = {
@@ -85,54 +86,19 @@ def _packed(rows: Iterable[tuple[str, list[float]]]) -> bytes:
     return b"".join(struct.pack("<H", len(k := i.encode())) + k + encode_vector(v) for i, v in rows)
 
 
-def write_vectors(vectors: DataFrame, path: str, dim: int) -> int:
-    """One packed file of (id, embedding), which any file system of Spark's may hold; returns how many.
-
-    The form is one file with the count in front. Its parts are packed by the
-    executors and pass through the driver one partition at a time.
-    """
+def write_vectors(vectors: DataFrame, path: str, dim: int, **options) -> int:
+    """A folder of packed files of (id, embedding), one or more for each task; vectors of another width are left out. Returns how many rows."""
+    spark = vectors.sparkSession
+    spark.dataSource.register(PackedVectors)
     rows = vectors.filter(F.size("embedding") == dim).select("id", F.col("embedding").cast("array<float>").alias("embedding"))
+    rows.write.format(PackedVectors.name()).options(dim=dim, **options).mode("overwrite").save(path)
+    return read_vectors(spark, path).count()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"body": [_packed(zip(frame["id"], frame["embedding"], strict=True))], "n": [len(frame)]})
 
-    parts = settle(rows.mapInPandas(run, "body binary, n bigint"))
-    count = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    spark = vectors.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-    try:
-        out.write(bytearray(C.VECTOR_MAGIC + struct.pack("<IQ", dim, count)))
-        for row in parts.toLocalIterator():
-            out.write(row["body"])
-    finally:
-        out.close()
-    return count
-
-
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """id and embedding of all packed vector files under a path; another magic is an error."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for raw in frame["content"]:
-                if raw[:4] != C.VECTOR_MAGIC:
-                    raise ValueError("not a vector file")
-                dim, count = struct.unpack_from("<IQ", raw, 4)
-                at, ids, vectors = 16, [], []
-                for _ in range(count):
-                    (n,) = struct.unpack_from("<H", raw, at)
-                    ids.append(raw[at + 2 : at + 2 + n].decode())
-                    at += 2 + n
-                    vectors.append(np.frombuffer(raw, "<f4", dim, at))
-                    at += 4 * dim
-                    if len(ids) == 4096:
-                        yield pd.DataFrame({"id": ids, "embedding": vectors})
-                        ids, vectors = [], []
-                yield pd.DataFrame({"id": ids, "embedding": vectors})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "id string, embedding array<float>")
+def read_vectors(spark: SparkSession, path: str, **options) -> DataFrame:
+    """id and embedding of a packed vector file or a folder of them, in parts; another magic is an error."""
+    spark.dataSource.register(PackedVectors)
+    return spark.read.format(PackedVectors.name()).options(**options).load(path)
 
 
 def as_memories(rows: DataFrame, intensity: str = "full", with_embedding: bool = False) -> DataFrame:
