@@ -86,21 +86,22 @@ class Store:
     def _hash(key: str) -> Column:
         return F.xxhash64(F.col(key))
 
-    def _log(self, name: str, id_: Any = None) -> DataFrame:
-        """All rows of all commits with their ``_version``; with an id, only commits and buckets that may have it."""
+    def _log(self, name: str, ids: list[Any] | None = None) -> DataFrame:
+        """All rows of all commits with their ``_version``; with ids, only commits and buckets that may have one of them."""
         key, parts = KEYS[name], self._parts(name)
         schema = f"{TABLES[name]}, _deleted boolean"
         base, adds = parts["base"], parts["adds"]
-        mark = bucket = None
-        if id_ is not None:
-            hashed = F.xxhash64(F.lit(id_).cast(dict(self._types(name))[key]))
-            buckets = base["buckets"] if base else 1
-            mark, bucket = self.spark.range(1).select(F.pmod(hashed, F.lit(KEY_MARKS)), F.pmod(hashed, F.lit(buckets))).head()
-            adds = [a for a in adds if (a["marks"] is None or mark in a["marks"]) and a["low"] <= str(id_) <= a["high"]]
+        places: list[int] | None = None
+        if ids is not None:
+            kind, buckets = dict(self._types(name))[key], base["buckets"] if base else 1
+            hashed = F.xxhash64(F.col("id").cast(kind))
+            found = self.spark.createDataFrame([(str(i),) for i in ids], "id string").select("id", F.pmod(hashed, F.lit(KEY_MARKS)).alias("m"), F.pmod(hashed, F.lit(buckets)).alias("b")).collect()
+            places = sorted({r["b"] for r in found})
+            adds = [a for a in adds if any((a["marks"] is None or r["m"] in a["marks"]) and a["low"] <= r["id"] <= a["high"] for r in found)]
         logs = []
         if base:
             rows = self.spark.read.schema(f"{schema}, kb int").parquet(f"{self.path}/{name}/{base['path']}")
-            logs.append((rows if bucket is None else rows.filter(F.col("kb") == bucket)).drop("kb").withColumn("_version", F.lit(base["upto"]).cast("bigint")))
+            logs.append((rows if places is None else rows.filter(F.col("kb").isin(places))).drop("kb").withColumn("_version", F.lit(base["upto"]).cast("bigint")))
         if adds:
             rows = self.spark.read.schema(f"{schema}, c string").option("basePath", f"{self.path}/{name}").parquet(*(f"{self.path}/{name}/{a['path']}" for a in adds))
             if len(adds) == 1:
@@ -116,8 +117,8 @@ class Store:
     def _types(self, name: str) -> list[tuple[str, str]]:
         return self.spark.createDataFrame([], TABLES[name]).dtypes
 
-    def _current(self, name: str, id_: Any = None) -> DataFrame:
-        log, key, parts = self._log(name, id_), KEYS[name], self._parts(name)
+    def _current(self, name: str, ids: list[Any] | None = None) -> DataFrame:
+        log, key, parts = self._log(name, ids), KEYS[name], self._parts(name)
         columns = [c for c in log.columns if not c.startswith("_")]
         if parts["base"] and not parts["adds"]:
             return log.select(*columns)
@@ -196,9 +197,9 @@ class Store:
         """Whole rows that are not made of the table's; the later commit stands."""
         self.commit(name, lambda: rows, reads="nothing")
 
-    def change(self, name: str, how: Callable[[DataFrame], DataFrame], reads: str = "keys") -> DataFrame | None:
-        """Commits ``how(table)``, made anew whenever the table has changed meanwhile; returns the rows, None if there are none."""
-        return self.commit(name, lambda: how(self._current(name)), reads)
+    def change(self, name: str, how: Callable[[DataFrame], DataFrame], reads: str = "keys", among: list[Any] | None = None) -> DataFrame | None:
+        """Commits ``how(table)``, made anew whenever the table has changed meanwhile; returns the rows, None if there are none. With ``among`` the table has the rows of these keys, and few others."""
+        return self.commit(name, lambda: how(self._current(name, among)), reads)
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """Whole new rows for keys that are there; one that is not is an error. ``created_at`` stays."""
@@ -264,10 +265,10 @@ class Store:
 
     # lookups
 
-    def lookup(self, name: str, id_: str) -> DataFrame:
-        """The row with that key, from the files that may have it."""
+    def lookup(self, name: str, *ids: str) -> DataFrame:
+        """The rows with these keys, from the files that may have them."""
         self._commits.refresh()
-        return self._current(name, id_).filter(F.col(KEYS[name]) == id_)
+        return self._current(name, list(ids)).filter(F.col(KEYS[name]).isin(*ids))
 
     def get(self, name: str, id_: str):
         return self.lookup(name, id_).head()

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from cairn.functions import text as X
 from cairn.operators.store import Store
@@ -43,25 +47,119 @@ def observations(events: DataFrame, intensity: str = "full", private: bool = Fal
     return rows.select(key.alias("id"), "session_id", "kind", "content", X.compress("content", intensity).alias("compressed"), F.col("ts").alias("created_at"), F.lit(None).cast("string").alias("metadata"))
 
 
-def capture(store: Store, events: DataFrame, checkpoint: str, intensity: str = "full"):
-    """Starts a query that keeps sessions and observations; a batch that is run again adds nothing."""
+#: Session ids of a micro-batch whose stored rows are looked up by key; more are joined.
+LOOKED_UP = 1 << 12
+#: Seconds after which sessions that say nothing are no longer held as state.
+IDLE = 86_400
+_CHANGED = "id string, ide string, cwd string, room string, started_at timestamp, ended_at timestamp"
+
+
+class Sessions(StatefulProcessor):
+    """The earliest event and the end of each session; gives a row whenever one of them changes, and forgets a session that is idle."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", "ide string, cwd string, room string, started long, ended long")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        had = self.known.get() if self.known.exists() else None
+        now, last = had, 0
+        for frame in rows:
+            at = frame["ts"].astype("datetime64[us]").astype("int64")
+            last = max(last, int(at.max()) // 1000)
+            order = at.argsort(kind="stable")
+            first = frame.iloc[order.iloc[0]]
+            if now is None or int(at.min()) < now[3]:
+                fields = tuple(None if pd.isna(first[c]) else str(first[c]) for c in ("ide", "cwd", "room"))
+                now = (*fields, int(at.min()), None if now is None else now[4])
+            ends = at[frame["event"] == "session_end"]
+            if len(ends) and (now[4] is None or int(ends.max()) > now[4]):
+                now = (*now[:4], int(ends.max()))
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+        due = max(last, timerValues.getCurrentWatermarkInMs()) + self.idle_ms
+        self.timer.update((due,))
+        self.handle.registerTimer(due)
+        if now != had:
+            self.known.update(now)
+            at = lambda us: None if us is None else pd.Timestamp(us, unit="us")
+            yield pd.DataFrame({"id": [key[0]], "ide": [now[0]], "cwd": [now[1]], "room": [now[2]], "started_at": [at(now[3])], "ended_at": pd.Series([at(now[4])], dtype="datetime64[us]")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.known.clear()
+        self.timer.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def changed_sessions(events: DataFrame, delay: str = "1 hour", idle: int = IDLE) -> DataFrame:
+    """A row of a stream's session whenever its earliest event or its end changes; events later than the delay are left out."""
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = events.select("session_id", "event", "ide", "cwd", "room", "ts").withWatermark("ts", delay)
+    return rows.groupBy("session_id").transformWithStateInPandas(Sessions(1000 * idle), _CHANGED, "Update", "EventTime")
+
+
+def merge_sessions(store: Store, changed: DataFrame) -> None:
+    """Takes rows of sessions into the store: of what is stored and what comes the earlier start, with its fields, and the later end."""
+    ids = [r["id"] for r in changed.select("id").distinct().limit(LOOKED_UP + 1).collect()]
+    if not ids:
+        return
+    mine = F.struct("started_at", "ide", "cwd", "room")
+
+    def made(known: DataFrame) -> DataFrame:
+        known = known.select(*changed.columns).join(changed.select("id").distinct(), "id", "left_semi")
+        every = known.withColumn("_new", F.lit(1)).unionByName(changed.withColumn("_new", F.lit(2)))
+        one = every.groupBy("id").agg(F.min_by(mine, F.struct(F.col("started_at"), "_new")).alias("f"), F.max("ended_at").alias("ended_at"))
+        return one.select("id", "f.*", "ended_at")
+
+    store.change("sessions", made, among=ids if len(ids) <= LOOKED_UP else None)
+
+
+class Capture:
+    """The two queries of a capture."""
+
+    def __init__(self, *queries: StreamingQuery):
+        self.queries = queries
+
+    def awaitTermination(self) -> None:
+        for q in self.queries:
+            q.awaitTermination()
+
+    def stop(self) -> None:
+        for q in self.queries:
+            q.stop()
+
+
+def capture(store: Store, events: DataFrame, checkpoint: str, intensity: str = "full", delay: str = "1 hour", idle: int = IDLE) -> Capture:
+    """Starts queries that keep sessions and observations; a batch that is run again adds nothing.
+
+    What a batch costs follows its events: sessions that it changes are looked up by key, others are not read.
+    """
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch = batch.persist()
+        try:
+            if not batch.isEmpty():
+                store.upsert("observations", observations(batch.dropDuplicates(), intensity))
+        finally:
+            batch.unpersist()
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch = batch.dropDuplicates().persist()
+    def merge(batch: DataFrame, _: int) -> None:
+        batch = batch.persist()
         try:
-            if batch.isEmpty():
-                return
-            known = store.table("sessions")
-            found = sessions(batch)
-            opened = found.join(known.select("id"), "id", "left_anti")
-            ends = found.filter("ended_at is not null").select("id", F.col("ended_at").alias("_end"))
-            closed = known.join(ends, "id").withColumn("ended_at", F.col("_end")).drop("_end")
-            store.upsert("sessions", opened.unionByName(closed))
-            store.upsert("observations", observations(batch, intensity))
+            merge_sessions(store, batch)
         finally:
             batch.unpersist()
 
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    start = lambda rows, how, name, mode: rows.writeStream.foreachBatch(how).outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
+    return Capture(start(changed_sessions(events, delay, idle), merge, "sessions", "update"), start(events, keep, "observations", "append"))
 
 
 def distinct_sessions(events: DataFrame, delay: str = "1 hour") -> DataFrame:

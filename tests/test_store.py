@@ -138,8 +138,8 @@ def test_compaction_leaves_later_commits(spark, stores):
     a.upsert("cache", entries(spark, ["p", "q"], hits=1))
     plain = Store._current
 
-    def slow(self, name, id_=None):
-        out = plain(self, name, id_)
+    def slow(self, name, ids=None):
+        out = plain(self, name, ids)
         if self is a:
             b.upsert("cache", entries(spark, ["q"], hits=2))  # after the snapshot that is compacted
         return out
