@@ -15,6 +15,7 @@ from cairn.sources.shared import settle
 
 #: Bits of the sketch of a set of words, and places of the table of ids whose words are needed.
 SKETCH, MARKS = 512, 1 << 23
+_CHANGES = "array<struct<kind:string,id:string,other:string,what:string>>"
 _CLAIMS = "array<struct<subject:string,verb:string,object:string>>"
 THRESHOLDS = {"similarity": 0.45, "supersede": 0.92, "duplicate": 0.95, "complement": 0.80, "expiry_secs": 300, "top_k": 5}
 
@@ -201,6 +202,30 @@ def route(near: DataFrame, new: DataFrame, existing: DataFrame, new_words: DataF
     return routed.withColumn("outcome", outcome)
 
 
+def resolution_changes(decided: DataFrame) -> DataFrame:
+    """What decisions (conflict_id, action, new_id, merged_id, existing_ids) change: rows of conflict_id, kind, id, other and what.
+
+    ``stands``: the id that stands for the conflict; ``added``: a memory of the new text (or of the merged one); ``superseded``: an old
+    memory; ``edge``: from the one that stands to an old one, and its type; ``event``: a memory's timeline. A decision is told by its own row.
+    """
+    action, old = F.col("action"), F.coalesce("existing_ids", F.array().cast("array<string>"))
+    stands = F.when(action == "discard_new", F.get(old, F.lit(0))).when(action == "merge", F.col("merged_id")).otherwise(F.col("new_id"))
+    none = F.lit(None).cast("string")
+
+    def change(kind: str, id_: Column, other: Column = none, what: Column = none) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), id_.cast("string").alias("id"), other.cast("string").alias("other"), what.cast("string").alias("what"))
+
+    some = lambda held, *changes: F.when(held, F.array(*changes)).otherwise(F.array().cast(_CHANGES))
+    each = lambda held, made: F.when(held, F.transform(old, made)).otherwise(F.array().cast(_CHANGES))
+    takes_over, kept = action.isin("replace", "merge"), action != "discard_new"
+    changes = F.concat(
+        F.array(change("stands", stands)), some(kept, change("added", stands), change("event", stands, what=F.lit("created"))), some(~kept, change("event", stands, what=F.lit("refreshed"))),
+        each(takes_over, lambda x: change("superseded", x)), each(takes_over, lambda x: change("edge", stands, x, F.lit("supersedes"))), each(action == "keep_both", lambda x: change("edge", stands, x, F.lit("complements"))),
+        each(action == "replace", lambda x: change("event", x, stands, F.lit("superseded"))),
+    )
+    return decided.select("conflict_id", F.explode(changes).alias("c")).select("conflict_id", "c.*")
+
+
 def endorse(memories: DataFrame, votes: DataFrame, as_of: str) -> DataFrame:
     """Adds the authors of votes (id, author) to endorsed_by, and recomputes the confidence; the state stays."""
     given = votes.groupBy("id").agg(F.array_sort(F.collect_set("author")).alias("_new"))

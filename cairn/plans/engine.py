@@ -22,6 +22,7 @@ from cairn.operators import grounding as G
 from cairn.operators.store import NotFound, Store
 from cairn.plans import recall as R
 from cairn.sources import files
+from cairn.sources.shared import settle
 
 
 #: Entries of the embedding queue that a worker takes at a time.
@@ -160,6 +161,49 @@ class Engine:
         new = self.spark.createDataFrame([new.select(*self.store.table("memories").columns).head()], TABLES["memories"])
         return self._apply(new, action, list(conflict["existing_memory_ids"]), merged, as_of, by)
 
+    def resolve_many(self, decisions: DataFrame, by: str | None = None, as_of: str = R.AS_OF) -> DataFrame:
+        """Applies decisions (conflict_id, action, merged) to the pending ones of these conflicts, all at once; returns what they changed.
+
+        Of resolvers that decide the same conflict at once one goes on. A merge without content is left pending.
+        """
+        by, now = self._author(by), F.lit(as_of).cast("timestamp")
+        asked = decisions.select(F.col("conflict_id").alias("id"), "action", "merged").filter(F.col("action").isin(*C.RESOLUTIONS) & ((F.col("action") != "merge") | (F.coalesce("merged", F.lit("")) != "")))
+        outcome = F.struct(F.col("action"), F.lit(None).cast("string").alias("context"), F.col("merged").alias("merged_content"))
+        done = {"state": F.lit("resolved"), "resolution": outcome, "resolved_at": now, "resolved_by": F.lit(by)}
+        taken = self.store.change("conflicts", lambda c: c.filter("state = 'pending'").join(asked, "id").withColumns(done))
+        if taken is None:
+            return self.spark.createDataFrame([], "conflict_id string, kind string, id string, other string, what string")
+        hashed = lambda *parts: F.substring(F.sha2(F.concat_ws("\u0001", *parts), 256), 1, 26)
+        decided = taken.select(F.col("id").alias("conflict_id"), "resolution.action", F.col("new_memory.id").alias("new_id"), hashed(F.lit("merge"), "resolution.merged_content", F.lit(as_of)).alias("merged_id"), F.col("existing_memory_ids").alias("existing_ids"), F.col("resolution.merged_content").alias("merged"), "new_memory")
+        changes = settle(K.resolution_changes(decided))
+        of = lambda kind: changes.filter(F.col("kind") == kind)
+        level = X.levels("merged", self.config["compress"]["intensity"])
+        added = of("added").select("conflict_id", F.col("id").alias("_id")).join(decided, "conflict_id").withColumn("_l", F.when(F.col("action") == "merge", level))
+        pick = lambda c: F.coalesce(F.col(f"_l.{c}"), F.col(f"new_memory.{c}"))
+        content = F.when(F.col("action") == "merge", F.col("merged")).otherwise(F.col("new_memory.content"))
+        made = {"id": F.col("_id"), "content": content, **{c: pick(c) for c in ("compressed", "summary", "headline")}}
+        rows = added.select(*(made.get(c, F.col(f"new_memory.{c}")).alias(c) for c in MEMORY_FIELDS)).dropDuplicates(["id"])
+        rows = rows.withColumns({"embedding": embed("content"), "in_index": F.lit(True), "embedded_at": now})
+        if not rows.isEmpty():
+            self.store.append("memories", rows)
+        gone = of("superseded").select("id").distinct()
+        self.store.update("memories", gone, state=F.lit("superseded"), in_index=F.lit(False), updated_at=now)
+        edges = of("edge").select(hashed(F.lit("edge"), "id", "other", "what", F.lit(as_of)).alias("id"), F.col("id").alias("source_id"), F.col("other").alias("target_id"), F.col("what").alias("edge_type"), now.alias("created_at"), F.lit(by).alias("created_by"))
+        self.store.upsert("edges", edges.dropDuplicates(["id"]))
+        events = of("event").select(hashed(F.lit("timeline"), "conflict_id", "id", "what", F.lit(as_of)).alias("id"), F.col("id").alias("memory_id"), F.col("what").alias("event_type"), F.col("other").alias("detail"), F.lit(by).alias("actor"), now.alias("created_at"))
+        self.store.upsert("timeline", events.dropDuplicates(["id"]))
+        self.store.delete("cache", lambda t: t.join(t.select("id", F.explode("source_ids").alias("_of")).join(gone.select(F.col("id").alias("_of")), "_of", "left_semi").select("id").distinct(), "id", "left_semi"))
+        return changes
+
+    def endorse_many(self, votes: DataFrame, as_of: str = R.AS_OF) -> int:
+        """Takes votes (id, author) for memories in at once; returns how many memories changed."""
+        rows = self.store.change("memories", lambda m: K.endorse(m.join(votes.select("id").distinct(), "id", "left_semi"), votes, as_of))
+        return 0 if rows is None else rows.count()
+
+    def forget_many(self, ids: DataFrame, as_of: str = R.AS_OF) -> None:
+        """Archives memories (id) at once; ids that are not there are passed over."""
+        self.store.update("memories", ids.select("id").distinct(), state=F.lit("archived"), in_index=F.lit(False), updated_at=F.lit(as_of).cast("timestamp"))
+
     def forget(self, id_: str, actor: str | None = None, as_of: str = R.AS_OF) -> None:
         """Archives a memory; an unknown id is an error."""
         self.store.require("memories", id_)

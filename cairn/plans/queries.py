@@ -589,7 +589,7 @@ def import_dedup(spark, d):
 # Capture
 
 
-def _events(spark, d) -> DataFrame:
+def session_events(spark, d) -> DataFrame:
     c = table(spark, d, "conversations")
     last = F.col("turn") == F.max("turn").over(Window.partitionBy("conv_id"))
     event = F.when(F.col("turn") == 0, "session_start").when(last, "session_end").when(F.col("role") == "user", "prompt_submit").otherwise("ai_response")
@@ -598,9 +598,12 @@ def _events(spark, d) -> DataFrame:
     return c.select(event.alias("event"), F.col("conv_id").cast("string").alias("session_id"), F.lit("ide").alias("ide"), none.alias("cwd"), F.lit("r").alias("room"), F.col("text").alias("content"), none.alias("prompt"), none.alias("tool"), none.alias("result"), at.alias("ts"))
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS id, 'ide' AS ide, 'r' AS room, min(1700000000 + conv_id * 3600 + turn) AS started, CASE WHEN max(turn) > 0 THEN max(1700000000 + conv_id * 3600 + turn) END AS ended FROM conversations GROUP BY conv_id")
+SESSIONS = "SELECT CAST(conv_id AS VARCHAR) AS id, 'ide' AS ide, 'r' AS room, min(1700000000 + conv_id * 3600 + turn) AS started, CASE WHEN max(turn) > 0 THEN max(1700000000 + conv_id * 3600 + turn) END AS ended FROM conversations GROUP BY conv_id"
+
+
+@query(SESSIONS)
 def sessions_upsert(spark, d):
-    return H.sessions(_events(spark, d)).select("id", "ide", "room", F.unix_timestamp("started_at").alias("started"), F.unix_timestamp("ended_at").alias("ended"))
+    return H.sessions(session_events(spark, d)).select("id", "ide", "room", F.unix_timestamp("started_at").alias("started"), F.unix_timestamp("ended_at").alias("ended"))
 
 
 @query(
@@ -608,4 +611,4 @@ def sessions_upsert(spark, d):
     k AS (SELECT * FROM t WHERE turn > 0 AND turn < final) SELECT session_id, kind, k.at, c.text AS content, compressed FROM {_compressed('(SELECT id, text FROM k)')} c JOIN k ON k.id = c.id"""
 )
 def observations(spark, d):
-    return H.observations(_events(spark, d)).select("session_id", "kind", F.unix_timestamp("created_at").alias("at"), "content", "compressed")
+    return H.observations(session_events(spark, d)).select("session_id", "kind", F.unix_timestamp("created_at").alias("at"), "content", "compressed")

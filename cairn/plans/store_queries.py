@@ -9,9 +9,10 @@ from cairn.operators.keyword_index import KeywordIndex
 from cairn.operators.store import Store
 from cairn.operators.vector_index import VectorIndex
 from cairn.plans.engine import CLAIM, Engine
-from cairn.plans.queries import AS_OF, BM25, EMBEDDED, KNN, passages_of, query, table
+from cairn.plans.queries import AS_OF, BM25, EMBEDDED, KNN, SESSIONS, passages_of, query, session_events, table
 from cairn.sources import files
 from cairn.sources.shared import fresh_folder
+from cairn.streaming import capture as H
 
 _START = 1_704_067_200  # 2024-01-01
 
@@ -198,3 +199,60 @@ def store_writers(spark, d) -> DataFrame:
     first.compact("cache")
     second.cache_touch(events.filter(clicks))
     return first.table("cache").select("id", "hits", "query", "answer")
+
+
+@query(
+    f"""WITH l AS (SELECT DISTINCT doc_id, doc_id % 4 AS a FROM labels) SELECT 'x' || l.doc_id AS id,
+    CASE a WHEN 2 THEN CAST(l.doc_id AS VARCHAR) WHEN 3 THEN substr(sha256('merge' || chr(1) || 'merged ' || l.doc_id || chr(1) || '{AS_OF}'), 1, 26) ELSE 'n' || l.doc_id END AS stands,
+    CASE WHEN a IN (0, 3) THEN 'superseded' ELSE 'active' END AS old_state, CASE a WHEN 2 THEN text WHEN 3 THEN 'merged ' || l.doc_id ELSE 'new ' || l.doc_id END AS content,
+    CASE a WHEN 1 THEN 'complements' WHEN 2 THEN NULL ELSE 'supersedes' END AS edge_type, CAST(CASE a WHEN 0 THEN 2 ELSE 1 END AS BIGINT) AS events, 'resolved' AS state FROM l JOIN documents d ON l.doc_id = d.doc_id"""
+)
+def resolve_actions(spark, d) -> DataFrame:
+    """A conflict with each labelled document, resolved by one of the four actions; what stands, what became of the document, the edge and the events."""
+    engine = Engine(spark, fresh_folder(spark, "resolve"), as_of=AS_OF)
+    store = engine.store
+    docs, ids = table(spark, d, "documents"), table(spark, d, "labels").select("doc_id").distinct()
+    text = F.col("doc_id").cast("string")
+    store.append("memories", docs.select(text.alias("id"), F.col("text").alias("content"), F.lit("active").alias("state"), F.lit(True).alias("in_index")))
+    fields = store.table("conflicts").schema["new_memory"].dataType
+    given = {"id": F.concat(F.lit("n"), text), "content": F.concat(F.lit("new "), text), "state": F.lit("active")}
+    memory = F.struct(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+    store.upsert("conflicts", ids.join(docs.select("doc_id"), "doc_id").select(F.concat(F.lit("x"), text).alias("id"), memory.alias("new_memory"), F.array(text).alias("existing_memory_ids"), F.lit("pending").alias("state")))
+    action = F.get(F.array(*map(F.lit, ("replace", "keep_both", "discard_new", "merge"))), (F.col("doc_id") % 4).cast("int"))
+    changes = engine.resolve_many(ids.select(F.concat(F.lit("x"), text).alias("conflict_id"), action.alias("action"), F.concat(F.lit("merged "), text).alias("merged")))
+    stands = changes.filter("kind = 'stands'").select(F.col("conflict_id").alias("id"), F.col("id").alias("stands"))
+    memories, edges = store.table("memories").select("id", "content", "state"), store.table("edges").select(F.col("source_id").alias("stands"), "edge_type")
+    named = lambda df, **new: df.select(*(F.col(c).alias(n) for c, n in new.items()))
+    old = named(memories, id="old", state="old_state")
+    per = changes.filter("kind = 'event'").join(named(store.table("timeline"), memory_id="id", event_type="what").distinct(), ["id", "what"]).groupBy(F.col("conflict_id").alias("id")).agg(F.count("*").alias("events"))
+    out = stands.withColumn("old", F.substring("id", 2, 40)).join(old, "old").join(named(memories, id="stands", content="content"), "stands").join(edges, "stands", "left").join(per, "id")
+    return out.join(store.conflicts("resolved").select("id", "state"), "id").select("id", "stands", "old_state", "content", "edge_type", "events", "state")
+
+
+@query(
+    """WITH v AS (SELECT doc_id, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY doc_id), e AS (SELECT d.doc_id, coalesce(t, 0) AS t, CASE WHEN coalesce(q, 0) = 1 THEN 1 + CAST(d.doc_id % 2 = 0 AS INTEGER) ELSE 0 END AS n FROM documents d LEFT JOIN v ON d.doc_id = v.doc_id)
+    SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN t = 1 THEN 'archived' ELSE 'active' END AS state, t = 0 AS in_index, n AS endorsed, round(CASE WHEN n > 0 THEN (n + 1) / (n + 2.0) ELSE 0.8 END, 6) AS confidence FROM e"""
+)
+def endorse_and_forget(spark, d) -> DataFrame:
+    """Documents of good quality are endorsed by one or two authors, toxic ones forgotten, in a store."""
+    engine = Engine(spark, fresh_folder(spark, "endorse"), as_of=AS_OF)
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    text, none = F.col("doc_id").cast("string").alias("id"), F.array().cast("array<string>")
+    engine.store.append("memories", docs.select(text, F.col("text").alias("content"), F.lit("active").alias("state"), F.lit(True).alias("in_index"), F.lit(0.8).alias("confidence"), none.alias("endorsed_by"), none.alias("disputed_by")))
+    good = labels.filter("quality = 1").select("doc_id").distinct()
+    engine.endorse_many(good.select(text, F.lit("ana").alias("author")).unionByName(good.filter("doc_id % 2 = 0").select(text, F.lit("bo").alias("author"))))
+    engine.endorse_many(good.select(text, F.lit("ana").alias("author")))  # a second time changes nothing
+    engine.forget_many(labels.filter("toxic = 1").select(text))
+    return engine.store.table("memories").select("id", "state", "in_index", F.size("endorsed_by").alias("endorsed"), F.round("confidence", 6).alias("confidence"))
+
+
+@query(SESSIONS)
+def session_stream(spark, d) -> DataFrame:
+    """Sessions of a stream of event files that is stopped and goes on with files that repeat some events."""
+    store, folder = _store(spark), fresh_folder(spark, "events")
+    events = session_events(spark, d)
+    late = F.col("session_id").cast("bigint") % 3 == 0
+    for part, rows in enumerate((events.filter(~late), events.filter(late | (F.col("session_id").cast("bigint") % 3 == 1)))):
+        rows.write.mode("append").json(f"{folder}/in/{part}")
+        H.capture(store, H.source(spark, f"{folder}/in/*"), f"{folder}/check", delay="3650 days").awaitTermination()
+    return store.table("sessions").select("id", "ide", "room", F.unix_timestamp("started_at").alias("started"), F.unix_timestamp("ended_at").alias("ended"))
