@@ -1,6 +1,6 @@
 """Array kernels over batches of texts: bytes, words, rolling hashes.
 
-Words are told by their bytes inside a slice (``numbered_words``) and by a keyed digest of
+Words are told by their bytes inside a slice (``numbered_words``) and by a seeded digest (xxh3) of
 their bytes elsewhere (``word_hashes``); runs of words by hashes of hashes
 (``windows``). The polynomial hashes of bytes collide for texts that are made to
 (two letters in the order of Thue and Morse), so what they bring together must be compared.
@@ -11,20 +11,21 @@ their memory follows ``SLICE_BYTES`` or the longest single text, never the table
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest as _digest
 
 #: Bytes of text that one slice holds, unless one text alone is longer.
 SLICE_BYTES = 2 << 20
 #: Odd multipliers of the polynomial hashes (fixed, so that any executor gets the same hash).
 _P1, _P2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _MASK = (1 << 64) - 1
-#: Key of the words' digests (fixed, as are the multipliers).
-_KEY = b"words"
+#: Seed of the words' digests (fixed, as are the multipliers).
+_SEED = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -152,20 +153,27 @@ def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
-def numbered_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """The number of each span's bytes among the distinct ones, in the order they come, and these; told by their bytes."""
-    sizes = ends - starts
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    joined = np.ascontiguousarray(data[gather(starts, sizes)])
-    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+    return _numbered(np.ascontiguousarray(data[gather(starts, ends - starts)]), ends - starts)
+
+
+def numbered_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The same of all words of the data, which hold every byte that is not white space."""
+    return _numbered(data[~_SPACE[data]], ends - starts)
+
+
+def _numbered(joined: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    offsets = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A keyed digest of 64 bits of each span's bytes; each distinct one is digested once."""
+    """A seeded digest of 64 bits of each word; each distinct one is digested once."""
     number, words = numbered_words(data, starts, ends)
-    digests = b"".join(hashlib.blake2b(w, digest_size=8, key=_KEY).digest() for w in words.to_pylist())
-    return np.frombuffer(digests, np.uint64)[number]
+    return np.fromiter(map(_digest, words.to_numpy(zero_copy_only=False).tolist(), repeat(_SEED)), np.uint64, len(words))[number]
 
 
 def owners(counts: np.ndarray) -> np.ndarray:

@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -72,8 +73,8 @@ class Words:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.spans = np.zeros((0, 2), np.int64)
-        self.pool = np.zeros(0, np.int64)
+        self.begin, self.size = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self.pool, self.used = np.zeros(1 << 12, np.uint32), 0
 
     def _specials(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
         """Where tokens of the vocabulary stand that are taken as they are written, text by text."""
@@ -109,7 +110,7 @@ class Words:
         order: list[int] = []
         for at in range(0, len(many), 2048):
             part = many[at : at + 2048]
-            ids = np.array(self._ids(" \x01 ".join([texts[i] for i in part.tolist()])), np.int64)
+            ids = np.array(self._ids(" \x01 ".join([texts[i] for i in part.tolist()])), np.uint32)
             m = len(self.mark)
             hit = np.ones(max(0, len(ids) - m + 1), bool)
             for j, x in enumerate(self.mark):
@@ -123,14 +124,17 @@ class Words:
             order += part.tolist()
             flat.append(ids[V.gather(begins, ends - begins)])
         for i in alone:
-            flat.append(np.array(self._ids(texts[i]), np.int64))
+            flat.append(np.array(self._ids(texts[i]), np.uint32))
             counts[i] = len(flat[-1])
             order.append(i)
-        starts = np.zeros(len(words), np.int64)
-        starts[order] = len(self.pool) + np.cumsum(counts[order]) - counts[order]
-        self.pool = np.concatenate([self.pool, *flat])
-        self.known.update(zip(words, range(len(self.spans), len(self.spans) + len(words)), strict=True))
-        self.spans = np.concatenate([self.spans, np.stack([starts, counts], 1)])
+        n, new = len(self.known), np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+        self.begin, self.size = (_room(x, n + len(words)) for x in (self.begin, self.size))
+        self.begin[n:][order] = self.used + np.cumsum(counts[order]) - counts[order]
+        self.size[n : n + len(words)] = counts
+        self.pool = _room(self.pool, self.used + len(new))
+        self.pool[self.used : self.used + len(new)] = new
+        self.used += len(new)
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by 0, and how many each text has with it."""
@@ -139,16 +143,26 @@ class Words:
         data, offsets = V.buffers(texts)
         starts, ends, first = self.cut(data, offsets)
         number, distinct = V.numbered_words(data, starts, ends)
-        words = distinct.to_pylist()
-        new = [w for w in words if w not in self.known]
-        if new:
-            self._learn(new)
-        spans = self.spans[np.array([self.known[w] for w in words], np.int64)][number]
-        ids = self.pool[V.gather(spans[:, 0], spans[:, 1])]
-        counts = np.diff(np.concatenate([[0], np.cumsum(spans[:, 1])])[first])
-        out = np.zeros(len(ids) + len(counts), np.uint32)
-        out[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
-        return out, counts + 1
+        words = distinct.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self._learn([words[i] for i in new.tolist()])
+        place = at[number]
+        sizes = self.size[place]
+        ids = self.pool[V.gather(self.begin[place], sizes)]
+        before = np.concatenate([[0], np.cumsum(sizes)])[first]
+        ends = np.zeros(len(ids) + len(before) - 1, bool)
+        ends[before[1:] + np.arange(len(before) - 1)] = True  # the closing id of each text
+        out = np.zeros(len(ends), np.uint32)
+        out[~ends] = ids
+        return out, np.diff(before) + 1
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for n items at least, twice as large if it had less."""
+    return x if len(x) >= n else np.concatenate([x, np.zeros(max(len(x), n - len(x)), x.dtype)])
 
 
 _words: dict[int, Words] = {}

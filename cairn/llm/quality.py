@@ -95,7 +95,7 @@ def judge(texts: pa.Array) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.
     full = count > 0
 
     lines = np.zeros(len(count), np.int64)
-    lines[full] = V.numbered_words(data, line_start[full], line_end[full])[0]
+    lines[full] = V.numbered(data, line_start[full], line_end[full])[0]
     n_dup = np.bincount(owner[full][_repeated((owner * len(lines) + lines)[full])[1]], minlength=n)
 
     m = len(words)

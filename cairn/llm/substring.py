@@ -12,7 +12,7 @@ so a passage that many documents share is a few rows for each chunk.
 
 Words are runs of other bytes than ASCII white space. Windows agree if both the
 64-bit hash of the block and that of the whole window do; these are hashes of
-hashes of keyed digests of the words' bytes, so equal ones cannot be made by arranging
+hashes of seeded digests of the words' bytes, so equal ones cannot be made by arranging
 words or letters, and are as rare as chance has it.
 
 Cases: null text has no words, and null stays null in ``apply``; texts of fewer
@@ -49,12 +49,12 @@ class _View:
         self.starts, self.ends, self.first = V.words(chunk.data, chunk.offsets)
         self.words = V.word_hashes(chunk.data, self.starts, self.ends)
         self.n = len(self.words)
-        rolling = V.windows(self.words, BLOCK)
+        self.rolling = V.windows(self.words, BLOCK)
         at = np.flatnonzero(V.within(self.first, BLOCK, self.n))
         self.doc = np.searchsorted(self.first, at, "right") - 1
         usable = chunk.known[self.doc]
         self.at, self.doc = at[usable], self.doc[usable]
-        self.hash = rolling[self.at]
+        self.hash = self.rolling[self.at]
         self.is_block = (self.at - self.first[self.doc]) % BLOCK == 0
         self.order = np.argsort(self.hash, kind="stable")
         h = self.hash[self.order]
@@ -119,8 +119,10 @@ def _hits(v: _View, bits: int, answers: list) -> tuple[np.ndarray, np.ndarray, n
     start = at[:, None] - np.arange(BLOCK)
     inside = (start >= v.first[doc][:, None]) & (start + WINDOW <= v.first[doc + 1][:, None])
     place = np.clip(start, 0, max(0, v.n - WINDOW))
-    wide = V.windows(v.words, WINDOW)
-    around = wide[place] if len(wide) else np.zeros(place.shape, np.uint64)
+    if len(place) and v.n >= WINDOW:  # a window is two blocks
+        around = V.mix(v.rolling[place] * np.uint64(V._P1) + v.rolling[place + WINDOW - BLOCK])
+    else:
+        around = np.zeros(place.shape, np.uint64)
     around[~inside] = 0
     anchor = v.hash[chosen]
     whole = V.mix(anchor)
