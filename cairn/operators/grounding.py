@@ -15,13 +15,14 @@ HIT, ANSWER, GROUND = 0.85, 0.80, 0.50
 def check_claims(answers: DataFrame, evidence: DataFrame, threshold: float = SUPPORT) -> DataFrame:
     """One row for each claim of answers (answer_id, answer) with its best share of terms in evidence (answer_id, rank, id, content).
 
-    Claims and evidence meet on terms, so pairs that share none are never built.
+    Evidence without answer_id counts for all answers. Claims and evidence meet on terms, so pairs that share none are never built.
     """
+    own = [c for c in ("answer_id",) if c in evidence.columns]
     claims = answers.select("answer_id", F.posexplode(X.claims("answer")).alias("claim_no", "claim"))
     claims = claims.withColumn("terms", X.content_terms("claim"))
     wanted = claims.select("answer_id", "claim_no", F.size("terms").alias("m"), F.explode("terms").alias("term"))
-    held = evidence.select("answer_id", "id", F.col("rank").alias("place"), F.explode(X.content_terms("content")).alias("term"))
-    share = wanted.join(held, ["answer_id", "term"]).groupBy("answer_id", "claim_no", "id", "place").agg((F.count("*") / F.first("m")).alias("share"))
+    held = evidence.select(*own, "id", F.col("rank").alias("place"), F.explode(X.content_terms("content")).alias("term"))
+    share = wanted.join(held, [*own, "term"]).groupBy("answer_id", "claim_no", "id", "place").agg((F.count("*") / F.first("m")).alias("share"))
     best = share.groupBy("answer_id", "claim_no").agg(F.min_by(F.struct("id", "share"), F.struct(-F.col("share"), F.col("place"), F.col("id"))).alias("best"))
     rows = claims.join(best, ["answer_id", "claim_no"], "left")
     score = F.when(F.size("terms") == 0, F.lit(1.0)).otherwise(F.coalesce("best.share", F.lit(0.0)))

@@ -405,8 +405,8 @@ def lexical(pool: DataFrame, queries: DataFrame, weight: float = 0.5, query_id:
     words = X.terms(F.concat_ws(" ", "content", "headline", F.array_join("tags", " ")))
     rows = pool.join(asked, query_id).withColumn("_t", words).withColumn("_dl", F.size("_t"))
     rows = rows.withColumn("_n", F.count("*").over(per)).withColumn("_avg", F.greatest(F.avg("_dl").over(per), F.lit(1.0)))
-    hits = rows.select(query_id, "id", "_dl", "_n", "_avg", F.explode(F.filter("_q", lambda t: F.array_contains(F.col("_t"), t))).alias("term"), "_t")
-    hits = hits.withColumn("tf", F.size(F.filter("_t", lambda t: t == F.col("term"))))
+    counted = F.transform("_q", lambda q: F.struct(q.alias("term"), F.size(F.filter("_t", lambda t: t == q)).alias("tf")))
+    hits = rows.select(query_id, "id", "_dl", "_n", "_avg", F.explode(F.filter(counted, lambda p: p["tf"] > 0)).alias("p")).select("*", "p.term", "p.tf")  # counts move, tokens stay
     df = rows.select(query_id, F.explode(F.array_intersect("_q", "_t")).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (C.K1 + 1) / (F.col("tf") + C.K1 * (1 - C.B + C.B * F.col("_dl") / F.col("_avg")))

@@ -19,7 +19,9 @@ from cairn.functions.schema import EXPORTED, MEMORY_FIELDS, TABLES
 from cairn.functions.vectors import embed, embedder
 from cairn.operators import conflict as K
 from cairn.operators import grounding as G
+from cairn.operators.keyword_index import KeywordIndex
 from cairn.operators.store import NotFound, Store
+from cairn.operators.vector_index import VectorIndex
 from cairn.plans import recall as R
 from cairn.sources import files
 from cairn.sources.shared import settle
@@ -232,6 +234,21 @@ class Engine:
     def recall(self, queries: DataFrame, **options) -> DataFrame:
         return R.recall(queries, self.store.table("memories"), config=self.config, **options)
 
+    def indexes(self) -> tuple[KeywordIndex, VectorIndex]:
+        """The kept indexes beside the store, in step with it: what has changed since the last time is taken in, and much change leads to a merge or a rebuild."""
+        words, vectors = KeywordIndex(self.spark, f"{self.store.path}/_keywords"), VectorIndex(self.spark, f"{self.store.path}/_vectors")
+        words.sync(self.store)
+        vectors.sync(self.store, member="in_index")
+        if words.due():
+            words.merge()
+        if vectors.due():
+            vectors.rebuild()
+        return words, vectors
+
+    def recall_indexed(self, queries: DataFrame, **options) -> DataFrame:
+        """``recall`` by the kept indexes."""
+        return self.recall(queries, indexes=self.indexes(), **options)
+
     def commit_access(self, returned: DataFrame, as_of: str = R.AS_OF) -> None:
         """Counts the ids that a recall returned."""
         ids = returned.select("id")
@@ -247,8 +264,7 @@ class Engine:
         """Report and claims of answers (answer_id, answer, query) against memories by id, or else the recalled ones."""
         memories = self.store.table("memories")
         if evidence_ids is not None:
-            ids = self.spark.createDataFrame(list(enumerate(evidence_ids)), "rank int, id string")
-            found = answers.select("answer_id").join(F.broadcast(ids))  # the caller's list
+            found = self.spark.createDataFrame(list(enumerate(evidence_ids)), "rank int, id string")  # the caller's list, for all answers
         else:
             limit = max(self.config["guardrail"]["evidence_limit"], 3)
             asked = answers.select(F.col("answer_id").alias("query_id"), F.coalesce("query", "answer").alias("query"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.operators.derived import Derived
 from cairn.operators.keyword_index import KeywordIndex
 from cairn.operators.store import Store
 from cairn.operators.vector_index import VectorIndex
+from cairn.plans import recall as R
 from cairn.plans.engine import CLAIM, Engine
 from cairn.plans.queries import AS_OF, BM25, EMBEDDED, KNN, SESSIONS, passages_of, query, session_events, table
 from cairn.sources import files
@@ -256,3 +258,16 @@ def session_stream(spark, d) -> DataFrame:
         rows.write.mode("append").json(f"{folder}/in/{part}")
         H.capture(store, H.source(spark, f"{folder}/in/*"), f"{folder}/check", delay="3650 days").awaitTermination()
     return store.table("sessions").select("id", "ide", "room", F.unix_timestamp("started_at").alias("started"), F.unix_timestamp("ended_at").alias("ended"))
+
+
+@query()
+def recall_indexed(spark, d) -> DataFrame:
+    """``recall_static`` by kept indexes of what has been derived of the texts; whole memories are made of what is found."""
+    rows = files.document_rows(spark, d)
+    derived = Derived(spark, fresh_folder(spark, "derived"))
+    derived.fill(rows)
+    searched = files.as_searched(rows, derived=derived)
+    words, vectors = KeywordIndex(spark, fresh_folder(spark, "keywords")), VectorIndex(spark, fresh_folder(spark, "neighbours"))
+    words.upsert(searched)
+    vectors.upsert(searched)
+    return R.recall(passages_of(spark, d), None, AS_OF, full=lambda ids: files.as_memories(rows.join(ids, "id"), derived=derived), indexes=(words, vectors))

@@ -101,18 +101,25 @@ def read_vectors(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format(PackedVectors.name()).options(**options).load(path)
 
 
-def as_memories(rows: DataFrame, intensity: str = "full", with_embedding: bool = False) -> DataFrame:
-    """Full memory rows of (id, content, author, room, created_at): classified, compressed, with the defaults of a new memory."""
+def as_memories(rows: DataFrame, intensity: str = "full", with_embedding: bool = False, derived=None) -> DataFrame:
+    """Full memory rows of (id, content, author, room, created_at): classified, compressed, with the defaults of a new memory; with ``derived`` what has been derived of the texts is taken from there."""
+    if derived is not None:
+        made = derived.of(rows, "memory_type", "tags", "entities", "compressed", "summary", "headline", *["embedding"] * with_embedding)
+        return _whole(made.withColumn("_l", F.struct("compressed", "summary", "headline")), with_embedding, F.col("embedding") if with_embedding else None)
     level = X.levels("content", intensity)
+    out = rows.withColumns({"memory_type": X.detect_type("content"), "tags": X.tags("content"), "entities": X.entities("content"), "_l": level})
+    return _whole(out, with_embedding, embed("content"))
+
+
+def _whole(rows: DataFrame, with_embedding: bool, embedding: Column | None) -> DataFrame:
     empty = F.array().cast("array<string>")
     none = lambda t: F.lit(None).cast(t)
-    out = rows.withColumns({"memory_type": X.detect_type("content"), "tags": X.tags("content"), "entities": X.entities("content"), "_l": level})
-    out = out.select(
+    out = rows.select(
         "id", "content", "_l.compressed", "_l.summary", "_l.headline", "memory_type", F.lit("active").alias("state"), F.lit("personal").alias("scope"), "author", "room", "tags", "entities",
         F.lit("manual").alias("source_type"), none("string").alias("source_detail"), F.lit(C.NEW_CONFIDENCE).alias("confidence"), F.lit(C.NEW_IMPORTANCE).alias("importance"), F.lit(0).cast("bigint").alias("access_count"), none("timestamp").alias("last_accessed"),
-        "created_at", F.col("created_at").alias("updated_at"), none("timestamp").alias("verified_at"), empty.alias("endorsed_by"), empty.alias("disputed_by"),
+        "created_at", F.col("created_at").alias("updated_at"), none("timestamp").alias("verified_at"), empty.alias("endorsed_by"), empty.alias("disputed_by"), *([embedding.alias("embedding")] if with_embedding else []),
     )
-    return out.withColumn("embedding", embed("content")).withColumn("in_index", F.lit(True)) if with_embedding else out
+    return out.withColumn("in_index", F.lit(True)) if with_embedding else out
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -122,8 +129,10 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def as_searched(rows: DataFrame, intensity: str = "full") -> DataFrame:
-    """What searches need of memories of (id, content): the searched fields and the embedding, without the levels that they do not show."""
+def as_searched(rows: DataFrame, intensity: str = "full", derived=None) -> DataFrame:
+    """What searches need of memories of (id, content): the searched fields and the embedding, without the levels that they do not show; with ``derived`` from there."""
+    if derived is not None:
+        return derived.of(rows.select("id", "content"), "summary", "tags", "entities", "embedding").withColumn("in_index", F.lit(True))
     return rows.select("id", "content", X.summary_of("content", intensity).alias("summary"), X.tags("content").alias("tags"), X.entities("content").alias("entities"), embed("content").alias("embedding"), F.lit(True).alias("in_index"))
 
 
