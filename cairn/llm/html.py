@@ -17,7 +17,8 @@ included. It is what stands in the article, or else the main element, the
 content element, unless the host's data path lies elsewhere; or else below the
 data path, or all of it. Which of the varying elements are menus, notices,
 adverts, forms, comments and the like the template cannot tell; these go by tag,
-role or class. An article with nothing but template (a host's copies of one
+role or class: outside articles by any word of class or id, but for the ids of headings, inside them by a
+whole class name. An article with nothing but template (a host's copies of one
 page) is kept.
 
 Cases: null html is empty text; pages without url are one host; hosts with one
@@ -56,6 +57,7 @@ RAW = frozenset("script style noscript template iframe textarea select svg canva
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILER_TAGS = frozenset("head nav footer aside form button dialog menu".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Words of class and id that mark an element as no part of the text.
@@ -160,7 +162,12 @@ def blocks(page: str) -> tuple[list[Block], dict[str, int], list[str]]:
         order.append(SLOT + slot)
         role = attributes.get("role", "").lower()
         boiler = boiler or tag in BOILER_TAGS or tag in RAW or role in BOILER_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
-        boiler = boiler or bool(words & BOILER_WORDS) and tag not in ("html", "body", "article", "main") or tag == "article" and bool(words & {"comment", "comments", "reply", "replies"})
+        named = words
+        if level == 3:  # what an article calls its parts says little: whole class names alone count there
+            named = set(attributes.get("class", "").lower().split())
+        elif tag in HEADINGS:
+            named = _words(attributes.get("class", "")) if attributes.get("class") else set()
+        boiler = boiler or bool(named & BOILER_WORDS) and tag not in ("html", "body", "article", "main") or tag == "article" and bool(words & {"comment", "comments", "reply", "replies"})
         boiler = boiler or (tag == "header" or "header" in words and tag != "h1") and level < 3
         if tag == "article":
             level = 3

@@ -414,6 +414,12 @@ def test_html_template_tells_siblings_apart(spark):
     assert _extracted(spark, [f"<div><div>Welcome to S</div><div>text {i}</div></div>" for i in range(5)]) == {i: f"text {i}" for i in range(5)}
 
 
+def test_html_names_within_an_article():
+    page = """<body><div id="page-header">top</div><h2 id="search-results">Results</h2><article><h1>Trees</h1><h2 id="search-trees">Search trees</h2><div class="related-work">What others did.</div>
+    <p id="reply-to-kant">A reply.</p><p class="menu-costs">Menu costs.</p><div class="share">Share this</div><p class="lead comments">gone</p></article><div class="main-menu">menu</div></body>"""
+    assert html.main_text(page) == "\n".join(["Trees", "Search trees", "What others did.", "A reply.", "Menu costs."])
+
+
 def test_html_template_is_ordered(spark):
     side = ["<div class=a>one</div>", "<div class=b>two</div>"]
     pages = [f"<section><i>x</i>{''.join(side[:: -1 if i % 2 else 1])}<p>text {i}</p></section>" for i in range(4)]
