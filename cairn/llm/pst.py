@@ -32,7 +32,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,35 +41,65 @@ from cairn.llm import _vector as V
 from cairn.llm._spark import settle
 from cairn.sources.shared import forget
 
-DEPTH, MIN_COUNT, MIN_GAIN, HALF = 2, 4, 2.0, 0.5
+DEPTH, MIN_COUNT, MIN_GAIN, HALF = 2, 8, 2.0, 0.5
 #: Texts whose checksum has this remainder are held out.
 FOLDS, HELD = 10, 0
 ADDED = 0.1
 #: Slices of the table in one chunk.
 JOIN = 8
 #: Gains are summed as whole numbers of this size, so that their order does not matter.
-GRAIN = 1 << 20
+GRAIN = 1 << 10
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
 def pack(**arrays: np.ndarray) -> bytes:
-    """Named arrays, whole numbers in as few bytes as they need."""
-    return C.pack(np.frombuffer(",".join(arrays).encode(), np.uint8), *(_small(a) for a in arrays.values()))
+    """Named arrays of whole numbers in as few bytes as they need: those that ascend as differences, all of them byte plane by byte plane."""
+    names, bodies = [], []
+    for name, a in arrays.items():
+        kind = ""
+        if len(a) and a.dtype.kind == "i" and a.min() < 0:
+            a, kind = (a << 1) ^ (a >> 63), "z"  # the sign goes last
+        a = _small(a)
+        if a.dtype.itemsize > 1 and not (a[1:] >= a[:-1]).all():  # those that ascend are taken apart below
+            kind += f"p{a.dtype.itemsize}"
+            a = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).ravel()
+        names.append(f"{name}:{kind}")
+        bodies.append(a)
+    return C.pack(np.frombuffer(",".join(names).encode(), np.uint8), *bodies)
 
 
 def unpack(body: bytes) -> dict[str, np.ndarray]:
     names, *arrays = C.unpack(body)
-    return dict(zip(names.tobytes().decode().split(","), arrays, strict=True))
+    out = {}
+    for named, a in zip(names.tobytes().decode().split(","), arrays, strict=True):
+        name, kind = named.split(":")
+        if "p" in kind:
+            size = int(kind[-1])
+            a = np.ascontiguousarray(a.reshape(size, -1).T).view(f"<u{size}")[:, 0]
+        if kind.startswith("z"):
+            a = a.astype(np.int64)
+            a = (a >> 1) ^ -(a & 1)
+        out[name] = a
+    return out
 
 
 def _small(a: np.ndarray) -> np.ndarray:
-    if a.dtype.kind == "f" or not len(a) or a.min() < 0:
-        return a
-    top = int(a.max())
+    top = int(a.max()) if len(a) else 0
     return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, and the number of each key; by hashing, and sorting the distinct ones alone."""
+    coded = pa.array(keys).dictionary_encode()
+    codes, found = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1))
+    order = np.argsort(found)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return found[order], first[order], place[codes]
+
+
 def held_out(id_: int | None) -> bool:
     return zlib.crc32(b"" if id_ is None else str(id_).encode()) % FOLDS == HELD
 
@@ -93,22 +122,32 @@ class Grams:
 
     def __init__(self, state: dict[str, np.ndarray], longest: int):
         self.state = state
-        tok = state["tok"].astype(np.int64)
+        tok = state["tok"].astype(np.int32)
         self.width = len(state["c1"])
-        fresh = np.zeros(len(tok), bool)
-        fresh[(np.cumsum(state["sizes"].astype(np.int64)) - state["sizes"])] = True
+        self.fresh = np.cumsum(state["sizes"].astype(np.int64)) - state["sizes"]
         self.at, self.items, self.rep = {1: tok}, {}, {}
-        self.count = lambda k: state[f"c{k}"].astype(np.int64)
         for k in range(2, longest + 1):
-            before = np.full(len(tok), -1)
-            before[1:] = self.at[k - 1][:-1]
-            before[fresh] = -1
-            good = np.flatnonzero(before >= 0)
-            good = good[self.count(k - 1)[before[good]] >= MIN_COUNT]
-            keys, rep, inverse = np.unique(before[good] * self.width + tok[good], return_index=True, return_inverse=True)
-            self.at[k] = np.full(len(tok), -1)
-            self.at[k][good] = inverse
-            self.items[k], self.rep[k] = np.divmod(keys, max(self.width, 1)), good[rep]
+            self.grow(k)
+
+    def count(self, k: int) -> np.ndarray:
+        return self.state[f"c{k}"].astype(np.int64)
+
+    def grow(self, k: int) -> None:
+        """Finds the runs of k, once those of k - 1 have their counts and numbers."""
+        before = np.full(len(self.at[1]), -1, np.int32)
+        before[1:] = self.at[k - 1][:-1]
+        before[self.fresh] = -1
+        frequent = np.flatnonzero(self.count(k - 1) >= MIN_COUNT)  # contexts, in the order of their numbers
+        frequent = frequent[np.argsort(self.state[f"id{k - 1}"][frequent])]
+        rank = np.full(len(self.state[f"c{k - 1}"]) + 1, -1, np.int32)
+        rank[frequent] = np.arange(len(frequent))
+        before = rank[before]  # the last is that of no run
+        good = np.flatnonzero(before >= 0)
+        keys, rep, number = _distinct(before[good].astype(np.int64) * self.width + self.at[1][good])
+        self.at[k] = np.full(len(before), -1, np.int32)
+        self.at[k][good] = number
+        context, word = np.divmod(keys, max(self.width, 1))
+        self.items[k], self.rep[k] = (frequent[context], word), good[rep]
 
     def trained(self) -> np.ndarray:
         """Which tokens are of training texts."""
@@ -120,16 +159,17 @@ class Grams:
         return np.bincount(at[at >= 0], minlength=len(self.items[k][0]))
 
     def order(self, k: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The runs of k in the order of buckets, and of the numbers of contexts in each; with these numbers and the buckets."""
+        """The runs of k in the order of buckets, and of the numbers of contexts and words in each; with these numbers and the buckets."""
         context, word = self.items[k]
         ids, words = self.state[f"id{k - 1}"].astype(np.uint64)[context], self.state["id1"].astype(np.uint64)[word]
         where = bucket_of(V.mix(ids) + words * np.uint64(V._P1), bits)
-        order = np.lexsort((words, ids, where))
-        return order, ids, where
+        return np.argsort(where, kind="stable"), ids, where
 
     def contexts(self, k: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The runs of k that are contexts of runs here, in the order of buckets and numbers; with these numbers and the buckets."""
-        here = np.unique(self.items[k + 1][0])
+        seen = np.zeros(len(self.state[f"c{k}"]), bool)
+        seen[self.items[k + 1][0]] = True
+        here = np.flatnonzero(seen)
         ids = self.state[f"id{k}"].astype(np.uint64)[here]
         where = bucket_of(ids * np.uint64(V._P2), bits)
         order = np.lexsort((ids, where))
@@ -144,7 +184,8 @@ class Grams:
 
 
 def bucket_of(key: np.ndarray, bits: int) -> np.ndarray:
-    return (V.mix(key) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+    kind = np.uint16 if bits <= 16 else np.uint32  # short numbers are sorted by their digits
+    return (V.mix(key) >> np.uint64(64 - bits)).astype(kind) if bits else np.zeros(len(key), kind)
 
 
 def gains(c: np.ndarray, of: np.ndarray, share: np.ndarray) -> np.ndarray:
@@ -156,15 +197,11 @@ def gains(c: np.ndarray, of: np.ndarray, share: np.ndarray) -> np.ndarray:
 
 def _parts(where: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Each bucket of sorted ones, and where it is."""
-    begin = np.flatnonzero(np.diff(where, prepend=-1)).tolist()
+    begin = np.flatnonzero(np.diff(where.astype(np.int64), prepend=-1)).tolist()
     for a, b in zip(begin, [*begin[1:], len(where)][: len(begin)], strict=True):
         yield int(where[a]), slice(a, b)
 
 
-def _hashes(words: pa.Array) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()], np.uint64)
-
-
 def _send_words(state: dict[str, np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]:
     words, where = _words(state), state["where"].astype(np.int64)
     offsets = state["ends"].astype(np.int64)
@@ -180,11 +217,12 @@ def _words(state: dict[str, np.ndarray]) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(state["text"]))])
 
 
-def _send_runs(k: int, depth: int, total: int, bits: int, state: dict[str, np.ndarray]) -> Iterator[tuple[int, bytes]]:
+def _send_runs(k: int, depth: int, total: int, bits: int, grams: Grams) -> Iterator[tuple[int, bytes]]:
     """Runs of k tokens, if k is at most depth + 1, and what the chunk's own runs of k - 1 say of their contexts."""
-    grams = Grams(state, min(k, depth + 1))
+    state = grams.state
     out: dict[int, dict[str, np.ndarray]] = {}
     if k <= depth + 1:
+        grams.grow(k)
         order, ids, where = grams.order(k, bits)
         words, counts = state["id1"].astype(np.uint64)[grams.items[k][1]], grams.counts(k)
         for b, part in _parts(where[order]):
@@ -269,18 +307,18 @@ def _bits(a: dict[str, np.ndarray], size: int) -> np.ndarray:
     return np.unpackbits(a["own"], count=size)
 
 
-def _take_words(state: dict[str, np.ndarray], answers: dict) -> dict[str, np.ndarray]:
+def _take_words(state: dict[str, np.ndarray], said: dict[int, dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     """The state with the words' numbers and counts instead of the words; tokens are numbered by these."""
     where = list(_parts(state["where"].astype(np.int64)))
-    empty = lambda kind: np.zeros(len(state["where"]), kind)
-    ids, c, own = (_merged(answers, where, empty(kind), how) for kind, how in ((np.int64, _plain("id")), (np.int64, _plain("c")), (np.uint8, _bits)))
+    ids, c = (_merged(said, where, np.zeros(len(state["where"]), np.int64), _plain(name)) for name in ("id", "c"))
     order = np.argsort(ids, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    return {"sizes": state["sizes"], "held": state["held"], "tok": place[state["tok"]], "id1": ids[order], "c1": c[order], "new": np.array([int(((own > 0) & (c > 0)).sum())])}
+    return {"sizes": state["sizes"], "held": state["held"], "tok": place[state["tok"]], "id1": ids[order], "c1": c[order]}
 
 
-def _take_runs(k: int, depth: int, bits: int, state: dict[str, np.ndarray], answers: dict) -> dict[str, np.ndarray]:
+def _take_runs(k: int, depth: int, bits: int, state: dict[str, np.ndarray], said: dict[int, dict[str, np.ndarray]]) -> Grams:
+    """The runs with what the buckets say of those of k and of the contexts of k - 2."""
     grams = Grams(state, min(k, depth + 1))
     more: dict[str, np.ndarray] = {}
     if k <= depth + 1:
@@ -295,20 +333,22 @@ def _take_runs(k: int, depth: int, bits: int, state: dict[str, np.ndarray], answ
             return full
 
         for out, how in ((c, _plain("c")), (own, _bits), (ids, numbers)):
-            out[order] = _merged(answers, parts, np.zeros(n, out.dtype), how)
+            out[order] = _merged(said, parts, np.zeros(n, out.dtype), how)
         more |= {f"c{k}": c, "own": own} | ({f"id{k}": ids} if k <= depth else {})
     if k >= 3:
         here, _, where = grams.contexts(k - 2, bits)
         kinds = np.zeros(len(state[f"c{k - 2}"]), np.int64)
-        kinds[here] = _merged(answers, list(_parts(where)), np.zeros(len(here), np.int64), _plain("t"))
+        kinds[here] = _merged(said, list(_parts(where)), np.zeros(len(here), np.int64), _plain("t"))
         more[f"t{k - 2}"] = kinds
-    return {n: a for n, a in state.items() if n != "own"} | more
+    grams.state = {n: a for n, a in state.items() if n != "own"} | more
+    return grams
 
 
 def _first(chunk: C.Chunk, raw_ids: list, bits: int) -> dict[str, np.ndarray]:
     """The state of a new chunk: texts' sizes, which are held out, tokens, and the words in the order of their buckets."""
     sizes, tok, words = tokens(chunk)
-    where = bucket_of(_hashes(words), bits)
+    text, ends = V.buffers(words)
+    where = bucket_of(V.spans_hash(V.prefix(V._BYTE[V._P1][text], V._P1), ends[:-1], ends[1:], V._P1), bits)  # their bytes tell them apart there
     order = np.argsort(where, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -317,54 +357,53 @@ def _first(chunk: C.Chunk, raw_ids: list, bits: int) -> dict[str, np.ndarray]:
     return {"sizes": sizes, "held": np.array([held_out(i) for i in raw_ids], np.uint8), "tok": place[tok], "where": where[order], "ends": offsets[1:], "text": text}
 
 
-_MESSAGE = "bucket int, chunk long, body binary"
+#: Rows of states have bucket -1 and ids, messages the bucket.
+_BOTH = ["chunk", "ids", "bucket", "body"]
 
 
-def _send(states: DataFrame, features: Callable[[dict], Iterator[tuple[int, bytes]]]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = list(features(unpack(body)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array([m for _, m in rows], pa.binary())], ["bucket", "chunk", "body"])
-
-    return states.select("chunk", "body").mapInArrow(run, _MESSAGE)
+def _rows(chunk: int, ids: pa.Array, state: dict[str, np.ndarray], messages: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
+    """The state of a chunk and its messages."""
+    sent = list(messages)
+    own = pa.concat_arrays([ids, pa.nulls(len(sent), ids.type)])
+    return pa.RecordBatch.from_arrays([pa.array([chunk] * (1 + len(sent)), pa.int64()), own, pa.array([-1, *(b for b, _ in sent)], pa.int32()), pa.array([pack(**state), *(m for _, m in sent)], pa.binary())], _BOTH)
 
 
-def _exchange(states: DataFrame, count: int, features: Callable, take: Callable) -> DataFrame:
-    """States (chunk, ids, body) after the buckets' answers; the states before go."""
-    answers = C.answer(_send(states, features), count, _judge(count))
+def _answered(both: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """States (chunk, ids, body, answers) with the buckets' answers to their messages, and the settled answers."""
+    answers = settle(C.answer(both.filter("bucket >= 0").select("bucket", "chunk", "body"), count, _judge(count)), free=True)
     grouped = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "body")).alias("answers"))
-    joined = states.join(grouped.hint("shuffle_hash"), "chunk", "left").select("chunk", "ids", "body", "answers")
+    states = both.filter("bucket < 0").select("chunk", "ids", "body")
+    return states.join(grouped.hint("shuffle_hash"), "chunk", "left").select("chunk", "ids", "body", "answers"), answers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                answers = {a["bucket"]: unpack(a["body"]) for a in batch.column(3)[i].as_py() or []}
-                body = pack(**take(unpack(batch.column(2)[i].as_py()), answers))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([body], pa.binary())], ["chunk", "ids", "body"])
 
-    after = settle(joined.mapInArrow(run, states.schema), free=True)
-    forget(states)
-    return after
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, dict[str, np.ndarray], dict[int, dict[str, np.ndarray]]]]:
+    """chunk, ids, state and answers by bucket of each row."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            said = {a["bucket"]: unpack(a["body"]) for a in batch.column(3)[i].as_py() or []}
+            yield batch.column(0)[i].as_py(), batch.column(1).slice(i, 1), unpack(batch.column(2)[i].as_py()), said
 
 
-def _totals(states: DataFrame) -> tuple[int, int]:
-    """How many training tokens there are, and how many distinct ones."""
+def _totals(both: DataFrame, answers: DataFrame) -> tuple[int, int]:
+    """How many training tokens the states hold, and how many distinct ones the words' answers."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for body in batch.column(0).to_pylist():
-                s = unpack(body)
-                yield pa.RecordBatch.from_arrays([pa.array([int(s["sizes"][s["held"] == 0].sum())], pa.int64()), pa.array([int(s["new"][0])], pa.int64())], ["n", "v"])
+            states = (unpack(body) for body in batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([int(s["sizes"][s["held"] == 0].sum()) for s in states], pa.int64())], ["n"])
 
-    row = states.select("body").mapInArrow(run, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).head()
-    return row[0], row[1]
+    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = (unpack(body) for body in batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([int(_bits(a, len(a["c"]))[a["c"] > 0].sum()) for a in said], pa.int64())], ["n"])
 
+    parts = both.filter("bucket < 0").select("body").mapInArrow(trained, "n long"), answers.select("body").mapInArrow(fresh, "n long")
+    return tuple(p.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0] for p in parts)  # type: ignore[return-value]
 
-def scores(state: dict[str, np.ndarray], depth: int, n: int, v: int) -> dict[str, np.ndarray]:
+
+def scores(grams: Grams, depth: int, n: int, v: int) -> dict[str, np.ndarray]:
     """Of each text: held_out, n_tokens, n_known, base_score and score."""
-    grams = Grams(state, depth + 1)
+    state = grams.state
     sizes = state["sizes"].astype(np.int64)
     c = grams.count(1)[grams.at[1]]
     p = (c + ADDED) / (n + ADDED * (v + 1))
@@ -388,29 +427,39 @@ def apply(df: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: s
     count = C.buckets_for(chunks)
     bits = count.bit_length() - 1
     id_type = rows.schema["id"].dataType
-    kinds = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("body", T.BinaryType())])
+    kinds = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("bucket", T.IntegerType()), T.StructField("body", T.BinaryType())])
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 chunk = C._open(body, "id", "text")
                 ids = chunk.batch.column(0)
-                lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), lists, pa.array([pack(**_first(chunk, ids.to_pylist(), bits))], pa.binary())], kinds.names)
+                state = _first(chunk, ids.to_pylist(), bits)
+                yield _rows(number, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), state, _send_words(state, bits))
 
-    states = settle(chunks.mapInArrow(begin, kinds))
+    both = settle(chunks.mapInArrow(begin, kinds))
     forget(chunks)
-    states = _exchange(states, count, lambda s: _send_words(s, bits), _take_words)
-    n, v = _totals(states)
+    states, answers = _answered(both, count)
+    n, v = _totals(both, answers)
     for k in range(2, depth + 3):
-        states = _exchange(states, count, lambda s, k=k: _send_runs(k, depth, n, bits, s), lambda s, a, k=k: _take_runs(k, depth, bits, s, a))
+
+        def step(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
+            for chunk, ids, state, said in _each(batches):
+                grams = Grams(_take_words(state, said), 1) if k == 2 else _take_runs(k - 1, depth, bits, state, said)
+                sent = list(_send_runs(k, depth, n, bits, grams))
+                yield _rows(chunk, ids, grams.state, iter(sent))
+
+        after = settle(states.mapInArrow(step, kinds), free=True)
+        forget(answers)
+        forget(both)
+        both = after
+        states, answers = _answered(both, count)
     fields = T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields
     schema = T.StructType([T.StructField(id_col, id_type), *fields])
 
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                found = scores(unpack(batch.column(2)[i].as_py()), depth, n, v)
-                yield pa.RecordBatch.from_arrays([batch.column(1)[i].values, *(pa.array(a) for a in found.values())], schema.names)
+        for _, ids, state, said in _each(batches):
+            found = scores(_take_runs(depth + 2, depth, bits, state, said), depth, n, v)
+            yield pa.RecordBatch.from_arrays([ids[0].values, *(pa.array(a) for a in found.values())], schema.names)
 
     return states.mapInArrow(end, schema)
