@@ -122,7 +122,7 @@ def send(chunks: DataFrame, features: Callable[..., Iterator[tuple[int, bytes]]]
 
 
 def answer(messages: DataFrame, count: int, judge: Callable[[list[bytes]], list[bytes | None]]) -> DataFrame:
-    """Deals the messages out by bucket; ``judge`` sees all of one bucket and answers each, or None."""
+    """Deals the messages out, a bucket a task; ``judge`` sees all of one bucket and answers each, or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, numbers, bodies = None, [], []
@@ -141,7 +141,7 @@ def answer(messages: DataFrame, count: int, judge: Callable[[list[bytes]], list[
                 bodies.append(body)
         yield from out()
 
-    return messages.repartition(count, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(run, _MESSAGE)
+    return messages.repartitionById(count, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(run, _MESSAGE)
 
 
 def back(chunks: DataFrame, answers: DataFrame) -> DataFrame:
