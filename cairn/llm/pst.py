@@ -202,7 +202,7 @@ def _parts(where: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(where[a]), slice(a, b)
 
 
-def _send_words(state: dict[str, np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]:
+def _send_words(state: dict[str, np.ndarray]) -> Iterator[tuple[int, bytes]]:
     words, where = _words(state), state["where"].astype(np.int64)
     offsets = state["ends"].astype(np.int64)
     tok = state["tok"][np.repeat(state["held"] == 0, state["sizes"].astype(np.int64))]
@@ -308,10 +308,10 @@ def _bits(a: dict[str, np.ndarray], size: int) -> np.ndarray:
 
 
 def _take_words(state: dict[str, np.ndarray], said: dict[int, dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    """The state with the words' numbers and counts instead of the words; tokens are numbered by these."""
+    """The state with the words' numbers and counts; tokens are numbered anew, frequent words first, which makes them small."""
     where = list(_parts(state["where"].astype(np.int64)))
     ids, c = (_merged(said, where, np.zeros(len(state["where"]), np.int64), _plain(name)) for name in ("id", "c"))
-    order = np.argsort(ids, kind="stable")
+    order = np.lexsort((ids, -np.bincount(state["tok"], minlength=len(ids))))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     return {"sizes": state["sizes"], "held": state["held"], "tok": place[state["tok"]], "id1": ids[order], "c1": c[order]}
@@ -435,7 +435,8 @@ def apply(df: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: s
                 chunk = C._open(body, "id", "text")
                 ids = chunk.batch.column(0)
                 state = _first(chunk, ids.to_pylist(), bits)
-                yield _rows(number, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), state, _send_words(state, bits))
+                kept = {name: state[name] for name in ("sizes", "held", "tok", "where")}  # the words themselves go to the buckets alone
+                yield _rows(number, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), kept, _send_words(state))
 
     both = settle(chunks.mapInArrow(begin, kinds))
     forget(chunks)
