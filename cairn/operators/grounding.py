@@ -64,21 +64,21 @@ def from_memories(queries: DataFrame, memories: DataFrame, k: int = 5, least: fl
 
 
 def lookup(queries: DataFrame, cache: DataFrame, memories: DataFrame, as_of: str, room: str | None = None, hit: float = HIT, answer: float = ANSWER, ground: float = GROUND, use_kb: bool = True) -> DataFrame:
-    """tier (hit, answer, grounding, miss), answer and ids for each query."""
-    first = cached(queries, cache, as_of, room, hit).select("query_id", F.col("answer").alias("a1"), F.array("cache_id").alias("i1"))
+    """tier (hit, answer, grounding, miss), answer, ids and similarity (of the nearest) for each query."""
+    first = cached(queries, cache, as_of, room, hit).select("query_id", F.col("answer").alias("a1"), F.array("cache_id").alias("i1"), F.col("sim").alias("s1"))
     rows = queries.select("query_id").join(first, "query_id", "left")
     if use_kb:
         near = from_memories(queries, memories, room=room)
         in_order = lambda test, c: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("rank", c)))), lambda x: x[c])
         strong, weak = F.col("sim") >= answer, F.col("sim") >= ground
-        per = near.groupBy("query_id").agg(F.array_join(in_order(strong, "content"), "\n\n").alias("a2"), in_order(strong, "id").alias("i2"), F.array_join(in_order(weak, "content"), "\n\n").alias("a3"), in_order(weak, "id").alias("i3"))
+        per = near.groupBy("query_id").agg(F.array_join(in_order(strong, "content"), "\n\n").alias("a2"), in_order(strong, "id").alias("i2"), F.array_join(in_order(weak, "content"), "\n\n").alias("a3"), in_order(weak, "id").alias("i3"), F.max("sim").alias("s2"))
         rows = rows.join(per, "query_id", "left")
     else:
-        rows = rows.selectExpr("*", "'' AS a2", "cast(array() AS array<string>) AS i2", "'' AS a3", "cast(array() AS array<string>) AS i3")
+        rows = rows.selectExpr("*", "'' AS a2", "cast(array() AS array<string>) AS i2", "'' AS a3", "cast(array() AS array<string>) AS i3", "cast(null AS double) AS s2")
     tier = F.when(F.col("a1").isNotNull(), "hit").when(F.size("i2") > 0, "answer").when(F.size("i3") > 0, "grounding").otherwise("miss")
     rows = rows.withColumn("tier", tier)
     pick = lambda a, b, c, none: F.when(F.col("tier") == "hit", F.col(a)).when(F.col("tier") == "answer", F.col(b)).when(F.col("tier") == "grounding", F.col(c)).otherwise(none)
-    return rows.select("query_id", "tier", pick("a1", "a2", "a3", F.lit(None).cast("string")).alias("answer"), pick("i1", "i2", "i3", F.array().cast("array<string>")).alias("ids"))
+    return rows.select("query_id", "tier", pick("a1", "a2", "a3", F.lit(None).cast("string")).alias("answer"), pick("i1", "i2", "i3", F.array().cast("array<string>")).alias("ids"), pick("s1", "s2", "s2", F.lit(None).cast("double")).alias("sim"))
 
 
 def evict(cache: DataFrame, most: int = 500) -> DataFrame:

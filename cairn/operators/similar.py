@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as X
 from cairn.functions import values as C
-from cairn.sources.shared import settle
+from cairn.sources.shared import forget, settle
 
 #: Sets of one block of those that share a word; blocks of a frequent word meet in different tasks.
 BLOCK = 512
@@ -21,35 +21,50 @@ BLOCK = 512
 MORE_EACH = 40
 #: Bits of a word's number; words that share one are told, and all are numbered anew.
 NUMBER_BITS = 56
+#: Words that are numbered by other seeds at most; chance gives so many to 10^11 words.
+MOVED = 1 << 16
 #: Places of the table of frequencies, one byte each, and bits of the sketch of a set.
 PLACES, SKETCH = 1 << 21, 512
 #: Places of the table of sets that have a candidate, and sets of one task that are compared word by word.
 MARKS, HELD = 1 << 23, 2048
 
 
-def _numbered(text_col: str, seed: int) -> Column:
-    return F.transform(F.array_distinct(X.words(F.coalesce(F.col(text_col), F.lit("")))), lambda w: _number(w, seed))
+def _numbered(text_col: str, moved: list[list[str]]) -> Column:
+    return F.transform(F.array_distinct(X.words(F.coalesce(F.col(text_col), F.lit("")))), lambda w: _number(w, moved))
 
 
-def _number(word: Column, seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(word, F.lit(seed)), 64 - NUMBER_BITS)
+def _number(word: Column, moved: list[list[str]]) -> Column:
+    """The word's number; those of the k-th list have theirs by another seed."""
+    by = lambda seed: F.shiftrightunsigned(F.xxhash64(word, F.lit(seed)), 64 - NUMBER_BITS)
+    out = by(0)
+    for k, words in enumerate(moved, 1):
+        out = F.when(word.isin(words), by(k)).otherwise(out)
+    return out
 
 
-def _frequencies(df: DataFrame, text_col: str) -> tuple[int, bytes]:
-    """A seed by which no two words get one number, and for each place of numbers how many rows have its words, by steps of a quarter of an octave."""
-    words = df.select(F.explode(F.array_distinct(X.words(F.coalesce(F.col(text_col), F.lit(""))))).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    for seed in range(64):
-        numbers = words.groupBy(_number(F.col("w"), seed).alias("h")).agg(F.sum("df").alias("df"), F.count("*").alias("n"))
+def _frequencies(df: DataFrame, text_col: str) -> tuple[list[list[str]], bytes]:
+    """Which words get their numbers by other seeds, so that no two share one, and for each place of numbers how many rows have its words, by steps of a quarter of an octave.
+
+    Of 10^9 words some seven pairs share a number of 56 bits; one of each is moved, and numbers are looked at again.
+    """
+    words = settle(df.select(F.explode(F.array_distinct(X.words(F.coalesce(F.col(text_col), F.lit(""))))).alias("w")).groupBy("w").agg(F.count("*").alias("df")))
+    moved: list[list[str]] = []
+    while True:
+        numbers = words.groupBy(_number(F.col("w"), moved).alias("h")).agg(F.sum("df").alias("df"), F.count("*").alias("n"), F.min("w").alias("w"))
         place = F.shiftrightunsigned("h", NUMBER_BITS - PLACES.bit_length() + 1).cast("int")
         level = F.least(F.ceil(4 * F.log2(F.sum("df"))), F.lit(127)).cast("tinyint")
         found = numbers.groupBy(place.alias("place")).agg(level.alias("level"), (F.max("n") > 1).alias("clash")).toArrow()  # PLACES rows of some bytes at most
         if not pc.any(found["clash"]).as_py():
             break
-    else:
-        raise ValueError("no seed tells all words apart")
+        shared = numbers.filter("n > 1").select("h", F.col("w").alias("stays"))
+        more = [r["w"] for r in words.withColumn("h", _number(F.col("w"), moved)).join(shared, "h").filter("w <> stays").select("w").limit(MOVED + 1).collect()]
+        if len(more) + sum(map(len, moved)) > MOVED:
+            raise ValueError(f"more than {MOVED} words share their numbers with others")
+        moved = [[w for w in old if w not in more] for old in moved] + [more]
+    forget(words)
     table = np.zeros(PLACES, np.int8)
     table[found["place"].to_numpy()] = found["level"].to_numpy()
-    return seed, table.tobytes()
+    return moved, table.tobytes()
 
 
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +88,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     but the class, which is the SHA-256 of a set. The order of words is by frequencies in
     places that words share: any order gives the same links.
     """
-    seed, table = _frequencies(df, text_col)
+    moved, table = _frequencies(df, text_col)
     shared = df.sparkSession.sparkContext.broadcast(table)
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     kind = df.schema[id_col].dataType.simpleString()
@@ -89,7 +104,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     columns = _describe(batch.column(1).slice(at, 1000), level, above) | {"id": batch.column(0).slice(at, 1000)}
                     yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
-        return texts.select("id", _numbered("_text", seed).alias("h")).mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in names))
+        return texts.select("id", _numbered("_text", moved).alias("h")).mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in names))
 
     rows = settle(described(texts, "id f size p sketch"))
     sets = rows.groupBy("f").agg(F.min("id").alias("class_id"), F.count("*").alias("n"), F.first(F.struct("size", "p", "sketch")).alias("x"))

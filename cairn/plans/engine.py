@@ -24,7 +24,7 @@ from cairn.operators.store import NotFound, Store
 from cairn.operators.vector_index import VectorIndex
 from cairn.plans import recall as R
 from cairn.sources import files
-from cairn.sources.shared import settle
+from cairn.sources.shared import fresh_folder, settle
 
 
 #: Entries of the embedding queue that a worker takes at a time.
@@ -54,6 +54,17 @@ class Engine:
         embedder(self.config["embedding"]["provider"])
         self.store.lock_embedding(C.EMBEDDER, self.config["embedding"]["dim"])
 
+    @classmethod
+    def temporary(cls, spark: SparkSession, config: dict | None = None, as_of: str = R.AS_OF) -> Engine:
+        """A database in a folder of its own below the shared folder, to be kept only by ``save``."""
+        return cls(spark, fresh_folder(spark, "engine"), config=config, as_of=as_of)
+
+    def configuration(self) -> DataFrame:
+        """section, name and value (as JSON) of every setting, and of what the store is locked to."""
+        rows = [(section, key, json.dumps(value)) for section, values in self.config.items() for key, value in values.items()]
+        locked = [("store", r["key"], json.dumps(r["value"])) for r in self.store.table("meta").orderBy("key").collect()]  # a handful
+        return self.spark.createDataFrame(sorted(rows + locked), "section string, name string, value string")
+
     # small helpers
 
     def _one(self, table: str, **values) -> DataFrame:
@@ -298,6 +309,15 @@ class Engine:
         self.store.cache_evict(c["max_entries"])
         return key
 
+    def save(self, root: str, name: str = "default") -> Engine:
+        """Writes the current rows of all tables as another database, and returns it."""
+        other = Engine(self.spark, root, name, self.config, self.store.as_of)
+        for table in TABLES:
+            rows = self.store.table(table)
+            if table != "meta" and not rows.isEmpty():
+                other.store.upsert(table, rows)
+        return other
+
     # batch jobs
 
     def export(self, path: str, scope: str | None = None) -> None:
@@ -351,17 +371,3 @@ class Engine:
             raise NotFound(id_)
         edges = self.store.edges_for(self.spark.createDataFrame([(id_,)], "id string"))
         return row.asDict() | {"edges": [e.asDict() for e in edges.orderBy("id").collect()]}
-
-
-def list_lines(memories: DataFrame) -> DataFrame:
-    """One line for each memory: id, type, state, headline, author."""
-    return memories.select(F.format_string("%s [%s/%s] %s @%s", "id", "memory_type", "state", "headline", "author").alias("line"))
-
-
-def timeline_lines(rows: DataFrame) -> DataFrame:
-    return rows.select(F.format_string("%s %s by %s%s", X.timestamp_text("created_at"), "event_type", "actor", F.coalesce(F.concat(F.lit(": "), "detail"), F.lit(""))).alias("line"))
-
-
-def response(result: dict) -> str:
-    """A result as JSON."""
-    return json.dumps(result, ensure_ascii=False, sort_keys=True, default=str)

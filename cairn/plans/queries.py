@@ -17,6 +17,7 @@ from cairn.operators import grounding as G
 from cairn.operators import search as S
 from cairn.operators.similar import similar_documents
 from cairn.plans import recall as R
+from cairn.plans import render
 from cairn.sources import files
 from cairn.streaming import capture as H
 
@@ -496,14 +497,15 @@ _ANSWERS = "(SELECT item_id AS answer_id, text AS answer FROM benchmark)"
 _CONTENT = "list_distinct(list_filter(" + _TERMS + ", lambda t: NOT list_contains(" + _list(C.STOPWORDS) + ", t)))"
 
 
-@query(
-    f"""WITH {BM25}, c0 AS (SELECT item_id AS answer_id, list_filter({_SENTENCES.format('text')}, lambda s: octet_length(encode(s)) > 1) AS cs FROM benchmark),
+_CLAIMS_SQL = f"""WITH {BM25}, c0 AS (SELECT item_id AS answer_id, list_filter({_SENTENCES.format('text')}, lambda s: octet_length(encode(s)) > 1) AS cs FROM benchmark),
     c1 AS (SELECT answer_id, CAST(generate_subscripts(cs, 1) - 1 AS INTEGER) AS claim_no, unnest(cs) AS claim FROM c0),
     c AS (SELECT *, {_CONTENT.format('claim')} AS t FROM c1),
     ev AS (SELECT query_id AS answer_id, {_CONTENT.format('d.text')} AS t FROM fts JOIN documents d ON CAST(doc_id AS VARCHAR) = id WHERE rank <= 5),
     s AS (SELECT c.answer_id, claim_no, len(c.t) AS m, coalesce(max(len(list_intersect(c.t, ev.t)) / CAST(len(c.t) AS DOUBLE)), 0) AS share FROM c LEFT JOIN ev ON c.answer_id = ev.answer_id GROUP BY c.answer_id, claim_no, m)
     SELECT answer_id, claim_no, round(CASE WHEN m = 0 THEN 1.0 ELSE share END, 6) AS score, (CASE WHEN m = 0 THEN 1.0 ELSE share END) >= 0.35 AS supported FROM s"""
-)
+
+
+@query(_CLAIMS_SQL)
 def validate_claims(spark, d):
     answers = table(spark, d, "benchmark").select(F.col("item_id").alias("answer_id"), F.col("text").alias("answer"))
     docs = _plain_memories(spark, d)  # keyword search over all of them finds the evidence
@@ -512,6 +514,22 @@ def validate_claims(spark, d):
     return G.check_claims(answers, evidence).select("answer_id", "claim_no", F.round("score", 6).alias("score"), "supported")
 
 
+@query(
+    f"""WITH r AS ({_CLAIMS_SQL}), c AS (SELECT item_id AS answer_id, list_filter({_SENTENCES.format('text')}, lambda s: octet_length(encode(s)) > 1) AS cs FROM benchmark),
+    l AS (SELECT r.answer_id, claim_no, supported, score, '  [' || CASE WHEN supported THEN 'ok ' ELSE '!! ' END || '] ' || CAST(round_even(score * 100, 0) AS BIGINT) || '%  ' || cs[claim_no + 1] AS line, cs[claim_no + 1] AS claim FROM r JOIN c ON r.answer_id = c.answer_id),
+    g AS (SELECT answer_id, avg(score) AS g, bool_and(supported) AS ok, string_agg(line, chr(10) ORDER BY claim_no) AS lines, string_agg('  - ' || claim, chr(10) ORDER BY claim_no) FILTER (NOT supported) AS lost FROM l GROUP BY answer_id)
+    SELECT c.answer_id, 'Grounding: ' || CAST(round_even(coalesce(g, 0) * 100, 0) AS BIGINT) || '%  (' || CASE WHEN coalesce(ok, false) THEN 'grounded' ELSE 'UNSUPPORTED CLAIMS FOUND' END || ')' || coalesce(chr(10) || lines, '')
+    || coalesce(chr(10) || chr(10) || 'Unsupported claims (revise or verify against the knowledge base):' || chr(10) || lost, '') AS text FROM c LEFT JOIN g ON c.answer_id = g.answer_id"""
+)
+def validation_report(spark, d):
+    """Each benchmark passage as an answer, checked against what keyword search finds among the documents, as text."""
+    answers = table(spark, d, "benchmark").select(F.col("item_id").alias("answer_id"), F.col("text").alias("answer"))
+    docs = _plain_memories(spark, d)
+    found = S.keyword(passages_of(spark, d), docs, 5).select(F.col("query_id").alias("answer_id"), "rank", "id")
+    checks = G.check_claims(answers, found.join(docs.select("id", "content"), "id")).withColumn("score", F.round("score", 6))
+    return render.validation_text(G.report(answers, checks), checks)
+
+
 def _cache(spark, d) -> DataFrame:
     """Every vector is a cached answer; every eighth of them is over."""
     e = table(spark, d, "embeddings")
