@@ -45,8 +45,8 @@ DEPTH, MIN_COUNT, MIN_GAIN, HALF = 2, 8, 2.0, 0.5
 #: Texts whose checksum has this remainder are held out.
 FOLDS, HELD = 10, 0
 ADDED = 0.1
-#: Slices of the table in one chunk.
-JOIN = 8
+#: Slices of the table in one chunk, and compressed bytes of the table that a bucket stands for.
+JOIN, BUCKET_BYTES = 8, 8 << 20
 #: Gains are summed as whole numbers of this size, so that their order does not matter.
 GRAIN = 1 << 10
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -424,7 +424,7 @@ def apply(df: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col: s
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the text's probability) of every text."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     chunks = C.make(rows, "text", JOIN)
-    count = C.buckets_for(chunks)
+    count = C.buckets_for(chunks, BUCKET_BYTES)
     bits = count.bit_length() - 1
     id_type = rows.schema["id"].dataType
     kinds = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("bucket", T.IntegerType()), T.StructField("body", T.BinaryType())])
