@@ -8,6 +8,9 @@ store had read is made anew if a commit that came in between touched one of its
 any commit came. Files are never changed: ``compact`` writes the current rows of a
 version in buckets of keys, with Bloom filters, and commits that they stand for all up to it.
 
+A commit of an update has the key and the columns that it sets, one of a deletion the key alone; of
+each column the latest commit that has it counts. Reads shuffle only the columns that are asked for.
+
 A commit names the marks and the range of its keys. A lookup by key opens the commits
 that may have it, and one bucket of the compacted rows. Keys are distinct within one write.
 """
@@ -117,13 +120,26 @@ class Store:
     def _types(self, name: str) -> list[tuple[str, str]]:
         return self.spark.createDataFrame([], TABLES[name]).dtypes
 
-    def _current(self, name: str, ids: list[Any] | None = None) -> DataFrame:
+    def _latest(self, name: str, log: DataFrame) -> DataFrame:
+        """The key, what the latest commits that have it say of each column, and ``_deleted``; a column that is not asked for is not shuffled."""
+        key, patches = KEYS[name], [a for a in self._parts(name)["adds"] if a.get("columns") is not None]
+
+        def at(column: str) -> Column:
+            without = [a["version"] for a in patches if column not in a["columns"]]
+            return F.when(~F.col("_version").isin(without), F.col("_version")) if without else F.col("_version")
+
+        columns = [c for c in log.columns if c != key and not c.startswith("_")]
+        return log.groupBy(key).agg(*(F.max_by(c, at(c)).alias(c) for c in columns), F.max_by("_deleted", "_version").alias("_deleted"))
+
+    def _current(self, name: str, ids: list[Any] | None = None, among: DataFrame | None = None) -> DataFrame:
+        """The current rows; with ``among`` those whose key is in its column of that name."""
         log, key, parts = self._log(name, ids), KEYS[name], self._parts(name)
+        if among is not None:
+            log = log.join(among.select(key).distinct(), key, "left_semi")
         columns = [c for c in log.columns if not c.startswith("_")]
         if parts["base"] and not parts["adds"]:
             return log.select(*columns)
-        latest = log.groupBy(key).agg(F.max_by(F.struct(*(c for c in [*columns, "_deleted"] if c != key)), "_version").alias("r")).filter("not r._deleted")
-        return latest.select(*(F.col(key) if c == key else F.col(f"r.{c}").alias(c) for c in columns))
+        return self._latest(name, log).filter("not _deleted").select(*columns)
 
     def table(self, name: str) -> DataFrame:
         """The current rows; a condition on the key reaches the files."""
@@ -136,35 +152,40 @@ class Store:
         parts = self._parts(name)
         if parts["base"] and parts["base"]["upto"] > since:
             return None
-        log = self._log(name).filter((F.col("_version") > since) & (F.col("_version") <= upto))
-        key = KEYS[name]
-        rest = [c for c in log.columns if c not in (key, "_version")]
-        latest = log.groupBy(key).agg(F.max_by(F.struct(*rest), "_version").alias("r"))
-        return latest.select(key, "r.*")
+        key, log = KEYS[name], self._log(name).filter(F.col("_version") <= upto)
+        new = log.filter(F.col("_version") > since)
+        if any(a.get("columns") for a in parts["adds"] if since < a["version"] <= upto):  # the other columns of updated rows are older
+            new = log.join(new.select(key).distinct(), key, "left_semi")
+        return self._latest(name, new)
+
+    def _shaped(self, name: str, rows: DataFrame, columns: list[str] | None) -> DataFrame:
+        """Whole rows, columns that are not given being null; with ``columns`` the key and these."""
+        fields = [f for f in self.spark.createDataFrame([], TABLES[name]).schema.fields if columns is None or f.name in (KEYS[name], *columns)]
+        return rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
 
     def _stage(self, name: str, rows: DataFrame, deleted: bool) -> dict[str, Any] | None:
-        """Writes rows aside; what a commit says of them, or None if there are none."""
+        """Writes shaped rows aside; what a commit says of them, or None if there are none."""
         path, key = f"c={uuid.uuid4().hex}", KEYS[name]
-        fields = self.spark.createDataFrame([], TABLES[name]).schema.fields
-        shaped = rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
-        shaped.withColumn("_deleted", F.lit(deleted)).write.parquet(f"{self.path}/{name}/{path}")
+        columns = None if len(rows.columns) == len(self._types(name)) else [c for c in rows.columns if c != key]
+        rows.withColumn("_deleted", F.lit(deleted)).write.parquet(f"{self.path}/{name}/{path}")
         written = self.spark.read.schema(f"{TABLES[name]}").parquet(f"{self.path}/{name}/{path}")
         text = F.col(key).cast("string")
         n, low, high, marks = written.agg(F.count("*"), F.min(text), F.max(text), F.array_sort(F.collect_set(F.pmod(self._hash(key), F.lit(KEY_MARKS))))).head()
         if not n:
             self._data.delete(f"{name}/{path}")
             return None
-        return {"table": name, "op": "add", "path": path, "rows": n, "low": low or "", "high": high or "", "marks": None if len(marks) == KEY_MARKS else list(marks)}
+        return {"table": name, "op": "add", "path": path, "rows": n, "low": low or "", "high": high or "", "marks": None if len(marks) == KEY_MARKS else list(marks), "columns": columns}
 
-    def commit(self, name: str, make: Callable[[], DataFrame], reads: str = "keys", deleted: bool = False) -> DataFrame | None:
+    def commit(self, name: str, make: Callable[[], DataFrame], reads: str = "keys", deleted: bool = False, columns: list[str] | None = None) -> DataFrame | None:
         """Commits the rows that ``make`` gives and returns them, None if there are none.
 
         ``reads`` says what they were made of: ``nothing`` of the table, the rows with their own ``keys``, or the whole
-        ``table``. If others have changed that meanwhile they are made anew.
+        ``table``. If others have changed that meanwhile they are made anew. With ``columns`` only these are written beside
+        the key, and the others are null in what is returned; so are all but the key of deleted rows.
         """
         for _ in range(ATTEMPTS):
             self._commits.refresh()
-            entry = self._stage(name, make(), deleted)
+            entry = self._stage(name, self._shaped(name, make(), [] if deleted else columns), deleted)
             if entry is None:
                 return None
             while not self._commits.put(entry):
@@ -197,9 +218,9 @@ class Store:
         """Whole rows that are not made of the table's; the later commit stands."""
         self.commit(name, lambda: rows, reads="nothing")
 
-    def change(self, name: str, how: Callable[[DataFrame], DataFrame], reads: str = "keys", among: list[Any] | None = None) -> DataFrame | None:
-        """Commits ``how(table)``, made anew whenever the table has changed meanwhile; returns the rows, None if there are none. With ``among`` the table has the rows of these keys, and few others."""
-        return self.commit(name, lambda: how(self._current(name, among)), reads)
+    def change(self, name: str, how: Callable[[DataFrame], DataFrame], reads: str = "keys", among: list[Any] | None = None, columns: list[str] | None = None) -> DataFrame | None:
+        """Commits ``how(table)``, made anew whenever the table has changed meanwhile; returns the rows, None if there are none. With ``among`` the table has the rows of these keys, and few others; with ``columns`` these alone change."""
+        return self.commit(name, lambda: how(self._current(name, among)), reads, columns=columns)
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """Whole new rows for keys that are there; one that is not is an error. ``created_at`` stays."""
@@ -221,7 +242,7 @@ class Store:
             rows = rows.join(ids, key, "left_semi") if isinstance(ids, DataFrame) else rows.filter(F.col(key).isin(ids))
             return rows.withColumns(changes)
 
-        self.change(name, made)
+        self.change(name, made, columns=list(changes))
 
     def delete(self, name: str, which: Callable[[DataFrame], DataFrame], reads: str = "keys") -> int:
         """Marks the rows that ``which(table)`` gives as deleted and returns how many."""
@@ -366,8 +387,8 @@ class Store:
     def mark_done(self, ids: int | DataFrame) -> None:
         self.update("embed_queue", [ids] if isinstance(ids, int) else ids, status=F.lit("done"), processed_at=F.lit(self.as_of).cast("timestamp"))
 
-    def claim(self, worker: str, n: int, as_of: str, seconds: int = 600) -> DataFrame | None:
-        """Leases the first ``n`` entries by priority that are pending, or whose lease is over, to a worker; None if there are none.
+    def claim(self, worker: str, n: int | None, as_of: str, seconds: int = 600) -> DataFrame | None:
+        """Leases the first ``n`` entries by priority that are pending, or whose lease is over, to a worker, without ``n`` all of them; None if there are none.
 
         Of workers that claim at once each entry goes to one: the later commits find the entries taken and choose anew.
         """
@@ -375,15 +396,17 @@ class Store:
 
         def made(queue: DataFrame) -> DataFrame:
             free = queue.filter((F.col("status") == "pending") | (F.col("status") == "leased") & (F.col("lease_until") <= now))
-            return free.orderBy(F.desc("priority"), "id").limit(n).withColumns({"status": F.lit("leased"), "worker": F.lit(worker), "lease_until": now + F.make_interval(secs=F.lit(float(seconds)))})
+            first = free if n is None else free.select("id", "priority").orderBy(F.desc("priority"), "id").limit(n)
+            return first.select("id").withColumns({"status": F.lit("leased"), "worker": F.lit(worker), "lease_until": now + F.make_interval(secs=F.lit(float(seconds)))})
 
-        return self.change("embed_queue", made)
+        taken = self.change("embed_queue", made, columns=["status", "worker", "lease_until"])
+        return None if taken is None else self._current("embed_queue", among=taken)
 
     def finish(self, worker: str, ids: DataFrame, as_of: str) -> int:
         """Marks entries as done that the worker still holds; returns how many."""
         held = (F.col("status") == "leased") & (F.col("worker") == worker)
         done = {"status": F.lit("done"), "processed_at": F.lit(as_of).cast("timestamp")}
-        rows = self.change("embed_queue", lambda q: q.filter(held).join(ids.select("id"), "id", "left_semi").withColumns(done))
+        rows = self.change("embed_queue", lambda q: q.filter(held).join(ids.select("id"), "id", "left_semi").withColumns(done), columns=list(done))
         return 0 if rows is None else rows.count()
 
     # cache
@@ -395,7 +418,7 @@ class Store:
         """Counts a hit for each of the ids, repeated ones too."""
         from cairn.operators.grounding import touched
 
-        self.change("cache", lambda t: touched(t.join(ids.select("id").distinct(), "id", "left_semi"), ids, "hits"))
+        self.change("cache", lambda t: touched(t.join(ids.select("id").distinct(), "id", "left_semi"), ids, "hits"), columns=["hits"])
 
     def cache_clear(self, room: str | None = None) -> int:
         return self.delete("cache", lambda t: t if room is None else t.filter(F.col("room") == room))

@@ -344,8 +344,10 @@ class Engine:
         self.store.meta_set("embedding_model", C.EMBEDDER)
         return 0 if rows is None else rows.count()
 
-    def drain(self, worker: str, n: int = CLAIM, as_of: str = R.AS_OF, seconds: int = 600) -> int:
-        """Embeds up to ``n`` queued memories and returns how many the worker finished.
+    def drain(self, worker: str, n: int | None = CLAIM, as_of: str = R.AS_OF, seconds: int = 600) -> int:
+        """Embeds up to ``n`` queued memories, without ``n`` all, and returns how many the worker finished.
+
+        What a call reads of the queue grows with the queue, so one worker that is to empty it takes all at once.
 
         A worker that dies leaves its lease to run out; embedding a content again gives the same vector, so what it had written does no harm.
         """
@@ -355,7 +357,7 @@ class Engine:
         last = claimed.groupBy(F.col("target_id").alias("id")).agg(F.max_by("content", "id").alias("_text"))
         vectors = last.select("id", embed("_text").alias("_vector"))
         now = F.lit(as_of).cast("timestamp")
-        self.store.change("memories", lambda m: m.join(vectors, "id").withColumns({"embedding": F.col("_vector"), "in_index": F.col("state").isin("active", "disputed"), "embedded_at": now}))
+        self.store.change("memories", lambda m: m.join(vectors, "id").withColumns({"embedding": F.col("_vector"), "in_index": F.col("state").isin("active", "disputed"), "embedded_at": now}), columns=["embedding", "in_index", "embedded_at"])
         return self.store.finish(worker, claimed, as_of)
 
     def expire_conflicts(self, as_of: str) -> None:

@@ -10,7 +10,7 @@ from cairn.operators.keyword_index import KeywordIndex
 from cairn.operators.store import Store
 from cairn.operators.vector_index import VectorIndex
 from cairn.plans import recall as R
-from cairn.plans.engine import CLAIM, Engine
+from cairn.plans.engine import Engine
 from cairn.plans.queries import AS_OF, BM25, EMBEDDED, KNN, SESSIONS, passages_of, query, session_events, table
 from cairn.sources import files
 from cairn.sources.shared import fresh_folder
@@ -141,9 +141,9 @@ def reindex(spark, d) -> DataFrame:
     store.append("memories", docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), F.lit("active").alias("state"), F.lit(False).alias("in_index")))
     store.enqueue_all(docs.select(F.lit("memory").alias("target_type"), F.col("doc_id").cast("string").alias("target_id"), F.col("text").alias("content"), F.col("n_chars").alias("priority"), F.col("doc_id").alias("place")))
     store.claim("first", 100, AS_OF, seconds=600)
-    while engine.drain("second", CLAIM, AS_OF):
+    while engine.drain("second", None, AS_OF):
         pass
-    while engine.drain("second", CLAIM, "2026-01-01 00:10:00"):
+    while engine.drain("second", None, "2026-01-01 00:10:00"):
         pass
     signs = F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "+").when(x < 0, "-").otherwise("0")), "")
     queue = store.table("embed_queue").select(F.col("target_id").alias("id"), "status", "worker")

@@ -215,3 +215,35 @@ def test_two_workers_never_hold_the_same_entry(spark, stores):
     finally:
         Store._stage = plain
     assert len(mine) == 8 and mine.isdisjoint(held[0])
+
+
+def test_updates_write_what_they_change(spark, stores):
+    """Of a claim, an update and a deletion only keys and changed columns are written; what is read is whole, for indexes and after a compaction too."""
+    a, b = stores
+    rows = lambda name: {r["id"]: r.asDict() for r in b.table(name).collect()}
+    columns = lambda name: b._parts(name)["adds"][-1]["columns"]
+    a.upsert("cache", entries(spark, ["x", "y", "z"], query="q", answer="long", hits=0))
+    a.cache_touch(spark.createDataFrame([("x",), ("x",), ("y",)], "id string"))
+    assert rows("cache")["x"]["answer"] == "long" and rows("cache")["x"]["hits"] == 2 and columns("cache") == ["hits"]
+    touched = {r["id"]: r.asDict() for r in b.changes("cache", 1, b.version()).collect()}
+    assert set(touched) == {"x", "y"} and touched["x"]["answer"] == "long" and touched["x"]["hits"] == 2
+    a.update("cache", ["y"], answer=F.lit(None), room=F.lit("r"))
+    assert rows("cache")["y"] | {"query": "q", "answer": None, "room": "r", "hits": 1} == rows("cache")["y"]
+    assert a.delete("cache", lambda t: t.filter("id = 'z'")) == 1
+    assert set(rows("cache")) == {"x", "y"} and columns("cache") == []
+    before = rows("cache")
+    a.compact("cache")
+    assert rows("cache") == before
+    a.upsert("cache", entries(spark, ["y", "z"], query="new"))
+    assert rows("cache")["y"]["hits"] is None and rows("cache")["z"]["query"] == "new" and rows("cache")["x"] == before["x"]
+
+
+def test_one_claim_takes_all(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/e")
+    engine.store.append("memories", spark.range(9).selectExpr("cast(id AS string) AS id", "'text' AS content", "'active' AS state", "false AS in_index"))
+    engine.store.enqueue_all(spark.range(9).selectExpr("'memory' AS target_type", "cast(id AS string) AS target_id", "'text' AS content", "id AS priority", "id AS place"))
+    assert {r["target_id"] for r in engine.store.claim("dies", 2, "2026-01-01 00:00:00").collect()} == {"8", "7"}
+    before = engine.store.version()
+    assert engine.drain("lives", None, "2026-01-01 00:00:01") == 7 and engine.store.version() == before + 3
+    parts = engine.store._parts("embed_queue")["adds"]
+    assert [a["columns"] for a in parts] == [None, ["status", "worker", "lease_until"], ["status", "worker", "lease_until"], ["status", "processed_at"]]
