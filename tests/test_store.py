@@ -247,3 +247,11 @@ def test_one_claim_takes_all(spark, tmp_path):
     assert engine.drain("lives", None, "2026-01-01 00:00:01") == 7 and engine.store.version() == before + 3
     parts = engine.store._parts("embed_queue")["adds"]
     assert [a["columns"] for a in parts] == [None, ["status", "worker", "lease_until"], ["status", "worker", "lease_until"], ["status", "processed_at"]]
+
+
+def test_columns_that_are_not_asked_for_are_not_read(spark, stores):
+    a, _ = stores
+    a.upsert("cache", entries(spark, ["x", "y"], query="q", answer="long", hits=0))
+    a.cache_touch(spark.createDataFrame([("x",)], "id string"))
+    plan = a.table("cache").select("id", "hits")._jdf.queryExecution().optimizedPlan().toString()
+    assert "hits" in plan and "answer" not in plan
