@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -29,6 +31,11 @@ def _any(tests: list[Column]) -> Column:
     return reduce(Column.__or__, tests)
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def words(text: Column | str) -> Column:
     """Words between white space."""
     return _full(F.split(col(text), SPACE))
@@ -161,6 +168,9 @@ def merge_tags(given: Column | str, found: Column | str) -> Column:
 
 # Compression
 
+#: Every protected literal has one of these.
+_IN_LITERALS = ("`", "/", ":\\", *(f".{end}" for end in re.search(r"\\.\(\?:([a-z|]+)\)", C.PROTECTED)[1].split("|")))
+
 
 def compress(text: Column | str, intensity: str = "full") -> Column:
     """Shorter text; code, addresses and paths stay as they are.
@@ -170,22 +180,30 @@ def compress(text: Column | str, intensity: str = "full") -> Column:
     """
     mark = "\u0000"
     text = col(text)
-    literals = F.regexp_extract_all(text, F.lit(C.PROTECTED), F.lit(0))
-    masked = F.regexp_replace(text, C.PROTECTED, mark)
-    for old, new in C.PHRASES:
-        masked = F.regexp_replace(masked, f"(?iu){old}", new)
+    may = _any([F.contains(text, F.lit(x)) for x in _IN_LITERALS])
+    literals = F.when(may, F.regexp_extract_all(text, F.lit(C.PROTECTED), F.lit(0))).otherwise(F.array().cast("array<string>"))
     dropped = [*C.FILLERS, *(() if intensity == "lite" else C.ARTICLES)]
     short = F.create_map(*(F.lit(x) for pair in C.ABBREVIATIONS.items() for x in pair))
     # Each literal stands for its number between marks, so a mark alone counts as one number.
     key = lambda w: F.lower(bare(F.regexp_replace(w, mark, "\u00000\u0000")))
 
-    def shorten(w: Column) -> Column:
-        found = F.try_element_at(short, key(w))
-        return F.when(found.isNotNull(), F.concat(found, F.regexp_extract(w, r"[^\p{IsAlphabetic}\p{N}]*$", 0))).otherwise(w)
+    def shorten(w: Column, k: Column) -> Column:
+        found = F.try_element_at(short, k)
+        end = F.regexp_extract(w, r"[^\p{IsAlphabetic}\p{N}]*$", 0)
+        return F.when(~k.isin(*dropped), F.coalesce(F.concat(found, end), w))
+
+    def rewritten(masked: Column) -> Column:
+        return reduce(lambda t, pair: F.regexp_replace(t, f"(?iu){pair[0]}", pair[1]), C.PHRASES, masked)
+
+    def phrased(masked: Column) -> Column:
+        may = lambda low: _any([F.contains(low, F.lit(old)) for old, _ in C.PHRASES])
+        return F.when(_any([F.contains(masked, F.lit(x)) for x in _FOLDED]) | once(F.lower(masked), may), rewritten(masked)).otherwise(masked)
 
-    kept = F.transform(F.filter(words(masked), lambda w: ~key(w).isin(*dropped)), shorten)
-    pieces = F.split(F.array_join(kept, " "), mark, -1)
-    return F.array_join(F.zip_with(pieces, literals, lambda p, x: F.concat(F.coalesce(p, F.lit("")), F.coalesce(x, F.lit("")))), "")
+    masked = once(F.when(may, F.regexp_replace(text, C.PROTECTED, mark)).otherwise(text), phrased)
+    one = lambda w: F.when(~F.rlike(w, F.lit(_RARE)), w).otherwise(once(key(w), lambda k: shorten(w, k)))
+    kept = F.filter(F.transform(words(masked), one), lambda w: w.isNotNull())
+    joined = lambda pieces: F.array_join(F.zip_with(pieces, literals, lambda p, x: F.concat(F.coalesce(p, F.lit("")), F.coalesce(x, F.lit("")))), "")
+    return joined(F.split(F.array_join(kept, " "), mark, -1))
 
 
 def _by_letter(parts) -> str:
@@ -194,9 +212,10 @@ def _by_letter(parts) -> str:
 
 
 #: Words that may be a filler, an article or a long form but for signs around it; compression leaves all others as they are.
-_RARE = r"\A[^0-9A-Za-z]*(?i:" + _by_letter((*C.FILLERS, *C.ARTICLES, *C.ABBREVIATIONS)) + r")[^0-9A-Za-z]*\z"
-#: What takes literals beyond words, stands for literals, or is the same as a letter of a phrase in some case.
-_BEYOND = ("`", "\u0000", "\u017f", "\u0130", "\u0131", "\u212a")
+_RARE = r"\A[^0-9A-Za-z]*(?iu:" + _by_letter((*C.FILLERS, *C.ARTICLES, *C.ABBREVIATIONS)) + r")[^0-9A-Za-z]*\z"
+#: What is the same as a letter of a phrase in some case; and what takes literals beyond words or stands for literals besides.
+_FOLDED = ("\u017f", "\u0130", "\u0131", "\u212a")
+_BEYOND = ("`", "\u0000", *_FOLDED)
 
 
 def compressed_words(text: Column | str, intensity: str = "full") -> Column:
@@ -205,7 +224,6 @@ def compressed_words(text: Column | str, intensity: str = "full") -> Column:
     whole = _any([F.contains(low, F.lit(old)) for old, _ in C.PHRASES] + [F.contains(text, F.lit(x)) for x in _BEYOND])
     pair = lambda every: F.struct(every.alias("every"), F.filter(every, lambda w: F.rlike(w, F.lit(_RARE))).alias("rare"))
     short = lambda x: F.array_union(F.array_except(x["every"], x["rare"]), _full(F.transform(x["rare"], lambda w: compress(w, intensity))))
-    once = lambda value, f: F.transform(F.array(value), f)[0]
     apart = once(once(F.array_distinct(words(text)), pair), lambda x: F.when(F.size(x["rare"]) == 0, x["every"]).otherwise(short(x)))
     return F.when(whole, F.array_distinct(words(compress(text, intensity)))).otherwise(apart)
 
