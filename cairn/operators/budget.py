@@ -61,25 +61,25 @@ def allocate(ranked: DataFrame, budget: int, detail: str = "summary", query_id:
 
 def condense(query: Column | str, text: Column | str, most: Column) -> Column:
     """The sentences of a text that overlap the query most, within so many tokens, in their order."""
-    q, parts, whole = X.terms(query), X.sentences(text), X.col(text)
-
-    def scored(s: Column, i: Column) -> Column:
-        t = X.terms(s)
-        share = F.when(F.size(t) == 0, F.lit(0.0)).otherwise(F.size(F.filter(t, lambda w: F.array_contains(q, w))) / F.size(t))
-        return F.struct((-(share + C.LEAD_BIAS / (1 + i))).alias("score"), i.alias("i"), s.alias("s"), X.count_tokens(s).alias("cost"))
-
+    q, whole = X.terms(query), X.col(text)
     none = F.array().cast("array<struct<i:int,s:string>>")
 
     def take(a: Column, x: Column) -> Column:
         fits = (a["used"] < most) & (a["used"] + x["cost"] <= most)
         more = F.concat(a["kept"], F.array(F.struct(x["i"].alias("i"), x["s"].alias("s"))))
-        return F.struct(F.when(fits, a["used"] + x["cost"]).otherwise(a["used"]).alias("used"), F.when(fits, more).otherwise(a["kept"]).alias("kept"))
+        return F.when(fits, F.struct((a["used"] + x["cost"]).alias("used"), more.alias("kept"))).otherwise(a)
 
     start = F.struct(F.lit(0).alias("used"), none.alias("kept"))
-    kept = F.aggregate(F.array_sort(F.transform(parts, scored)), start, take, lambda a: F.array_sort(a["kept"]))
-    joined = F.array_join(F.transform(kept, lambda k: k["s"]), " ")
-    cut = F.when(F.size(kept) == 0, F.substring(whole, F.lit(1), (most * 4).cast("int"))).otherwise(joined)
-    return F.when((most == 0) | (X.count_tokens(whole) <= most) | (F.size(parts) <= 1), whole).otherwise(cut)
+    chosen = lambda parts: F.aggregate(F.array_sort(F.transform(parts, lambda s, i: _scored(s, i, q))), start, take, lambda a: F.array_sort(a["kept"]))
+    joined = lambda kept: F.when(F.size(kept) == 0, F.substring(whole, F.lit(1), (most * 4).cast("int"))).otherwise(F.array_join(F.transform(kept, lambda k: k["s"]), " "))
+    cut = lambda parts: F.when(F.size(parts) <= 1, whole).otherwise(X.once(chosen(parts), joined))
+    return F.when((most == 0) | (X.count_tokens(whole) <= most), whole).otherwise(X.once(X.sentences(text), cut))
+
+
+def _scored(s: Column, i: Column, q: Column) -> Column:
+    """A sentence with its score by the query's terms, the best being the least, its place and its cost; its terms are found once."""
+    share = lambda t: F.when(F.size(t) == 0, F.lit(0.0)).otherwise(F.size(F.filter(t, lambda w: F.array_contains(q, w))) / F.size(t))
+    return F.struct((-(X.once(X.terms(s), share) + C.LEAD_BIAS / (1 + i))).alias("score"), i.alias("i"), s.alias("s"), X.count_tokens(s).alias("cost"))
 
 
 def _tokens(text: str) -> int:
@@ -93,13 +93,7 @@ def allocate_dynamic(ranked: DataFrame, queries: DataFrame, budget: int, query_i
     few ranked memories; what it needs of each sentence is computed beforehand.
     """
     rows = ranked.join(queries.select(query_id, X.terms("query").alias("_q")), query_id)
-    q = F.col("_q")
-
-    def scored(s: Column, i: Column) -> Column:
-        t = X.terms(s)
-        share = F.when(F.size(t) == 0, F.lit(0.0)).otherwise(F.size(F.filter(t, lambda w: F.array_contains(q, w))) / F.size(t))
-        return F.struct((-(share + C.LEAD_BIAS / (1 + i))).alias("score"), i.alias("i"), s.alias("s"), X.count_tokens(s).alias("cost"))
-
+    scored = lambda s, i: _scored(s, i, F.col("_q"))
     few = rows.select(query_id, "id", "rank", "content", F.concat(F.lit("["), stars(), F.lit("] "), topic(), F.lit(": ")).alias("head"), X.count_tokens("content").alias("size"), F.array_sort(F.transform(X.sentences("content"), scored)).alias("parts"))
     schema = T.StructType([ranked.schema[query_id], ranked.schema["id"], T.StructField("rank", T.IntegerType()), T.StructField("line", T.StringType()), T.StructField("cost", T.IntegerType()), T.StructField("used", T.IntegerType())])
 

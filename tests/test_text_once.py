@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as X
 from cairn.functions import values as C
+from cairn.operators import budget as B
 
 
 def plan(df):
@@ -24,6 +25,12 @@ def plain(text):
     return F.array_join(F.zip_with(pieces, literals, lambda p, x: F.concat(F.coalesce(p, F.lit("")), F.coalesce(x, F.lit("")))), "")
 
 
+def test_condense_scores_sentences_once(spark):
+    df = spark.createDataFrame([("One and two. The three. With four and five. " * 9,)], "text string").select(B.condense(F.lit("the and"), "text", F.lit(10)).alias("t"))
+    assert plan(df).count("(?<=[.!?") == 1  # sentences, however often they are named
+    assert df.head()[0] == " ".join(["The three."] * 5)
+
+
 def test_compression_finds_keys_once_and_leaves_nothing_out(spark):
     texts = [
         "The database, actually; in order to deploy (the) configuration!", "IN ORDER TO see src/a.rs and `the code` at https://x.y/the", "\u212aonfigurasi \u212a the\u00e9 \u00abthe\u00bb \u00e9the", "due to the \u017fact that, \u0130n order to",
