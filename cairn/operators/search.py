@@ -19,8 +19,8 @@ from cairn.sources.shared import settle, sound
 
 #: Vectors of one group and queries of one block, which meet in one task.
 GROUP, BLOCK = 1 << 15, 1 << 11
-#: Queries that a task compares with its group at a time.
-ROWS = 256
+#: Queries that a task compares with its group at a time, and vectors of the group.
+ROWS, TILE = 256, 1 << 12
 #: Vectors and bytes of one chunk at most, chunks of vectors that a task reads, and pairs that are told exactly at a time.
 CHUNK, CHUNK_BYTES, CHUNKS, PAIRS = 1 << 12, 4 << 20, 16, 1 << 11
 #: Phrases of the queries that are sent to the driver and to every task at most, of some 100 bytes each.
@@ -47,30 +47,43 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "que
     schema = f"{query_id} {queries.schema[query_id].dataType.simpleString()}, {id_col} {vectors.schema[id_col].dataType.simpleString()}, sim double"
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
-        b = b.sort_by("v")
-        found = [np.zeros((2, 0), np.int64)], [np.zeros(0)]
+        order = pc.sort_indices(b["v"])
         (n, x), (m, y) = _by_width(a["qv"]), _by_width(b["vv"])
-        for at in range(0, a.num_rows if b.num_rows else 0, ROWS):
-            sim = np.zeros((min(ROWS, a.num_rows - at), b.num_rows))
-            for width in np.unique(n[at : at + ROWS]).tolist():
-                rows, columns = np.flatnonzero(n[at : at + ROWS] == width), np.flatnonzero(m == width)
-                if width and len(columns):
-                    sim[np.ix_(rows, columns)] = np.round(x(at + rows, width) @ y(columns, width).T, 12)
-            take = min(k, sim.shape[1])
-            least = np.partition(sim, sim.shape[1] - take, axis=1)[:, sim.shape[1] - take, None]
-            level = sim == least
-            keep = (sim > least) | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= take - (sim > least).sum(1, keepdims=True)))
-            row, column = np.nonzero(keep)
-            found[0].append(np.stack([at + row, column]))
-            found[1].append(sim[row, column])
-        row, column = np.concatenate(found[0], axis=1)
-        return pa.table([a["q"].take(pa.array(row)), b["v"].take(pa.array(column)), pa.array(np.concatenate(found[1]))], names=[query_id, id_col, "sim"])
+        best = np.full((a.num_rows, min(k, b.num_rows)), -np.inf), np.zeros((a.num_rows, min(k, b.num_rows)), np.int64)
+        for first in range(0, b.num_rows if a.num_rows else 0, TILE):  # by id, so that of equals the earlier stay
+            tile = order[first : first + TILE].to_numpy()
+            for width in np.unique(m[tile]).tolist():
+                of = np.flatnonzero(m[tile] == width)
+                unit = y(tile[of], width) if width else None
+                for at in range(0, a.num_rows, ROWS):
+                    rows = np.arange(at, min(at + ROWS, a.num_rows))
+                    same = n[rows] == width if width else np.zeros(len(rows), bool)
+                    sim = np.zeros((len(rows), len(of)))
+                    if same.any():
+                        sim[same] = np.round(x(rows[same], width) @ unit.T, 12) + 0.0
+                    _keep(best[0][rows[0] : rows[-1] + 1], best[1][rows[0] : rows[-1] + 1], sim, first + of)
+        row = np.repeat(np.arange(a.num_rows), best[0].shape[1])
+        return pa.table([a["q"].take(pa.array(row)), b["v"].take(order.take(pa.array(best[1].ravel()))), pa.array(best[0].ravel())], names=[query_id, id_col, "sim"])
 
     found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(score, schema)
     order = Window.partitionBy(query_id).orderBy(F.desc("sim"), id_col)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _keep(best: np.ndarray, places: np.ndarray, sim: np.ndarray, columns: np.ndarray) -> None:
+    """Takes similarities (rows by columns) into the best of each row and their places; of equals the smaller place stays."""
+    k = best.shape[1]
+    least = best.min(1)
+    if sim.shape[1] > k:  # what is below the k-th of the tile is none of the best
+        least = np.maximum(least, np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k])
+    row, column = np.nonzero(sim >= least[:, None])
+    row, place, value = (np.concatenate(p) for p in ((np.repeat(np.arange(len(best)), k), row), (places.ravel(), columns[column]), (best.ravel(), sim[row, column])))
+    order = np.lexsort((place, -value, row))
+    row = row[order]
+    order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+    best[:], places[:] = value[order].reshape(best.shape), place[order].reshape(best.shape)
+
+
 def _by_width(column: pa.ChunkedArray):
     """The width of each vector, and a function that gives unit vectors of one width."""
     lists = column.combine_chunks()
