@@ -25,6 +25,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,8 @@ from cairn.sources.shared import forget, settle
 
 #: Vectors that centroids are fitted to, cells, steps of the fit, vectors of a block, blocks of one deal, queries of a block, cells that are read first.
 SAMPLE, CELLS, STEPS, BLOCK, DEAL, QUERIES, PROBE = 1 << 14, 1 << 10, 8, 1 << 10, 16, 256, 2
+#: Tasks that write one cell at most.
+SALT = 4
 #: The cell of vectors that are similar to none.
 ODD = -1
 #: More than rounding may change an angle's cosine.
@@ -84,6 +87,20 @@ def fit(x: np.ndarray, cells: int) -> np.ndarray:
     return centres
 
 
+def _placed(centres: np.ndarray, width: int):
+    """(id, embedding) with the cell of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good, x = units(batch.column(1), width)
+            cell = np.full(len(good), ODD, np.int32)
+            if len(x):
+                cell[good] = (x @ centres.T).argmax(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], ["id", "embedding", "cell"])
+
+    return run
+
+
 def _blocks(centres: np.ndarray, width: int):
     """Blocks of (id, embedding) by cell: rows of _BLOCKS; a task holds a block of each cell at most."""
 
@@ -120,6 +137,17 @@ def _blocks(centres: np.ndarray, width: int):
     return run
 
 
+def _most(sim: np.ndarray, bar: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest of each row that are not below its bar; of equals the earlier columns."""
+    keep = sim >= bar
+    some = np.flatnonzero(keep.sum(1) > k)
+    if len(some):
+        least = np.partition(sim[some], sim.shape[1] - k, axis=1)[:, sim.shape[1] - k, None]
+        more, level = sim[some] > least, sim[some] == least
+        keep[some] &= more | level & (np.cumsum(level, axis=1) <= k - more.sum(1, keepdims=True))
+    return np.nonzero(keep)
+
+
 class VectorIndex(Kept):
     """The index below one folder, which may be on any file system of Spark's. Ids are strings."""
 
@@ -145,7 +173,10 @@ class VectorIndex(Kept):
     def _write(self, vectors: DataFrame, centres: np.ndarray, width: int) -> tuple[str | None, int, dict[str, Any]]:
         """Writes rows aside by cell: the segment's name, how many, and blocks and radius by cell."""
         name = uuid.uuid4().hex
-        packed = vectors.select(F.col("id").cast("string").alias("id"), "embedding").mapInArrow(_blocks(centres, width), _BLOCKS)
+        rows = vectors.select(F.col("id").cast("string").alias("id"), "embedding")
+        number = vectors.schema["embedding"].dataType.simpleString()
+        dealt = rows.mapInArrow(_placed(centres, width), f"id string, embedding {number}, cell int").repartition("cell", F.pmod(F.xxhash64("id"), F.lit(SALT)))  # else each task leaves a small block of each cell
+        packed = dealt.select("id", "embedding").mapInArrow(_blocks(centres, width), _BLOCKS)
         packed.write.partitionBy("cell").parquet(f"{self.path}/cells/of={name}")
         found = self.rows("cells", [name], _BLOCKS).groupBy("cell").agg(F.count("*").alias("blocks"), F.max("radius").alias("radius"), F.sum(F.size("ids")).alias("n")).collect()  # a row for each cell
         return (name if found else None), sum(r["n"] for r in found), {str(r["cell"]): [r["blocks"], r["radius"]] for r in found}
@@ -273,33 +304,36 @@ class VectorIndex(Kept):
                         ids = batch.column(0).take(pa.array(part))
                         n = deals[c]
                         one = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), ids)
-                        yield pa.RecordBatch.from_arrays([pa.array([c] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.concat_arrays([one] * n), pa.array([whole[part].tobytes()] * n, pa.binary())], ["cell", "deal", "qs", "x"])
+                        yield pa.RecordBatch.from_arrays([pa.array([c] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.concat_arrays([one] * n), *(pa.array([a[part].tobytes()] * n, pa.binary()) for a in (whole, bar))], ["cell", "deal", "qs", "x", "bars"])
 
-        schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("deal", T.IntegerType()), T.StructField("qs", T.ArrayType(kind)), T.StructField("x", T.BinaryType())])
+        schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("deal", T.IntegerType()), T.StructField("qs", T.ArrayType(kind)), T.StructField("x", T.BinaryType()), T.StructField("bars", T.BinaryType())])
         return queries.select("q", "embedding", "bar").mapInArrow(run, schema)
 
     def _scored(self, asked: DataFrame, state: dict[str, Any], k: int) -> DataFrame:
-        """q, id and sim of the k best of each block for each query."""
+        """q, id and sim of the k best of each block for each query, of those that are not below its bar."""
         width, kind = state["width"], asked.schema["qs"].dataType.elementType
         most = {int(c): -(-b // DEAL) for c, (b, _) in state["cells"].items()}
         deals = F.coalesce(*(F.when(F.col("cell") == c, n) for c, n in most.items() if n > 1), F.lit(1))
         blocks = self._all(state).withColumn("deal", F.pmod(F.xxhash64("block"), deals.cast("long")).cast("int"))
-        met = asked.join(blocks.select("cell", "deal", "ids", "body", "dead"), ["cell", "deal"]).select("cell", "qs", "x", "ids", "body", "dead")
+        met = asked.join(blocks.select("cell", "deal", "ids", "body", "dead"), ["cell", "deal"]).select("cell", "qs", "x", "bars", "ids", "body", "dead")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
-                    cell, qs, x, ids, body, dead = (c[i] for c in batch.columns)
+                    cell, qs, x, bars, ids, body, dead = (c[i] for c in batch.columns)
                     own = ids.values
                     x = np.frombuffer(x.as_py(), float).reshape(len(qs.values), width)
                     y = np.frombuffer(body.as_py(), "<f8").reshape(len(own), -1) if cell.as_py() != ODD else np.zeros((len(own), width))
                     sim = np.round(x @ y.T, 12) + 0.0
-                    live = np.setdiff1d(np.arange(len(own)), dead.values.to_numpy() if dead.is_valid else [])
-                    order = live[np.argsort(np.array(own.to_pylist(), object)[live], kind="stable")]  # by id, so that ties go to the smaller
-                    sim = sim[:, order]
-                    take = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                    row = np.repeat(np.arange(len(x)), take.shape[1])
-                    yield pa.RecordBatch.from_arrays([qs.values.take(pa.array(row)), own.take(pa.array(order[take.ravel()])), pa.array(sim[row, take.ravel()])], ["q", "id", "sim"])
+                    bar = np.frombuffer(bars.as_py(), float)[:, None]
+                    if not (sim >= bar).any():
+                        continue
+                    live = np.ones(len(own), bool)
+                    live[dead.values.to_numpy() if dead.is_valid else []] = False
+                    order = pc.sort_indices(own).to_numpy()  # by id, so that ties go to the smaller
+                    order = order[live[order]]
+                    row, column = _most(sim[:, order], bar, k)
+                    yield pa.RecordBatch.from_arrays([qs.values.take(pa.array(row)), own.take(pa.array(order[column])), pa.array(sim[row, order[column]])], ["q", "id", "sim"])
 
         return met.mapInArrow(run, T.StructType([T.StructField("q", kind), T.StructField("id", T.StringType()), T.StructField("sim", T.DoubleType())]))
 

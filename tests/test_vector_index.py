@@ -110,3 +110,14 @@ def test_bounds():
     centres = I.fit(x, 10)
     assert np.allclose(np.linalg.norm(centres, axis=1), 1)
     assert len(I.fit(np.ones((5, 2)) / np.sqrt(2), 4)) == 1
+
+
+def test_blocks_are_filled_and_only_what_may_be_best_is_given(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(f"{i:04d}", [float(x) for x in rng.normal(size=4)]) for i in range(400)], "id string, embedding array<float>").repartition(40)
+    index = I.VectorIndex(spark, f"file://{tmp_path}/v")
+    index.upsert(rows)
+    state = index.state
+    assert max(blocks for blocks, _ in state["cells"].values()) <= I.SALT  # not one for each task
+    asked = rows.filter("id < '0020'").select(F.col("id").alias("q"), "embedding", F.lit(2.0).alias("bar"))
+    assert index._scored(index._asked(asked, state, True, 3), state, 3).count() == 0
