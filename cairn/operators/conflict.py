@@ -15,6 +15,8 @@ from cairn.sources.shared import settle
 
 #: Bits of the sketch of a set of words, and places of the table of ids whose words are needed.
 SKETCH, MARKS = 512, 1 << 23
+#: Characters around an alias in which the words of a claim are looked for first.
+NEAR = 256
 _CHANGES = "array<struct<kind:string,id:string,other:string,what:string>>"
 _CLAIMS = "array<struct<subject:string,verb:string,object:string>>"
 THRESHOLDS = {"similarity": 0.45, "supersede": 0.92, "duplicate": 0.95, "complement": 0.80, "expiry_secs": 300, "top_k": 5}
@@ -37,12 +39,21 @@ def negation(new: Column | str, old: Column | str) -> Column:
 
 def claims(text: Column | str) -> Column:
     """(subject, verb, object) around the first place of each alias of a verb: the word before it, and the first of more than one byte after it."""
+    return _claims(F.lower(X.col(text)))
+
+
+def _claims(lowered: Column) -> Column:
+    """``claims`` of a text in small letters; words are looked for near the alias, and in the whole text where none ends there."""
+
+    def first(near: Column, pattern: str, whole: Column) -> Column:
+        word = F.regexp_extract(near, rf"(?U)^\s*+{pattern and pattern + '*+'}(\S++)\s", 1)
+        return X.once(word, lambda w: F.when(w != "", w).otherwise(F.regexp_extract(whole, rf"(?U)^\s*{pattern and pattern + '*'}(\S+)", 1)))
 
     def claim(low: Column, at: Column, verb: str, alias: str) -> Column:
-        before = F.reverse(F.substring(low, F.lit(1), at - 1))
-        after = F.substring(low, at + len(alias), F.char_length(low))
-        subject = F.reverse(F.regexp_extract(before, r"(?U)^\s*(\S+)", 1))
-        word = F.regexp_extract(after, r"(?U)^\s*(?:[\x00-\x7F&&\S]\s+)*(\S+)", 1)
+        near = F.reverse(F.substring(low, F.greatest(at - NEAR, F.lit(1)), F.least(at - 1, F.lit(NEAR))))
+        subject = F.reverse(first(near, "", F.reverse(F.substring(low, F.lit(1), at - 1))))
+        start = at + len(alias)
+        word = first(F.substring(low, start, F.lit(NEAR)), r"(?:[\x00-\x7F&&\S]\s+)", F.substring(low, start, F.char_length(low)))
         return F.struct(subject.alias("subject"), F.lit(verb).alias("verb"), X.bare(F.when(F.octet_length(word) > 1, word).otherwise("")).alias("object"))
 
     def at_first(low: Column, verb: str, alias: str) -> Column:
@@ -52,7 +63,7 @@ def claims(text: Column | str) -> Column:
         every = F.concat(*(at_first(low, verb, alias) for verb, aliases in C.CLAIM_VERBS for alias in aliases))
         return F.filter(every, lambda c: c.isNotNull() & (c["subject"] != "") & (c["object"] != ""))
 
-    return F.transform(F.array(F.lower(X.col(text))), found)[0].cast(_CLAIMS)
+    return F.transform(F.array(lowered), found)[0].cast(_CLAIMS)
 
 
 def differing(mine: Column, theirs: Column) -> Column:
@@ -130,10 +141,10 @@ def facts(memories: DataFrame, words: Column | None = None) -> DataFrame:
         flat = pa.array(np.packbits(odd).view(np.int64))
         return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (SKETCH // 64), pa.int32()), flat)
 
-    low = F.lower("content")
+    low = F.col("_low")  # consumed more than once, so the planner keeps it apart
     bits = lambda parts: reduce(Column.__add__, (F.contains(low, F.lit(p)).cast("int") * (1 << i) for i, p in enumerate(parts)))
     yes, no = (bits([pair[i] for pair in C.NEGATION_PAIRS]) for i in (0, 1))
-    rows = memories.select("id", "author", "created_at", "state", supersede_signal("content").alias("signal"), yes.alias("yes"), no.alias("no"), claims("content").alias("claims"), (F.array_distinct(X.words("compressed")) if words is None else words).alias("_w"))
+    rows = memories.withColumn("_low", F.lower("content")).select("id", "author", "created_at", "state", _contains_any(low, C.SUPERSEDE_SIGNALS).alias("signal"), yes.alias("yes"), no.alias("no"), _claims(low).alias("claims"), (F.array_distinct(X.words("compressed")) if words is None else words).alias("_w"))
     set_ = F.col("_w")
     rows = rows.withColumns({"size": F.size(set_), "digest": F.unhex(F.sha2(F.array_join(set_, " "), 256)), "sketch": sketch(F.transform(set_, lambda w: F.xxhash64(w)))})
     return rows.drop("_w")
