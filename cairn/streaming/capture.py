@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -51,7 +50,7 @@ def observations(events: DataFrame, intensity: str = "full", private: bool = Fal
 LOOKED_UP = 1 << 12
 #: Seconds after which sessions that say nothing are no longer held as state.
 IDLE = 86_400
-_CHANGED = "id string, ide string, cwd string, room string, started_at timestamp, ended_at timestamp"
+_CHANGED = "id string, ide string, cwd string, room string, started long, ended long"
 
 
 class Sessions(StatefulProcessor):
@@ -62,36 +61,33 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.known = handle.getValueState("known", "ide string, cwd string, room string, started long, ended long")
-        self.timer = handle.getValueState("timer", "at long")
+        self.known = handle.getValueState("known", "ide string, cwd string, room string, started long, ended long, due long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        had = self.known.get() if self.known.exists() else None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.known.get()  # one call each way for a session, to read and to keep
+        had, due = (None, None) if held is None else (tuple(held[:5]), held[5])
         now, last = had, 0
-        for frame in rows:
-            at = frame["ts"].astype("datetime64[us]").astype("int64")
-            last = max(last, int(at.max()) // 1000)
-            order = at.argsort(kind="stable")
-            first = frame.iloc[order.iloc[0]]
-            if now is None or int(at.min()) < now[3]:
-                fields = tuple(None if pd.isna(first[c]) else str(first[c]) for c in ("ide", "cwd", "room"))
-                now = (*fields, int(at.min()), None if now is None else now[4])
-            ends = at[frame["event"] == "session_end"]
-            if len(ends) and (now[4] is None or int(ends.max()) > now[4]):
-                now = (*now[:4], int(ends.max()))
-        if self.timer.exists():
-            self.handle.deleteTimer(self.timer.get()[0])
-        due = max(last, timerValues.getCurrentWatermarkInMs()) + self.idle_ms
-        self.timer.update((due,))
-        self.handle.registerTimer(due)
+        for row in rows:
+            at = row["at"]
+            if now is None or (at is not None and (now[3] is None or at < now[3])):
+                now = (row["ide"], row["cwd"], row["room"], at, None if now is None else now[4])
+            if at is None:
+                continue  # tells that the session is there, and nothing else
+            last = max(last, at // 1000)
+            if row["event"] == "session_end" and (now[4] is None or at > now[4]):
+                now = (*now[:4], at)
+        idle = max(last, timerValues.getCurrentWatermarkInMs()) + self.idle_ms
+        if idle != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(idle)
+        if now != had or idle != due:
+            self.known.update((*now, idle))
         if now != had:
-            self.known.update(now)
-            at = lambda us: None if us is None else pd.Timestamp(us, unit="us")
-            yield pd.DataFrame({"id": [key[0]], "ide": [now[0]], "cwd": [now[1]], "room": [now[2]], "started_at": [at(now[3])], "ended_at": pd.Series([at(now[4])], dtype="datetime64[us]")})
+            yield Row(id=key[0], ide=now[0], cwd=now[1], room=now[2], started=now[3], ended=now[4])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.known.clear()
-        self.timer.clear()
         return iter(())
 
     def close(self) -> None:
@@ -102,8 +98,9 @@ def changed_sessions(events: DataFrame, delay: str = "1 hour", idle: int = IDLE)
     """A row of a stream's session whenever its earliest event or its end changes; events later than the delay are left out."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = events.select("session_id", "event", "ide", "cwd", "room", "ts").withWatermark("ts", delay)
-    return rows.groupBy("session_id").transformWithStateInPandas(Sessions(1000 * idle), _CHANGED, "Update", "EventTime")
+    rows = events.select("session_id", "event", "ide", "cwd", "room", F.unix_micros("ts").alias("at"), "ts").withWatermark("ts", delay)
+    changed = rows.groupBy("session_id").transformWithState(Sessions(1000 * idle), _CHANGED, "Update", "EventTime")
+    return changed.select("id", "ide", "cwd", "room", F.timestamp_micros("started").alias("started_at"), F.timestamp_micros("ended").alias("ended_at"))
 
 
 def merge_sessions(store: Store, changed: DataFrame) -> None:

@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import Row
+
 from cairn.operators.store import Store
 from cairn.streaming import capture as H
 
@@ -54,3 +56,52 @@ def test_idle_sessions_are_forgotten(spark, tmp_path):
     run(spark, store, tmp_path)
     held = spark.read.format("statestore").option("stateVarName", "known").load(f"file://{tmp_path}/check/sessions")
     assert store.table("sessions").count() == 7 and held.count() <= 1
+
+
+class Calls:
+    """Stands for the state of one session and counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls.append("register")
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.calls.append("delete")
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_a_session_costs_few_calls():
+    state, processor = Calls(), H.Sessions(1000)
+    processor.init(state)
+    row = lambda kind, at, ide: Row(event=kind, ide=ide, cwd=None, room="r", at=at)
+    told = list(processor.handleInputRows(("a",), iter([row("prompt_submit", 9_000_001, "late"), row("session_start", None, "never"), row("session_start", 5_000_000, "vim"), row("session_end", 9_000_002, "late")]), state))
+    assert told == [Row(id="a", ide="vim", cwd=None, room="r", started=5_000_000, ended=9_000_002)]
+    assert state.calls == ["get", "register", "update"] and state.timers == [10_000]
+    state.calls.clear()
+    assert not list(processor.handleInputRows(("a",), iter([row("prompt_submit", 9_000_002, "x")]), state)) and state.calls == ["get"]
+    assert not list(processor.handleInputRows(("a",), iter([row("prompt_submit", 11_000_000, "x")]), state)) and state.timers == [12_000]
+
+
+def test_times_keep_their_zone_and_parts(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    write(tmp_path / "in", "1.json", [{"event": "session_start", "session_id": "a", "ts": "2026-10-25T00:30:00.123456Z"}, {"event": "session_end", "session_id": "a", "ts": "2026-10-25T01:30:00.000007Z"}, {"event": "tool_use", "session_id": "b"}])
+    run(spark, store, tmp_path)
+    got = {r["id"]: (r["s"], r["e"]) for r in store.table("sessions").selectExpr("id", "unix_micros(started_at) s", "unix_micros(ended_at) e").collect()}
+    assert got == {"a": (1792888200123456, 1792891800000007), "b": (None, None)}
