@@ -135,8 +135,21 @@ def entities(text: Column | str) -> Column:
     return F.coalesce(full(2 * HEAD), full(6 * HEAD), _entities(text))
 
 
+def _by_letter(parts) -> str:
+    """A pattern of any of the parts, by their first letters."""
+    return "|".join(f"{a}(?:{'|'.join(p[1:] for p in parts if p[0] == a)})" for a in sorted({p[0] for p in parts}))
+
+
+_TECH = f"(?:{_by_letter(C.TECH_TERMS)})"
+#: Words that are a technology term but for signs around it, or have a digit or a capital; no other is an entity.
+_ENTITY = rf"\A[^\p{{IsAlphabetic}}\p{{N}}./]*{_TECH}[^\p{{IsAlphabetic}}\p{{N}}./]*\z|[0-9\p{{IsUppercase}}]"
+#: A technology term that is a token; a place that begins none is told by one letter.
+_TAG = rf"(?=[{''.join(sorted({t[0] for t in C.TECH_TERMS}))}])(?<![a-z0-9]){_TECH}(?![a-z0-9])"
+
+
 def _entities(text: Column) -> Column:
-    clean = F.transform(words(text), lambda w: F.regexp_replace(w, r"^[^\p{IsAlphabetic}\p{N}./]+|[^\p{IsAlphabetic}\p{N}./]+$", ""))
+    some = F.filter(words(text), lambda w: F.rlike(w, F.lit(_ENTITY)))
+    clean = F.transform(some, lambda w: F.regexp_replace(w, r"^[^\p{IsAlphabetic}\p{N}./]+|[^\p{IsAlphabetic}\p{N}./]+$", ""))
 
     def wanted(w: Column) -> Column:
         tech = F.lower(w).isin(*C.TECH_TERMS)
@@ -157,7 +170,7 @@ def _entities(text: Column) -> Column:
 def tags(text: Column | str) -> Column:
     """Technology terms among the tokens, in the order of the list."""
     found = F.slice(F.array_intersect(F.array(*map(F.lit, C.TECH_TERMS)), tokens(text)), 1, C.MAX_TAGS)
-    may = F.rlike(F.lower(col(text)), F.lit(rf"(?<![a-z0-9])(?:{'|'.join(C.TECH_TERMS)})(?![a-z0-9])"))  # else no token is one
+    may = F.rlike(F.lower(col(text)), F.lit(_TAG))  # else no token is one
     return F.when(~may, F.array().cast("array<string>")).otherwise(found)
 
 
@@ -206,11 +219,6 @@ def compress(text: Column | str, intensity: str = "full") -> Column:
     return joined(F.split(F.array_join(kept, " "), mark, -1))
 
 
-def _by_letter(parts) -> str:
-    """A pattern of any of the parts, by their first letters."""
-    return "|".join(f"{a}(?:{'|'.join(p[1:] for p in parts if p[0] == a)})" for a in sorted({p[0] for p in parts}))
-
-
 #: Words that may be a filler, an article or a long form but for signs around it; compression leaves all others as they are.
 _RARE = r"\A[^0-9A-Za-z]*(?iu:" + _by_letter((*C.FILLERS, *C.ARTICLES, *C.ABBREVIATIONS)) + r")[^0-9A-Za-z]*\z"
 #: What is the same as a letter of a phrase in some case; and what takes literals beyond words or stands for literals besides.
@@ -272,7 +280,8 @@ def primary_topic(text: Column | str) -> Column:
 
 def key_values(text: Column | str) -> Column:
     """Up to three distinct tokens with a digit, or acronyms of two to six letters."""
-    clean = F.transform(words(text), lambda w: F.regexp_replace(w, r"^[^\p{IsAlphabetic}\p{N}=/]+|[^\p{IsAlphabetic}\p{N}=/]+$", ""))
+    some = F.filter(words(text), lambda w: F.rlike(w, F.lit(_ENTITY)))
+    clean = F.transform(some, lambda w: F.regexp_replace(w, r"^[^\p{IsAlphabetic}\p{N}=/]+|[^\p{IsAlphabetic}\p{N}=/]+$", ""))
     wanted = F.filter(clean, lambda w: (F.octet_length(w) >= 2) & (F.rlike(w, F.lit("[0-9]")) | F.rlike(w, F.lit("^[A-Z]{2,6}$"))))
     return F.slice(F.array_distinct(wanted), 1, 3)
 

@@ -239,7 +239,8 @@ _FOLD = _fold_table()
 
 def fts_tokens(text: Column | str) -> Column:
     """Lower-case tokens without diacritics."""
-    return X.tokens(F.translate(X.col(text), *_FOLD))
+    text = X.col(text)
+    return X.tokens(F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.translate(text, *_FOLD)))  # ASCII alone has no diacritics
 
 
 def escape_query(text: Column | str) -> Column:

@@ -1,5 +1,7 @@
 """Text functions compute what they name once, and give what the plain rules give."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from cairn.functions import text as X
@@ -40,3 +42,17 @@ def test_compression_finds_keys_once_and_leaves_nothing_out(spark):
     rows = df.select("text", X.compress("text").alias("is"), plain(F.col("text")).alias("should")).collect()
     assert all(r["is"] == r["should"] for r in rows), [r for r in rows if r["is"] != r["should"]]
     assert plan(df.select(X.compress("text").alias("c"))).count("\u00000\u0000") == 1
+
+
+def test_tags_and_entities_by_fewer_patterns(spark):
+    dice = random.Random(11)
+    parts = [*C.TECH_TERMS[:12], "Redis", "GO", "rest", "forest", "x9", "9", "é", "K8s", ".", "/", "(", ")", "_", "ß", "İstanbul", "word"]
+    texts = [None, "", *("".join(dice.choice(parts) + dice.choice(["", " ", ",", "é"]) for _ in range(dice.randrange(9))) for _ in range(300))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    plain = F.slice(F.array_intersect(F.array(*map(F.lit, C.TECH_TERMS)), X.tokens("t")), 1, C.MAX_TAGS)
+    assert rows.filter(~X.tags("t").eqNullSafe(F.when(F.col("t").isNull(), F.array().cast("array<string>")).otherwise(plain)) & F.col("t").isNotNull()).count() == 0
+    edges = r"^[^\p{IsAlphabetic}\p{N}./]+|[^\p{IsAlphabetic}\p{N}./]+$"
+    words = rows.select(F.explode(X.words("t")).alias("w")).withColumn("c", F.regexp_replace("w", edges, ""))
+    entity = F.lower("c").isin(*C.TECH_TERMS) | F.rlike("c", F.lit(r"^\p{IsUppercase}|[0-9]"))
+    assert words.filter(entity & ~F.rlike("w", F.lit(X._ENTITY))).count() == 0  # the filter loses none
+    assert words.filter(~F.rlike("w", F.lit(X._ENTITY))).count() > 0
