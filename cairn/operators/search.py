@@ -34,8 +34,8 @@ WEIGHTS = 1 << 23
 _WHOLE = "\u0000"
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id", vector: str = "embedding") -> DataFrame:
-    """query id, id, sim and rank of the k most similar vectors; ties go to the smaller id.
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id", vector: str = "embedding", digits: int = 12) -> DataFrame:
+    """query id, id, sim and rank of the k most similar vectors; ties go to the smaller id. Similarities are rounded to so many digits before they are ranked.
 
     Vectors of another width than the query's have similarity 0, as have those
     without length. Queries and vectors are dealt to a grid of blocks and groups of
@@ -63,7 +63,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "que
                     same = n[rows] == width if width else np.zeros(len(rows), bool)
                     sim = np.zeros((len(rows), len(of)))
                     if same.any():
-                        sim[same] = np.round(x(rows[same], width) @ unit.T, 12) + 0.0
+                        sim[same] = rounded(x(rows[same], width) @ unit.T, digits)
                     _keep(best[0][rows[0] : rows[-1] + 1], best[1][rows[0] : rows[-1] + 1], sim, first + of)
         row = np.repeat(np.arange(a.num_rows), best[0].shape[1])
         return pa.table([a["q"].take(pa.array(row)), b["v"].take(order.take(pa.array(best[1].ravel()))), pa.array(best[0].ravel())], names=[query_id, id_col, "sim"])
@@ -73,6 +73,14 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "que
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def rounded(sim: np.ndarray, digits: int) -> np.ndarray:
+    """As SQL rounds, halves away from zero; no negative zeros."""
+    scaled = sim * 10.0**digits
+    whole = np.trunc(scaled)
+    whole += np.copysign(np.abs(scaled - whole) >= 0.5, scaled)
+    return whole / 10.0**digits + 0.0
+
+
 def _keep(best: np.ndarray, places: np.ndarray, sim: np.ndarray, columns: np.ndarray) -> None:
     """Takes similarities (rows by columns) into the best of each row and their places; of equals the smaller place stays."""
     k = best.shape[1]
