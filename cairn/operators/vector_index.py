@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.operators.kept import Kept
+from cairn.operators.search import rounded
 from cairn.sources.shared import forget, settle
 
 #: Vectors that centroids are fitted to, cells, steps of the fit, vectors of a block, blocks of one deal, queries of a block, cells that are read first.
@@ -266,13 +267,14 @@ class VectorIndex(Kept):
     def _centres(state: dict[str, Any]) -> tuple[np.ndarray, int]:
         return np.array(state["centroids"], float).reshape(-1, state["width"]), state["width"]
 
-    def _asked(self, queries: DataFrame, state: dict[str, Any], first: bool, k: int) -> DataFrame:
+    def _asked(self, queries: DataFrame, state: dict[str, Any], first: bool, k: int, digits: int = 12) -> DataFrame:
         """Queries in packed blocks by cell and deal: those of the cells that are read first, or of the others that may hold one of the k best (by ``bar``)."""
         centres, width = self._centres(state)
         known = sorted(int(c) for c in state["cells"])
         radius = np.array([state["cells"][str(c)][1] for c in known])
         deals = {c: -(-state["cells"][str(c)][0] // DEAL) for c in known}
         named = np.array([c for c in known if c != ODD], np.int64)
+        slack = SLACK + 0.5 / 10.0**digits  # a bar is rounded
 
         def cells(x: np.ndarray, bar: np.ndarray) -> np.ndarray:
             """Queries (rows) by known cells (columns) to be read."""
@@ -284,7 +286,7 @@ class VectorIndex(Kept):
             if len(named):
                 take = np.argsort(angle, axis=1, kind="stable")[:, :PROBE]
                 near[np.arange(len(x))[:, None], np.flatnonzero([c != ODD for c in known])[take]] = True
-            return near if first else ~near & (bound >= bar[:, None] - SLACK)
+            return near if first else ~near & (bound >= bar[:, None] - slack)
 
         kind = queries.schema["q"].dataType
 
@@ -309,7 +311,7 @@ class VectorIndex(Kept):
         schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("deal", T.IntegerType()), T.StructField("qs", T.ArrayType(kind)), T.StructField("x", T.BinaryType()), T.StructField("bars", T.BinaryType())])
         return queries.select("q", "embedding", "bar").mapInArrow(run, schema)
 
-    def _scored(self, asked: DataFrame, state: dict[str, Any], k: int) -> DataFrame:
+    def _scored(self, asked: DataFrame, state: dict[str, Any], k: int, digits: int = 12) -> DataFrame:
         """q, id and sim of the k best of each block for each query, of those that are not below its bar."""
         width, kind = state["width"], asked.schema["qs"].dataType.elementType
         most = {int(c): -(-b // DEAL) for c, (b, _) in state["cells"].items()}
@@ -324,7 +326,7 @@ class VectorIndex(Kept):
                     own = ids.values
                     x = np.frombuffer(x.as_py(), float).reshape(len(qs.values), width)
                     y = np.frombuffer(body.as_py(), "<f8").reshape(len(own), -1) if cell.as_py() != ODD else np.zeros((len(own), width))
-                    sim = np.round(x @ y.T, 12) + 0.0
+                    sim = rounded(x @ y.T, digits)
                     bar = np.frombuffer(bars.as_py(), float)[:, None]
                     if not (sim >= bar).any():
                         continue
@@ -337,18 +339,18 @@ class VectorIndex(Kept):
 
         return met.mapInArrow(run, T.StructType([T.StructField("q", kind), T.StructField("id", T.StringType()), T.StructField("sim", T.DoubleType())]))
 
-    def search(self, queries: DataFrame, k: int, query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
-        """query id, id, sim and rank of the k most similar rows, as ``search.nearest`` of the indexed rows gives them."""
+    def search(self, queries: DataFrame, k: int, query_id: str = "query_id", vector: str = "embedding", digits: int = 12) -> DataFrame:
+        """query id, id, sim and rank of the k most similar rows, as ``search.nearest`` of the indexed rows gives them, rounded to so many digits."""
         state = self.state
         asked = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("embedding"), F.lit(None).cast("double").alias("bar"))
         if not state["cells"]:
             return self.spark.createDataFrame([], T.StructType([T.StructField(query_id, asked.schema["q"].dataType), *T.StructType.fromDDL("id string, sim double, rank int").fields]))
         order = Window.partitionBy("q").orderBy(F.desc("sim"), "id")
         best = lambda rows: rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        first = settle(best(self._scored(self._asked(asked, state, True, k), state, k)))
+        first = settle(best(self._scored(self._asked(asked, state, True, k, digits), state, k, digits)))
         bars = first.filter(F.col("rank") == k).select("q", F.col("sim").alias("bar"))
-        rest = self._asked(asked.drop("bar").join(bars, "q", "left"), state, False, k)
-        found = first.drop("rank").unionByName(self._scored(rest, state, k))
+        rest = self._asked(asked.drop("bar").join(bars, "q", "left"), state, False, k, digits)
+        found = first.drop("rank").unionByName(self._scored(rest, state, k, digits))
         return best(found).select(F.col("q").alias(query_id), "id", "sim", "rank")
 
     def report(self, queries: DataFrame, k: int, query_id: str = "query_id", vector: str = "embedding") -> dict[str, int]:

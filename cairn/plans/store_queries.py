@@ -180,7 +180,7 @@ def knn_kept_index(spark, d) -> DataFrame:
     store.update("memories", store.table("memories").filter("id like 'old%'").select("id"), in_index=F.lit(False))
     index.sync(store, member="in_index")
     asked = e.filter("cast(id AS bigint) % 20 = 0").select(F.col("id").cast("bigint").alias("query_id"), "embedding")
-    return index.search(asked, 5).select("query_id", F.col("id").cast("bigint").alias("id"), F.round("sim", 6).alias("sim"), "rank")
+    return index.search(asked, 5, digits=6).select("query_id", F.col("id").cast("bigint").alias("id"), "sim", "rank")
 
 
 @query(
